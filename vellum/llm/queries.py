@@ -12,6 +12,8 @@ _OPS = {
     "op1_token_files": "q_tokens:token_files",
     "op2_vector_packing": "q_tokens:vector_packing",
     "op4_tree_bpe": "q_tokens:tree_bpe",
+    "op5_entropy_secrets": "q_secrets:entropy_secrets",
+    "op6_gif_media": "q_media:gif_media",
 }
 
 
