@@ -14,6 +14,7 @@ _OPS = {
     "op4_tree_bpe": "q_tokens:tree_bpe",
     "op5_entropy_secrets": "q_secrets:entropy_secrets",
     "op6_gif_media": "q_media:gif_media",
+    "op7_bit_sliced_topk": "q_search:bit_sliced_topk",
 }
 
 

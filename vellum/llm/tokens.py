@@ -15,12 +15,14 @@ import numpy as np
 
 #: Chunks remembered per worker, about 200 bytes each: when a memory holds half of them it becomes the old one, and what the
 #: old one had and nobody asked for since is forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Chunks handed to the library in one call, and chunks that share a string there.
 AT_ONCE, TOGETHER = 4096, 20
-_SPACE = re.compile(r"\s")
 _CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S+)*|\s+")
-_UNEVEN = re.compile(r"\s[ \n]|[ \n]$")
+#: White space before a blank or line feed, where that place is no end of a pre-token.
+_UNEVEN = re.compile(r"[^\S \n][ \n]")
+#: A letter before ASCII punctuation ends a pre-token too; the ranges hold letters only, in any version of Unicode.
+_TAILED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.S)
 
 
 @lru_cache(4)
@@ -47,18 +49,14 @@ class Memory:
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, words: set[str]) -> list[str]:
+    def missing(self, words: set[str], turn: bool = True) -> list[str]:
         """The words neither generation has; those that only the old one has move to the new one."""
-        if len(self.now) + len(words) > REMEMBERED // 2:
+        if turn and len(self.now) + 2 * len(words) > REMEMBERED // 2:
             self.now, self.old = {}, self.now
-        absent = []
-        for w in words:
-            if w not in self.now:
-                if w in self.old:
-                    self.now[w] = self.old[w]
-                else:
-                    absent.append(w)
-        return absent
+        absent = words.difference(self.now)
+        known = {w: self.old[w] for w in absent if w in self.old}  # an intersection would go through all of old
+        self.now.update(known)
+        return [w for w in absent if w not in known]
 
 
 class WordEncoder:
@@ -74,35 +72,42 @@ class WordEncoder:
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
         if any(re.search(r"\s", t) for t in self.added):
             self.chunked = False
+        self.odd = re.compile("|".join([r"[^\S\n]", *map(re.escape, self.added)]))
         feed = tok.encode("\n", add_special_tokens=False).ids
         after = tok.encode("\n a", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 and after == feed + tok.encode(" a", add_special_tokens=False).ids else None
 
-    def _learn(self, memory: Memory, words: set[str], before: str) -> None:
-        new = memory.missing(words)
+    def _learn(self, memory: Memory, words: set[str], before: str, turn: bool = True) -> None:
+        new = memory.missing(words, turn)
+        if before != " ":
+            memory.now.update(zip(new, self._each([before + w for w in new]), strict=True))
+            return
+        odd = self.odd.search("\n".join(new)) is not None
+        tailed = {w: m for w, m in zip(new, map(_TAILED.fullmatch, new), strict=True) if m and not (odd and self.odd.search(w))}
+        if tailed:
+            heads = {m[1] for m in tailed.values()}
+            new = [w for w in new if w not in tailed]
+            new += memory.missing(heads.difference(new), turn=False)
+            self._learn(self.plain, {m[2] for m in tailed.values()}, "", turn=False)
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
-            memory.now.update(zip(part, self._each([before + w for w in part]), strict=True))
+            simple = self.feed is not None and "" not in part and not (odd and self.odd.search("\n".join(part)))
+            memory.now.update(zip(part, self._together(part) if simple else self._each([" " + w for w in part]), strict=True))
+        memory.now.update({w: memory.now[m[1]] + self.plain.now[m[2]] for w, m in tailed.items()})
 
     def _each(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. Chunks that start with their only blank go several to a string, parted by line feeds."""
-        out: list[bytes] = [b""] * len(chunks)
-        simple = [i for i, c in enumerate(chunks) if self.feed is not None and c[:1] == " " and len(c) > 1 and not _SPACE.search(c, 1) and not any(a in c for a in self.added)]
-        if simple:
-            joined = ["\n".join([chunks[i] for i in simple[k : k + TOGETHER]]) for k in range(0, len(simple), TOGETHER)]
-            ids: list[int] = []
-            for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
-                ids += e.ids
-                ids.append(self.feed)
-            arr = np.array(ids, "<u4")
-            raw, start = arr.tobytes(), 0
-            for i, end in zip(simple, np.flatnonzero(arr == self.feed).tolist(), strict=True):
-                out[i], start = raw[start * 4 : end * 4], end + 1
-        known = set(simple)
-        rest = [i for i in range(len(chunks)) if i not in known]
-        for i, e in zip(rest, self.tok.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(chunks), AT_ONCE) for e in self.tok.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space or added tokens, each after a blank; several go to a string, parted by line feeds."""
+        ids: list[int] = []
+        for e in self.tok.encode_batch_fast([" " + "\n ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False):
+            ids += e.ids
+            ids.append(self.feed)
+        arr = np.array(ids, "<u4")
+        ends = (np.flatnonzero(arr == self.feed) * 4).tolist()
+        raw = arr.tobytes()
+        return [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.chunked:
@@ -111,7 +116,7 @@ class WordEncoder:
         blank, line, plain = set(), set(), set()
         for t in texts:
             t = t or ""
-            if _UNEVEN.search(t):
+            if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or _UNEVEN.search(t):
                 chunks = _CHUNK.findall(t)
                 plain.update(chunks)
                 cut.append((False, chunks))
