@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 _OPS = {
     "op1_token_files": "q_tokens:token_files",
     "op2_vector_packing": "q_tokens:vector_packing",
+    "op3_simhash_variants": "q_dedup:simhash_variants",
     "op4_tree_bpe": "q_tokens:tree_bpe",
     "op5_entropy_secrets": "q_secrets:entropy_secrets",
     "op6_gif_media": "q_media:gif_media",
     "op7_bit_sliced_topk": "q_search:bit_sliced_topk",
+    "op9_sentence_spans": "q_dedup:sentence_spans",
 }
 
 
