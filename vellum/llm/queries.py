@@ -17,6 +17,7 @@ _OPS = {
     "op6_gif_media": "q_media:gif_media",
     "op7_bit_sliced_topk": "q_search:bit_sliced_topk",
     "op9_sentence_spans": "q_dedup:sentence_spans",
+    "op10_crf_language": "q_language:crf_language",
 }
 
 
