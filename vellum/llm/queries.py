@@ -16,6 +16,7 @@ _OPS = {
     "op5_entropy_secrets": "q_secrets:entropy_secrets",
     "op6_gif_media": "q_media:gif_media",
     "op7_bit_sliced_topk": "q_search:bit_sliced_topk",
+    "op8_template_chat": "q_chat:template_chat",
     "op9_sentence_spans": "q_dedup:sentence_spans",
     "op10_crf_language": "q_language:crf_language",
 }
