@@ -246,3 +246,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": labels, "score": scores}
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(row_op(rows, schema), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """docs, all columns as they are, without those in no learned language or whose language has less than this share."""
+    raw = pickle.dumps((model.labels, model.weights.astype(np.float32), model.transitions))
+    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    mark = zlib.crc32(raw)
+
+    def run(batches):
+        from .common import slices
+
+        for batch in slices(batches, "text"):
+            m = _LOADED.get(mark)
+            if m is None:
+                _LOADED.clear()
+                m = _LOADED[mark] = Model(*pickle.loads(sent.value))
+            labels, scores = m.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([y != UNKNOWN and s >= least_share for y, s in zip(labels, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
