@@ -15,13 +15,14 @@ import numpy as np
 
 #: Chunks remembered per worker, about 200 bytes each: when a memory holds half of them it becomes the old one, and what the
 #: old one had and nobody asked for since is forgotten.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Chunks handed to the library in one call, and chunks that share a string there.
 AT_ONCE, TOGETHER = 4096, 20
 _CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S+)*|\s+")
 #: White space before a blank or line feed, where that place is no end of a pre-token.
 _UNEVEN = re.compile(r"[^\S \n][ \n]")
 #: A letter before ASCII punctuation ends a pre-token too; the ranges hold letters only, in any version of Unicode.
+_TAIL = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TAILED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.S)
 
 
@@ -64,8 +65,7 @@ class WordEncoder:
 
     def __init__(self, tok):
         self.tok = tok
-        self.blank = Memory()  # by the word after a blank
-        self.line = Memory()  # by the word after a line feed
+        self.blank = Memory()  # by the word after a blank, or by a word with the line feed before it
         self.plain = Memory()  # by the whole chunk
         # Chunks hold for the byte-level pattern without a blank put before the text.
         self.chunked = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" in repr(tok.pre_tokenizer) and tok.normalizer is None
@@ -77,18 +77,22 @@ class WordEncoder:
         after = tok.encode("\n a", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 and after == feed + tok.encode(" a", add_special_tokens=False).ids else None
 
-    def _learn(self, memory: Memory, words: set[str], before: str, turn: bool = True) -> None:
-        new = memory.missing(words, turn)
-        if before != " ":
-            memory.now.update(zip(new, self._each([before + w for w in new]), strict=True))
-            return
+    def _learn_plain(self, chunks: set[str], turn: bool = True) -> None:
+        new = self.plain.missing(chunks, turn)
+        self.plain.now.update(zip(new, self._each(new), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        """Words after a blank, and words with a line feed before them."""
+        memory = self.blank
+        new = memory.missing(words)
         odd = self.odd.search("\n".join(new)) is not None
-        tailed = {w: m for w, m in zip(new, map(_TAILED.fullmatch, new), strict=True) if m and not (odd and self.odd.search(w))}
+        after_feed = [w for w in new if w[:1] == "\n"]
+        memory.now.update(zip(after_feed, self._each(after_feed), strict=True))
+        tailed = {w: m for w in new if w[-1:] in _TAIL and w[0] != "\n" and (m := _TAILED.fullmatch(w)) and not (odd and self.odd.search(w))}
+        new = [w for w in new if w not in tailed and w[:1] != "\n"]
         if tailed:
-            heads = {m[1] for m in tailed.values()}
-            new = [w for w in new if w not in tailed]
-            new += memory.missing(heads.difference(new), turn=False)
-            self._learn(self.plain, {m[2] for m in tailed.values()}, "", turn=False)
+            new += memory.missing({m[1] for m in tailed.values()}.difference(new), turn=False)
+            self._learn_plain({m[2] for m in tailed.values()}, turn=False)
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             simple = self.feed is not None and "" not in part and not (odd and self.odd.search("\n".join(part)))
@@ -112,8 +116,8 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.chunked:
             return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut: list[tuple[bool, list]] = []
-        blank, line, plain = set(), set(), set()
+        cut: list[tuple[bool, list[str]]] = []
+        blank, plain = set(), set()
         for t in texts:
             t = t or ""
             if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or _UNEVEN.search(t):
@@ -121,22 +125,11 @@ class WordEncoder:
                 plain.update(chunks)
                 cut.append((False, chunks))
                 continue
-            lines = [x.split(" ") for x in t.split("\n")]
-            for k, words in enumerate(lines):
-                (line if k else plain).add(words[0])
-                blank.update(words[1:])
-            cut.append((True, lines))
-        self._learn(self.blank, blank, " ")
-        self._learn(self.line, line, "\n")
-        self._learn(self.plain, plain, "")
-        out = []
-        for even, chunks in cut:
-            if not even:
-                got = [self.plain.now[c] for c in chunks]
-            else:
-                got = []
-                for k, words in enumerate(chunks):
-                    got.append((self.line if k else self.plain).now[words[0]])
-                    got.extend(map(self.blank.now.__getitem__, words[1:]))
-            out.append(np.frombuffer(b"".join(got), "<u4"))
-        return out
+            words = t.replace("\n", " \n").split(" ")
+            plain.add(words[0])
+            blank.update(words[1:])
+            cut.append((True, words))
+        self._learn(blank)
+        self._learn_plain(plain)
+        whole, after = self.plain.now, self.blank.now.__getitem__
+        return [np.frombuffer(b"".join([whole[c[0]], *map(after, c[1:])] if even else [whole[x] for x in c]), "<u4") for even, c in cut]
