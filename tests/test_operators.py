@@ -4,10 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import names
 from vellum.functions import text as X
-from vellum.operators import graph, library, quality, retrieval
+from vellum.operators import graph, library, meaning, quality, ranges, retrieval
 from vellum.plans.guard import Refused, run_select
 from vellum.plans.session import checkpoints
+from vellum.sources import library as sources
+from vellum.sources import service, sinks
 from vellum.streaming import events as E
 
 
@@ -99,3 +102,73 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("latest_stage").collect())) == sorted(map(tuple, E.latest_stage(spark.read.parquet(str(tmp_path / "in"))).collect()))
+
+
+@pytest.mark.parametrize(
+    ("name", "family", "initials"),
+    [("van Dillen T", "van Dillen", "T"), ("Jan van der Berg", "van der Berg", "J"), ("J.R. Smith", "Smith", "JR"), ("WHO", "WHO", None), ("Smith, Anna B.", "Smith", "AB")],
+)
+def test_names(name, family, initials):
+    assert names.split_name(name) == (family, initials)
+
+
+def test_person_keys(spark):
+    df = spark.createDataFrame([("Müller H",), ("Muller HJ",), (None,)], "n string")
+    assert [r[0] for r in df.select(names.person_keys("n")).collect()] == ["muller h", "muller h", None]
+
+
+def test_sentences_and_chunks(spark):
+    assert len(one(spark, X.sentences(F.col("t")), t="One thing. Another (thing). A third: 3.5 mM was used. Done")) == 4
+    own = [f"Sentence {i} " + "word " * (i % 17) + "ends." for i in range(90)]
+    got = names.chunks(own)
+    assert all(len(c.split()) <= 380 and c.endswith(".") for c in got) and len(got) > 2
+    for a, b in zip(got, got[1:], strict=False):
+        assert b.startswith([s for s in own if a.endswith(s)][-1])
+    assert names.chunks([]) == []
+
+
+def test_smoothing_by_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    s = [[rng.random() / 5 for _ in range(3)] for _ in range(7)]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(s)], "k int, pos int, scores array<double>")
+    for last in (None, "c"):
+        got = [r["label"] for r in meaning.smooth(df, "k", "pos", "scores", ["a", "b", "c"], last=last).orderBy("pos").collect()]
+        value = lambda y: sum(s[i][y[i]] for i in range(7)) - 0.06 * sum(a != b for a, b in zip(y, y[1:], strict=False))
+        best = max((y for y in itertools.product(range(3), repeat=7) if last is None or all(b == 2 for a, b in zip(y, y[1:], strict=False) if a == 2)), key=value)
+        assert value(["abc".index(x) for x in got]) == pytest.approx(value(best))
+
+
+def test_replacing_a_paper_keeps_the_others_and_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    sinks.replace_papers(spark.createDataFrame([("a", 1), ("b", 2)], "paper string, n int"), path)
+    for _ in range(2):
+        sinks.replace_papers(spark.createDataFrame([("a", 3)], "paper string, n int"), path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("paper", "n").collect())) == [("a", 3), ("b", 2)]
+
+
+def test_recorded_service_answers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"resultList": {"result": [{"pmid": " 1 ", "doi": "10.1/X", "title": "T", "isOpenAccess": "Y", "inPMC": "Y", "pmcid": "pmc7", "citedByCount": 3, "hasPDF": "N"}, {"title": "U", "isOpenAccess": "N"}]}}')
+    got = sources.search_results(spark, str(tmp_path / "a.json")).orderBy("title").collect()
+    assert (got[0]["doi"], got[0]["pmcid"], got[0]["has_xml"], got[0]["has_pdf"]) == ("10.1/x", "PMC7", True, False) and got[1]["pmid"] is None
+
+
+def fetch(query, page):
+    import json
+
+    return json.dumps({"results": [{"id": f"{query}{page}", "title": "t", "year": "2020", "cited_by": page}]})
+
+
+def test_paged_service(spark):
+    spark.dataSource.register(service.Pages)
+    got = spark.read.format("literature").options(fetch="tests.test_operators:fetch", query="q", pages="3").load()
+    assert sorted(r["id"] for r in got.collect()) == ["q0", "q1", "q2"]
+
+
+def test_intervals_by_brute_force(spark):
+    p = spark.createDataFrame([(i,) for i in range(-20, 60)], "x int")
+    i = spark.createDataFrame([(0, 5), (-7, 3), (40, 40), (10, 9), (3, 33)], "a int, b int")
+    got = ranges.points_in_intervals(p, "x", i, "a", "b", 4)
+    assert sorted(map(tuple, got.collect())) == sorted((x, a, b) for x in range(-20, 60) for a, b in [(0, 5), (-7, 3), (40, 40), (10, 9), (3, 33)] if a <= x <= b)

@@ -112,3 +112,8 @@ def quantities(text: Column) -> Column:
     """array<struct<value, unit>> of the quantities in a text, in order."""
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(1)).alias("value"), F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(2)).alias("unit"))
     return both
+
+
+def sentences(text: Column) -> Column:
+    """Split after . ! or ? and white space where a capital, a digit, a quote or a bracket follows."""
+    return F.split(text, r"""(?<=[.!?])\s+(?=[A-Z0-9("\[])""")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as X
-from ..operators import graph, library, quality, retrieval
+from ..operators import graph, library, meaning, quality, ranges, retrieval
 from ..sources import library as S
 from ..streaming import events as E
 from .guard import run_select
@@ -342,3 +343,84 @@ def pagerank(spark, d):
 def quantities(spark, d):
     x = S.load(spark, d, "documents").select("doc_id", F.inline(X.quantities(F.col("text"))))
     return x.select("doc_id", "value", "unit")
+
+
+@query("points_in_intervals", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_orderkey BETWEEN p_partkey * 7 AND p_partkey * 7 + p_size")
+def points_in_intervals(spark, d):
+    p = S.load(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7).alias("lo"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("hi"))
+    return ranges.points_in_intervals(S.load(spark, d, "orders").select("o_orderkey"), "o_orderkey", p, "lo", "hi", 32).select("o_orderkey", "p_partkey")
+
+
+@query("nearest_label", """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS e FROM embeddings),
+m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM u) GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY 1),
+s AS (SELECT vec_id, c.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS score FROM embeddings, c),
+r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, label))
+SELECT vec_id, label, score, round(score - next, 6) AS margin FROM r WHERE r = 1""")
+def nearest_label(spark, d):
+    v = S.load(spark, d, "embeddings")
+    return meaning.nearest_label(v, "vec_id", "embedding", meaning.centroids(v, "label", "embedding"), "label")
+
+
+@query("best_threshold", """SELECT n_chars, f1 FROM (SELECT n_chars, round(2.0::DOUBLE * sum(p) OVER w / (sum(n) OVER w + (SELECT sum(quality) FROM labels JOIN documents USING (doc_id))), 9) AS f1
+FROM (SELECT n_chars, sum(quality) AS p, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) WINDOW w AS (ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)) ORDER BY f1 DESC, n_chars LIMIT 1""")
+def best_threshold(spark, d):
+    return meaning.best_threshold(S.load(spark, d, "labels").join(S.load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id"), "n_chars", "quality")
+
+
+@query("containment", """WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents) GROUP BY ALL)
+SELECT a.doc_id, CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared FROM c a JOIN c b ON b.w = a.w AND b.doc_id = a.doc_id + 1 GROUP BY 1""")
+def containment(spark, d):
+    c = S.load(spark, d, "documents").select("doc_id", F.explode(X.plain_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    other = c.select((F.col("doc_id") - 1).alias("doc_id"), "w", F.col("n").alias("m"))
+    return c.join(other, ["doc_id", "w"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("shared"))
+
+
+@query("owned_terms", f"WITH t AS (SELECT DISTINCT source, unnest({TOKENS.format('text')}) AS term FROM documents) SELECT term, min(source) AS source FROM t GROUP BY 1 HAVING count(DISTINCT source) = 1")
+def owned_terms(spark, d):
+    t = S.load(spark, d, "documents").select("source", F.explode(X.search_tokens(F.col("text"))).alias("term"))
+    return t.groupBy("term").agg(F.min("source").alias("source"), F.max("source").alias("last")).filter("source = last").drop("last")
+
+
+@query("sentence_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+[A-Z0-9("\[]')) + 1 AS n FROM documents""")
+def sentence_counts(spark, d):
+    return S.load(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("leaks", "SELECT source, count(DISTINCT lang) AS n FROM documents GROUP BY 1 HAVING n > 1")
+def leaks(spark, d):
+    return S.load(spark, d, "documents").groupBy("source").agg(F.countDistinct("lang").alias("n")).filter("n > 1")
+
+
+@query("bands", "SELECT CAST(least(4, n_chars // 1000) AS INTEGER) AS band, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def bands(spark, d):
+    x = S.load(spark, d, "labels").join(S.load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return x.groupBy(F.least(F.lit(4), F.floor(F.col("n_chars") / 1000)).cast("int").alias("band")).agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
+
+
+@query("missing_numbers", "SELECT l_orderkey, CAST(max(l_linenumber) - count(DISTINCT l_linenumber) AS BIGINT) AS missing FROM lineitem GROUP BY 1 HAVING missing > 0")
+def missing_numbers(spark, d):
+    x = S.load(spark, d, "lineitem").groupBy("l_orderkey").agg((F.max("l_linenumber") - F.countDistinct("l_linenumber")).alias("missing"))
+    return x.filter("missing > 0")
+
+
+@query("change_stamp", "SELECT 'orders' AS name, count(*) AS n, max(o_orderkey) AS last, CAST(coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS length FROM orders")
+def change_stamp(spark, d):
+    return S.load(spark, d, "orders").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"), F.coalesce(F.sum(F.length("o_orderpriority")), F.lit(0)).alias("length")).select(F.lit("orders").alias("name"), "n", "last", "length")
+
+
+@query("passed_over", "SELECT o_orderkey FROM (SELECT *, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM orders) WHERE coalesce(taken, 0) < 3")
+def passed_over(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.sum((F.col("o_orderstatus") == "F").cast("int")).over(w)
+    return S.load(spark, d, "orders").withColumn("taken", F.coalesce(taken, F.lit(0))).filter("taken < 3").select("o_orderkey")
+
+
+@query("smoothed_labels")
+def smoothed_labels(spark, d):
+    n = S.nodes(spark, d).select("doc_id", "pos", F.array((F.length("text") % 10 / 10.0), F.lit(0.45)).alias("scores"))
+    return meaning.smooth(n, "doc_id", "pos", "scores", ["low", "high"])
+
+
+@query("person_keys")
+def person_keys(spark, d):
+    return S.load(spark, d, "customer").select("c_custkey", names.person_keys("c_name").alias("person"))
