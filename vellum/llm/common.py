@@ -43,10 +43,14 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df stored in the shared folder and read again: this cuts the lineage, so that a lost executor costs no recomputation."""
+    """df stored in the shared folder and read again: this cuts the lineage, so that a lost executor costs no recomputation.
+
+    The shuffle files that led to it are of no further use; Spark removes them once the driver's garbage is collected.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

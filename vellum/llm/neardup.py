@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_op, text_or_empty, written
@@ -69,25 +69,21 @@ def sketch(text: str | None) -> bytes:
     return np.packbits(ones * 2 > len(h)).tobytes()
 
 
-_KEYS = "id long, keys array<long>"
+def _sketched(docs: DataFrame) -> DataFrame:
+    """key, mark (a digest of the text), sketch of each document; no texts."""
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.string()), ("sketch", pa.binary())])
 
+    def rows(cols: dict) -> dict:
+        return {"key": cols["key"], "mark": cols["mark"], "sketch": [sketch(t) for t in cols["text"]]}
 
-def _keyed(texts: DataFrame) -> DataFrame:
-    """id, keys: the variants of the segments of each text's sketch."""
-    schema = pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    bit = (np.uint64(1) << np.arange(32, dtype=np.uint64))[None, :]
-    which = (np.arange(SEGMENTS, dtype=np.uint64)[:, None] * np.uint64(32) + np.arange(32, dtype=np.uint64)[None, :]) << np.uint64(32)
+    return docs.select("key", "mark", "text").mapInArrow(row_op(rows, schema), "key long, mark string, sketch binary")
 
-    def rows(cols: dict) -> dict:
-        out: dict[str, list] = {"id": [], "keys": []}
-        for key, text in zip(cols["id"], cols["text"], strict=True):
-            if raw := sketch(text):
-                segments = np.frombuffer(raw, "<u4").astype(np.uint64)[:, None]
-                out["id"].append(key)
-                out["keys"].append(((segments & ~bit) | which).ravel().view(np.int64))
-        return out
 
-    return texts.mapInArrow(row_op(rows, schema), _KEYS)
+def _variants(sketch_: Column) -> Column:
+    """The 32 one-wildcard variants of each of the segments, numbered in their upper halves."""
+    segments = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.struct(i.alias("i"), F.conv(F.hex(F.substring(sketch_, i * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("v")))
+    bits = F.sequence(F.lit(0), F.lit(31))
+    return F.flatten(F.transform(segments, lambda s: F.transform(bits, lambda k: s["v"].bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), k))) + (s["i"].cast("long") * 32 + k) * F.lit(1 << 32))))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,40 +142,45 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     Groups are the components of the links; the first is the least doc_id, null after all others. Repeated rows leave one.
     """
-    marked = docs.withColumns({"__text": F.sha2(text_or_empty(), 256), "__key": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
-    # A number for each distinct text, from where it is stored.
-    least = written(marked.groupBy("__text").agg(F.min("__key").alias("least")), "texts")
-    numbered = written(least.withColumn("id", F.xxhash64("__text")), "numbered")
-    firsts = marked.join(numbered, (F.col("least") == F.col("__key")) & (numbered["__text"] == marked["__text"])).select("id", text_or_empty().alias("text"))
-    texts = written(firsts.dropDuplicates(["id"]), "distinct")
-    keys = written(_keyed(texts), "keys")
-    each = keys.select("id", F.explode("keys").alias("key"))
-    shared = written(each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"), "shared")
+    last = F.lit((1 << 63) - 1)
+    marked = docs.withColumns({"__mark": F.sha2(text_or_empty(), 256), "__key": F.coalesce(F.col("doc_id").cast("long"), last)})
+    plain = marked.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), text_or_empty().alias("text"))
+    # A row for each distinct text that has words, under a number taken from its digest.
+    each = _sketched(plain).groupBy("mark").agg(F.min("key").alias("least"), F.first("sketch").alias("sketch")).filter(F.length("sketch") > 0)
+    texts = written(each.withColumn("id", F.xxhash64("mark")), "texts")
+    keyed = texts.select("id", F.explode(_variants(F.col("sketch"))).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"), "shared")
     pairs = shared.filter("n = 2").select("a", "b")
     many = shared.filter("n > 2").select("key", "n", F.col("a").alias("least"))
-    members = written(each.join(many.hint("shuffle_merge"), "key"), "members")
+    members = written(keyed.join(many.hint("shuffle_merge"), "key"), "members")
     few = members.filter(F.col("n") <= CROWD)
     met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    candidates = written(pairs.unionByName(met).distinct(), "candidates")
-    # Crowds: texts that share a crowded variant with one another, over several of them. Their ids only, no texts.
+    # Crowds: texts that share a crowded variant with one another, over several of them. Their numbers only, no texts.
     full = members.filter(F.col("n") > CROWD).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     crowd_of = components(full)
-    crowd_of = crowd_of.unionByName(crowd_of.select(F.col("root").alias("node"), "root")).distinct()
+    crowd_of = written(crowd_of.unionByName(crowd_of.select(F.col("root").alias("node"), "root")).distinct(), "crowds")
+    candidates = pairs.unionByName(met).distinct()
+    # Pairs within one crowd are left to it.
+    of = lambda c: crowd_of.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
+    candidates = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("__a is null or __b is null or __a != __b").select("a", "b")
+    candidates = written(candidates, "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd_of.select(F.col("node").alias("id"))).distinct()
+    wanted = texts.join(needed, "id").select("id", F.col("mark"), F.col("least").alias("key"), "sketch")
     schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def rows(cols: dict) -> dict:
         found = [shingles(t) for t in cols["text"]]
-        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "sketch": [sketch(t) for t in cols["text"]]}
+        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "sketch": cols["sketch"]}
 
-    sets = written(texts.join(needed, "id", "left_semi").mapInArrow(row_op(rows, schema), "id long, raw binary, n long, sketch binary"), "sets")
+    held = plain.join(wanted.hint("shuffle_merge"), ["mark", "key"]).select("id", "sketch", "text")
+    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long, sketch binary").dropDuplicates(["id"]), "sets")
     alike = _similar(candidates, sets)
     crowds = crowd_of.select(F.col("node").alias("id"), F.col("root").alias("crowd")).join(sets, "id")
     links = components(alike.unionByName(_forest(crowds)))
-    # Groups are named by ids; the first of a group is by doc_id.
-    grouped = numbered.join(links.withColumnRenamed("node", "id"), "id", "left").select("__text", "least", F.coalesce("root", "id").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct("least", "__text")).alias("k")).select(F.col("k.least").alias("__key"), F.col("k.__text").alias("__text"))
-    out = marked.join(kept, ["__key", "__text"])
+    # Groups are named by numbers; the first of a group is by doc_id. What goes is small beside what stays.
+    grouped = texts.select("mark", "least", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("mark", "least", F.coalesce("root", "id").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("k")).select(F.col("k.least").alias("__key"), F.col("k.mark").alias("__mark"))
+    kept = written(kept, "kept")
     wordless = ~text_or_empty().rlike(r"\S")
-    none = marked.filter(wordless).select(*docs.columns)
-    return out.filter(~wordless).dropDuplicates(["__key", "__text"]).select(*docs.columns).unionByName(none)
+    out = marked.join(kept.hint("shuffle_merge"), ["__key", "__mark"]).filter(~wordless).dropDuplicates(["__key", "__mark"])
+    return out.select(*docs.columns).unionByName(marked.filter(wordless).select(*docs.columns))
