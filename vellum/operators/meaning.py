@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .quality import running
 
 SWITCH_COST = 0.06
 #: Centroids are broadcast: one for each label of a fixed vocabulary. More are refused.
@@ -33,11 +34,11 @@ def nearest_label(vectors: DataFrame, key: str, vector: str, known: DataFrame, l
 
 
 def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """The score from which calling rows positive has the best F1, the lowest on ties. Cumulates over distinct scores."""
+    """The score from which calling rows positive has the best F1, the lowest on ties. Cumulates over distinct, numeric scores by ranges."""
     by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
     total = by.agg(F.sum("p").alias("all"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = by.select(score, F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("said")).crossJoin(F.broadcast(total))
+    up = running(by.withColumn("down", -F.col(score)), "down", "p", "n")
+    x = up.select(score, F.col("upto_p").alias("tp"), F.col("upto_n").alias("said")).crossJoin(F.broadcast(total))
     f1 = F.round(2.0 * F.col("tp") / (F.col("said") + F.col("all")), 9)
     return x.select(score, f1.alias("f1")).orderBy(F.col("f1").desc(), score).limit(1)
 

@@ -18,18 +18,28 @@ def confusion(rows: DataFrame, truth: str, said: str, most: int = 12) -> DataFra
     return wrong.groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "pair").limit(most)
 
 
-def _average_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """Rows with count by value, to the average rank of each value.
+def running(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """rows (distinct numbers or times in by, without nulls) with, for each column, upto_<column>: its sum over all rows up to this.
 
-    Ranks are sums over the values' counts, split by ranges: each range is summed by itself and what lies before it is added,
-    so no task sees all values.
+    No task sees all rows: they are dealt to as many ranges as there are shuffle partitions, each range is summed by itself, and
+    what the ranges before it hold is added. The driver gets the ranges' edges, once, so both uses of them agree.
     """
-    spread = counts.repartitionByRange(value).withColumn("__p", F.spark_partition_id())
-    spread = spread.select("*", F.sum(n).over(Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__upto"))
-    totals = spread.groupBy("__p").agg(F.sum(n).alias("__t"))
-    before = totals.alias("x").join(F.broadcast(totals.alias("y")), F.col("y.__p") < F.col("x.__p"), "left").groupBy("x.__p").agg(F.coalesce(F.sum("y.__t"), F.lit(0)).alias("__before"))
-    before = before.select(F.col("__p"), "__before")
-    return spread.join(F.broadcast(before), "__p").select(value, (F.col("__before") + F.col("__upto") - (F.col(n) - 1) / 2).alias("rank"))
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = (F.col(by).cast("timestamp") if dict(rows.dtypes)[by].startswith("timestamp") else F.col(by)).cast("double")
+    edges = sorted(set(rows.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000)).first()[0] or []))
+    spread = rows.withColumn("__p", F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e < number)))
+    w = Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spread = spread.select("*", *[F.sum(c).over(w).alias(f"upto_{c}") for c in columns])
+    totals = rows.withColumn("__q", F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e < number))).groupBy("__q").agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
+    ranges = rows.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("__p"))
+    before = ranges.join(F.broadcast(totals), F.col("__q") < F.col("__p"), "left").groupBy("__p").agg(*[F.coalesce(F.sum(f"t_{c}"), F.lit(0)).alias(f"before_{c}") for c in columns])
+    joined = spread.join(F.broadcast(before), "__p")
+    return joined.select(*rows.columns, *[(F.col(f"upto_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in columns])
+
+
+def _average_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """Rows with count by value, to the average rank of each value."""
+    return running(counts, value, n).select(value, (F.col(f"upto_{n}") - (F.col(n) - 1) / 2).alias("rank"))
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
