@@ -59,6 +59,9 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
         for part in np.array_split(own, -(-len(own) // 4096)):
             kind, bits = (">u2", 16) if w <= 16 else (">u4", 32)
             low = (rest[part] & np.uint32((1 << int(w)) - 1)).astype(kind)
+            if w == bits:  # whole bytes already
+                payload[(starts[part].astype(np.int64)[:, None] + np.arange(block * bits // 8)).ravel()] = low.view(np.uint8).ravel()
+                continue
             each = np.unpackbits(low.view(np.uint8).reshape(len(part), block, bits // 8), axis=2)[:, :, bits - int(w) :]
             packed = np.packbits(each.reshape(len(part), block * int(w)), axis=1)
             payload[(starts[part].astype(np.int64)[:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
@@ -77,8 +80,11 @@ def unpack(blocks: dict[str, np.ndarray], first: int, last: int, block: int = BL
         size = -(-int(w) * block // 8)
         for part in np.array_split(own, -(-len(own) // 4096)):
             raw = payload[starts[part][:, None] + np.arange(size)]
-            each = np.unpackbits(raw, axis=1)[:, : block * int(w)].reshape(len(part), block, int(w))
             kind, bits = (">u2", 16) if w <= 16 else (">u4", 32)
+            if w == bits:
+                out[part] = raw.view(kind)
+                continue
+            each = np.unpackbits(raw, axis=1)[:, : block * int(w)].reshape(len(part), block, int(w))
             full = np.zeros((len(part), block, bits), np.uint8)
             full[:, :, bits - int(w) :] = each
             out[part] = np.packbits(full, axis=2).view(kind)[:, :, 0]
