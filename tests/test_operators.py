@@ -172,3 +172,30 @@ def test_intervals_by_brute_force(spark):
     i = spark.createDataFrame([(0, 5), (-7, 3), (40, 40), (10, 9), (3, 33)], "a int, b int")
     got = ranges.points_in_intervals(p, "x", i, "a", "b", 4)
     assert sorted(map(tuple, got.collect())) == sorted((x, a, b) for x in range(-20, 60) for a, b in [(0, 5), (-7, 3), (40, 40), (10, 9), (3, 33)] if a <= x <= b)
+
+
+def test_bootstrap_draws_are_pythons(spark):
+    import random
+
+    rows = [("a", 1, 1), ("a", 0, 1), ("b", 1, 1), ("c", 0, 1), ("c", 0, 1)]
+    got = quality.bootstrap(spark.createDataFrame(rows, "c string, r int, n int"), "c", "r", "n", draws=50).first()
+    own, rng = [(1, 2), (1, 1), (0, 2)], random.Random(7)
+    draws = sorted(sum(x[0] for x in d) / sum(x[1] for x in d) for d in ([own[rng.randrange(3)] for _ in own] for _ in range(50)))
+    assert tuple(got) == (0.4, draws[1], draws[48], 3)
+
+
+def test_landing_by_brute_force(spark):
+    units = [(1, "alpha beta gamma delta epsilon"), (2, "one two three four"), (3, "none here"), (4, "alpha beta gamma delta")]
+    places = [(10, "zeta alpha beta gamma delta epsilon eta"), (11, "alpha beta gamma delta and one two three four"), (12, "one two three four")]
+
+    def cut(t):
+        w = t.split()
+        return {" ".join(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {t}
+
+    want = set()
+    for u, t in units:
+        hits = sorted((-len(cut(t) & cut(x)), p) for p, x in places if cut(t) & cut(x))
+        if hits:
+            want.add((u, hits[0][1], -hits[0][0]))
+    got = quality.land(spark.createDataFrame(units, "u int, text string"), "u", spark.createDataFrame(places, "p int, text string"), "p")
+    assert {tuple(r) for r in got.collect()} == want

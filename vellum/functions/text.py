@@ -33,9 +33,14 @@ def plain_words(text: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """Distinct runs of k words; all words as one where they are fewer but at least two."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
-    return F.when(n >= k, F.array_distinct(runs)).when(n >= 2, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(ws, i + 1, k), " "))
+        return F.when(n >= k, F.array_distinct(runs)).when(n >= 2, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
+
+    # The words are bound to a variable: inside the inner function they would be computed again for each run.
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def leading_year(year: Column) -> Column:

@@ -76,3 +76,40 @@ def runs(rows: DataFrame, key: str, place: str, label: str) -> DataFrame:
     marked = rows.select(key, place, label, change.alias("c"))
     island = marked.withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(key, "run", label).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+
+
+def bootstrap(rows: DataFrame, cluster: str, right: str, asked: str, draws: int = 2000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of sum(right) / sum(asked) when whole clusters are drawn with replacement.
+
+    Rows are summed by cluster first; what one task gets is a row per cluster, a vocabulary such as publishers. The draws are
+    those of Python's generator under the seed, over the clusters in order.
+    """
+    sums = rows.groupBy(cluster).agg(F.sum(right).cast("double").alias("r"), F.sum(asked).cast("double").alias("n"))
+
+    def interval(table):
+        import random
+
+        import pyarrow as pa
+
+        own = [(r, n) for _, r, n in sorted(zip(*[table.column(c).to_pylist() for c in (cluster, "r", "n")], strict=True))]
+        rng, found = random.Random(seed), []
+        for _ in range(draws):
+            drawn = [own[rng.randrange(len(own))] for _ in own]
+            if (total := sum(n for _, n in drawn)) > 0:
+                found.append(sum(r for r, _ in drawn) / total)
+        found.sort()
+        low, high = (found[min(len(found) - 1, int(q * len(found)))] if found else None for q in (alpha / 2, 1 - alpha / 2))
+        n = sum(n for _, n in own)
+        return pa.table({"value": pa.array([sum(r for r, _ in own) / n if n else None], pa.float64()), "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64()), "clusters": pa.array([len(own)], pa.int32())})
+
+    return sums.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(interval, "value double, low double, high double, clusters int")
+
+
+def land(units: DataFrame, unit: str, places: DataFrame, place: str, text: str = "text", k: int = 4) -> DataFrame:
+    """unit, place, hits: where most of a unit's k-word shingles stand, ties to the smaller place. An inverted-index join."""
+    from ..functions.text import plain_words, shingles
+
+    cut = lambda df, key: df.select(key, F.explode(shingles(plain_words(F.col(text)), k)).alias("s"))
+    shared = cut(units, unit).join(cut(places, place), "s").groupBy(unit, place).agg(F.count("*").alias("hits"))
+    best = shared.groupBy(unit).agg(F.max(F.struct("hits", (-F.col(place)).alias("p"))).alias("b"))
+    return best.select(unit, (-F.col("b.p")).alias(place), F.col("b.hits").alias("hits"))

@@ -424,3 +424,20 @@ def smoothed_labels(spark, d):
 @query("person_keys")
 def person_keys(spark, d):
     return S.load(spark, d, "customer").select("c_custkey", names.person_keys("c_name").alias("person"))
+
+
+@query("landed_passages")
+def landed_passages(spark, d):
+    return quality.land(S.load(spark, d, "benchmark"), "item_id", S.load(spark, d, "documents"), "doc_id")
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, d):
+    x = S.load(spark, d, "labels").join(S.load(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("one", F.lit(1))
+    return quality.bootstrap(x, "source", "quality", "one")
+
+
+@query("broken_runs", "SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_id <> p + 1")
+def broken_runs(spark, d):
+    p = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return S.load(spark, d, "events").select("user_id", "event_id", p.alias("p")).filter("event_id <> p + 1").select("user_id", "event_id")
