@@ -249,3 +249,22 @@ def test_similarity():
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0")
+
+
+def test_alike_sets_always_share_a_signature():
+    """Whatever differs: sets of all sizes at the very limit of similarity, with hashes that crowd a few bins too."""
+    rng = np.random.default_rng(15)
+    pairs = 0
+    for i in range(6000):
+        n = int(rng.integers(1, 40 if i % 3 else 1500))
+        spread = np.uint64(1 << 63) if i % 2 else np.uint64(1 << int(rng.integers(34, 63)))
+        pool = np.unique(rng.integers(0, spread, 2 * n, np.uint64))
+        rng.shuffle(pool)
+        both = pool[:n]
+        cut = n // 5
+        a_only = int(rng.integers(0, cut + 1))
+        a, b = np.sort(both[: n - cut + a_only]), np.sort(np.concatenate([both[: n - cut], both[n - cut + a_only :]]))
+        if neardup.similarity(a, b) >= 0.8:
+            pairs += 1
+            assert np.intersect1d(neardup.signatures(a), neardup.signatures(b)).size, (n, a_only)
+    assert pairs > 4000 and not len(neardup.signatures(neardup.shingles(None)))

@@ -273,6 +273,24 @@ def test_survivors_by_brute_force(spark, docs):
     assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9]
 
 
+def test_survivors_find_cut_and_longer_copies(spark):
+    """Copies with a block cut off, appended, inserted or substituted, down to similarity 0.8: recall is 1."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, alike, at = [], [], 0
+    for i in range(240):
+        ws = [word() for _ in range(rng.randint(60, 600))]
+        k = rng.randint(1, len(ws) // 5)
+        more = [word() for _ in range(k)]
+        at = rng.randrange(len(ws))
+        copy = [ws[:-k], ws + more, ws[:at] + more + ws[at:], [rng.choice(more) if rng.random() < 0.02 else w for w in ws]][i % 4]
+        texts += [" ".join(ws), " ".join(copy)]
+        alike.append(neardup.similarity(neardup.shingles(texts[-2]), neardup.shingles(texts[-1])) >= 0.8)
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = {2 * i for i in range(240)} | {2 * i + 1 for i, y in enumerate(alike) if not y}
+    assert sum(alike) > 150 and {r["doc_id"] for r in neardup.survivors(df).collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -1,14 +1,16 @@
-"""Near-duplicate removal for a corpus: word shingles of five, similarity 0.8 or more, candidates by SimHash.
-
-The fingerprints here are of a text's distinct words, BITS = 256 bits in 8 segments of 32, so that texts whose shingles are
-alike at 0.8 differ in few bits. As in simhash, segments are indexed under their one-wildcard variants and meet by equality:
-pairs that differ in at most 15 bits always meet, others with the probability that a segment differs in at most one bit. Each
-candidate pair is then verified by the exact Jaccard similarity of its five-word shingles, so none that is removed is less
-alike than that; the measured recall is in the README.
-
-Equal texts are collapsed first. Of a variant shared by up to CROWD texts, all pairs are candidates. The texts of fuller
-variants are dealt to blocks and all pairs of blocks of the same crowd are compared within a task, which gives out only a
-spanning forest of the links; that is exact, and no group is ever gathered in one task.
+"""Near-duplicate removal for a corpus: word shingles of five, similarity 0.8 or more, candidates without loss.
+
+Two sets of shingles of s <= t elements that are alike at 0.8 differ in at most (s + t) / 9 elements, and t <= 1.25 s. Sizes fall
+into classes; for the pairs whose smaller set is of one class, hashes are cut into more bins than can differ, so at least one
+bin is equal (pigeonhole). A text's signatures are the hashes of its bins' contents, under its own class and, where the text
+may be the larger one, the class below. A bin without elements tells nothing: a text has so many bins with elements that one
+of them must be equal, or, where it has not, gives out its empty bins as well, so two such texts meet there. Hence every pair
+of 0.8 or more shares a signature, wherever its edits stand. Each candidate is then verified by the exact Jaccard similarity.
+
+Every text with a signature is first compared with the signature's first text, which gathers families of copies. What is left
+are signatures whose texts are not yet in one component: of up to CROWD texts, all pairs across components are candidates. The
+texts of fuller ones are dealt to blocks and all pairs of blocks are compared within a task, which gives out only a spanning
+forest of the links; that is exact, and no group is ever gathered in one task. Rows of a signature are sorted, not gathered.
 """
 
 from __future__ import annotations
@@ -18,19 +20,29 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_op, text_or_empty, written
 from .simhash import components
 
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS, CROWD, BLOCK = 8, 8, 256
-#: Bits by which texts of a crowd may differ and still be compared shingle by shingle.
-FAR = 72
+CROWD, BLOCK = 8, 256
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def _classes() -> np.ndarray:
+    """Largest size of each class; classes grow by 1.35, so sizes within 1.25 of one another are in the same or adjacent ones."""
+    out, low = [], 1
+    while low < 1 << 40:
+        out.append(max(low, int(low * 1.35)))
+        low = out[-1] + 1
+    return np.array(out)
+
+
+_CLASSES = _classes()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
@@ -69,21 +81,46 @@ def sketch(text: str | None) -> bytes:
     return np.packbits(ones * 2 > len(h)).tobytes()
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """key, mark (a digest of the text), sketch of each document; no texts."""
-    schema = pa.schema([("key", pa.int64()), ("mark", pa.string()), ("sketch", pa.binary())])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _BASE[0]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(32)
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """Signatures of sorted distinct shingles: two sets alike at SIMILARITY or more have one in common, always."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    own, each, top, out = int(np.searchsorted(_CLASSES, n)), _mixed(s), s >> np.uint64(32), []
+    for c in (own, own - 1):
+        most = int(_CLASSES[c]) if c >= 0 else 0
+        if 4 * n > 5 * most:
+            continue
+        bins = most // 4 + 2 + most // 96  # pairs of this class differ in at most a quarter of most elements
+        b = (top * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        start = np.flatnonzero(np.diff(b, prepend=-1))
+        sums, at = np.add.reduceat(each, start), b[start]
+        if len(at) <= (n // 4 if n <= most else (n + most) // 9):
+            full = np.zeros(bins, np.uint64)
+            full[at] = sums
+            sums, at = full, np.arange(bins)
+        out.append(_mixed(sums + ((c << 40) + at).astype(np.uint64) * _BASE[1]))
+    return np.concatenate(out).view(np.int64)
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """key, mark (a digest of the text), id (a number from it), signatures of each document that has words; no texts."""
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.string()), ("id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
 
     def rows(cols: dict) -> dict:
-        return {"key": cols["key"], "mark": cols["mark"], "sketch": [sketch(t) for t in cols["text"]]}
+        found = [signatures(shingles(t)) for t in cols["text"]]
+        ok = [i for i, x in enumerate(found) if len(x)]
+        return {c: [cols[c][i] for i in ok] for c in ("key", "mark", "id")} | {"signatures": [found[i] for i in ok]}
 
-    return docs.select("key", "mark", "text").mapInArrow(row_op(rows, schema), "key long, mark string, sketch binary")
-
-
-def _variants(sketch_: Column) -> Column:
-    """The 32 one-wildcard variants of each of the segments, numbered in their upper halves."""
-    segments = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.struct(i.alias("i"), F.conv(F.hex(F.substring(sketch_, i * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("v")))
-    bits = F.sequence(F.lit(0), F.lit(31))
-    return F.flatten(F.transform(segments, lambda s: F.transform(bits, lambda k: s["v"].bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), k))) + (s["i"].cast("long") * 32 + k) * F.lit(1 << 32))))
+    each = docs.select("key", "mark", F.xxhash64("mark").alias("id"), "text")
+    return each.mapInArrow(row_op(rows, schema), "key long, mark string, id long, signatures array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -101,20 +138,26 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _forest(crowds: DataFrame) -> DataFrame:
-    """crowds (crowd, id, raw, sketch) to links (a, b): within each crowd, a spanning forest per pair of blocks."""
+    """crowds (crowd, id, root, raw) to links (a, b): within each crowd, a spanning forest per pair of blocks.
+
+    Texts of the same root are linked already. The counts of a text's shingles by bins of hashes differ in sum by no more than
+    the sets do, so what they rule out is not alike.
+    """
     blocked = crowds.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     counts = crowds.groupBy("crowd").agg((F.ceil(F.count("*") / BLOCK)).cast("long").alias("blocks"))
     blocked = blocked.join(counts, "crowd").withColumn("block", (F.col("slot") % F.col("blocks")).cast("int"))
     # A block meets each block from itself on: it goes to all its pairs, by their numbers.
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    pairs = pairs.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "raw", "sketch")
+    pairs = pairs.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "raw")
 
     def forest(key, table):
         _, p, q = (k.as_py() for k in key)
         ids, blocks = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
         sets = [np.frombuffer(x, "<u8") for x in table.column("raw").to_pylist()]
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(ids), -1)
-        root = list(range(len(ids)))
+        sizes = np.array([len(x) for x in sets])
+        bins = np.stack([np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=512) for x in sets]).astype(np.int32)
+        heads: dict[int, int] = {}
+        root = [heads.setdefault(r, i) for i, r in enumerate(table.column("root").to_pylist())]
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -124,7 +167,7 @@ def _forest(crowds: DataFrame) -> DataFrame:
 
         a, b = [], []
         for i in range(len(ids)):
-            near = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= FAR
+            near = np.abs(bins[i + 1 :] - bins[i]).sum(axis=1) * 9 <= sizes[i + 1 :] + sizes[i]
             for j in (np.flatnonzero(near) + i + 1).tolist():
                 if p != q and blocks[i] == blocks[j] or find(i) == find(j):
                     continue
@@ -145,38 +188,40 @@ def survivors(docs: DataFrame) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     marked = docs.withColumns({"__mark": F.sha2(text_or_empty(), 256), "__key": F.coalesce(F.col("doc_id").cast("long"), last)})
     plain = marked.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), text_or_empty().alias("text"))
+    signed = written(_signed(plain), "signed")
     # A row for each distinct text that has words, under a number taken from its digest.
-    each = _sketched(plain).groupBy("mark").agg(F.min("key").alias("least"), F.first("sketch").alias("sketch")).filter(F.length("sketch") > 0)
-    texts = written(each.withColumn("id", F.xxhash64("mark")), "texts")
-    keyed = texts.select("id", F.explode(_variants(F.col("sketch"))).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"), "shared")
-    pairs = shared.filter("n = 2").select("a", "b")
-    many = shared.filter("n > 2").select("key", "n", F.col("a").alias("least"))
-    members = written(keyed.join(many.hint("shuffle_merge"), "key"), "members")
-    few = members.filter(F.col("n") <= CROWD)
-    met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    # Crowds: texts that share a crowded variant with one another, over several of them. Their numbers only, no texts.
-    full = members.filter(F.col("n") > CROWD).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    crowd_of = components(full)
-    crowd_of = written(crowd_of.unionByName(crowd_of.select(F.col("root").alias("node"), "root")).distinct(), "crowds")
-    candidates = pairs.unionByName(met).distinct()
-    # Pairs within one crowd are left to it.
-    of = lambda c: crowd_of.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
-    candidates = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("__a is null or __b is null or __a != __b").select("a", "b")
-    candidates = written(candidates, "candidates")
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd_of.select(F.col("node").alias("id"))).distinct()
-    wanted = texts.join(needed, "id").select("id", F.col("mark"), F.col("least").alias("key"), "sketch")
-    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
+    texts = written(signed.groupBy("mark", "id").agg(F.min("key").alias("least")), "texts")
+    # Members of each signature but the first, and the first beside them; copies of a text are one member.
+    order = Window.partitionBy("s").orderBy("id")
+    keyed = signed.select("id", F.explode("signatures").alias("s"))
+    firsts = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = keyed.select("s", "id", firsts.alias("a"), F.lag("id").over(order).alias("__last")).filter("__last is not null and id != __last")
+    members = written(met.select("s", "a", "id"), "members")
+    pairs = written(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = texts.join(needed, "id").select("id", "mark", F.col("least").alias("key"))
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64())])
 
     def rows(cols: dict) -> dict:
         found = [shingles(t) for t in cols["text"]]
-        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "sketch": cols["sketch"]}
-
-    held = plain.join(wanted.hint("shuffle_merge"), ["mark", "key"]).select("id", "sketch", "text")
-    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long, sketch binary").dropDuplicates(["id"]), "sets")
-    alike = _similar(candidates, sets)
-    crowds = crowd_of.select(F.col("node").alias("id"), F.col("root").alias("crowd")).join(sets, "id")
-    links = components(alike.unionByName(_forest(crowds)))
+        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found]}
+
+    held = plain.join(wanted.hint("shuffle_merge"), ["mark", "key"]).select("id", "text")
+    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long").dropDuplicates(["id"]), "sets")
+    alike = written(_similar(pairs, sets), "alike")
+    found = written(components(alike), "found")
+    # Signatures whose members are not all in one component yet; of those with the same members, one.
+    rooted = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("s", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("s").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    ).filter("low != high")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("s").alias("s")).select("s", "n")
+    left = written(rooted.join(mixed.hint("shuffle_merge"), "s"), "mixed")
+    few = left.filter(F.col("n") <= CROWD)
+    across = few.alias("x").join(few.alias("y"), F.expr("x.s = y.s and x.id < y.id and x.root != y.root"))
+    across = written(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "across")
+    crowds = left.filter(F.col("n") > CROWD).select(F.col("s").alias("crowd"), "id", "root").join(sets.select("id", "raw"), "id")
+    links = components(alike.unionByName(_similar(across, sets)).unionByName(_forest(crowds)))
     # Groups are named by numbers; the first of a group is by doc_id. What goes is small beside what stays.
     grouped = texts.select("mark", "least", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("mark", "least", F.coalesce("root", "id").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("k")).select(F.col("k.least").alias("__key"), F.col("k.mark").alias("__mark"))
