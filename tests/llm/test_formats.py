@@ -268,3 +268,22 @@ def test_alike_sets_always_share_a_signature():
             pairs += 1
             assert np.intersect1d(neardup.signatures(a), neardup.signatures(b)).size, (n, a_only)
     assert pairs > 4000 and not len(neardup.signatures(neardup.shingles(None)))
+
+
+def test_passages_of_51_words_hold_a_run_anywhere():
+    """From any place of a text, in the middle of sentences, into any other text: a run inside the passage is common to both."""
+    rng = random.Random(17)
+    for i in range(3000):
+        ends = ["", "", "", "", "", "", "", ".", ",", "\n"] if i % 2 else [""]
+        word = lambda: rng.choice("ab" if i % 5 == 0 else "abcdefgh") + "".join(rng.choice("abcdefgh") for _ in range(i % 5 and 4)) + rng.choice(ends)  # noqa: B023, E731
+        source = [word() for _ in range(151)]
+        at = rng.randrange(100)
+        passage = source[at : at + 51]
+        host = [word() for _ in range(rng.randrange(60))]
+        found = []
+        for before, after in ((source[:at], source[at + 51 :]), (host, [word() for _ in range(rng.randrange(60))])):
+            s = substrings.Sentences(" ".join(before + passage + after))
+            k, h = s.hashes()
+            inside = (s.starts[k] >= len(before)) & (s.ends[s.run_end[k] - 1] <= len(before) + 51)
+            found.append(set(h[inside].tolist()))
+        assert found[0] & found[1], passage

@@ -1,11 +1,14 @@
 """Operator 9: substring dedup over sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in . ! ? or before a line feed, and, so that endless sentences have
-parts too, after words that their own hash picks (one in SIXTEENTH), which is the same in every document. From each sentence
+parts too, after the word of least hash, the last of equals, in each STRETCH words that hold no such end. So any STRETCH words
+have an end that is the same in every document that holds them. From each sentence
 on, the shortest run of at least two consecutive sentences with at least MIN_WORDS words is hashed, case folded and white
 space as single blanks. Hashes meet globally: the first document with one (the smallest doc_id) keeps it, and all sentences
-that a later copy covers are removed, as are later copies within a document. A passage of over 50 words holds such runs
-wherever it stands, whatever it is embedded in.
+that a later copy covers are removed, as are later copies within a document. A passage of over 50 words holds such a run
+wherever it stands, whatever it is embedded in: a sentence starts within its first STRETCH + 1 words, the run from there ends
+within MIN_WORDS + STRETCH - 1 more, and what stands around the passage moves ends only in its first STRETCH - 1 and last
+STRETCH words (the last word's white space may be the host's), so 3 * STRETCH + MIN_WORDS <= 52 is enough.
 
 What is shuffled is a hash and a place for each sentence, counted before the shuffle; copies of a frequent passage are joined
 to its one row of counts, so the join can be split where many gather. Texts are shuffled once, to meet their places.
@@ -28,23 +31,33 @@ from pyspark.sql import functions as F
 
 from .common import row_op, text_or_empty, written
 
-MIN_WORDS, MIN_SENTENCES, SIXTEENTH = 20, 2, 16
+MIN_WORDS, MIN_SENTENCES, STRETCH = 20, 2, 10
 _WORD = re.compile(r"\S+\s*")
 _LAST = (1 << 63) - 1
-_CUTS: dict[str, bool] = {}
+_RANKS: dict[str, int] = {}
 
 
-def _cut(word: str) -> bool:
-    """Whether a sentence ends with this word and its white space. Remembered per word, as many as half a million."""
-    got = _CUTS.get(word)
+def _rank(word: str) -> int:
+    """-1 where a sentence ends with this word and its white space, else its hash. Remembered per word, as many as half a million."""
+    got = _RANKS.get(word)
     if got is None:
-        if len(_CUTS) > 500_000:
-            _CUTS.clear()
+        if len(_RANKS) > 500_000:
+            _RANKS.clear()
         bare = word.rstrip()
-        got = _CUTS[word] = "\n" in word or bare[-1:] in ".!?" or zlib.crc32(bare.lower().encode("utf-8", "replace")) % SIXTEENTH == 0
+        got = _RANKS[word] = -1 if "\n" in word or bare[-1:] in ".!?" else zlib.crc32(bare.lower().encode("utf-8", "replace"))
     return got
 
 
+def _ends(words: list[str]) -> np.ndarray:
+    """Places just after the words that end a sentence."""
+    rank = np.fromiter(map(_rank, words), np.int64, len(words))
+    end = rank < 0
+    if len(words) >= STRETCH:
+        back = np.lib.stride_tricks.sliding_window_view(rank, STRETCH)[:, ::-1].argmin(axis=1)
+        end[np.arange(STRETCH - 1, len(words)) - back] = True
+    return np.flatnonzero(end) + 1
+
+
 class Sentences:
     """The sentences of a text (start and end in words) and the runs that start at each."""
 
@@ -52,7 +65,7 @@ class Sentences:
         self.lead = text[: len(text) - len(text.lstrip())]
         self.words = _WORD.findall(text)
         n = len(self.words)
-        ends = np.flatnonzero(np.fromiter(map(_cut, self.words), bool, n)) + 1
+        ends = _ends(self.words)
         if n and (not len(ends) or ends[-1] != n):
             ends = np.append(ends, n)
         self.ends = ends
