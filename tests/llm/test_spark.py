@@ -136,6 +136,20 @@ def test_entropy(spark):
         assert (h["first"], h["last"]) == ((hits[0], hits[-1] + 20) if hits else (None, None))
 
 
+def test_entropy_of_keys_joined_to_names(spark):
+    """A key behind a name or a path is found wherever it is found alone."""
+    rng = random.Random(18)
+    pools = ["0123456789ABCDEF"] * 2 + ["0123456789abcdef"] + ["ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"]
+    keys = ["".join(rng.choice(pool) for _ in range(n)) for pool, n in zip(pools, (40, 64, 24, 20), strict=True) for _ in range(25)]
+    before = ["", "sig=", "session_id=", "path/", "a-b_"]
+    rows = [(i * 10 + j, b + k) for i, k in enumerate(keys) for j, b in enumerate(before)]
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in collected(secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert sum(bool(got[i * 10]) for i in range(len(keys))) >= 90
+    for i in range(len(keys)):
+        for j, b in enumerate(before):
+            assert all(any(x <= first + len(b) and last + len(b) <= y for x, y in got[i * 10 + j]) for first, last in got[i * 10]), b + keys[i]
+
+
 def test_media(docs, none):
     media = gif.store(docs)
     for r in collected(gif.digest(media)):

@@ -4,7 +4,7 @@ Base kinds are regular expressions. A kind's matches and the gaps between them c
 sum of their lengths gives each match's place in code points. To them come spans by entropy: over each candidate string (a
 run of characters that secrets are made of) a window slides; counts by character change by the one that enters and the one
 that leaves, and with them the sum of c*log2(c), from which the window's Shannon entropy follows. Hexadecimal, alphanumeric
-and base64 candidates have thresholds of their own. Allow-listed candidates are passed over, and so are spans inside a base
+and base64 windows have thresholds of their own, so a key joined to its name or path is judged as it would be alone. Allow-listed candidates are passed over, and so are spans inside a base
 span. Sums are of integers (millionths), so results don't depend on the order of additions.
 
 Defined results: a null text counts as empty; a text without secrets gives a row with zeros and the digest of the empty
@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
-#: Least entropy of a window, in bits, by class of candidate.
+#: Least entropy of a window, in bits, by the class of its characters.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Candidates that are no secrets: placeholders, identifiers, ordered alphabets, integrity hashes, paths of plain words.
 ALLOWED = (
@@ -46,15 +46,21 @@ def _scaled(c: int) -> int:
     return round(c * math.log2(c) * 1_000_000) if c > 1 else 0
 
 
-def entropy_hull(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
-    """struct(first, last): from the start of the first window of at least so many bits to the end of the last, else nulls."""
+def entropy_hull(candidate: Column, bits: Column | None = None, window: int = WINDOW) -> Column:
+    """struct(first, last): from the start of the first window of at least so many bits to the end of the last, else nulls.
+
+    Without bits, those of each window's own class.
+    """
     table = F.array(*[F.lit(_scaled(c)) for c in range(window + 2)])
-    most = window * (math.log2(window) - bits) * 1_000_000  # the sum of c*log2(c) is at most this
+    limit = lambda b: window * (math.log2(window) - b) * 1_000_000  # noqa: E731  # the sum of c*log2(c) is at most this
     codes = F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
     n = F.length(candidate)
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("signs"), F.lit(0).alias("wide"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
     )
+    # Of a character's place in ALPHABET, 0 for none: 1 for a sign, and 1 for all but hexadecimal digits.
+    sign = lambda c: (c > 62).cast("int")
+    wide = lambda c: (c.between(7, 26) | c.between(33, 52) | (c > 62)).cast("int")
 
     def step(state: Column, x: Column) -> Column:
         p, into, out = x["p"], x["into"], x["out"]
@@ -66,24 +72,18 @@ def entropy_hull(candidate: Column, bits: Column, window: int = WINDOW) -> Colum
             + F.element_at(table, c_in + 2)
             - F.element_at(table, c_in + 1)
         ).cast("long")
-        hit = (p >= window - 1) & (s <= most)
+        signs, wides = state["signs"] + sign(into) - sign(out), state["wide"] + wide(into) - wide(out)
+        own = F.when(wides == 0, limit(BITS["hex"])).when(signs == 0, limit(BITS["alnum"])).otherwise(limit(BITS["base64"]))
+        hit = (p >= window - 1) & (s <= (own if bits is None else limit(bits)))
         counts = F.transform(state["counts"], lambda c, i: c + F.when(i == into, 1).otherwise(0) - F.when((out > 0) & (i == out), 1).otherwise(0))
         return F.struct(
-            counts.alias("counts"), s.alias("s"), F.when(hit, F.coalesce(state["first"], p - window + 1)).otherwise(state["first"]).alias("first"), F.when(hit, p + 1).otherwise(state["last"]).alias("last")
+            counts.alias("counts"), s.alias("s"), signs.alias("signs"), wides.alias("wide"), F.when(hit, F.coalesce(state["first"], p - window + 1)).otherwise(state["first"]).alias("first"), F.when(hit, p + 1).otherwise(state["last"]).alias("last")
         )
 
     steps = F.transform(codes, lambda c, p: F.struct(p.alias("p"), c.alias("into"), F.when(p >= window, F.element_at(codes, p - window + 1)).otherwise(0).alias("out")))
     return F.when(n >= window, F.aggregate(steps, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
 
 
-def _class_bits(candidate: Column) -> Column:
-    return (
-        F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(BITS["hex"]))
-        .when(candidate.rlike("^[A-Za-z0-9]+$"), F.lit(BITS["alnum"]))
-        .otherwise(F.lit(BITS["base64"]))
-    )
-
-
 def _allowed(candidate: Column) -> Column:
     out = ~candidate.rlike("[0-9]")
     for p in ALLOWED:
@@ -107,7 +107,7 @@ def _hits(text: Column, kind: int, pattern: str) -> Column:
     def one(x: Column, i: Column) -> Column:
         size = F.length(x["m"])
         if KINDS[kind] == "entropy":
-            hull = F.when(~_allowed(x["m"]), entropy_hull(x["m"], _class_bits(x["m"])))
+            hull = F.when(~_allowed(x["m"]), entropy_hull(x["m"]))
             first, last = hull["first"], hull["last"]
         else:
             ok = F.length(x["v"]) >= 8
