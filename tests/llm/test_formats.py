@@ -287,3 +287,9 @@ def test_passages_of_51_words_hold_a_run_anywhere():
             inside = (s.starts[k] >= len(before)) & (s.ends[s.run_end[k] - 1] <= len(before) + 51)
             found.append(set(h[inside].tolist()))
         assert found[0] & found[1], passage
+
+
+def test_all_of_a_long_run_of_letters_is_judged():
+    assert "".join(crf.words_of("x" * 95 + " y")) == "x" * 95 + "y" and max(map(len, crf.words_of("x" * 95))) == 40
+    m = crf.fit([("ab" * 300, "one"), ("cd" * 300, "two")] * 8)
+    assert m.predict(["ab" * 20 + "cd" * 200, "cd" * 20 + "ab" * 200])[0] == ["two", "one"]

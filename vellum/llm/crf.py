@@ -2,7 +2,8 @@
 
 Each word is labelled with a language by forward-backward over learned transitions and the weights of its features: the word
 itself (lexicon), its prefixes and suffixes (affixes) and its character n-grams, hashed to a table. A chain is a run of at
-most CHAIN words; every word of a text is in one. A text's language is the one with the largest share of its words' marginal
+most CHAIN words; every word of a text is in one. A run of letters longer than PIECE, as in scripts without spaces, counts as
+consecutive words of at most PIECE letters each, so all of it takes part. A text's language is the one with the largest share of its words' marginal
 probabilities, and that share is the score, so code-switched texts show in lower scores (and the words' own labels say where).
 
 The model is fitted on a bounded sample: at most PER_LABEL labelled documents of each language, those with the least hash of
@@ -28,24 +29,23 @@ from pyspark.sql import functions as F
 from .common import row_op
 
 UNKNOWN = "und"
-CHAIN, PER_LABEL, SAMPLE_CHARS, TABLE = 128, 150, 2000, 1 << 16
+CHAIN, PER_LABEL, SAMPLE_CHARS, TABLE, PIECE = 128, 150, 2000, 1 << 16, 40
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-4
 #: Words whose weights a worker remembers.
 REMEMBERED = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case."""
+    """Runs of letters, lower case, in pieces of at most PIECE."""
     return _WORD.findall((text or "").lower())
 
 
 def features(word: str, table: int = TABLE) -> tuple[int, ...]:
     """Hashed features: lexicon, affixes of one to three letters, two- and three-letter n-grams, and a bias."""
-    w = word[:40]
-    marked = f"<{w}>"
-    names = ["w=" + w, "b"]
-    names += [f"p={w[:k]}" for k in (1, 2, 3) if len(w) >= k] + [f"s={w[-k:]}" for k in (1, 2, 3) if len(w) >= k]
+    marked = f"<{word}>"
+    names = ["w=" + word, "b"]
+    names += [f"p={word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"s={word[-k:]}" for k in (1, 2, 3) if len(word) >= k]
     names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
     return tuple({zlib.crc32(x.encode("utf-8", "replace")) % table for x in names})
 
