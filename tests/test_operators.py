@@ -199,3 +199,25 @@ def test_landing_by_brute_force(spark):
             want.add((u, hits[0][1], -hits[0][0]))
     got = quality.land(spark.createDataFrame(units, "u int, text string"), "u", spark.createDataFrame(places, "p int, text string"), "p")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_centroids_by_spelling_and_library(spark):
+    rows = [("Methods", "methods", "a", [1.0, 0.0])] * 9 + [("Methods", "method", "a", [0.0, 2.0]), ("Methods", "how", "b", [0.0, 1.0]), ("Methods", "zero", "a", [0.0, 0.0]), ("Rare", "rare", None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "name string, heading string, library string, v array<double>")
+    got = lambda **k: {r["name"]: [round(x, 6) for x in r["centroid"]] for r in meaning.centroids(df, "name", "v", **k).collect()}
+    assert got(spelling="heading") == {"Methods": [0.6, 0.4], "Rare": [0.707107, 0.707107]}
+    assert got(spelling="heading", library="library", exclude_library="b", least=3) == {"Methods": [0.75, 0.25]}
+    assert got()["Methods"] == [0.818182, 0.181818]
+
+
+def test_decision_by_threshold_and_margins(spark):
+    known = spark.createDataFrame([("methods/A", [1.0, 0.0]), ("methods/B", [0.8, 0.6]), ("results", [0.0, 1.0]), ("back", [-1.0, 0.0]), ("front", [0.0, -1.0]), ("end", [-0.6, -0.8])], "label string, centroid array<double>")
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.28, 0.96])], "k long, v array<double>")
+    got = lambda *a: {r["k"]: r for r in meaning.decide(df, "k", "v", known, "label", *a).collect()}
+    r = got(0.5, 0.1)
+    assert [r[k]["label"] for k in (1, 2, 3)] == ["methods", "methods", "results"]
+    assert (r[2]["score"], r[2]["margin"]) == (0.96, 0.16) and [tuple(x) for x in r[1]["ranked"]] == [("methods", 1.0), ("front", 0.0), ("results", 0.0), ("end", -0.6)]
+    assert [got(0.97, 0.1)[k]["label"] for k in (1, 2, 3)] == ["methods", "other", "other"]
+    assert [got(0.5, 0.1, {"methods": 0.5, "results": 0.05})[k]["label"] for k in (1, 2, 3)] == ["methods", "other", "results"]
+    one = meaning.decide(df, "k", "v", known.filter("label = 'results'"), "label", 0.5, 0.9).filter("k = 3").first()
+    assert (one["label"], one["margin"]) == ("results", 1.0)

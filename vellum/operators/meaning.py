@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -12,14 +12,30 @@ from .quality import running
 SWITCH_COST = 0.06
 #: Centroids are broadcast: one for each label of a fixed vocabulary. More are refused.
 MOST_LABELS = 10_000
+#: Rows of one spelling that count towards a label's centroid, and how many labels of a ranking are kept.
+PER_SPELLING, KEEP_RANKED = 3, 4
 
 
-def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
-    """label, centroid: the mean of the label's unit vectors. Sums by label and dimension are combined before the shuffle."""
+def centroids(vectors: DataFrame, label: str, vector: str, spelling: str | None = None, library: str | None = None, exclude_library: str | None = None, least: int = 1) -> DataFrame:
+    """label, centroid: the mean of the label's unit vectors. Sums by label and dimension are combined before the shuffle.
+
+    With spelling, each spelling of a label counts at most PER_SPELLING times; with library and exclude_library, that library's
+    rows are left out. Labels of fewer vectors than least have no centroid.
+    """
+    if (library is None) != (exclude_library is None):
+        raise ValueError("a library is left out by its column and its name")
+    if library is not None:
+        vectors = vectors.filter(~F.col(library).eqNullSafe(F.lit(exclude_library)))
     x = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    each = vectors.filter(norm > 0).select(label, F.posexplode(F.transform(x, lambda v: v / norm)).alias("i", "v"))
-    means = each.groupBy(label, "i").agg(F.avg("v").alias("m"))
+    vectors = vectors.filter(norm > 0)
+    if spelling is not None:
+        order = Window.partitionBy(label, spelling).orderBy(vector)
+        vectors = vectors.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= PER_SPELLING).drop("__r")
+    each = vectors.select(label, F.posexplode(F.transform(x, lambda v: v / norm)).alias("i", "v"))
+    means = each.groupBy(label, "i").agg(F.avg("v").alias("m"), *([F.count("*").alias("n")] if least > 1 else []))
+    if least > 1:
+        means = means.filter(F.col("n") >= least)
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
@@ -33,6 +49,32 @@ def nearest_label(vectors: DataFrame, key: str, vector: str, known: DataFrame, l
     return top.select(key, F.col("b")[0]["l"].alias("label"), (-F.col("b")[0]["s"]).alias("score"), F.round(F.get("b", F.lit(1))["s"] - F.col("b")[0]["s"], 6).alias("margin"))
 
 
+def decide(vectors: DataFrame, key: str, vector: str, known: DataFrame, label: str, threshold: float, margin: float, lane_margin: dict[str, float] | None = None) -> DataFrame:
+    """key, label, score, margin, ranked: the nearest lane where it reaches the threshold and leads by the margin, else "other".
+
+    A lane is a label up to its first slash, and the best of its centroids counts; lane_margin asks more of some lanes. ranked
+    holds the KEEP_RANKED nearest lanes with their scores. A single lane leads by 1; ties go to the name first in order.
+    """
+    if known.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError("labels are a fixed vocabulary")
+    pairs = vectors.select(key, vector).join(F.broadcast(known.select(F.substring_index(label, "/", 1).alias("__lane"), "centroid")))
+    # Rows of the same key and vector give one row.
+    lanes = pairs.groupBy(key, vector, "__lane").agg(F.max(cosine(F.col(vector), F.col("centroid"))).alias("c"))
+    b = lanes.groupBy(key, vector).agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("s"), F.col("__lane").alias("l")))).alias("b"))
+    first, second = F.col("b")[0], F.get("b", F.lit(1))
+    gap = F.when(second.isNotNull(), second["s"] - first["s"]).otherwise(1.0)
+    need = F.lit(float(margin))
+    for lane, m in (lane_margin or {}).items():
+        need = F.when(first["l"] == lane, float(max(m, margin))).otherwise(need)
+    return b.select(
+        key,
+        F.when((-first["s"] >= threshold) & (gap >= need), first["l"]).otherwise("other").alias("label"),
+        F.bround(-first["s"], 4).alias("score"),
+        F.bround(gap, 4).alias("margin"),
+        F.transform(F.slice("b", 1, KEEP_RANKED), lambda x: F.struct(x["l"].alias("label"), F.bround(-x["s"], 4).alias("score"))).alias("ranked"),
+    )
+
+
 def best_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     """The score from which calling rows positive has the best F1, the lowest on ties. Cumulates over distinct, numeric scores by ranges."""
     by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
