@@ -8,9 +8,10 @@ of them must be equal, or, where it has not, gives out its empty bins as well, s
 of 0.8 or more shares a signature, wherever its edits stand. Each candidate is then verified by the exact Jaccard similarity.
 
 Every text with a signature is first compared with the signature's first text, which gathers families of copies. What is left
-are signatures whose texts are not yet in one component: of up to CROWD texts, all pairs across components are candidates. The
-texts of fuller ones are dealt to blocks and all pairs of blocks are compared within a task, which gives out only a spanning
-forest of the links; that is exact, and no group is ever gathered in one task. Rows of a signature are sorted, not gathered.
+are signatures whose texts are not yet in one component: of up to CROWD texts, all pairs across components are candidates.
+Texts that fuller ones tie together form crowds. They are dealt to blocks, and of all pairs of blocks those texts of different
+components are candidates that counts of shingles do not rule out; no group is ever gathered in one task. Rows of a signature
+are sorted, not gathered.
 """
 
 from __future__ import annotations
@@ -111,16 +112,13 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """key, mark (a digest of the text), id (a number from it), signatures of each document that has words; no texts."""
-    schema = pa.schema([("key", pa.int64()), ("mark", pa.string()), ("id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+    """id and signatures of each text; no texts."""
+    schema = pa.schema([("id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
 
     def rows(cols: dict) -> dict:
-        found = [signatures(shingles(t)) for t in cols["text"]]
-        ok = [i for i, x in enumerate(found) if len(x)]
-        return {c: [cols[c][i] for i in ok] for c in ("key", "mark", "id")} | {"signatures": [found[i] for i in ok]}
+        return {"id": cols["id"], "signatures": [signatures(shingles(t)) for t in cols["text"]]}
 
-    each = docs.select("key", "mark", F.xxhash64("mark").alias("id"), "text")
-    return each.mapInArrow(row_op(rows, schema), "key long, mark string, id long, signatures array<long>")
+    return docs.select(F.xxhash64("mark").alias("id"), "text").mapInArrow(row_op(rows, schema), "id long, signatures array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,47 +135,36 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.mapInArrow(row_op(rows, schema, "ra"), "a long, b long")
 
 
-def _forest(crowds: DataFrame) -> DataFrame:
-    """crowds (crowd, id, root, raw) to links (a, b): within each crowd, a spanning forest per pair of blocks.
+def _bins(s: np.ndarray) -> bytes:
+    """Counts of a text's shingles by the top eight bits of their hashes, 255 at most: two sets differ by no less than these."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
-    Texts of the same root are linked already. The counts of a text's shingles by bins of hashes differ in sum by no more than
-    the sets do, so what they rule out is not alike.
-    """
+
+def _crowded(crowds: DataFrame) -> DataFrame:
+    """crowds (crowd, id, root, n, bins) to the pairs (a, b) of different roots that the counts do not rule out."""
     blocked = crowds.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     counts = crowds.groupBy("crowd").agg((F.ceil(F.count("*") / BLOCK)).cast("long").alias("blocks"))
     blocked = blocked.join(counts, "crowd").withColumn("block", (F.col("slot") % F.col("blocks")).cast("int"))
     # A block meets each block from itself on: it goes to all its pairs, by their numbers.
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    pairs = pairs.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "raw")
+    pairs = pairs.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "n", "bins")
 
-    def forest(key, table):
+    def meet(key, table):
         _, p, q = (k.as_py() for k in key)
-        ids, blocks = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
-        sets = [np.frombuffer(x, "<u8") for x in table.column("raw").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
-        bins = np.stack([np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=512) for x in sets]).astype(np.int32)
-        heads: dict[int, int] = {}
-        root = [heads.setdefault(r, i) for i, r in enumerate(table.column("root").to_pylist())]
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        ids, blocks, root, n = (np.array(table.column(c).to_pylist()) for c in ("id", "block", "root", "n"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
         a, b = [], []
-        for i in range(len(ids)):
-            near = np.abs(bins[i + 1 :] - bins[i]).sum(axis=1) * 9 <= sizes[i + 1 :] + sizes[i]
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                if p != q and blocks[i] == blocks[j] or find(i) == find(j):
-                    continue
-                if similarity(sets[i], sets[j]) >= SIMILARITY:
-                    root[find(i)] = find(j)
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
+        for i in range(len(ids) - 1):
+            near = np.abs(bins[i + 1 :] - bins[i]).sum(axis=1, dtype=np.int64) * 9 <= n[i + 1 :] + n[i]
+            near &= root[i + 1 :] != root[i]
+            if p != q:
+                near &= blocks[i + 1 :] != blocks[i]
+            other = ids[i + 1 :][near]
+            a += np.minimum(other, ids[i]).tolist()
+            b += np.maximum(other, ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.groupBy("crowd", "p", "q").applyInArrow(forest, "a long, b long")
+    return pairs.groupBy("crowd", "p", "q").applyInArrow(meet, "a long, b long")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -188,44 +175,46 @@ def survivors(docs: DataFrame) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     marked = docs.withColumns({"__mark": F.sha2(text_or_empty(), 256), "__key": F.coalesce(F.col("doc_id").cast("long"), last)})
     plain = marked.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), text_or_empty().alias("text"))
-    signed = written(_signed(plain), "signed")
     # A row for each distinct text that has words, under a number taken from its digest.
-    texts = written(signed.groupBy("mark", "id").agg(F.min("key").alias("least")), "texts")
+    wordless = ~text_or_empty().rlike(r"\S")
+    each = plain.filter(~wordless).groupBy("mark").agg(F.min("key").alias("least"))
+    texts = written(each.withColumn("id", F.xxhash64("mark")), "texts")
     # Members of each signature but the first, and the first beside them; copies of a text are one member.
     order = Window.partitionBy("s").orderBy("id")
-    keyed = signed.select("id", F.explode("signatures").alias("s"))
+    keyed = _signed(plain.filter(~wordless)).select("id", F.explode("signatures").alias("s"))
     firsts = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = keyed.select("s", "id", firsts.alias("a"), F.lag("id").over(order).alias("__last")).filter("__last is not null and id != __last")
     members = written(met.select("s", "a", "id"), "members")
     pairs = written(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = texts.join(needed, "id").select("id", "mark", F.col("least").alias("key"))
-    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("bins", pa.binary())])
 
     def rows(cols: dict) -> dict:
         found = [shingles(t) for t in cols["text"]]
-        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found]}
+        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "bins": [_bins(x) for x in found]}
 
     held = plain.join(wanted.hint("shuffle_merge"), ["mark", "key"]).select("id", "text")
-    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long").dropDuplicates(["id"]), "sets")
+    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long, bins binary").dropDuplicates(["id"]), "sets")
     alike = written(_similar(pairs, sets), "alike")
     found = written(components(alike), "found")
-    # Signatures whose members are not all in one component yet; of those with the same members, one.
+    # Signatures whose members are not all in one component yet.
     rooted = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("s", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("s").agg(
-        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
-    ).filter("low != high")
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min("s").alias("s")).select("s", "n")
-    left = written(rooted.join(mixed.hint("shuffle_merge"), "s"), "mixed")
+    mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    left = written(rooted.join(mixed.filter("low != high").select("s", "n", "least").hint("shuffle_merge"), "s"), "mixed")
     few = left.filter(F.col("n") <= CROWD)
     across = few.alias("x").join(few.alias("y"), F.expr("x.s = y.s and x.id < y.id and x.root != y.root"))
-    across = written(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "across")
-    crowds = left.filter(F.col("n") > CROWD).select(F.col("s").alias("crowd"), "id", "root").join(sets.select("id", "raw"), "id")
-    links = components(alike.unionByName(_similar(across, sets)).unionByName(_forest(crowds)))
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # Crowds: texts that share a full signature with one another, over several of them.
+    crowd_of = components(left.filter(F.col("n") > CROWD).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    crowd_of = crowd_of.unionByName(crowd_of.select(F.col("root").alias("node"), "root")).distinct()
+    crowds = crowd_of.select(F.col("node").alias("id"), F.col("root").alias("crowd")).join(left.select("id", "root").distinct(), "id")
+    crowds = written(crowds.join(sets.select("id", "n", "bins"), "id"), "crowds")
+    more = written(across.unionByName(_crowded(crowds)).distinct(), "more")
+    links = components(alike.unionByName(_similar(more, sets)))
     # Groups are named by numbers; the first of a group is by doc_id. What goes is small beside what stays.
     grouped = texts.select("mark", "least", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("mark", "least", F.coalesce("root", "id").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("k")).select(F.col("k.least").alias("__key"), F.col("k.mark").alias("__mark"))
     kept = written(kept, "kept")
-    wordless = ~text_or_empty().rlike(r"\S")
     out = marked.join(kept.hint("shuffle_merge"), ["__key", "__mark"]).filter(~wordless).dropDuplicates(["__key", "__mark"])
     return out.select(*docs.columns).unionByName(marked.filter(wordless).select(*docs.columns))
