@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         root = f"file://{tempfile.gettempdir()}/vellum-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -35,13 +37,6 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder on whichever file system holds it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df stored in the shared folder and read again: this cuts the lineage, so that a lost executor costs no recomputation.
 
@@ -54,6 +49,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker at once, where the session sets no limit of its own.
+BATCH_BYTES = "4m"
+
+
+def in_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes: ten thousand texts at once may be more than a worker can hold."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in (None, "9223372036854775807b", "9223372036854775807"):
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(fn, schema)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

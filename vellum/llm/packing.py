@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import in_arrow, slices, text_or_empty
 from .tokens import encoder
 
 
@@ -49,18 +49,24 @@ class Piece:
 
 
 class Packer:
-    """add() examples, take() closed sequences (lists of pieces), finish() at the end."""
+    """add() examples, take() closed sequences (lists of pieces), finish() at the end.
+
+    What waits lies in slots of arrays, a column each for tokens, segments and loss, so that a choice is a few array operations.
+    """
 
     def __init__(self, limits: Limits = Limits(), cut: bool = True):
         if min(limits.tokens, limits.segments, limits.loss, limits.window) < 1:
             raise ValueError("limits start at 1")
         self.limits, self.cut = limits, cut
-        self.waiting: list[Piece] = []
+        self.most = np.array([limits.tokens, limits.segments, limits.loss], float)
+        self.size = np.full((limits.window, 3), np.inf)  # a free slot fits nowhere
+        self.share = np.zeros((limits.window, 3))
+        self.pieces: list[Piece | None] = [None] * limits.window
+        self.free = list(range(limits.window))[::-1]
         self.closed: list[list[Piece]] = []
 
     def add(self, key: int, length: int, loss: int | None = None) -> None:
-        loss = length if loss is None else loss
-        p = Piece(key, 0, length, loss)
+        p = Piece(key, 0, length, length if loss is None else loss)
         while p.length > self.limits.tokens or p.loss > self.limits.loss:
             if not self.cut:
                 raise ValueError(f"example {key} is beyond the limits of a sequence")
@@ -68,12 +74,23 @@ class Packer:
             if head.length == self.limits.tokens:
                 self.closed.append([head])
             else:
-                self.waiting.append(head)
+                self._wait(head)
         if p.length:
-            self.waiting.append(p)
-        while len(self.waiting) >= self.limits.window:
+            self._wait(p)
+
+    def _wait(self, p: Piece) -> None:
+        k = self.free.pop()
+        self.pieces[k], self.size[k] = p, (p.length, 1, p.loss)
+        self.share[k] = self.size[k] / self.most
+        if not self.free:
             self._fill()
 
+    def _take(self, k: int) -> Piece:
+        p, self.pieces[k] = self.pieces[k], None
+        self.size[k] = np.inf
+        self.free.append(k)
+        return p
+
     @staticmethod
     def _most(p: Piece, tokens: int, loss: int) -> int:
         """Longest head of p within both."""
@@ -86,45 +103,38 @@ class Packer:
 
     def _fill(self) -> None:
         """Fill and close one sequence from the waiting examples."""
-        lim = self.limits
-        left = np.array([lim.tokens, lim.segments, lim.loss], float)
-        size = np.array([[p.length, 1, p.loss] for p in self.waiting], float)
-        share = size / np.array([lim.tokens, lim.segments, max(1, lim.loss)])
-        free = np.ones(len(size), bool)
+        left = self.most.copy()
         seq: list[Piece] = []
         rest: Piece | None = None
         while left[0] > 0 and left[1] > 0:
-            fits = free & (size <= left).all(axis=1)
+            fits = (self.size[:, 0] <= left[0]) & (self.size[:, 2] <= left[2])
             if fits.any():
-                score = share @ (left / np.array([lim.tokens, lim.segments, max(1, lim.loss)]))
-                k = int(np.where(fits, score, -1.0).argmax())
-                free[k] = False
-                seq.append(self.waiting[k])
-                left -= size[k]
+                k = int(np.where(fits, self.share @ (left / self.most), -1.0).argmax())
+                left -= self.size[k]
+                seq.append(self._take(k))
                 continue
-            if not self.cut or not free.any():
+            waiting = np.where(np.isfinite(self.size[:, 0]), self.size[:, 0], -1.0)
+            k = int(waiting.argmax())
+            if not self.cut or waiting[k] < 0:
                 break
-            k = int(np.where(free, size[:, 0], -1.0).argmax())
-            at = self._most(self.waiting[k], int(left[0]), int(left[2]))
-            if at <= 0:
-                break
-            free[k] = False
-            head, rest = self._split(self.waiting[k], at)
-            seq.append(head)
+            at = self._most(self.pieces[k], int(left[0]), int(left[2]))
+            if at > 0:
+                head, rest = self._split(self._take(k), at)
+                seq.append(head)
             break
-        self.waiting = [p for p, f in zip(self.waiting, free, strict=True) if f] + ([rest] if rest is not None and rest.length else [])
         self.closed.append(seq)
+        if rest is not None and rest.length:
+            self._wait(rest)
 
     def finish(self) -> None:
-        while self.waiting:
-            if self.cut and sum(p.length for p in self.waiting) < self.limits.tokens:
-                self._powers()
-                return
-            self._fill()
+        while waiting := [k for k, p in enumerate(self.pieces) if p is not None]:
+            if self.cut and sum(self.pieces[k].length for k in waiting) < self.limits.tokens:
+                self._powers([self._take(k) for k in waiting])
+            else:
+                self._fill()
 
-    def _powers(self) -> None:
+    def _powers(self, rest: list[Piece]) -> None:
         """The rest in sequences whose lengths are powers of two, as far as the other limits let them."""
-        rest, self.waiting = self.waiting, []
         total = sum(p.length for p in rest)
         while total:
             room, seq = 1 << (total.bit_length() - 1), []
@@ -148,44 +158,49 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, limits: Limits = Limits(), with_ids: bool = True, prompt: str | None = None) -> DataFrame:
     """Pack docs (doc_id, text): a row per piece, with its ids as little-endian unsigned 32-bit integers where with_ids.
 
-    All ids of a document bear loss, the end id with them, as a language model learns to predict each.
+    Without prompt all ids of a document bear loss, the end id with them, as a language model learns to predict each. For
+    instruction data prompt names the column of what comes before the text: its ids are packed before those of the text and
+    bear no loss, so that sequences fill by tokens or by loss-bearing tokens, whichever limit is reached first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(tokenizer_path), Packer(limits)
         base, sequences, n = TaskContext.get().partitionId() << 33, 0, 0
         live: dict[int, list] = {}  # example: [doc_id, its ids, ids not yet given out]
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], np.uint32)
 
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal sequences
-            out: dict[str, list] = {f.name: [] for f in _PIECES}
+            out: list[list] = [[] for _ in _PIECES]
             for seq in packer.take():
                 offset = 0
                 for p in seq:
                     e = live[p.key]
                     raw = e[1][p.start : p.start + p.length].tobytes()
-                    for k, v in zip(out, (e[0], p.start, p.length, zlib.crc32(raw), len(e[1]), base + sequences, offset, p.loss, raw if with_ids else None), strict=True):
-                        out[k].append(v)
+                    for column, v in zip(out, (e[0], p.start, p.length, zlib.crc32(raw), len(e[1]), base + sequences, offset, p.loss, raw if with_ids else None)):
+                        column.append(v)
                     offset += p.length
                     e[2] -= p.length
                     if not e[2]:
                         del live[p.key]
                 sequences += 1
-            if out["doc_id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
         for batch in slices(batches, "text"):
-            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
-                ids = np.concatenate([ids, end])
+            texts = batch.column("text").to_pylist()
+            heads = enc.encode(batch.column("prompt").to_pylist()) if prompt else [end[:0]] * len(texts)
+            for key, head, ids in zip(batch.column("doc_id").to_pylist(), heads, enc.encode(texts), strict=True):
+                ids = np.concatenate([head, ids, end])
                 live[n] = [key, ids, len(ids)]
-                packer.add(n, len(ids))
+                packer.add(n, len(ids), len(ids) - len(head))
                 n += 1
             yield from rows()
         packer.finish()
         yield from rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *([text_or_empty(prompt).alias("prompt")] if prompt else [])]
+    return in_arrow(docs.select(*columns), run, PIECES)

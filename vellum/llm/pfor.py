@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, text_or_empty
+from .common import in_arrow, scratch, slices, text_or_empty
 from .tokens import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"VPF1", 128, 0.9
@@ -33,6 +33,45 @@ SHARD_IDS = 1 << 21
 _HEAD = struct.Struct("<4sIQQQQQQ")
 
 
+def _packed_size(width, block: int):
+    """Bytes of a block: groups of 64 numbers, each in as many 64-bit words as a number has bits."""
+    return -(-block // 64) * 8 * width
+
+
+def _to_words(low: np.ndarray, w: int) -> np.ndarray:
+    """The w low bits of each number (blocks x numbers) as bytes (blocks x size): number k of 64 begins at bit k * w."""
+    n, block = low.shape
+    groups = -(-block // 64)
+    if w in (8, 16, 32) and block % 64 == 0:  # whole bytes already
+        return low.astype(f"<u{w // 8}").view(np.uint8)
+    v = np.zeros((n, groups * 64), np.uint64)
+    v[:, :block] = low & np.uint32((1 << w) - 1)
+    v = np.ascontiguousarray(v.reshape(n * groups, 64).T)
+    out = np.zeros((w, n * groups), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * w, 64)
+        out[word] |= v[k] << np.uint64(shift)
+        if shift + w > 64:
+            out[word + 1] |= v[k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8).reshape(n, groups * 8 * w)
+
+
+def _from_words(raw: np.ndarray, w: int) -> np.ndarray:
+    """Numbers (blocks x numbers, filled up to whole groups) from bytes of _to_words."""
+    n, groups = len(raw), raw.shape[1] // (8 * w)
+    if w in (8, 16, 32):
+        return np.ascontiguousarray(raw).view(f"<u{w // 8}").astype(np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(raw).view("<u8").astype(np.uint64).reshape(n * groups, w).T)
+    out, mask = np.empty((64, n * groups), np.uint32), np.uint64((1 << w) - 1)
+    for k in range(64):
+        word, shift = divmod(k * w, 64)
+        x = words[word] >> np.uint64(shift)
+        if shift + w > 64:
+            x = x | words[word + 1] << np.uint64(64 - shift)
+        out[k] = x & mask
+    return np.ascontiguousarray(out.T).reshape(n, groups * 64)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> dict[str, np.ndarray]:
     """Blocks of ids: mins, widths, starts (of each block in payload, one more at the end), exc_starts, exc_pos, exc_high, payload."""
     n = len(ids)
@@ -50,20 +89,12 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     high[widths == 32] = 0
     row, pos = np.nonzero(high)
     exc_starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=nb))]).astype("<u4")
-    starts = np.concatenate([[0], np.cumsum(-(-widths.astype(np.int64) * block // 8))]).astype("<u8")
+    starts = np.concatenate([[0], np.cumsum(_packed_size(widths.astype(np.int64), block))]).astype("<u8")
     payload = np.zeros(int(starts[-1]), np.uint8)
-    for w in np.unique(widths):
-        if not w:
-            continue
+    for w in np.unique(widths).tolist():
         own = np.flatnonzero(widths == w)
-        for part in np.array_split(own, -(-len(own) // 4096)):
-            kind, bits = (">u2", 16) if w <= 16 else (">u4", 32)
-            low = (rest[part] & np.uint32((1 << int(w)) - 1)).astype(kind)
-            if w == bits:  # whole bytes already
-                payload[(starts[part].astype(np.int64)[:, None] + np.arange(block * bits // 8)).ravel()] = low.view(np.uint8).ravel()
-                continue
-            each = np.unpackbits(low.view(np.uint8).reshape(len(part), block, bits // 8), axis=2)[:, :, bits - int(w) :]
-            packed = np.packbits(each.reshape(len(part), block * int(w)), axis=1)
+        for part in np.array_split(own, -(-len(own) // 4096)) if w else ():
+            packed = _to_words(rest[part], w)
             payload[(starts[part].astype(np.int64)[:, None] + np.arange(packed.shape[1])).ravel()] = packed.ravel()
     return {"mins": mins.astype("<u4"), "widths": widths, "starts": starts, "exc_starts": exc_starts, "exc_pos": pos.astype("<u2"), "exc_high": high[row, pos].astype("<u4"), "payload": payload}
 
@@ -73,21 +104,10 @@ def unpack(blocks: dict[str, np.ndarray], first: int, last: int, block: int = BL
     widths, mins = blocks["widths"][first:last], blocks["mins"][first:last]
     starts, payload = blocks["starts"][first : last + 1].astype(np.int64), blocks["payload"]
     out = np.zeros((last - first, block), np.uint32)
-    for w in np.unique(widths):
-        if not w:
-            continue
+    for w in np.unique(widths).tolist():
         own = np.flatnonzero(widths == w)
-        size = -(-int(w) * block // 8)
-        for part in np.array_split(own, -(-len(own) // 4096)):
-            raw = payload[starts[part][:, None] + np.arange(size)]
-            kind, bits = (">u2", 16) if w <= 16 else (">u4", 32)
-            if w == bits:
-                out[part] = raw.view(kind)
-                continue
-            each = np.unpackbits(raw, axis=1)[:, : block * int(w)].reshape(len(part), block, int(w))
-            full = np.zeros((len(part), block, bits), np.uint8)
-            full[:, :, bits - int(w) :] = each
-            out[part] = np.packbits(full, axis=2).view(kind)[:, :, 0]
+        for part in np.array_split(own, -(-len(own) // 4096)) if w else ():
+            out[part] = _from_words(payload[starts[part][:, None] + np.arange(_packed_size(w, block))], w)[:, :block]
     lo, hi = int(blocks["exc_starts"][first]), int(blocks["exc_starts"][last])
     counts = np.diff(blocks["exc_starts"][first : last + 1].astype(np.int64))
     row = np.repeat(np.arange(last - first), counts)
@@ -190,7 +210,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | N
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    in_arrow(rows, run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"), folder
 
 
@@ -225,4 +245,4 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + s.starts[lo : lo + len(n)], pa.int64()), pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.vpf").load(f"{folder}/shards").select("path", "content")
-    return files.mapInArrow(run, schema)
+    return in_arrow(files, run, schema)

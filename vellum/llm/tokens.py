@@ -1,8 +1,9 @@
-"""Byte-level BPE ids by the tokenizers library, with each distinct word encoded once per worker.
+"""Byte-level BPE ids by the tokenizers library, with each distinct word encoded once while it is remembered.
 
 A change from a non-space character to a blank or line feed always ends a pre-token of the byte-level pattern, and neither
-side's split depends on the other. So a text falls into chunks (a word with the white space before it), the ids of a text
-are those of its chunks in order, and only chunks not seen before go to the library.
+side's split depends on the other. So a text whose blanks and line feeds stand alone falls into words, the ids of the text are
+those of its words in order, and only words not seen before go to the library. Other texts go to it whole. Words are cut,
+told apart and put together again by columns; Python sees the distinct ones of a slice only.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import re
 from functools import lru_cache
 
 import numpy as np
-
-#: Chunks remembered per worker, about 200 bytes each: when a memory holds half of them it becomes the old one, and what the
-#: old one had and nobody asked for since is forgotten.
-REMEMBERED = 1_200_000
-#: Chunks handed to the library in one call, and chunks that share a string there.
-AT_ONCE, TOGETHER = 4096, 20
-_CHUNK = re.compile(r"\s*\S+(?:(?![ \n])\s+\S+)*|\s+")
+import pyarrow as pa
+import pyarrow.compute
+
+#: Bytes of words and ids that a worker remembers; beyond them it forgets all and begins anew.
+REMEMBERED = 96 << 20
+#: What a word takes besides its characters: string, number, place in the map, place of its ids.
+_EACH = 150
+#: Words handed to the library in one call, and words that share a string there.
+AT_ONCE, TOGETHER = 4096, 100
 #: White space before a blank or line feed, where that place is no end of a pre-token.
 _UNEVEN = re.compile(r"[^\S \n][ \n]")
 #: A letter before ASCII punctuation ends a pre-token too; the ranges hold letters only, in any version of Unicode.
@@ -43,93 +46,131 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(tokenizer(path))
 
 
-class Memory:
-    """A bounded map from words to ids in two generations."""
+def _even(t: str) -> bool:
+    return not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or _UNEVEN.search(t))
 
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def missing(self, words: set[str], turn: bool = True) -> list[str]:
-        """The words neither generation has; those that only the old one has move to the new one."""
-        if turn and len(self.now) + 2 * len(words) > REMEMBERED // 2:
-            self.now, self.old = {}, self.now
-        absent = words.difference(self.now)
-        known = {w: self.old[w] for w in absent if w in self.old}  # an intersection would go through all of old
-        self.now.update(known)
-        return [w for w in absent if w not in known]
+class Memory:
+    """A map from words to rows of ids, all rows in one array, bounded by its bytes."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.held = 0
+
+    def make_room(self) -> None:
+        """Called between slices only: rows stay valid within one."""
+        if self.held > self.most:
+            self.forget()
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, before = len(self.rows), int(self.ends[len(self.rows)])
+        if n + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
+        if before + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[before : before + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = before + np.cumsum(lengths)
+        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
+        self.held += sum(map(len, words)) + _EACH * len(words) + 4 * len(ids)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these rows in order, where each row's ids end among them)."""
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
 
 class WordEncoder:
-    """encode(texts): for each text, its ids as little-endian unsigned 32-bit integers. None counts as the empty text."""
+    """encode(texts): for each text, its ids as unsigned 32-bit integers. None counts as the empty text."""
 
     def __init__(self, tok):
         self.tok = tok
-        self.blank = Memory()  # by the word after a blank, or by a word with the line feed before it
-        self.plain = Memory()  # by the whole chunk
-        # Chunks hold for the byte-level pattern without a blank put before the text.
-        self.chunked = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" in repr(tok.pre_tokenizer) and tok.normalizer is None
+        #: Words as they stand after a blank, and, under a key that begins with a blank, strings as they stand alone.
+        self.memory = Memory()
+        # Words hold for the byte-level pattern without a blank put before the text.
+        self.by_word = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" in repr(tok.pre_tokenizer) and tok.normalizer is None
         self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
         if any(re.search(r"\s", t) for t in self.added):
-            self.chunked = False
+            self.by_word = False
         self.odd = re.compile("|".join([r"[^\S\n]", *map(re.escape, self.added)]))
-        feed = tok.encode("\n", add_special_tokens=False).ids
-        after = tok.encode("\n a", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 and after == feed + tok.encode(" a", add_special_tokens=False).ids else None
-
-    def _learn_plain(self, chunks: set[str], turn: bool = True) -> None:
-        new = self.plain.missing(chunks, turn)
-        self.plain.now.update(zip(new, self._each(new), strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        """Words after a blank, and words with a line feed before them."""
-        memory = self.blank
-        new = memory.missing(words)
+        #: By id, whether its token begins with a blank; in byte-level vocabularies that character stands for it.
+        vocabulary = tok.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] == "Ġ"]] = True
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, straight from the library."""
+        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in self.tok.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+
+    def _each(self, keys: list[str], strings: list[str]) -> None:
+        if keys:
+            got = self.whole(strings)
+            self.memory.add(keys, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _together(self, words: list[str]) -> None:
+        """Words without white space or added tokens, each after a blank: several go to a string, as the blanks part them."""
+        ids: list[int] = []
+        for e in self.tok.encode_batch_fast([" " + " ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False):
+            ids += e.ids
+        arr = np.array(ids, np.uint32)
+        self.memory.add(words, arr, np.diff(np.append(np.flatnonzero(self.begins[arr]), len(arr))))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Keys of memory that it doesn't have; no two are equal."""
+        known = self.memory.rows
+        alone = [k for k in keys if k[:1] in (" ", "\n")]
+        self._each(alone, [k[1:] if k[0] == " " else k for k in alone])
+        new = [k for k in keys if k[:1] not in (" ", "\n")]
         odd = self.odd.search("\n".join(new)) is not None
-        after_feed = [w for w in new if w[:1] == "\n"]
-        memory.now.update(zip(after_feed, self._each(after_feed), strict=True))
-        tailed = {w: m for w in new if w[-1:] in _TAIL and w[0] != "\n" and (m := _TAILED.fullmatch(w)) and not (odd and self.odd.search(w))}
-        new = [w for w in new if w not in tailed and w[:1] != "\n"]
+        tailed = {w: m for w in new if w[-1:] in _TAIL and (m := _TAILED.fullmatch(w)) and not (odd and self.odd.search(w))}
+        new = [w for w in new if w not in tailed]
         if tailed:
-            new += memory.missing({m[1] for m in tailed.values()}.difference(new), turn=False)
-            self._learn_plain({m[2] for m in tailed.values()}, turn=False)
+            new += {m[1] for m in tailed.values()}.difference(known, new)
+            tails = list({" " + m[2] for m in tailed.values()}.difference(known))
+            self._each(tails, [t[1:] for t in tails])
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
-            simple = self.feed is not None and "" not in part and not (odd and self.odd.search("\n".join(part)))
-            memory.now.update(zip(part, self._together(part) if simple else self._each([" " + w for w in part]), strict=True))
-        memory.now.update({w: memory.now[m[1]] + self.plain.now[m[2]] for w, m in tailed.items()})
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(chunks), AT_ONCE) for e in self.tok.encode_batch_fast(chunks[i : i + AT_ONCE], add_special_tokens=False)]
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space or added tokens, each after a blank; several go to a string, parted by line feeds."""
-        ids: list[int] = []
-        for e in self.tok.encode_batch_fast([" " + "\n ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False):
-            ids += e.ids
-            ids.append(self.feed)
-        arr = np.array(ids, "<u4")
-        ends = (np.flatnonzero(arr == self.feed) * 4).tolist()
-        raw = arr.tobytes()
-        return [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+            if "" not in part and not (odd and self.odd.search("\n".join(part))):
+                self._together(part)
+            else:
+                self._each(part, [" " + w for w in part])
+        if tailed:
+            rows = np.array([r for m in tailed.values() for r in (known[m[1]], known[" " + m[2]])])
+            ids, ends = self.memory.gather(rows)
+            self.memory.add(list(tailed), ids, np.diff(ends[1::2], prepend=0))
+
+    def _rows(self, keys: list[str]) -> np.ndarray:
+        known = self.memory.rows
+        missing = [k for k in keys if k not in known]
+        if missing:
+            self._learn(list(dict.fromkeys(missing)))
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose blanks and line feeds stand alone, one after another, and where each text's end."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.memory.make_room()
+        parts = pa.compute.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.flatten().dictionary_encode()
+        rows = self._rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        rows[offsets[:-1]] = self._rows([" " + t.split(" ", 1)[0].replace("\n", " \n").split(" ", 1)[0] for t in texts])
+        ids, ends = self.memory.gather(rows)
+        return ids, ends[offsets[1:] - 1]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if not self.chunked:
-            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut: list[tuple[bool, list[str]]] = []
-        blank, plain = set(), set()
-        for t in texts:
-            t = t or ""
-            if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or _UNEVEN.search(t):
-                chunks = _CHUNK.findall(t)
-                plain.update(chunks)
-                cut.append((False, chunks))
-                continue
-            words = t.replace("\n", " \n").split(" ")
-            plain.add(words[0])
-            blank.update(words[1:])
-            cut.append((True, words))
-        self._learn(blank)
-        self._learn_plain(plain)
-        whole, after = self.plain.now, self.blank.now.__getitem__
-        return [np.frombuffer(b"".join([whole[c[0]], *map(after, c[1:])] if even else [whole[x] for x in c]), "<u4") for even, c in cut]
+        texts = [t or "" for t in texts]
+        even = [self.by_word and _even(t) for t in texts]
+        flat, ends = self.encode_flat([t for t, e in zip(texts, even, strict=True) if e])
+        cut = iter(np.split(flat, ends[:-1]))
+        rest = iter(self.whole([t for t, e in zip(texts, even, strict=True) if not e]))
+        return [next(cut) if e else next(rest) for e in even]
