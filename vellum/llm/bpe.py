@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op, text_or_empty
+from .common import in_arrow, row_op, text_or_empty
 from .tokens import WordEncoder, encoder, tokenizer
 
 #: Characters that a leaf has at most.
@@ -121,7 +121,8 @@ class TreeEncoder:
             while j < len(right) and raw[b] & 0xC0 == 0x80:
                 b += int(self.sizes[right[j]])
                 j += 1
-            ids = self.words.encode([raw[a:b].decode()])[0]
+            # Straight from the library: a window is seldom seen again, so it is not remembered.
+            ids = np.array(self.tok.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
             ok_left = i == 0 or self._agrees(raw, lo, a, None, ids[0] == left[i])
             ok_right = j == len(right) or self._agrees(raw, mid, b, hi, ids[-1] == right[j - 1])
             if ok_left and ok_right:
@@ -156,7 +157,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) ->
     def rows(cols: dict) -> dict:
         return {"doc_id": cols["doc_id"], "ids": [x.astype("<u4").tobytes() for x in tree_encoder(tokenizer_path, leaf).encode(cols["text"])]}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(row_op(rows, schema), "doc_id long, ids binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc_id long, ids binary")
 
 
 def decode_documents(ids: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -168,4 +169,4 @@ def decode_documents(ids: DataFrame, tokenizer_path: str) -> DataFrame:
         texts = [enc.decode(np.frombuffer(x, "<u4")) for x in cols["ids"]]
         return {"doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in cols["ids"]], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in cols["ids"]], "text": texts, "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]}
 
-    return ids.mapInArrow(row_op(rows, schema, "ids"), "doc_id long, n_tokens long, ids_sha256 string, text string, decoded_sha256 string")
+    return in_arrow(ids, row_op(rows, schema, "ids"), "doc_id long, n_tokens long, ids_sha256 string, text string, decoded_sha256 string")
