@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op, text_or_empty, written
+from .common import in_arrow, row_op, text_or_empty, written
 
 DISTANCE, CROWD = 2, 64
 SHINGLE, SEED = 3, 42
@@ -37,14 +37,18 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*[words[i:] for i in range(k)])) if len(words) >= k else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
+    return of_hashes(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of hashes, a row of eight bytes each."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -53,9 +57,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def rows(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "fp": [_signed(fingerprint(t, k)) for t in cols["text"]]}
+        return {"doc_id": cols["doc_id"], "fp": [signed(fingerprint(t, k)) for t in cols["text"]]}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(row_op(rows, schema), "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc_id long, fp long")
 
 
 def variants(fp: Column) -> Column:
@@ -70,9 +74,15 @@ def variants(fp: Column) -> Column:
     return F.concat(of(0), of(1))
 
 
+def _tasks(df: DataFrame) -> list[int]:
+    """As many tasks as the session has shuffle partitions. Given as a number, adaptive execution leaves them as they are."""
+    return [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+
+
 def links(fps: DataFrame) -> DataFrame:
     """All links among distinct fingerprints fps (fp): rows (a, b), a < b, that connect exactly those within DISTANCE."""
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    # Dealt out anew first: a fingerprint takes 64 times its size from here on, and few small files would be few tasks.
+    keyed = fps.repartition(*_tasks(fps), "fp").select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     shared = written(shared, "variants")
@@ -85,7 +95,7 @@ def links(fps: DataFrame) -> DataFrame:
     met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fp < y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).filter(near(F.col("a"), F.col("b")))
     crowded = members.filter(F.col("n") > CROWD).select("fp").distinct()
     masks = [((1 << i) | (1 << j)) for i in range(64) for j in range(i)]
-    table = F.lit([_signed(~m & (1 << 64) - 1) for m in masks])
+    table = F.lit([signed(~m & (1 << 64) - 1) for m in masks])
     two = crowded.select("fp", F.posexplode(table).alias("mask", "keep")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("keep")).alias("rest"))
     # At most four fingerprints share such a variant.
     stars = two.groupBy("mask", "rest").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
