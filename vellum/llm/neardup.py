@@ -1,47 +1,45 @@
 """Near-duplicate removal for a corpus: word shingles of five, similarity 0.8 or more, candidates without loss.
 
-Two sets of shingles of s <= t elements that are alike at 0.8 differ in at most (s + t) / 9 elements, and t <= 1.25 s. Sizes fall
-into classes; for the pairs whose smaller set is of one class, hashes are cut into more bins than can differ, so at least one
-bin is equal (pigeonhole). A text's signatures are the hashes of its bins' contents, under its own class and, where the text
-may be the larger one, the class below. A bin without elements tells nothing: a text has so many bins with elements that one
-of them must be equal, or, where it has not, gives out its empty bins as well, so two such texts meet there. Hence every pair
-of 0.8 or more shares a signature, wherever its edits stand. Each candidate is then verified by the exact Jaccard similarity.
-
-Every text with a signature is first compared with the signature's first text, which gathers families of copies. What is left
-are signatures whose texts are not yet in one component: of up to CROWD texts, all pairs across components are candidates.
-Texts that fuller ones tie together form crowds. They are dealt to blocks, and of all pairs of blocks those texts of different
-components are candidates that counts of shingles do not rule out; no group is ever gathered in one task. Rows of a signature
-are sorted, not gathered.
+Candidates come from prefix filters. In any one order of all shingles, two sets alike at 0.8 share a shingle among the first
+n - ceil(0.8 n) + 1 of each (n: the set's size), and k shingles among the first n - ceil(0.8 n) + k.
+
+1. Texts are collapsed to distinct ones, each stored once.
+2. In the order of their hashes, the first shingles of each text (k about a tenth of n) are told which of them another text
+   has among its own first. A text with too few of those is like no other and goes on no further: most texts are.
+3. Of the texts left all shingles are counted over all these texts, and the first by rising count, the rarest, are the keys
+   under which they meet. So a text meets others only if nearly all its shingles, rare ones too, are found elsewhere; common
+   passages, lines and words come last in the order.
+4. Of the texts left, SimHash fingerprints over the same shingles meet by their deletion variants (simhash.links), which finds
+   close copies at once; such pairs too are verified like all others.
+5. Each text is compared with the first text of its keys, the least first, by exact Jaccard similarity. Keys whose texts are
+   not yet all in one component then give pairs across components: all of them where a key has up to CROWD texts; beyond, texts
+   are dealt to blocks and pairs of blocks are compared by counts of shingles before the sets themselves are fetched.
+
+No group is gathered in one task: shingles that repeat within a task's slice leave one row there, counts are combined before
+the shuffle, and joins on keys can be split. Rows of a key are streamed in the order of the sort.
+
+Defined results: texts without words (null and empty ones too) stay, all of them; repeated rows and equal texts leave the one
+with the least doc_id, a null doc_id after all others; texts of fewer than five words have one shingle, all their words; very
+long texts are shingled in steps; an empty table gives no rows; extra columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op, text_or_empty, written
-from .simhash import components
+from .common import in_arrow, row_op, slices, text_or_empty, written
+from .simhash import components, of_hashes, signed
+from .simhash import links as fingerprint_links
 
 WORDS, SIMILARITY = 5, 0.8
 CROWD, BLOCK = 8, 256
-_BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def _classes() -> np.ndarray:
-    """Largest size of each class; classes grow by 1.35, so sizes within 1.25 of one another are in the same or adjacent ones."""
-    out, low = [], 1
-    while low < 1 << 40:
-        out.append(max(low, int(low * 1.35)))
-        low = out[-1] + 1
-    return np.array(out)
-
-
-_CLASSES = _classes()
+#: Part of a text's shingles that it must share, at least, among the first of them to be looked at further.
+SHARED = 0.1
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,8 +51,13 @@ def shingles(text: str | None) -> np.ndarray:
     ws = words_of(text)
     if not ws:
         return np.zeros(0, np.uint64)
-    runs = map(b" ".join, zip(*[ws[i:] for i in range(WORDS)])) if len(ws) >= WORDS else [b" ".join(ws)]
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(r) for r in runs]), "<u8"))
+    if len(ws) < WORDS:
+        return np.frombuffer(xxhash.xxh64_digest(b" ".join(ws)), "<u8")
+    parts = []
+    for lo in range(0, len(ws) - WORDS + 1, 1 << 16):
+        part = ws[lo : lo + (1 << 16) + WORDS - 1]
+        parts.append(np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(r)) for r in zip(*[part[i:] for i in range(WORDS)])]), "<u8")))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -66,73 +69,91 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def sketch(text: str | None) -> bytes:
-    """BITS of a text's distinct words; empty without words."""
-    ws = set(words_of(text))
-    if not ws:
-        return b""
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in ws]), "<u8")
-    ones = np.zeros(256, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        x = h[i : i + (1 << 14), None] * _BASE
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).tobytes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * _BASE[0]
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ x >> np.uint64(32)
-
-
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Signatures of sorted distinct shingles: two sets alike at SIMILARITY or more have one in common, always."""
-    n = len(s)
-    if not n:
-        return np.zeros(0, np.int64)
-    own, each, top, out = int(np.searchsorted(_CLASSES, n)), _mixed(s), s >> np.uint64(32), []
-    for c in (own, own - 1):
-        most = int(_CLASSES[c]) if c >= 0 else 0
-        if 4 * n > 5 * most:
-            continue
-        bins = most // 4 + 2 + most // 96  # pairs of this class differ in at most a quarter of most elements
-        b = (top * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        start = np.flatnonzero(np.diff(b, prepend=-1))
-        sums, at = np.add.reduceat(each, start), b[start]
-        if len(at) <= (n // 4 if n <= most else (n + most) // 9):
-            full = np.zeros(bins, np.uint64)
-            full[at] = sums
-            sums, at = full, np.arange(bins)
-        out.append(_mixed(sums + ((c << 40) + at).astype(np.uint64) * _BASE[1]))
-    return np.concatenate(out).view(np.int64)
-
-
-def _signed(docs: DataFrame) -> DataFrame:
-    """id and signatures of each text; no texts."""
-    schema = pa.schema([("id", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+def _least_shared(n: int) -> int:
+    """k for a set of n shingles."""
+    return 1 + int(SHARED * n)
 
-    def rows(cols: dict) -> dict:
-        return {"id": cols["id"], "signatures": [signatures(shingles(t)) for t in cols["text"]]}
 
-    return docs.select(F.xxhash64("mark").alias("id"), "text").mapInArrow(row_op(rows, schema), "id long, signatures array<long>")
+def _ceil_similar(n: int) -> int:
+    """ceil(0.8 n) in integers."""
+    return -(-n * 4 // 5)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _firsts(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, id) rows of the first shingles, one a hash; and by id, how many of its firsts repeat here less those it needs.
+
+    A hash that repeats among these texts counts for each of them at once, and leaves a row with the id -1.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    take = [int(x) - _ceil_similar(int(x)) + _least_shared(int(x)) for x in n]
+    h = np.concatenate([s[:t] for s, t in zip(sets, take, strict=True)])
+    which = np.repeat(np.arange(len(sets)), np.minimum(take, n))
+    order = np.argsort(h, kind="stable")
+    h, which = h[order], which[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    score = np.bincount(which[~alone], minlength=len(sets)) - np.array([_least_shared(_ceil_similar(int(x))) for x in n])
+    rows = np.array(ids, np.int64)[which]
+    rows[~alone] = -1
+    return h[new], rows[new], np.array(ids, np.int64), score
+
+
+_KEYED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+
+
+def _keyed(batches):
+    """id, text to rows (h, id, null) of first shingles and rows (h, id, score), dealt by any h."""
+    for batch in slices(batches, "text", 8 << 20):
+        ids, sets = batch.column("id").to_pylist(), [shingles(t) for t in batch.column("text").to_pylist()]
+        h, who, every, score = _firsts(ids, sets)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(who), pa.nulls(len(h), pa.int64())], schema=_KEYED)
+        yield pa.RecordBatch.from_arrays([pa.array((every.astype(np.uint64) * _MIX).view(np.int64)), pa.array(every), pa.array(score)], schema=_KEYED)
+
+
+def _runs(batches):
+    """Rows as _keyed makes them, sorted by h, to (id, score): a row whose h stands beside it again counts one for its id."""
+    last_h = last_id = None  # the row before, if it has no partner yet: its id, else None
+    for batch in batches:
+        score = batch.column("score").to_numpy(zero_copy_only=False)
+        plain = np.isnan(score) if score.dtype.kind == "f" else np.zeros(len(score), bool)
+        h, ids = batch.column("h").to_numpy()[plain], batch.column("id").to_numpy()[plain]
+        out_ids, out_score = [batch.column("id").to_numpy()[~plain]], [score[~plain].astype(np.int64)]
+        if len(h):
+            shared = ids < 0
+            same = h[1:] == h[:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            # A run with a -1 in it is shared by its other rows too; one of -1 alone has nobody else to tell.
+            if last_h is not None and h[0] == last_h:
+                shared[0] = True
+                if last_id is not None:
+                    out_ids.append(np.array([last_id]))
+                    out_score.append(np.ones(1, np.int64))
+            told = shared & (ids >= 0)
+            who, times = np.unique(ids[told], return_counts=True)
+            out_ids.append(who)
+            out_score.append(times)
+            last_id = None if shared[-1] else int(ids[-1])
+            last_h = int(h[-1])
+        i, s = np.concatenate(out_ids), np.concatenate(out_score)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["id", "score"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose shingles are alike. The sets, far larger than the pairs, move only to the ids in pairs."""
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("raw").alias("ra"), F.col("n").alias("na")), "a")
     x = x.join(sets.select(F.col("id").alias("b"), F.col("raw").alias("rb"), F.col("n").alias("nb")), "b")
-    x = x.filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "ra", "rb")
+    x = x.filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "b", "ra", "rb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(cols: dict) -> dict:
         ok = [similarity(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) >= SIMILARITY for p, q in zip(cols["ra"], cols["rb"], strict=True)]
         return {k: [v for v, y in zip(cols[k], ok, strict=True) if y] for k in ("a", "b")}
 
-    return x.mapInArrow(row_op(rows, schema, "ra"), "a long, b long")
+    return in_arrow(x, row_op(rows, schema, "ra"), "a long, b long")
 
 
 def _bins(s: np.ndarray) -> bytes:
@@ -141,12 +162,17 @@ def _bins(s: np.ndarray) -> bytes:
 
 
 def _crowded(crowds: DataFrame) -> DataFrame:
-    """crowds (crowd, id, root, n, bins) to the pairs (a, b) of different roots that the counts do not rule out."""
-    blocked = crowds.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    counts = crowds.groupBy("crowd").agg((F.ceil(F.count("*") / BLOCK)).cast("long").alias("blocks"))
-    blocked = blocked.join(counts, "crowd").withColumn("block", (F.col("slot") % F.col("blocks")).cast("int"))
+    """crowds (crowd, id, root, n, bins) to the pairs (a, b) of different roots that the counts do not rule out.
+
+    A crowd's number of blocks is joined by crowd and salt, so that no task has a whole crowd before it is dealt to blocks.
+    """
+    salts = 64
+    counts = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    salted = crowds.withColumns({"slot": F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "salt": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(salts)).cast("int")})
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    blocked = salted.join(counts, ["crowd", "salt"]).withColumn("block", (F.col("slot") % F.col("blocks")).cast("int"))
     # A block meets each block from itself on: it goes to all its pairs, by their numbers.
-    pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "n", "bins")
 
     def meet(key, table):
@@ -167,54 +193,84 @@ def _crowded(crowds: DataFrame) -> DataFrame:
     return pairs.groupBy("crowd", "p", "q").applyInArrow(meet, "a long, b long")
 
 
+def _keys(sets: DataFrame) -> DataFrame:
+    """(h, id): of each text the first shingles by rising count over all texts here, as far as another text has them."""
+    schema = pa.schema([("id", pa.int64()), ("h", pa.list_(pa.int64()))])
+
+    def unpacked(cols: dict) -> dict:
+        return {"id": cols["id"], "h": [np.frombuffer(x, "<i8") for x in cols["raw"]]}
+
+    each = in_arrow(sets.select("id", "raw"), row_op(unpacked, schema, "raw"), "id long, h array<long>").select("id", F.explode("h").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    held = each.join(counts.hint("shuffle_merge"), "h")
+    by = held.groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("held"))
+    # n - ceil(0.8 n) + 1 first ones; those that no other text has come before all these.
+    first = (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("held"))).cast("int")
+    by = by.join(sets.select("id", "n"), "id").withColumn("first", first).filter("first > 0")
+    return by.select("id", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.col("first"))).alias("x")).select(F.col("x.h").alias("h"), "id")
+
+
+def _close(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that connect texts whose fingerprints are equal or within simhash.DISTANCE."""
+    prints = written(sets.groupBy("fp").agg(F.min("id").alias("a")), "prints")
+    equal = sets.select("fp", F.col("id").alias("b")).join(prints, "fp").filter("a < b").select("a", "b")
+    near = fingerprint_links(prints.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(prints.withColumnRenamed("fp", "x"), "x").join(prints.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """texts (id, text), ids not negative and all different, to links (a, b) that connect exactly those alike, whatever is between."""
+    rows = in_arrow(texts.select("id", "text"), _keyed, "h long, id long, score long")
+    told = in_arrow(rows.repartition("h").sortWithinPartitions("h"), _runs, "id long, score long")
+    some = written(told.groupBy("id").agg(F.sum("score").alias("score")).filter("score >= 0").select("id"), "shared")
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("bins", pa.binary()), ("fp", pa.int64())])
+
+    def shingled(cols: dict) -> dict:
+        found = [shingles(t) for t in cols["text"]]
+        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "bins": [_bins(x) for x in found], "fp": [signed(of_hashes(x.view(np.uint8).reshape(-1, 8))) for x in found]}
+
+    sets = written(in_arrow(texts.select("id", "text").join(some, "id"), row_op(shingled, schema), "id long, raw binary, n long, bins binary, fp long"), "sets")
+    keys = written(_keys(sets), "keys")
+    firsts = keys.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
+    met = written(keys.join(firsts.hint("shuffle_merge"), "h"), "met")  # h, id, a, m
+    pairs = met.filter("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
+    alike = written(_alike(_close(sets).unionByName(pairs).distinct(), sets), "alike")
+    for last in (False, True):
+        found = written(components(alike), "found")
+        rooted = met.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "a", "m", F.coalesce("root", "id").alias("root"))
+        if not last:
+            heads = found.select(F.col("node").alias("a"), F.col("root").alias("other"))
+            across = rooted.join(heads, "a", "left").filter(F.col("root") != F.coalesce("other", "a"))
+            alike = written(alike.unionByName(_alike(across.select("a", F.col("id").alias("b")).distinct(), sets)), "alike")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
+    left = written(rooted.join(mixed.hint("shuffle_merge"), "h"), "mixed")
+    # A key's first text has been compared with all others by now.
+    few = left.filter((F.col("m") <= CROWD) & (F.col("id") != F.col("a")))
+    across = few.alias("x").join(few.alias("y"), F.expr("x.h = y.h and x.id < y.id and x.root != y.root"))
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    crowds = left.filter(F.col("m") > CROWD).select(F.col("a").alias("crowd"), "id", "root").distinct()
+    crowds = written(crowds.join(sets.select("id", "n", "bins"), "id"), "crowds")
+    more = written(across.unionByName(_crowded(crowds)).distinct(), "more")
+    return alike.unionByName(_alike(more, sets))
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """Of each group of near-duplicates among docs (doc_id, text) the first: docs without the others. Texts without words stay.
 
     Groups are the components of the links; the first is the least doc_id, null after all others. Repeated rows leave one.
     """
     last = F.lit((1 << 63) - 1)
-    marked = docs.withColumns({"__mark": F.sha2(text_or_empty(), 256), "__key": F.coalesce(F.col("doc_id").cast("long"), last)})
-    plain = marked.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), text_or_empty().alias("text"))
-    # A row for each distinct text that has words, under a number taken from its digest.
     wordless = ~text_or_empty().rlike(r"\S")
-    each = plain.filter(~wordless).groupBy("mark").agg(F.min("key").alias("least"))
-    texts = written(each.withColumn("id", F.xxhash64("mark")), "texts")
-    # Members of each signature but the first, and the first beside them; copies of a text are one member.
-    order = Window.partitionBy("s").orderBy("id")
-    keyed = _signed(plain.filter(~wordless)).select("id", F.explode("signatures").alias("s"))
-    firsts = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = keyed.select("s", "id", firsts.alias("a"), F.lag("id").over(order).alias("__last")).filter("__last is not null and id != __last")
-    members = written(met.select("s", "a", "id"), "members")
-    pairs = written(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.join(needed, "id").select("id", "mark", F.col("least").alias("key"))
-    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("bins", pa.binary())])
-
-    def rows(cols: dict) -> dict:
-        found = [shingles(t) for t in cols["text"]]
-        return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "bins": [_bins(x) for x in found]}
-
-    held = plain.join(wanted.hint("shuffle_merge"), ["mark", "key"]).select("id", "text")
-    sets = written(held.mapInArrow(row_op(rows, schema), "id long, raw binary, n long, bins binary").dropDuplicates(["id"]), "sets")
-    alike = written(_similar(pairs, sets), "alike")
-    found = written(components(alike), "found")
-    # Signatures whose members are not all in one component yet.
-    rooted = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("s", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
-    left = written(rooted.join(mixed.filter("low != high").select("s", "n", "least").hint("shuffle_merge"), "s"), "mixed")
-    few = left.filter(F.col("n") <= CROWD)
-    across = few.alias("x").join(few.alias("y"), F.expr("x.s = y.s and x.id < y.id and x.root != y.root"))
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    # Crowds: texts that share a full signature with one another, over several of them.
-    crowd_of = components(left.filter(F.col("n") > CROWD).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    crowd_of = crowd_of.unionByName(crowd_of.select(F.col("root").alias("node"), "root")).distinct()
-    crowds = crowd_of.select(F.col("node").alias("id"), F.col("root").alias("crowd")).join(left.select("id", "root").distinct(), "id")
-    crowds = written(crowds.join(sets.select("id", "n", "bins"), "id"), "crowds")
-    more = written(across.unionByName(_crowded(crowds)).distinct(), "more")
-    links = components(alike.unionByName(_similar(more, sets)))
-    # Groups are named by numbers; the first of a group is by doc_id. What goes is small beside what stays.
-    grouped = texts.select("mark", "least", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("mark", "least", F.coalesce("root", "id").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct("least", "mark")).alias("k")).select(F.col("k.least").alias("__key"), F.col("k.mark").alias("__mark"))
-    kept = written(kept, "kept")
-    out = marked.join(kept.hint("shuffle_merge"), ["__key", "__mark"]).filter(~wordless).dropDuplicates(["__key", "__mark"])
-    return out.select(*docs.columns).unionByName(marked.filter(wordless).select(*docs.columns))
+    # All columns travel in one struct, so that no name of theirs can clash.
+    each = docs.filter(~wordless).select(F.unhex(F.sha2(text_or_empty(), 256)).alias("mark"), F.coalesce(F.col("doc_id").cast("long"), last).alias("key"), F.struct(*docs.columns).alias("row"))
+    each = each.groupBy("mark").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row"))
+    base = written(each.select("key", "row", F.monotonically_increasing_id().alias("id")), "texts")
+    found = written(components(links(base.select("id", text_or_empty("row.text").alias("text")))), "groups")
+    # A group is named by one of its ids; its first is by doc_id.
+    named = found.select(F.col("node").alias("id"), "root").unionByName(found.select(F.col("root").alias("id"), "root").distinct())
+    members = base.select("id", "key").join(named, "id")
+    heads = members.groupBy("root").agg(F.min(F.struct("key", "id"))["id"].alias("id"))
+    gone = written(members.select("id").join(heads.select("id"), "id", "left_anti"), "gone")
+    kept = base.join(gone, "id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.filter(wordless).select(*docs.columns))
