@@ -2,13 +2,16 @@
 
 Base kinds are regular expressions. A kind's matches and the gaps between them come from the same pattern, so that a running
 sum of their lengths gives each match's place in code points. To them come spans by entropy: over each candidate string (a
-run of characters that secrets are made of) a window slides; counts by character change by the one that enters and the one
-that leaves, and with them the sum of c*log2(c), from which the window's Shannon entropy follows. Hexadecimal, alphanumeric
-and base64 windows have thresholds of their own, so a key joined to its name or path is judged as it would be alone. Allow-listed candidates are passed over, and so are spans inside a base
-span. Sums are of integers (millionths), so results don't depend on the order of additions.
+run of characters that secrets are made of) a window slides; counts by character, packed twelve to a number, change by the
+one that enters and the one that leaves, and with them the sum of c*log2(c), from which the window's Shannon entropy follows.
+Hexadecimal, alphanumeric and base64 windows have thresholds of their own, so a key joined to its name or path is judged as it
+would be alone. A window that overlaps an allow-listed word is passed over, as are candidates that are allow-listed whole or
+hold no digit, and spans inside a base span. Sums are of integers (millionths), so results don't depend on the order of
+additions.
 
 Defined results: a null text counts as empty; a text without secrets gives a row with zeros and the digest of the empty
-string; repeated rows each give a row; an empty table gives no rows; extra columns are not read.
+string; repeated rows each give a row; an empty table gives no rows; extra columns are not read by the scan, and kept, whatever
+their names, by redact(). A candidate of any length is read whole, in stretches of STRETCH places, with memory for one.
 """
 
 from __future__ import annotations
@@ -32,56 +35,91 @@ WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Least entropy of a window, in bits, by the class of its characters.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Candidates that are no secrets: placeholders, identifiers, ordered alphabets, integrity hashes, paths of plain words.
+#: Words that mark placeholders and ordered alphabets: a window with one of them is no secret. Their lengths are fixed.
+WORDS = ("example", "sample", "placeholder", "your[_-]", "xxxx", "dummy", "changeme", "abcdefgh", "01234567", "12345678")
+#: Candidates that are no secrets as a whole: identifiers, integrity hashes, paths of plain words. No pattern repeats a group,
+#: which would take a stack frame for each repeat.
 ALLOWED = (
-    r"(?i)example|sample|placeholder|your[_-]|xxxx|dummy|changeme",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefgh|01234567|12345678",
     r"^sha(1|256|384|512)-",
-    r"^[-_=]*[A-Za-z]+([-_/=]+[A-Za-z]+)*[-_=]*[0-9]{0,4}$",
+    r"^[-_=]*[A-Za-z][A-Za-z_/=-]*[0-9]{0,4}$",
 )
+#: Places of a candidate that are judged in one go.
+STRETCH = 4096
+#: Bits of a packed count, and counts in a number.
+_BITS, _EACH = 5, 12
 
 
 def _scaled(c: int) -> int:
     return round(c * math.log2(c) * 1_000_000) if c > 1 else 0
 
 
-def entropy_hull(candidate: Column, bits: Column | None = None, window: int = WINDOW) -> Column:
-    """struct(first, last): from the start of the first window of at least so many bits to the end of the last, else nulls.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: it is bound as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Without bits, those of each window's own class.
-    """
+
+def _stretch(codes: Column, bits: Column | None, window: int) -> Column:
+    """struct(first, last) over an array of places in ALPHABET, 0 for what no window may hold."""
     table = F.array(*[F.lit(_scaled(c)) for c in range(window + 2)])
     limit = lambda b: window * (math.log2(window) - b) * 1_000_000  # noqa: E731  # the sum of c*log2(c) is at most this
-    codes = F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
-    n = F.length(candidate)
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("signs"), F.lit(0).alias("wide"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
+        F.array_repeat(F.lit(0).cast("long"), len(ALPHABET) // _EACH + 1).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("p"), F.lit(0).alias("bad"),
+        F.lit(0).alias("signs"), F.lit(0).alias("wide"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+    )
     # Of a character's place in ALPHABET, 0 for none: 1 for a sign, and 1 for all but hexadecimal digits.
     sign = lambda c: (c > 62).cast("int")
     wide = lambda c: (c.between(7, 26) | c.between(33, 52) | (c > 62)).cast("int")
+    at = lambda c: (c % _EACH) * _BITS
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), at(c))
+
+    def step(state: Column, into: Column) -> Column:
+        def with_out(out: Column) -> Column:
+            p = state["p"]
+            count = lambda c: F.call_function("shiftright", F.get(state["counts"], (c / _EACH).cast("int")), at(c)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+            c_out = F.when(out > 0, count(out)).otherwise(0)
+            c_in = count(into) - F.when(into == out, 1).otherwise(0)
+            s = (
+                state["s"]
+                - F.when(c_out > 0, F.get(table, c_out) - F.get(table, c_out - 1)).otherwise(0)
+                + F.when(into > 0, F.get(table, c_in + 1) - F.get(table, c_in)).otherwise(0)
+            ).cast("long")
+            # out is -1 until the window is full.
+            bad = state["bad"] + (into == 0).cast("int") - (out == 0).cast("int")
+            signs, wides = state["signs"] + sign(into) - sign(out), state["wide"] + wide(into) - wide(out)
+            own = F.when(wides == 0, limit(BITS["hex"])).when(signs == 0, limit(BITS["alnum"])).otherwise(limit(BITS["base64"]))
+            hit = (p >= window - 1) & (bad == 0) & (s <= (own if bits is None else limit(bits)))
+            counts = F.transform(
+                state["counts"],
+                lambda c, i: c + F.when((into > 0) & (i == (into / _EACH).cast("int")), one(into)).otherwise(0) - F.when((out > 0) & (i == (out / _EACH).cast("int")), one(out)).otherwise(0),
+            )
+            return F.struct(
+                counts.alias("counts"), s.alias("s"), (p + 1).alias("p"), bad.alias("bad"), signs.alias("signs"), wides.alias("wide"),
+                F.when(hit, F.coalesce(state["first"], p - window + 1)).otherwise(state["first"]).alias("first"), F.when(hit, p + 1).otherwise(state["last"]).alias("last"),
+            )
+
+        return _let(F.when(state["p"] >= window, F.get(codes, state["p"] - window)).otherwise(-1), with_out)
+
+    return F.aggregate(codes, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
-    def step(state: Column, x: Column) -> Column:
-        p, into, out = x["p"], x["into"], x["out"]
-        c_out = F.when(out > 0, F.element_at(state["counts"], out + 1)).otherwise(0)
-        c_in = F.element_at(state["counts"], into + 1) - F.when(into == out, 1).otherwise(0)
-        s = (
-            state["s"]
-            - F.when(c_out > 0, F.element_at(table, c_out + 1) - F.element_at(table, c_out)).otherwise(0)
-            + F.element_at(table, c_in + 2)
-            - F.element_at(table, c_in + 1)
-        ).cast("long")
-        signs, wides = state["signs"] + sign(into) - sign(out), state["wide"] + wide(into) - wide(out)
-        own = F.when(wides == 0, limit(BITS["hex"])).when(signs == 0, limit(BITS["alnum"])).otherwise(limit(BITS["base64"]))
-        hit = (p >= window - 1) & (s <= (own if bits is None else limit(bits)))
-        counts = F.transform(state["counts"], lambda c, i: c + F.when(i == into, 1).otherwise(0) - F.when((out > 0) & (i == out), 1).otherwise(0))
-        return F.struct(
-            counts.alias("counts"), s.alias("s"), signs.alias("signs"), wides.alias("wide"), F.when(hit, F.coalesce(state["first"], p - window + 1)).otherwise(state["first"]).alias("first"), F.when(hit, p + 1).otherwise(state["last"]).alias("last")
-        )
 
-    steps = F.transform(codes, lambda c, p: F.struct(p.alias("p"), c.alias("into"), F.when(p >= window, F.element_at(codes, p - window + 1)).otherwise(0).alias("out")))
-    return F.when(n >= window, F.aggregate(steps, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+def entropy_hull(candidate: Column, bits: Column | None = None, window: int = WINDOW) -> Column:
+    """struct(first, last): from the start of the first window of at least so many bits to the end of the last, else nulls.
+
+    Without bits, those of each window's own class. The candidate holds ASCII only.
+    """
+
+    def over(raw: Column) -> Column:
+        def part(k: Column) -> Column:
+            text = F.decode(F.substring(raw, k * STRETCH + 1, F.lit(STRETCH + window - 1)), "UTF-8")
+            codes = F.transform(F.split(text, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+            hull = _let(codes, lambda c: _stretch(c, bits, window))
+            return _let(hull, lambda h: F.struct((h["first"] + k * STRETCH).alias("first"), (h["last"] + k * STRETCH).alias("last")))
+
+        parts = F.transform(F.sequence(F.lit(0), ((F.length(raw) - window) / STRETCH).cast("int")), part)
+        return _let(parts, lambda x: F.struct(F.array_min(F.transform(x, lambda h: h["first"])).alias("first"), F.array_max(F.transform(x, lambda h: h["last"])).alias("last")))
+
+    return F.when(F.length(candidate) >= window, _let(F.encode(candidate, "UTF-8"), over))
 
 
 def _allowed(candidate: Column) -> Column:
@@ -91,6 +129,14 @@ def _allowed(candidate: Column) -> Column:
     return out
 
 
+def _blanked(candidate: Column) -> Column:
+    """The candidate with each letter of the allow-listed words replaced by one that no window may hold."""
+    out = candidate
+    for p in WORDS:
+        out = F.regexp_replace(out, "(?i)" + p, "." * len(p.replace("[_-]", "_")))
+    return F.when(candidate.rlike("(?i)" + "|".join(WORDS)), out).otherwise(candidate)
+
+
 _HIT = "array<struct<kind:int,i:int,gap:int,size:int,first:int,last:int>>"
 
 
@@ -104,15 +150,14 @@ def _hits(text: Column, kind: int, pattern: str) -> Column:
     else:
         both = F.arrays_zip(found.alias("m"), found.alias("v"), gaps.alias("g"))
 
+    def hit(x: Column, i: Column, first: Column, last: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
     def one(x: Column, i: Column) -> Column:
-        size = F.length(x["m"])
         if KINDS[kind] == "entropy":
-            hull = F.when(~_allowed(x["m"]), entropy_hull(x["m"]))
-            first, last = hull["first"], hull["last"]
-        else:
-            ok = F.length(x["v"]) >= 8
-            first, last = F.when(ok, F.lit(0)), F.when(ok, size)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), size.alias("size"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+            return _let(F.when(~_allowed(x["m"]), entropy_hull(_blanked(x["m"]))), lambda h: hit(x, i, h["first"], h["last"]))
+        ok = F.length(x["v"]) >= 8
+        return hit(x, i, F.when(ok, F.lit(0)), F.when(ok, F.length(x["m"])))
 
     hits = F.filter(F.transform(both, one), lambda h: h["size"].isNotNull())
     return F.when(text.rlike(pattern), hits.cast(_HIT)).otherwise(F.array().cast(_HIT))
@@ -165,19 +210,22 @@ def redact(docs: DataFrame) -> DataFrame:
     Only the texts that hold a span are shuffled. Rows meet their spans by doc_id and the text's digest, so repeated rows are
     alike; a text whose spans overlap gets one mask for them.
     """
-    key = ["__id", "__text"]
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text": F.sha2(text_or_empty(), 256)})
-    maybe = text_or_empty().rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, CANDIDATE)))
-    found = spans(marked.filter(maybe).dropDuplicates(key), *key)
+    # All columns travel in one struct, so that no name of theirs can clash.
+    key = ["id", "mark"]
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    maybe = text.rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, CANDIDATE)))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"id": F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "mark": F.sha2(text, 256)})
+    some = rows.filter(maybe)
+    found = spans(some.select(*key, F.col("row.text").alias("text")).dropDuplicates(key), *key)
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("far", F.max("end").over(before))
     # A span that starts within what is covered so far only adds its tail to the mask before it.
     found = found.withColumn("new", (F.col("far").isNull() | (F.col("start") > F.col("far"))).cast("int"))
     found = found.withColumn("mask", F.sum("new").over(Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cuts = found.groupBy(*key, "mask").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = cuts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    some = marked.filter(maybe).join(cuts, key, "left")
-    c, text = F.col("__cuts"), F.col("text")
+    cuts = cuts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    some = some.join(cuts, key, "left")
+    c = F.col("cuts")
     kept = F.transform(
         F.sequence(F.lit(0), F.size(c)),
         lambda i: F.substring(
@@ -186,8 +234,8 @@ def redact(docs: DataFrame) -> DataFrame:
             (F.when(i < F.size(c), F.get(c, i)["start"]).otherwise(F.length(text)) - F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(0)).cast("int"),
         ),
     )
-    changed = {"text": F.when(c.isNull(), text).otherwise(F.array_join(kept, MASK))}
-    some = some.withColumns(changed)
-    if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(c.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~maybe).unionByName(some.select(*docs.columns))
+    new = F.when(c.isNull(), F.col("row.text")).otherwise(F.array_join(kept, MASK))
+    some = some.select("row", "cuts", new.alias("new"))
+    size = lambda name: F.when(c.isNull(), F.col("row").getField(name)).otherwise(F.length("new")).cast(docs.schema[name].dataType)
+    some = some.select(*[(F.col("new") if name == "text" else size(name) if name == "n_chars" else F.col("row").getField(name)).alias(name) for name in docs.columns])
+    return docs.filter(~text_or_empty().rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, CANDIDATE)))).unionByName(some)
