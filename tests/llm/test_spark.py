@@ -197,6 +197,20 @@ def test_search(spark):
     assert topk.search(topk.build_index(df.limit(0)), 5, 50).count() == 0
 
 
+def test_search_among_huge_components(spark):
+    """Integers far beyond 64 bits rank as they are; scores beyond a long are given as the nearest one."""
+    rng = random.Random(20)
+    rows = [(i, [rng.choice([1.0, 70000.0, 80000.0, -3e7, 1e30, -1e12, 0.25]) for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collected(topk.search(topk.build_index(df, rows=32), 5, 50)))
+    whole = {i: [int(256 * x) if 256 * x == int(256 * x) else -1 for x in e] for i, e in rows}
+    want = []
+    for q in (0, 50):
+        s = sorted((-sum(x * y for x, y in zip(whole[q], whole[j], strict=True)), j) for j in whole if j != q)[:5]
+        want += [(q, r + 1, j, max(min(-x, 2**63 - 1), -(2**63))) for r, (x, j) in enumerate(s)]
+    assert got == want
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (None, 0, None, None), (2, 0, "assistant", None), (2, 0, "assistant", None), (3, None, "user", "</s>\\")]
     got = {r["conv_id"]: r for r in collected(chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))}

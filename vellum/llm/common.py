@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def put_file(folder: str, name: str, raw: bytes) -> None:
+    """Write beside, then rename: a reader never sees half a file, and a repeated task puts the same file there."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    ctx = TaskContext.get()
+    own = f"{path}/.{name}.{ctx.taskAttemptId() if ctx else 0}"
+    with fs.open_output_stream(own) as f:
+        f.write(raw)
+    fs.move(own, f"{path}/{name}")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df stored in the shared folder and read again: this cuts the lineage, so that a lost executor costs no recomputation.
 

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, scratch, slices, text_or_empty
+from .common import in_arrow, put_file, scratch, slices, text_or_empty
 from .tokens import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"VPF1", 128, 0.9
@@ -158,17 +157,6 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.lengths[k]))
 
 
-def _put(folder: str, name: str, raw: bytes) -> None:
-    """Write beside, then rename: a reader never sees half a file, and a repeated task puts the same file there."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    ctx = TaskContext.get()
-    own = f"{path}/.{name}.{ctx.taskAttemptId() if ctx else 0}"
-    with fs.open_output_stream(own) as f:
-        f.write(raw)
-    fs.move(own, f"{path}/{name}")
-
-
 MANIFEST = "part int, shard int, file string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -191,7 +179,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | N
         def close() -> pa.RecordBatch:
             nonlocal seq, before, size
             name, raw = f"shard-{part:06d}-{seq:06d}.vpf", dump(keys, held, before)
-            _put(f"{folder}/shards", name, raw)
+            put_file(f"{folder}/shards", name, raw)
             row = {"part": [part], "shard": [seq], "file": [name], "n_docs": [len(keys)], "n_ids": [size], "n_bytes": [len(raw)]}
             seq, before, size = seq + 1, before + size, 0
             keys.clear()

@@ -7,35 +7,39 @@ says (its digits in non-adjacent form, complements for the negative ones), by ca
 The best rows are selected from the most significant slice downward. What the dropped low bits can change is bounded, so all
 rows within that bound of the k-th are resolved exactly, by their full integers. No row is missed, whatever the data are.
 
-Blocks of queries meet blocks of the index by an equality join on the index block's stripe; a pair gives k rows a query at
-most, and the best k of a query are taken from those. All rows are compared with the stated query set, in blocks.
+A block is a file in the shared folder, and so is a block of queries. What is joined and dealt out are their numbers; a task
+fetches the files that its pairs name. A pair gives k rows a query at most, and the best k of a query are taken from those.
+All rows are compared with the stated query set, in blocks.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, as do empty ones; vectors are
 compared with those of their own length; repeated rows are separate rows, and only the query's own row is left out; ties go
-to the smaller vec_id; integers are cut at 2^24, beyond any sensible embedding, so that sums stay exact; an empty table gives
-no rows; a null vec_id is no query and comes after all others in ties.
+to the smaller vec_id; an empty table gives no rows; a null vec_id is no query and comes after all others in ties. Components
+may be as large as a double: blocks and queries with integers of 2^24 or more are summed in integers without bound, and only
+a score beyond a long is given as the nearest long, and such scores rank by their value as a double.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_arrow, put_file, scratch, written
 
 BITS, ROWS = 6, 16384
-MOST = 1 << 24
+#: Integers below this are summed as 64-bit ones: with 2^14 components no sum reaches 2^63.
+NARROW, MOST_NARROW_DIM = 1 << 24, 1 << 14
 #: Stands for a null vec_id inside blocks.
 _NO_ID = np.iinfo(np.int64).max
 
-INDEX = "block long, dim int, n int, shift int, ids binary, exact binary, low binary, slices binary"
-_INDEX = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("shift", pa.int32()), ("ids", pa.binary()), ("exact", pa.binary()), ("low", pa.binary()), ("slices", pa.binary())])
+INDEX = "block long, dim int, n int, file string"
 
 
 def slice_bits(v: np.ndarray, bits: int = BITS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -137,6 +141,7 @@ class Block:
 
     def __init__(self, dim: int, n: int, shift: int, ids: np.ndarray, exact: np.ndarray, slices: np.ndarray):
         self.n, self.shift, self.ids, self.exact, self.slices = n, shift, ids, exact, slices
+        self.wide = exact.dtype.kind == "f"
         bits = np.zeros(slices.shape[2] * 64, np.uint8)
         bits[:n] = 1
         self.rows = np.packbits(bits, bitorder="little").view(np.uint64)
@@ -156,13 +161,45 @@ class Block:
             least = _kth(sums, among, k) - (spread >> self.shift) - (spread & m > 0)
             among = _at_least(sums, among, least)
         rows = np.flatnonzero(np.unpackbits(among.view(np.uint8), bitorder="little"))
+        if q.dtype == object or self.wide:
+            scores = _whole(self.exact[rows]) @ q.astype(object)
+            best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+            return rows[best], scores[best]
         scores = self.exact[rows].astype(np.int64) @ q
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return rows[best], scores[best]
 
 
-def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> DataFrame:
-    """vectors (vec_id, embedding) to index blocks, stored in the shared folder. Every valid row is indexed; none is shuffled."""
+def _whole(v: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers, or integers, as Python's integers."""
+    flat = np.empty(v.size, object)
+    flat[:] = [int(x) for x in v.ravel().tolist()]
+    return flat.reshape(v.shape)
+
+
+def _integers(v: np.ndarray) -> np.ndarray:
+    """floor(256 * x), held in doubles, as 64-bit integers where their sums of products fit, else as Python's."""
+    return v.astype(np.int64) if np.abs(v).max(initial=0) < NARROW and v.shape[-1] <= MOST_NARROW_DIM else _whole(v)
+
+
+def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    put_file(folder, name, out.getvalue())
+
+
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
+
+
+def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple[DataFrame, str]:
+    """vectors (vec_id, embedding) to (a row per index block, the shared folder that holds the blocks).
+
+    Every valid row is indexed; none is shuffled.
+    """
+    folder = scratch(vectors.sparkSession, "bit-slices")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId() << 32, 0
@@ -172,10 +209,13 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> DataF
             nonlocal count
             own = held.pop(dim)
             ids, v = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-            shift, low, slices = slice_bits(v, bits)
-            small = v.astype(np.int16) if np.abs(v).max(initial=0) < 1 << 15 else v.astype(np.int32)
+            shift, low, slices = slice_bits(_integers(v), bits)
+            most = np.abs(v).max(initial=0)
+            exact = v.astype(np.int16 if most < 1 << 15 else np.int32) if most < NARROW and dim <= MOST_NARROW_DIM else v
             count += 1
-            return pa.RecordBatch.from_pydict({"block": [part + count], "dim": [dim], "n": [len(ids)], "shift": [shift], "ids": [ids.tobytes()], "exact": [small.tobytes()], "low": [low.tobytes()], "slices": [slices.tobytes()]}, schema=_INDEX)
+            name = f"block-{part + count:020d}.npz"
+            _save(folder, name, shift=np.array(shift), ids=ids, exact=exact, slices=slices)
+            return pa.RecordBatch.from_pydict({"block": [part + count], "dim": [dim], "n": [len(ids)], "file": [name]}, schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("file", pa.string())]))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
@@ -187,9 +227,7 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> DataF
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == dim)
-                    v = flat[(ends[own] - dim)[:, None] + np.arange(dim)]
-                    v = np.clip(np.floor(v * 256), -MOST, MOST).astype(np.int64)
-                    held.setdefault(dim, []).append((ids[own], v))
+                    held.setdefault(dim, []).append((ids[own], np.floor(flat[(ends[own] - dim)[:, None] + np.arange(dim)] * 256)))
                     if sum(len(x[0]) for x in held[dim]) >= rows:
                         yield close(dim)
         for dim in list(held):
@@ -198,52 +236,57 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> DataF
     x = F.col("embedding").cast("array<double>")
     valid = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     clean = vectors.filter(valid).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
-    return written(clean.mapInArrow(run, INDEX), "bit-slices")
+    return written(in_arrow(clean, run, INDEX), "blocks"), folder
 
 
-def _block(dim: int, n: int, shift: int, ids: bytes, exact: bytes, slices: bytes) -> Block:
-    kind = np.int16 if len(exact) == 2 * n * dim else np.int32
-    return Block(dim, n, shift, np.frombuffer(ids, np.int64), np.frombuffer(exact, kind).reshape(n, dim), np.frombuffer(slices, np.uint64).reshape(dim, -1, -(-n // 64)))
+def load_block(folder: str, file: str) -> Block:
+    x = _load(folder, file)
+    n, dim = x["exact"].shape
+    return Block(dim, n, int(x["shift"]), x["ids"], x["exact"], x["slices"])
 
 
-def search(index: DataFrame, k: int, every: int, at_once: int = 1024) -> DataFrame:
+def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024) -> DataFrame:
     """The k best rows for each row whose vec_id is divisible by every: query_id, rank, vec_id, score."""
-    stripes = max(1, index.count())
-    packed = pa.schema([("dim", pa.int32()), ("origin", pa.int64()), ("rows", pa.binary()), ("q", pa.binary())])
+    blocks, folder = index
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Query vectors of each block, at_once to a file."""
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                own = np.flatnonzero((ids % every == 0) & (ids != _NO_ID))
-                kind = np.int16 if len(r["exact"]) == 2 * len(ids) * r["dim"] else np.int32
-                v = np.frombuffer(r["exact"], kind).reshape(len(ids), -1)
+                x = _load(folder, r["file"])
+                own = np.flatnonzero((x["ids"] % every == 0) & (x["ids"] != _NO_ID))
                 for lo in range(0, len(own), at_once):
                     part = own[lo : lo + at_once]
-                    yield pa.RecordBatch.from_pydict({"dim": [r["dim"]], "origin": [r["block"]], "rows": [np.stack([part, ids[part]]).astype(np.int64).tobytes()], "q": [v[part].astype(np.int32).tobytes()]}, schema=packed)
+                    name = f"queries-{r['block']:020d}-{lo:08d}.npz"
+                    _save(folder, name, rows=part, ids=x["ids"][part], q=x["exact"][part].astype(np.float64))
+                    yield pa.RecordBatch.from_pydict({"dim": [r["dim"]], "origin": [r["block"]], "queries": [name]}, schema=pa.schema([("dim", pa.int32()), ("origin", pa.int64()), ("queries", pa.string())]))
 
-    found = pa.schema([("origin", pa.int64()), ("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("at", pa.int64()), ("score", pa.int64())])
+    found = pa.schema([*[(c, pa.int64()) for c in ("origin", "row", "query_id", "vec_id", "at", "score")], ("beyond", pa.float64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("block", "dim", "n", "shift", "origin", "rows", "q")}
-                if r["block"] != last:
-                    last, block = r["block"], _block(r["dim"], r["n"], r["shift"], *[batch.column(c)[i].as_py() for c in ("ids", "exact", "slices")])
-                rows, ids = np.frombuffer(r["rows"], np.int64).reshape(2, -1)
-                out: list[list] = [[], [], [], [], [], []]
-                for row, vec, q in zip(rows.tolist(), ids.tolist(), np.frombuffer(r["q"], np.int32).reshape(len(rows), -1).astype(np.int64), strict=True):
-                    at, scores = block.top(q, k, row if r["origin"] == r["block"] else None)
-                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), scores.tolist()), strict=True):
+            for r in batch.to_pylist():
+                if r["file"] != last:
+                    last, block = r["file"], load_block(folder, r["file"])
+                x = _load(folder, r["queries"])
+                out: list[list] = [[] for _ in found]
+                for row, vec, q in zip(x["rows"].tolist(), x["ids"].tolist(), x["q"], strict=True):
+                    at, scores = block.top(_integers(q), k, row if r["origin"] == r["block"] else None)
+                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), [min(max(x, -_NO_ID - 1), _NO_ID) for x in scores.tolist()], scores.tolist()), strict=True):
                         c.extend(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=found)
+                yield pa.RecordBatch.from_arrays([pa.array(map(f.type.to_pandas_dtype(), c), f.type) for c, f in zip(out, found, strict=True)], schema=found)
 
-    asked = index.select("block", "dim", "ids", "exact").mapInArrow(queries, "dim int, origin long, rows binary, q binary")
+    asked = written(in_arrow(blocks.select("block", "dim", "file"), queries, "dim int, origin long, queries string"), "queries")
+    n_blocks, n_asked = blocks.count(), asked.count()
+    stripes = max(1, n_blocks)
+    # Each file of queries meets each block: numbers and names are joined by stripe, and dealt out evenly by range.
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    striped = index.select("block", "dim", "n", "shift", "ids", "exact", "slices", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"))
-    pairs = striped.join(asked.hint("shuffle_merge"), ["stripe", "dim"])
-    best = pairs.mapInArrow(meet, "origin long, row long, query_id long, vec_id long, at long, score long")
-    order = Window.partitionBy("origin", "row").orderBy(F.col("score").desc(), "vec_id", "at")
+    striped = blocks.select("block", "dim", "file", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"))
+    pairs = striped.join(asked.hint("shuffle_merge"), ["stripe", "dim"]).select("block", "file", "origin", "queries")
+    tasks = max(1, min(n_blocks * n_asked, max(n_blocks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    pairs = pairs.repartitionByRange(tasks, "block", "queries").sortWithinPartitions("block", "queries")
+    best = in_arrow(pairs, meet, "origin long, row long, query_id long, vec_id long, at long, score long, beyond double")
+    order = Window.partitionBy("origin", "row").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id", "at")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != _NO_ID, F.col("vec_id")).alias("vec_id"), "score")
