@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op, text_or_empty, written
+from .common import in_arrow, row_op, slices, text_or_empty, written
 
 MIN_WORDS, MIN_SENTENCES, STRETCH = 20, 2, 10
 _WORD = re.compile(r"\S+\s*")
@@ -74,22 +74,23 @@ class Sentences:
         # run_end[i]: one past the last sentence of the run from i, beyond m where there is none
         self.run_end = np.maximum(np.searchsorted(ends, self.starts + MIN_WORDS) + 1, np.arange(m) + MIN_SENTENCES)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence numbers, hashes) of all runs."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence numbers, hashes, and 32 more bits to tell equal hashes apart) of all runs."""
         at = np.flatnonzero(self.run_end <= len(self.ends))
         if not len(at):
-            return at, np.zeros(0, np.int64)
+            return at, np.zeros(0, np.int64), np.zeros(0, np.int32)
         plain = [w.rstrip().lower().encode("utf-8", "replace") for w in self.words]
         joined = b" ".join(plain)
         place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)])
         lo, hi = place[self.starts[at]].tolist(), (place[self.ends[self.run_end[at] - 1]] - 1).tolist()
-        digest = xxhash.xxh64_digest
-        return at, np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(lo, hi, strict=True)]), "<i8")
+        digest = xxhash.xxh3_128_digest
+        raw = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(lo, hi, strict=True)]), np.uint8).reshape(-1, 16)
+        return at, np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:12]).view("<i4").ravel()
 
     def without(self, runs: list[int]) -> tuple[str, int]:
         """(the text without the sentences that these runs and later copies within the text cover, how many those are)."""
         m = len(self.ends)
-        at, h = self.hashes()
+        at, h, _ = self.hashes()
         _, first = np.unique(h, return_index=True)
         again = np.ones(len(at), bool)
         again[first] = False
@@ -110,49 +111,46 @@ def _mark(text: str | None) -> int:
 
 def runs_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc, mark, hashes, places: the first of each hash within a document. A row per document."""
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def rows(cols: dict) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, text in zip(cols["doc_id"], cols["text"], strict=True):
-            at, h = Sentences(text).hashes()
+            at, h, check = Sentences(text).hashes()
             if not len(h):
                 continue
             h, first = np.unique(h, return_index=True)
-            for k, v in zip(out, (_LAST if key is None else key, _mark(text), h, at[first].astype(np.int32)), strict=True):
+            for k, v in zip(out, (_LAST if key is None else key, _mark(text), h, check[first], at[first].astype(np.int32)), strict=True):
                 out[k].append(v)
         return out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(row_op(rows, schema), "doc long, mark long, hashes array<long>, places array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<int>, places array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, mark, runs: which runs of a document another document has first."""
     runs = written(runs_of(docs), "runs")
-    each = runs.select(F.explode("hashes").alias("h"), "doc")
-    shared = each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
-    placed = runs.select("doc", F.posexplode("hashes").alias("i", "h"), "mark", "places")
-    placed = placed.select("h", "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.get("places", F.col("i")).cast("long")).alias("place"))
-    later = placed.join(shared.hint("shuffle_merge"), "h").filter("doc > first")
+    each = runs.select("doc", F.explode(F.arrays_zip("hashes", "checks")).alias("x")).select(F.col("x.hashes").alias("h"), "doc", F.col("x.checks").alias("check"))
+    first = F.min(F.struct("doc", "check"))
+    shared = each.groupBy("h").agg(first.alias("first"), F.max("doc").alias("last")).filter("first.doc < last").select("h", F.col("first.doc").alias("first"), F.col("first.check").alias("check"))
+    placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
+    placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("own"))
+    later = placed.join(shared.hint("shuffle_merge"), "h").filter("doc > first and own = check")
     return later.groupBy("doc", F.shiftright("place", 31).alias("mark")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("runs"))
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs with repeated sentences removed from text; other columns as they are, and n_sentences and n_removed where counts."""
-    found = repeats(docs).withColumnsRenamed({"doc": "__doc", "mark": "__mark", "runs": "__runs"})
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.withColumns({"__d": key, "__m": F.crc32(text_or_empty())})
-    joined = joined.join(found.hint("shuffle_merge"), (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
-    names = [c for c in docs.columns if c != "text"]
-    inner = joined.select(F.struct(*names).alias("rest"), "text", "__runs")
+    # All columns travel in one struct, so that no name of theirs can clash.
+    found = repeats(docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.crc32(text_or_empty()).alias("mark"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"), "text")
+    inner = rows.join(found.hint("shuffle_merge"), ["doc", "mark"], "left").select("rest", "text", "runs")
     kind = f"rest {inner.schema['rest'].dataType.simpleString()}, text string, n_sentences int, n_removed int"
 
     def run(batches):
-        from .common import slices
-
         for batch in slices(batches, "text"):
             texts, n_all, n_gone = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 s = Sentences(text or "")
                 new, gone = s.without(runs or [])
                 texts.append(new if gone else text)
@@ -160,5 +158,5 @@ def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
                 n_gone.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(n_all, pa.int32()), pa.array(n_gone, pa.int32())], names=["rest", "text", "n_sentences", "n_removed"])
 
-    out = inner.mapInArrow(run, kind)
+    out = in_arrow(inner, run, kind)
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], *(["n_sentences", "n_removed"] if counts else []))
