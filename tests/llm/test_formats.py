@@ -223,6 +223,20 @@ def test_marginals_by_brute_force():
     assert np.allclose(crf._expected_pairs(e[:, 0], a), pairs / total, atol=1e-5)
 
 
+def test_stretches_give_the_marginals_of_the_whole_chain(monkeypatch):
+    rng = np.random.default_rng(9)
+    m = crf.Model(["x", "y", "z"], rng.normal(size=(crf.TABLE, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
+    lists = [[f"w{rng.integers(50)}" for _ in range(n)] for n in (0, 1, 7, 8, 9, 16, 61, 300)]
+    whole = m.marginals(lists)
+    monkeypatch.setattr(crf, "STRETCH", 8)
+    for a, b in zip(whole, m.marginals(lists), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_words_are_letters_only():
+    assert crf.words_of("½ ² Ⅷ ① a½b É9x _") == ["a", "b", "é", "x"]
+
+
 def test_switched_text_is_labelled_word_by_word():
     m = crf.fit([("the cat and the dog were there with them " * 9, "en"), ("der hund und die katze waren nicht mit ihnen " * 9, "de")] * 8)
     ws = crf.words_of("the dog and the cat were there der hund und die katze waren nicht")
@@ -286,7 +300,7 @@ def test_passages_of_51_words_hold_a_run_anywhere():
         found = []
         for before, after in ((source[:at], source[at + 51 :]), (host, [word() for _ in range(rng.randrange(60))])):
             s = substrings.Sentences(" ".join(before + passage + after))
-            k, h = s.hashes()
+            k, h, _ = s.hashes()
             inside = (s.starts[k] >= len(before)) & (s.ends[s.run_end[k] - 1] <= len(before) + 51)
             found.append(set(h[inside].tolist()))
         assert found[0] & found[1], passage

@@ -1,17 +1,21 @@
 """Operator 10: language identification by a linear-chain conditional random field over words.
 
 Each word is labelled with a language by forward-backward over learned transitions and the weights of its features: the word
-itself (lexicon), its prefixes and suffixes (affixes) and its character n-grams, hashed to a table. A chain is a run of at
-most CHAIN words; every word of a text is in one. A run of letters longer than PIECE, as in scripts without spaces, counts as
-consecutive words of at most PIECE letters each, so all of it takes part. A text's language is the one with the largest share of its words' marginal
-probabilities, and that share is the score, so code-switched texts show in lower scores (and the words' own labels say where).
+itself (lexicon), its prefixes and suffixes (affixes) and its character n-grams, hashed to a table. A text is one chain from
+its first word to its last. Long chains are computed in stretches side by side: the product of each stretch's matrices carries
+the messages from one to the next, so the marginals are those of the whole chain. A run of letters longer than PIECE, as in
+scripts without spaces, counts as consecutive words of at most PIECE letters each. A text's language is the one with the
+largest share of its words' marginal probabilities, and that share is the score, so code-switched texts show in lower scores
+(and the words' own labels say where).
 
 The model is fitted on a bounded sample: at most PER_LABEL labelled documents of each language, those with the least hash of
-their doc_id, and the first SAMPLE_CHARS characters of each; chains for fitting are put together from pieces of documents of
-several languages, so that switches are learned. Prediction goes over every whole text, and reads nothing but text.
+their doc_id among those of at most LONGEST characters; each takes part whole. Chains for fitting are put together from pieces
+of documents of several languages, so that switches are learned. Prediction goes over every whole text, and reads nothing but
+text.
 
-Defined results: null texts and those without a letter are "und" with score 0; ties go to the language first in order; with no
-labelled rows all are "und"; repeated rows give the same values; an empty table gives no rows; extra columns are not read.
+Defined results: null texts and those without a letter (Unicode category L) are "und" with score 0; ties go to the language
+first in order; with no labelled rows all are "und"; repeated rows give the same values; an empty table gives no rows; extra
+columns are not read, and kept, whatever their names, by keep_identified(); a very long text is one row of a slice.
 """
 
 from __future__ import annotations
@@ -19,26 +23,37 @@ from __future__ import annotations
 import pickle
 import random
 import re
+import sys
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op
+from .common import in_arrow, row_op, slices
 
 UNKNOWN = "und"
-CHAIN, PER_LABEL, SAMPLE_CHARS, TABLE, PIECE = 128, 150, 2000, 1 << 16, 40
+PER_LABEL, LONGEST, TABLE, PIECE = 120, 20_000, 1 << 16, 40
+#: Words of a stretch.
+STRETCH = 128
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-4
 #: Words whose weights a worker remembers.
 REMEMBERED = 400_000
 _WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 
+@lru_cache(1)
+def _signs() -> re.Pattern:
+    """Characters that the pattern takes for letters, though they are numbers: fractions, superscripts, numerals, circled ones."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower case, in pieces of at most PIECE."""
-    return _WORD.findall((text or "").lower())
+    t = (text or "").lower()
+    return _WORD.findall(t if t.isascii() else _signs().sub(" ", t))
 
 
 def features(word: str, table: int = TABLE) -> tuple[int, ...]:
@@ -74,23 +89,54 @@ class Model:
         return self.memory[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each list of words, the probability of each label at each word. Chains of all of them advance together."""
-        k = len(self.labels)
+        """For each list of words, the probability of each label at each word. Stretches of all of them advance together."""
         each = self.emissions([w for ws in texts for w in ws])
-        first = np.cumsum([0] + [len(ws) for ws in texts]).tolist()
-        spans = [(f + i, min(f + i + CHAIN, f + len(ws))) for f, ws in zip(first, texts, strict=False) for i in range(0, len(ws), CHAIN)]
-        spans.sort(key=lambda s: s[0] - s[1])
+        first = np.cumsum([0] + [len(ws) for ws in texts])
+        count = -(-np.diff(first) // STRETCH)  # stretches by text
+        text = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        start = first[text] + place * STRETCH
+        size = np.minimum(first[text + 1] - start, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        k = len(self.labels)
+        before, after = np.ones((len(text), k), np.float32), np.ones((len(text), k), np.float32)
+        long = np.flatnonzero(count[text[order]] > 1)
+        if len(long):
+            product = np.zeros((len(text), k, k), np.float32)
+            for lo in range(0, len(long), 4096):
+                own = order[long[lo : lo + 4096]]
+                e, alive, _ = self._columns(each, start[own], size[own])
+                product[own] = products(e, self.transitions, alive, place[own] == 0)
+            self._carry(product, count, before, after)
         out = np.zeros(each.shape, np.float32)
-        for lo in range(0, len(spans), 4096):
-            part = np.array(spans[lo : lo + 4096])
-            sizes = part[:, 1] - part[:, 0]
-            place = np.arange(int(sizes[0]))[:, None]
-            at = np.minimum(part[:, 0] + place, len(each) - 1)
-            alive = (sizes > place).sum(axis=1).tolist()
-            got = forward_backward(each[at], self.transitions, alive)
-            real = sizes > place
+        for lo in range(0, len(order), 4096):
+            own = order[lo : lo + 4096]
+            e, alive, at = self._columns(each, start[own], size[own])
+            got = forward_backward(e, self.transitions, alive, before[own], after[own])
+            real = size[own] > np.arange(len(at))[:, None]
             out[at[real]] = got[real]
-        return [out[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        return [out[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def _columns(each: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """Scores (place x stretch x label) of stretches sorted from the longest, how many reach each place, rows of each."""
+        place = np.arange(int(size[0]))[:, None]
+        at = np.minimum(start + place, len(each) - 1)
+        return each[at], (size > place).sum(axis=1).tolist(), at
+
+    def _carry(self, product: np.ndarray, count: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        """Messages into each stretch from both sides, from the products of the stretches of each text."""
+        a = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
+        head = np.cumsum(count) - count
+        scale = lambda x: x / x.sum(axis=1, keepdims=True)
+        ahead, back = np.ones((len(count), a.shape[0]), np.float32), np.ones((len(count), a.shape[0]), np.float32)
+        for t in range(1, int(count.max())):
+            own = np.flatnonzero(count > t)
+            ahead[own] = scale(np.einsum("nk,nkj->nj", ahead[own], product[head[own] + t - 1]))
+            before[head[own] + t] = ahead[own] @ a
+            last = head[own] + count[own] - t
+            back[own] = scale(np.einsum("nkj,nj->nk", product[last], back[own]))
+            after[last - 1] = back[own]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(t) for t in texts]
@@ -107,18 +153,34 @@ class Model:
         return labels, scores
 
 
-def forward_backward(scores: np.ndarray, transitions: np.ndarray, alive: list[int]) -> np.ndarray:
-    """Marginals (place x chain x label) of chains sorted from the longest; alive[p]: how many reach place p."""
+def products(scores: np.ndarray, transitions: np.ndarray, alive: list[int], opens: np.ndarray) -> np.ndarray:
+    """What each stretch does to a message (chain x label x label); opens: stretches without a word before them."""
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    a = np.exp(transitions - transitions.max()).astype(np.float32)
+    out = np.where(opens[:, None, None], np.eye(len(a), dtype=np.float32), a) * e[0][:, None, :]
+    for p in range(1, len(e)):
+        n = alive[p]
+        x = (out[:n] @ a) * e[p, :n, None, :]
+        out[:n] = x / x.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, alive: list[int], before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Marginals (place x chain x label) of chains sorted from the longest; alive[p]: how many reach place p.
+
+    before and after (chain x label): messages from what stands before and after each, none where they are missing.
+    """
     size = len(scores)
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     a = np.exp(transitions - transitions.max()).astype(np.float32)
     ahead = np.zeros_like(e)
-    ahead[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    ahead[0] = e[0] if before is None else e[0] * before
+    ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
     for p in range(1, size):
         n = alive[p]
         x = ahead[p - 1, :n] @ a * e[p, :n]
         ahead[p, :n] = x / x.sum(axis=1, keepdims=True)
-    back = np.ones_like(e[0])
+    back = np.ones_like(e[0]) if after is None else after.copy()
     out = np.zeros_like(e)
     for p in range(size - 1, -1, -1):
         n = alive[p]
@@ -220,10 +282,12 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     from pyspark.sql import Window
 
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    fit_for = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)
+    rows = docs.filter(fit_for).select("doc_id", "lang")
     picked = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label).select("doc_id", "lang")
-    texts = docs.filter(~held_out()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = texts.join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).filter("text is not null").collect()
+    # Rows that share their doc_id, null or not, are few by hash; of repeated ones, so many as picked.
+    texts = docs.filter(fit_for).select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
+    sample = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return fit(sorted((r["text"], r["lang"]) for r in sample))
 
 
@@ -245,7 +309,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         labels, scores = m.predict(cols["text"])
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "lang_pred": labels, "score": scores}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(row_op(rows, schema), "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), row_op(rows, schema), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
@@ -255,8 +319,6 @@ def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFr
     mark = zlib.crc32(raw)
 
     def run(batches):
-        from .common import slices
-
         for batch in slices(batches, "text"):
             m = _LOADED.get(mark)
             if m is None:
@@ -265,4 +327,4 @@ def keep_identified(docs: DataFrame, model: Model, least_share: float) -> DataFr
             labels, scores = m.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([y != UNKNOWN and s >= least_share for y, s in zip(labels, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
