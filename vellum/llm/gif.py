@@ -2,29 +2,33 @@
 
 decode() reads any GIF87a/89a stream: LZW code streams (with clear codes anywhere, and full tables), global and local palettes,
 interlacing, transparency and the disposal rules, as frames with their start, delay, palette samples, picture and colour
-histogram. encode() writes samples losslessly as grey frames of SIDE x SIDE, one palette entry per byte value.
+histogram. encode() writes samples losslessly as frames of SIDE x SIDE, one palette colour per byte value.
 
-Defined results: a null or empty text is one frame of bytes 255; equal texts give equal values; a damaged stream raises
-ValueError; an empty table gives no rows. A task holds one slice of texts and their frames.
+Defined results: a null or empty text is one frame of bytes 255; equal texts give equal values; repeated rows each give a row;
+a damaged stream raises ValueError; an empty table gives no rows; extra columns are not read. A task holds one slice of texts,
+their samples and one picture at a time, so a very long text takes a few times its own size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_op, text_or_empty
+from .common import in_arrow, row_op, text_or_empty
 
 SIDE, DELAY_CS = 24, 4
 UNIT = SIDE * SIDE
-BINS = 16
+#: Levels of each of red, green and blue in a colour histogram.
+LEVELS = 4
 
 
 @lru_cache(16)
@@ -183,16 +187,17 @@ def lzw_decode_many(streams: list[bytes], depth: int, n: int) -> list[bytes]:
     return [x if x is not None else lzw_decode(streams[i], depth, n) for i, x in enumerate(out)]
 
 
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Byte values as colours: three bits of red, three of green, two of blue, each spread over 0 to 255.
+_COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 def encode(samples: bytes, side: int = SIDE, delay_cs: int = DELAY_CS) -> bytes:
-    """A GIF of grey frames that hold the samples, a positive multiple of side * side, row by row."""
+    """A GIF of frames that hold the samples, a positive multiple of side * side, row by row."""
     unit = side * side
     if not samples or len(samples) % unit:
         raise ValueError("samples fill whole frames")
     size = side.to_bytes(2, "little")
-    out = [b"GIF89a", size, size, b"\xf7\x00\x00", _GREY]
+    out = [b"GIF89a", size, size, b"\xf7\x00\x00", _COLOURS]
     control = b"\x21\xf9\x04\x04" + delay_cs.to_bytes(2, "little") + b"\x00\x00"
     head = control + b"\x2c\x00\x00\x00\x00" + size + size + b"\x00\x08"
     for i in range(0, len(samples), unit):
@@ -213,7 +218,8 @@ class Frame:
     left: int
     top: int
     samples: np.ndarray  # palette numbers, height x width, as stored (interlacing undone)
-    picture: np.ndarray  # the canvas once this frame is drawn: height x width x (red, green, blue, opaque)
+    picture: np.ndarray  # the canvas once this frame is drawn: height x width x (red, green, blue, opaque); copied if kept
+    histogram: np.ndarray | None = None
 
 
 def _blocks(raw: bytes, at: int) -> tuple[bytes, int]:
@@ -282,11 +288,11 @@ def _parse(raw: bytes) -> tuple[int, int, list[_Image]]:
 
 
 def decode(raw: bytes) -> list[Frame]:
-    return decode_many([raw])[0]
+    return list(decode_many([raw])[0])
 
 
-def decode_many(files: list[bytes]) -> list[list[Frame]]:
-    """All frames of each file; code streams of the same size are decoded together."""
+def decode_many(files: list[bytes]) -> list[Iterator[Frame]]:
+    """The frames of each file, drawn as they are asked for; code streams of the same size are decoded together."""
     parsed = [_parse(raw) for raw in files]
     by_size: dict[tuple[int, int], list[_Image]] = {}
     for _, _, images in parsed:
@@ -298,9 +304,8 @@ def decode_many(files: list[bytes]) -> list[list[Frame]]:
     return [_draw(width, height, images, samples) for width, height, images in parsed]
 
 
-def _draw(width: int, height: int, images: list[_Image], decoded: dict[int, bytes]) -> list[Frame]:
+def _draw(width: int, height: int, images: list[_Image], decoded: dict[int, bytes]) -> Iterator[Frame]:
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     clock = 0
     for x in images:
         w, h, left, top = x.width, x.height, x.left, x.top
@@ -322,19 +327,27 @@ def _draw(width: int, height: int, images: list[_Image], decoded: dict[int, byte
         if part.size:
             area[drawn, ..., :3] = x.palette[part[drawn]]
             area[drawn, ..., 3] = 255
-        frames.append(Frame(clock, x.delay_ms, left, top, samples, canvas.copy()))
+        yield Frame(clock, x.delay_ms, left, top, samples, canvas)
         if x.disposal == 2:
             canvas[top:y2, left:x2] = 0
         elif kept is not None:
             canvas = kept
         clock += x.delay_ms
-    return frames
 
 
 def histogram(p: np.ndarray) -> np.ndarray:
-    """Counts of a picture's opaque pixels by BINS steps of brightness."""
-    grey = (p[..., 0].astype(np.uint32) * 299 + p[..., 1].astype(np.uint32) * 587 + p[..., 2].astype(np.uint32) * 114) // 1000
-    return np.bincount(grey[p[..., 3] > 0] * BINS // 256, minlength=BINS)
+    """Counts of a picture's opaque pixels by LEVELS steps of red, green and blue each, red first."""
+    step = p[..., :3].astype(np.int64) * LEVELS // 256
+    colour = (step[..., 0] * LEVELS + step[..., 1]) * LEVELS + step[..., 2]
+    return np.bincount(colour[p[..., 3] > 0], minlength=LEVELS**3)
+
+
+def timed_frames(files: list[bytes]) -> Iterator[tuple[int, Frame]]:
+    """(file number, frame with its histogram) of all files, in order."""
+    for i, frames in enumerate(decode_many(files)):
+        for f in frames:
+            f.histogram = histogram(f.picture)
+            yield i, f
 
 
 def payload(text: str | None) -> bytes:
@@ -352,7 +365,7 @@ def store(docs: DataFrame) -> DataFrame:
     def rows(cols: dict) -> dict:
         return {"doc_id": cols["doc_id"], "n_bytes": [len((t or "").encode()) for t in cols["text"]], "media": [encode(payload(t)) for t in cols["text"]]}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(row_op(rows, schema), MEDIA)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), MEDIA)
 
 
 FRAMES = "doc_id long, frame int, at_ms long, delay_ms long, width int, height int, samples binary, histogram array<long>"
@@ -365,27 +378,32 @@ def frames_of(media: DataFrame) -> DataFrame:
     def rows(cols: dict) -> dict:
         out: dict[str, list] = {k: [] for k, _ in names}
         some = [(key, raw) for key, raw in zip(cols["doc_id"], cols["media"], strict=True) if raw]
-        for (key, _), frames in zip(some, decode_many([raw for _, raw in some]), strict=True):
-            for i, f in enumerate(frames):
-                for k, v in zip(out, (key, i, f.at_ms, f.delay_ms, f.samples.shape[1], f.samples.shape[0], f.samples.tobytes(), histogram(f.picture).tolist()), strict=True):
-                    out[k].append(v)
+        number = [0] * len(some)
+        for i, f in timed_frames([raw for _, raw in some]):
+            for k, v in zip(out, (some[i][0], number[i], f.at_ms, f.delay_ms, f.samples.shape[1], f.samples.shape[0], f.samples.tobytes(), f.histogram.tolist()), strict=True):
+                out[k].append(v)
+            number[i] += 1
         return out
 
-    return media.select("doc_id", "media").mapInArrow(row_op(rows, pa.schema(names), "media"), FRAMES)
+    return in_arrow(media.select("doc_id", "media"), row_op(rows, pa.schema(names), "media"), FRAMES)
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Stored files read back: the samples of all frames in order, and the histogram of the frames together as the feature."""
+    """Stored files read back: the samples of all frames in order, and the colour histograms of the frames together as the feature."""
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
     def rows(cols: dict) -> dict:
         out: dict[str, list] = {k: [] for k, _ in names}
-        for key, n, raw, frames in zip(cols["doc_id"], cols["n_bytes"], cols["media"], decode_many(cols["media"]), strict=True):
-            data = b"".join(f.samples.tobytes() for f in frames)
-            hist = histogram(np.stack([f.picture for f in frames]))
-            feature = f"{len(frames)}x{frames[-1].at_ms + frames[-1].delay_ms}ms:" + ",".join(map(str, hist.tolist()))
+        found = groupby(timed_frames(cols["media"]), key=lambda x: x[0])
+        for (_, own), key, n, raw in zip(found, cols["doc_id"], cols["n_bytes"], cols["media"], strict=True):
+            data, hist, count, end = bytearray(), np.zeros(LEVELS**3, np.int64), 0, 0
+            for _, f in own:
+                data += f.samples.tobytes()
+                hist += f.histogram
+                count, end = count + 1, f.at_ms + f.delay_ms
+            feature = f"{count}x{end}ms:" + ",".join(map(str, hist.tolist()))
             for k, v in zip(out, (key, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature), strict=True):
                 out[k].append(v)
         return out
 
-    return media.mapInArrow(row_op(rows, pa.schema(names), "media"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_arrow(media, row_op(rows, pa.schema(names), "media"), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
