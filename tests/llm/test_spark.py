@@ -206,8 +206,10 @@ def test_search_among_huge_components(spark):
     whole = {i: [int(256 * x) if 256 * x == int(256 * x) else -1 for x in e] for i, e in rows}
     want = []
     for q in (0, 50):
-        s = sorted((-sum(x * y for x, y in zip(whole[q], whole[j], strict=True)), j) for j in whole if j != q)[:5]
-        want += [(q, r + 1, j, max(min(-x, 2**63 - 1), -(2**63))) for r, (x, j) in enumerate(s)]
+        score = {j: sum(x * y for x, y in zip(whole[q], whole[j], strict=True)) for j in whole if j != q}
+        near = {j: max(min(x, 2**63 - 1), -(2**63)) for j, x in score.items()}
+        s = sorted((-near[j], -float(x), j) for j, x in score.items())[:5]
+        want += [(q, r + 1, j, near[j]) for r, (_, _, j) in enumerate(s)]
     assert got == want
 
 

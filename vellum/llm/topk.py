@@ -37,7 +37,7 @@ BITS, ROWS = 6, 16384
 #: Integers below this are summed as 64-bit ones: with 2^14 components no sum reaches 2^63.
 NARROW, MOST_NARROW_DIM = 1 << 24, 1 << 14
 #: Stands for a null vec_id inside blocks.
-_NO_ID = np.iinfo(np.int64).max
+_NO_ID = int(np.iinfo(np.int64).max)
 
 INDEX = "block long, dim int, n int, file string"
 
@@ -163,7 +163,7 @@ class Block:
         rows = np.flatnonzero(np.unpackbits(among.view(np.uint8), bitorder="little"))
         if q.dtype == object or self.wide:
             scores = _whole(self.exact[rows]) @ q.astype(object)
-            best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+            best = sorted(range(len(rows)), key=lambda i: (-_long(scores[i]), -float(scores[i]), self.ids[rows[i]]))[:k]
             return rows[best], scores[best]
         scores = self.exact[rows].astype(np.int64) @ q
         best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -177,6 +177,10 @@ def _whole(v: np.ndarray) -> np.ndarray:
     return flat.reshape(v.shape)
 
 
+def _long(x: int) -> int:
+    return min(max(x, -_NO_ID - 1), _NO_ID)
+
+
 def _integers(v: np.ndarray) -> np.ndarray:
     """floor(256 * x), held in doubles, as 64-bit integers where their sums of products fit, else as Python's."""
     return v.astype(np.int64) if np.abs(v).max(initial=0) < NARROW and v.shape[-1] <= MOST_NARROW_DIM else _whole(v)
@@ -273,7 +277,7 @@ def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024
                 out: list[list] = [[] for _ in found]
                 for row, vec, q in zip(x["rows"].tolist(), x["ids"].tolist(), x["q"], strict=True):
                     at, scores = block.top(_integers(q), k, row if r["origin"] == r["block"] else None)
-                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), [min(max(x, -_NO_ID - 1), _NO_ID) for x in scores.tolist()], scores.tolist()), strict=True):
+                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), list(map(_long, scores.tolist())), scores.tolist()), strict=True):
                         c.extend(v)
                 yield pa.RecordBatch.from_arrays([pa.array(map(f.type.to_pandas_dtype(), c), f.type) for c, f in zip(out, found, strict=True)], schema=found)
 
