@@ -225,7 +225,7 @@ def test_marginals_by_brute_force():
 
 def test_stretches_give_the_marginals_of_the_whole_chain(monkeypatch):
     rng = np.random.default_rng(9)
-    m = crf.Model(["x", "y", "z"], rng.normal(size=(crf.TABLE, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
+    m = crf.Model(["x", "y", "z"], rng.normal(size=(crf.TABLE + 1, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
     lists = [[f"w{rng.integers(50)}" for _ in range(n)] for n in (0, 1, 7, 8, 9, 16, 61, 300)]
     whole = m.marginals(lists)
     monkeypatch.setattr(crf, "STRETCH", 8)
@@ -251,7 +251,7 @@ def test_sentences_rebuild_their_text():
         s = substrings.Sentences(t)
         assert s.lead + "".join(s.words) == t
     s = substrings.Sentences(" ".join(f"w{i}." for i in range(30)) + " " + " ".join(f"w{i}." for i in range(30)))
-    kept, gone = s.without([])
+    kept, gone = s.without(s.repeated()[3].tolist())
     assert gone >= 25 and kept.startswith("w0. w1.")
 
 

@@ -23,9 +23,7 @@ from __future__ import annotations
 import pickle
 import random
 import re
-import sys
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +42,68 @@ REMEMBERED = 400_000
 _WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 
-@lru_cache(1)
-def _signs() -> re.Pattern:
-    """Characters that the pattern takes for letters, though they are numbers: fractions, superscripts, numerals, circled ones."""
-    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
-
-
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower case, in pieces of at most PIECE."""
-    t = (text or "").lower()
-    return _WORD.findall(t if t.isascii() else _signs().sub(" ", t))
+    words = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # The pattern takes some numbers for letters: fractions, superscripts, numerals, circled ones.
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
+_PRIME, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
 
+def _hash(kind: int, parts: list[np.ndarray], table: int) -> np.ndarray:
+    """Places in a table of a power of two for rows of characters, by kind of feature."""
+    h = np.full(len(parts[0]), kind, np.uint64)
+    for x in parts:
+        h = (h ^ x) * _PRIME
+        h ^= h >> np.uint64(29)
+    h *= _SPREAD
+    return ((h ^ h >> np.uint64(32)) & np.uint64(table - 1)).astype(np.int64)
+
+
+class Features:
+    """Hashed features of words: lexicon, affixes of one to three letters, two- and three-letter n-grams, and a bias.
+
+    single (word x 8) holds those that a word has once, with the place `table`, which weighs nothing, for affixes it is too
+    short for; two and three hold n-grams, word after word, from the places in two_at and three_at on.
+    """
 
-def features(word: str, table: int = TABLE) -> tuple[int, ...]:
-    """Hashed features: lexicon, affixes of one to three letters, two- and three-letter n-grams, and a bias."""
-    marked = f"<{word}>"
-    names = ["w=" + word, "b"]
-    names += [f"p={word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"s={word[-k:]}" for k in (1, 2, 3) if len(word) >= k]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return tuple({zlib.crc32(x.encode("utf-8", "replace")) % table for x in names})
+    def __init__(self, words: list[str], table: int = TABLE):
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        c = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        end = np.cumsum(size)
+        start = end - size
+        power = np.cumprod(np.full(PIECE + 3, _PRIME), dtype=np.uint64)
+        whole = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(start, size)], start) if len(words) else c
+        columns = [np.zeros(len(words), np.int64), _hash(1, [whole], table)]
+        for k in (1, 2, 3):
+            short = size - 2 < k
+            prefix = [c[np.minimum(start + 1 + i, end - 1)] for i in range(k)]
+            suffix = [c[np.maximum(end - 1 - k + i, start)] for i in range(k)]
+            columns += [np.where(short, table, _hash(kind + k, x, table)) for kind, x in ((10, prefix), (20, suffix))]
+        self.single = np.stack(columns, axis=1)
+        inner = np.ones(len(c), bool)
+        inner[end - 1] = False
+        at = np.flatnonzero(inner)
+        self.two = _hash(2, [c[at], c[at + 1]], table)
+        inner[end - 2] = False
+        at = np.flatnonzero(inner)
+        self.three = _hash(3, [c[at], c[at + 1], c[at + 2]], table)
+        self.two_at, self.three_at = np.cumsum(size - 1) - (size - 1), np.cumsum(size - 2) - (size - 2)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each word's features (word x label)."""
+        return weights[self.single].sum(axis=1) + np.add.reduceat(weights[self.two], self.two_at, axis=0) + np.add.reduceat(weights[self.three], self.three_at, axis=0)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all features, word after word, how many each word has)."""
+        n = len(self.single)
+        sizes = [np.full(n, self.single.shape[1]), np.diff(np.append(self.two_at, len(self.two))), np.diff(np.append(self.three_at, len(self.three)))]
+        word = np.concatenate([np.repeat(np.arange(n), x) for x in sizes])
+        return np.concatenate([self.single.ravel(), self.two, self.three])[np.argsort(word, kind="stable")], sum(sizes)
 
 
 class Model:
@@ -80,12 +121,9 @@ class Model:
             self.known, self.memory = {}, self.memory[:0]
             new = list(set(words))
         if new:
-            flat = [features(w) for w in new]
-            counts = np.fromiter(map(len, flat), np.int64, len(flat))
-            ids = np.fromiter((f for fs in flat for f in fs), np.int64, int(counts.sum()))
             start = len(self.known)
             self.known.update(zip(new, range(start, start + len(new)), strict=True))
-            self.memory = np.concatenate([self.memory, np.add.reduceat(self.weights[ids], np.cumsum(counts) - counts, axis=0)])
+            self.memory = np.concatenate([self.memory, *[Features(new[i : i + 20_000]).scores(self.weights) for i in range(0, len(new), 20_000)]])
         return self.memory[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -202,8 +240,11 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> M
     for text, y in sorted(sample):
         ws = words_of(text)
         pieces += [(number[y], ws[i : i + 32]) for i in range(0, len(ws), 32)]
-    w, t = np.zeros((TABLE, k), np.float32), np.zeros((k, k), np.float32)
-    known = {x: features(x) for _, ws in pieces for x in ws}
+    w, t = np.zeros((TABLE + 1, k), np.float32), np.zeros((k, k), np.float32)
+    vocabulary = sorted({x for _, ws in pieces for x in ws})
+    row = {x: i for i, x in enumerate(vocabulary)}
+    hashed, sizes = Features(vocabulary).flat() if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first = np.cumsum(sizes) - sizes
     step = 0
     for epoch in range(epochs):
         rng.shuffle(pieces)
@@ -220,10 +261,10 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> M
             seqs = [[x for _, ws in c for x in ws] for c in part]
             gold = [[y for y, ws in c for _ in ws] for c in part]
             size, n = len(seqs[0]), len(seqs)
-            flat = [known[x] for s in seqs for x in s]
-            counts = np.fromiter(map(len, flat), np.int64, len(flat))
-            ids = np.fromiter((f for fs in flat for f in fs), np.int64, int(counts.sum()))
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            rows = np.array([row[x] for s in seqs for x in s])
+            counts = sizes[rows]
+            starts = np.cumsum(counts) - counts
+            ids = hashed[np.repeat(first[rows] - starts, counts) + np.arange(int(counts.sum()))]
             emit = np.add.reduceat(w[ids], starts, axis=0)
             scores, where, true = np.zeros((size, n, k), np.float32), [], []
             at = 0
@@ -239,6 +280,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> M
             grad[np.arange(len(true)), true] += 1
             rate = RATE / (1 + 0.1 * epoch)
             np.add.at(w, ids, rate * 0.2 * np.repeat(grad, counts, axis=0))
+            w[TABLE] = 0
             # Transitions change more slowly: every fourth step, by the pairs that are there less those expected.
             step += 1
             if step % 32 == 0:
