@@ -34,23 +34,23 @@ from .common import in_arrow, row_op, slices, text_or_empty, written
 MIN_WORDS, MIN_SENTENCES, STRETCH = 20, 2, 10
 _WORD = re.compile(r"\S+\s*")
 _LAST = (1 << 63) - 1
-_RANKS: dict[str, int] = {}
+class _Ranks(dict):
+    """By word: -1 where a sentence ends with it and its white space, else its hash. Half a million are remembered."""
 
-
-def _rank(word: str) -> int:
-    """-1 where a sentence ends with this word and its white space, else its hash. Remembered per word, as many as half a million."""
-    got = _RANKS.get(word)
-    if got is None:
-        if len(_RANKS) > 500_000:
-            _RANKS.clear()
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
         bare = word.rstrip()
-        got = _RANKS[word] = -1 if "\n" in word or bare[-1:] in ".!?" else zlib.crc32(bare.lower().encode("utf-8", "replace"))
-    return got
+        got = self[word] = -1 if "\n" in word or bare[-1:] in ".!?" else zlib.crc32(bare.lower().encode("utf-8", "replace"))
+        return got
+
+
+_RANKS = _Ranks()
 
 
 def _ends(words: list[str]) -> np.ndarray:
     """Places just after the words that end a sentence."""
-    rank = np.fromiter(map(_rank, words), np.int64, len(words))
+    rank = np.fromiter(map(_RANKS.__getitem__, words), np.int64, len(words))
     end = rank < 0
     if len(words) >= STRETCH:
         back = np.lib.stride_tricks.sliding_window_view(rank, STRETCH)[:, ::-1].argmin(axis=1)
@@ -62,6 +62,7 @@ class Sentences:
     """The sentences of a text (start and end in words) and the runs that start at each."""
 
     def __init__(self, text: str):
+        self.text = text
         self.lead = text[: len(text) - len(text.lstrip())]
         self.words = _WORD.findall(text)
         n = len(self.words)
@@ -79,29 +80,36 @@ class Sentences:
         at = np.flatnonzero(self.run_end <= len(self.ends))
         if not len(at):
             return at, np.zeros(0, np.int64), np.zeros(0, np.int32)
-        plain = [w.rstrip().lower().encode("utf-8", "replace") for w in self.words]
-        joined = b" ".join(plain)
+        # One part a word: what parts words here is white space for the pattern too.
+        plain = self.text.lower().split()
+        text = " ".join(plain)
+        joined = text.encode("utf-8", "replace")
         place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)])
+        if len(joined) != len(text):  # from characters to bytes
+            starts = np.flatnonzero(np.frombuffer(joined, np.uint8) & 0xC0 != 0x80)
+            place = np.append(starts, [len(joined), len(joined) + 1])[place]
         lo, hi = place[self.starts[at]].tolist(), (place[self.ends[self.run_end[at] - 1]] - 1).tolist()
         digest = xxhash.xxh3_128_digest
         raw = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(lo, hi, strict=True)]), np.uint8).reshape(-1, 16)
         return at, np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:12]).view("<i4").ravel()
 
-    def without(self, runs: list[int]) -> tuple[str, int]:
-        """(the text without the sentences that these runs and later copies within the text cover, how many those are)."""
-        m = len(self.ends)
-        at, h, _ = self.hashes()
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence numbers, hashes, more bits) of the first run of each hash, and sentence numbers of the later ones."""
+        at, h, check = self.hashes()
         _, first = np.unique(h, return_index=True)
         again = np.ones(len(at), bool)
         again[first] = False
-        own = np.concatenate([at[again], np.array(runs, np.int64)]).astype(np.int64)
+        return at[first], h[first], check[first], at[again]
+
+    def without(self, runs: list[int]) -> tuple[str, int]:
+        """(the text without the sentences that these runs cover, how many those are)."""
+        m = len(self.ends)
+        own = np.array(runs, np.int64)
         mark = np.zeros(m + 1, np.int64)
         np.add.at(mark, own, 1)
         np.add.at(mark, self.run_end[own], -1)
         gone = np.cumsum(mark[:m]) > 0
-        if not gone.any():
-            return self.lead + "".join(self.words), 0
-        kept = [("".join(self.words[a:b])) for a, b, g in zip(self.starts.tolist(), self.ends.tolist(), gone.tolist(), strict=True) if not g]
+        kept = ["".join(self.words[a:b]) for a, b, g in zip(self.starts.tolist(), self.ends.tolist(), gone.tolist(), strict=True) if not g]
         return (self.lead + "".join(kept)) if kept else "", int(gone.sum())
 
 
@@ -110,25 +118,25 @@ def _mark(text: str | None) -> int:
 
 
 def runs_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc, mark, hashes, places: the first of each hash within a document. A row per document."""
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+    """docs (doc_id, text) to doc, mark, hashes, checks, places of the first run of each hash within a document, and again: places
+    of later ones. A row per document with a run."""
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("again", pa.list_(pa.int32()))])
 
     def rows(cols: dict) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, text in zip(cols["doc_id"], cols["text"], strict=True):
-            at, h, check = Sentences(text).hashes()
+            at, h, check, again = Sentences(text).repeated()
             if not len(h):
                 continue
-            h, first = np.unique(h, return_index=True)
-            for k, v in zip(out, (_LAST if key is None else key, _mark(text), h, check[first], at[first].astype(np.int32)), strict=True):
+            for k, v in zip(out, (_LAST if key is None else key, _mark(text), h, check, at.astype(np.int32), again.astype(np.int32)), strict=True):
                 out[k].append(v)
         return out
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<int>, places array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<int>, places array<int>, again array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, mark, runs: which runs of a document another document has first."""
+    """doc, mark, runs: which runs of a document another document has first, or the document itself before."""
     runs = written(runs_of(docs), "runs")
     each = runs.select("doc", F.explode(F.arrays_zip("hashes", "checks")).alias("x")).select(F.col("x.hashes").alias("h"), "doc", F.col("x.checks").alias("check"))
     first = F.min(F.struct("doc", "check"))
@@ -136,27 +144,26 @@ def repeats(docs: DataFrame) -> DataFrame:
     placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
     placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("own"))
     later = placed.join(shared.hint("shuffle_merge"), "h").filter("doc > first and own = check")
-    return later.groupBy("doc", F.shiftright("place", 31).alias("mark")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("runs"))
+    later = later.select("doc", F.shiftright("place", 31).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"))
+    own = runs.filter(F.size("again") > 0).select("doc", "mark", F.explode("again").alias("place"))
+    return later.unionByName(own).groupBy("doc", "mark").agg(F.collect_list("place").alias("runs"))
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs with repeated sentences removed from text; other columns as they are, and n_sentences and n_removed where counts."""
+    """docs with repeated sentences removed from text; other columns as they are, and n_removed, the number of sentences, where counts."""
     # All columns travel in one struct, so that no name of theirs can clash.
     found = repeats(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.crc32(text_or_empty()).alias("mark"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"), "text")
     inner = rows.join(found.hint("shuffle_merge"), ["doc", "mark"], "left").select("rest", "text", "runs")
-    kind = f"rest {inner.schema['rest'].dataType.simpleString()}, text string, n_sentences int, n_removed int"
+    kind = f"rest {inner.schema['rest'].dataType.simpleString()}, text string, n_removed int"
 
     def run(batches):
         for batch in slices(batches, "text"):
-            texts, n_all, n_gone = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                s = Sentences(text or "")
-                new, gone = s.without(runs or [])
-                texts.append(new if gone else text)
-                n_all.append(len(s.ends))
-                n_gone.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(n_all, pa.int32()), pa.array(n_gone, pa.int32())], names=["rest", "text", "n_sentences", "n_removed"])
+            texts, n_gone = batch.column("text").to_pylist(), [0] * batch.num_rows
+            for i, runs in enumerate(batch.column("runs").to_pylist()):
+                if runs:
+                    texts[i], n_gone[i] = Sentences(texts[i]).without(runs)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(n_gone, pa.int32())], names=["rest", "text", "n_removed"])
 
     out = in_arrow(inner, run, kind)
-    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], *(["n_sentences", "n_removed"] if counts else []))
+    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], *(["n_removed"] if counts else []))
