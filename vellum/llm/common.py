@@ -50,13 +50,27 @@ def put_file(folder: str, name: str, raw: bytes) -> None:
     fs.move(own, f"{path}/{name}")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+class Tables:
+    """Tables that a computation writes and reads on its way, and drops once what it leads to is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch(spark, "tables")
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        return written(df, tag, self.folder)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """df stored in the shared folder and read again: this cuts the lineage, so that a lost executor costs no recomputation.
 
     The shuffle files that led to it are of no further use; Spark removes them once the driver's garbage is collected.
     """
     spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}" if folder else scratch(spark, tag)
     df.write.parquet(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

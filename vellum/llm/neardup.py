@@ -25,13 +25,15 @@ long texts are shingled in steps; an empty table gives no rows; extra columns, w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, row_op, slices, text_or_empty, written
+from .common import Tables, in_arrow, row_op, slices, text_or_empty, written
 from .simhash import components, of_hashes, signed
 from .simhash import links as fingerprint_links
 
@@ -210,48 +212,48 @@ def _keys(sets: DataFrame) -> DataFrame:
     return by.select("id", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.col("first"))).alias("x")).select(F.col("x.h").alias("h"), "id")
 
 
-def _close(sets: DataFrame) -> DataFrame:
+def _close(sets: DataFrame, store: Callable) -> DataFrame:
     """Pairs (a, b), a < b, that connect texts whose fingerprints are equal or within simhash.DISTANCE."""
-    prints = written(sets.groupBy("fp").agg(F.min("id").alias("a")), "prints")
+    prints = store(sets.groupBy("fp").agg(F.min("id").alias("a")), "prints")
     equal = sets.select("fp", F.col("id").alias("b")).join(prints, "fp").filter("a < b").select("a", "b")
-    near = fingerprint_links(prints.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = fingerprint_links(prints.select("fp"), store).withColumnsRenamed({"a": "x", "b": "y"})
     near = near.join(prints.withColumnRenamed("fp", "x"), "x").join(prints.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
     return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def links(texts: DataFrame) -> DataFrame:
+def links(texts: DataFrame, store: Callable = written) -> DataFrame:
     """texts (id, text), ids not negative and all different, to links (a, b) that connect exactly those alike, whatever is between."""
     rows = in_arrow(texts.select("id", "text"), _keyed, "h long, id long, score long")
     told = in_arrow(rows.repartition("h").sortWithinPartitions("h"), _runs, "id long, score long")
-    some = written(told.groupBy("id").agg(F.sum("score").alias("score")).filter("score >= 0").select("id"), "shared")
+    some = store(told.groupBy("id").agg(F.sum("score").alias("score")).filter("score >= 0").select("id"), "shared")
     schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("bins", pa.binary()), ("fp", pa.int64())])
 
     def shingled(cols: dict) -> dict:
         found = [shingles(t) for t in cols["text"]]
         return {"id": cols["id"], "raw": [x.tobytes() for x in found], "n": [len(x) for x in found], "bins": [_bins(x) for x in found], "fp": [signed(of_hashes(x.view(np.uint8).reshape(-1, 8))) for x in found]}
 
-    sets = written(in_arrow(texts.select("id", "text").join(some, "id"), row_op(shingled, schema), "id long, raw binary, n long, bins binary, fp long"), "sets")
-    keys = written(_keys(sets), "keys")
+    sets = store(in_arrow(texts.select("id", "text").join(some, "id"), row_op(shingled, schema), "id long, raw binary, n long, bins binary, fp long"), "sets")
+    keys = store(_keys(sets), "keys")
     firsts = keys.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    met = written(keys.join(firsts.hint("shuffle_merge"), "h"), "met")  # h, id, a, m
+    met = store(keys.join(firsts.hint("shuffle_merge"), "h"), "met")  # h, id, a, m
     pairs = met.filter("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
-    alike = written(_alike(_close(sets).unionByName(pairs).distinct(), sets), "alike")
+    alike = store(_alike(_close(sets, store).unionByName(pairs).distinct(), sets), "alike")
     for last in (False, True):
-        found = written(components(alike), "found")
+        found = store(components(alike, store), "found")
         rooted = met.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "a", "m", F.coalesce("root", "id").alias("root"))
         if not last:
             heads = found.select(F.col("node").alias("a"), F.col("root").alias("other"))
             across = rooted.join(heads, "a", "left").filter(F.col("root") != F.coalesce("other", "a"))
-            alike = written(alike.unionByName(_alike(across.select("a", F.col("id").alias("b")).distinct(), sets)), "alike")
+            alike = store(alike.unionByName(_alike(across.select("a", F.col("id").alias("b")).distinct(), sets)), "alike")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
-    left = written(rooted.join(mixed.hint("shuffle_merge"), "h"), "mixed")
+    left = store(rooted.join(mixed.hint("shuffle_merge"), "h"), "mixed")
     # A key's first text has been compared with all others by now.
     few = left.filter((F.col("m") <= CROWD) & (F.col("id") != F.col("a")))
     across = few.alias("x").join(few.alias("y"), F.expr("x.h = y.h and x.id < y.id and x.root != y.root"))
     across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     crowds = left.filter(F.col("m") > CROWD).select(F.col("a").alias("crowd"), "id", "root").distinct()
-    crowds = written(crowds.join(sets.select("id", "n", "bins"), "id"), "crowds")
-    more = written(across.unionByName(_crowded(crowds)).distinct(), "more")
+    crowds = store(crowds.join(sets.select("id", "n", "bins"), "id"), "crowds")
+    more = store(across.unionByName(_crowded(crowds)).distinct(), "more")
     return alike.unionByName(_alike(more, sets))
 
 
@@ -266,7 +268,10 @@ def survivors(docs: DataFrame) -> DataFrame:
     each = docs.filter(~wordless).select(F.unhex(F.sha2(text_or_empty(), 256)).alias("mark"), F.coalesce(F.col("doc_id").cast("long"), last).alias("key"), F.struct(*docs.columns).alias("row"))
     each = each.groupBy("mark").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row"))
     base = written(each.select("key", "row", F.monotonically_increasing_id().alias("id")), "texts")
-    found = written(components(links(base.select("id", text_or_empty("row.text").alias("text")))), "groups")
+    tables = Tables(docs.sparkSession)
+    found = components(links(base.select("id", text_or_empty("row.text").alias("text")), tables.written), tables.written)
+    found = written(found, "groups")
+    tables.drop()
     # A group is named by one of its ids; its first is by doc_id.
     named = found.select(F.col("node").alias("id"), "root").unionByName(found.select(F.col("root").alias("id"), "root").distinct())
     members = base.select("id", "key").join(named, "id")

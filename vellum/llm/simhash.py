@@ -17,12 +17,14 @@ rows each give a row; a null doc_id counts as the largest; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, row_op, text_or_empty, written
+from .common import Tables, in_arrow, row_op, text_or_empty, written
 
 DISTANCE, CROWD = 2, 64
 SHINGLE, SEED = 3, 42
@@ -79,18 +81,18 @@ def _tasks(df: DataFrame) -> list[int]:
     return [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, store: Callable = written) -> DataFrame:
     """All links among distinct fingerprints fps (fp): rows (a, b), a < b, that connect exactly those within DISTANCE."""
     # Dealt out anew first: a fingerprint takes 64 times its size from here on, and few small files would be few tasks.
     keyed = fps.repartition(*_tasks(fps), "fp").select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    shared = written(shared, "variants")
+    shared = store(shared, "variants")
     pairs = shared.filter("n = 2").filter(near(F.col("a"), F.col("b"))).select("a", "b")
     many = shared.filter("n > 2").select("key", "n")
     if many.isEmpty():
         return pairs.distinct()
-    members = written(keyed.join(many, "key"), "members")
+    members = store(keyed.join(many, "key"), "members")
     few = members.filter(F.col("n") <= CROWD)
     met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fp < y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).filter(near(F.col("a"), F.col("b")))
     crowded = members.filter(F.col("n") > CROWD).select("fp").distinct()
@@ -103,9 +105,9 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(met).unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Callable = written) -> DataFrame:
     """edges (a, b) of longs to node, root: the least node that is reachable. Only nodes with an edge have a row."""
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    e = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -114,7 +116,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        e = store(small, "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -125,9 +127,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) to doc_id, fp, component_id: the smallest doc_id reachable over links."""
     prints = written(fingerprints(docs, k), "fingerprints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(groups.select("fp")))
+    tables = Tables(docs.sparkSession)
+    found = components(links(groups.select("fp"), tables.written), tables.written)
     # A fingerprint's component is named by its least fingerprint; then by the least doc_id among all its fingerprints.
     of = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = written(of, "groups")
+    tables.drop()
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(of.join(names, "root").select("fp", "component_id"), "fp")
