@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = substrings.dedup(docs, counts=True)
-    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).drop("n_sentences", "n_removed")
+    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).drop("n_removed")
     return _recounted(docs, left)
 
 
