@@ -77,7 +77,7 @@ def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
 
 
 #: Bytes of a batch that goes to a Python worker at once, where the session sets no limit of its own.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "8m"
 
 
 def in_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:

@@ -27,7 +27,7 @@ from .tokens import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"VPF1", 128, 0.9
 #: Ids after which a shard is closed, at the next end of a document.
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 20
 #: magic, block size, documents, ids, blocks, ids before this shard in its partition, bytes of exceptions and of payload
 _HEAD = struct.Struct("<4sIQQQQQQ")
 
@@ -186,7 +186,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | N
             held.clear()
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
                 keys.append(key)
                 held.append(np.concatenate([ids, end]))

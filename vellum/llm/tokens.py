@@ -16,10 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Bytes of words and ids that a worker remembers; beyond them it forgets all and begins anew.
-REMEMBERED = 96 << 20
-#: What a word takes besides its characters: string, number, place in the map, place of its ids.
-_EACH = 150
+#: Bytes of words and ids that a worker remembers, some half a million words; beyond them it forgets all and begins anew.
+REMEMBERED = 24 << 20
 #: Words handed to the library in one call, and words that share a string there.
 AT_ONCE, TOGETHER = 4096, 100
 #: White space before a blank or line feed, where that place is no end of a pre-token.
@@ -51,32 +49,38 @@ def _even(t: str) -> bool:
 
 
 class Memory:
-    """A map from words to rows of ids, all rows in one array, bounded by its bytes."""
+    """Words and their ids in columns, a row for each word, bounded by their bytes."""
 
-    def __init__(self, most: int = REMEMBERED):
-        self.most = most
+    def __init__(self, most: int | None = None):
+        self.most = most or REMEMBERED
         self.forget()
 
     def forget(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.held = 0
+        self.size = 0
 
     def make_room(self) -> None:
         """Called between slices only: rows stay valid within one."""
-        if self.held > self.most:
+        if self.words.nbytes + 8 * self.size + 4 * int(self.ends[self.size]) > self.most:
             self.forget()
 
-    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, before = len(self.rows), int(self.ends[len(self.rows)])
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Rows of words, -1 for those that are not there."""
+        return pa.compute.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> dict[str, int]:
+        """New words, of which no two are equal, to their rows."""
+        n, before = self.size, int(self.ends[self.size])
         if n + len(words) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
         if before + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
         self.ids[before : before + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(words)] = before + np.cumsum(lengths)
-        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
-        self.held += sum(map(len, words)) + _EACH * len(words) + 4 * len(ids)
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+        self.size += len(words)
+        return dict(zip(words, range(n, self.size), strict=True))
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these rows in order, where each row's ids end among them)."""
@@ -110,49 +114,53 @@ class WordEncoder:
         """Ids of each text, straight from the library."""
         return [np.array(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in self.tok.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
 
-    def _each(self, keys: list[str], strings: list[str]) -> None:
-        if keys:
-            got = self.whole(strings)
-            self.memory.add(keys, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+    def _each(self, keys: list[str], strings: list[str]) -> dict[str, int]:
+        got = self.whole(strings)
+        return self.memory.add(keys, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))) if got else {}
 
-    def _together(self, words: list[str]) -> None:
+    def _together(self, words: list[str]) -> dict[str, int]:
         """Words without white space or added tokens, each after a blank: several go to a string, as the blanks part them."""
-        ids: list[int] = []
-        for e in self.tok.encode_batch_fast([" " + " ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False):
-            ids += e.ids
-        arr = np.array(ids, np.uint32)
-        self.memory.add(words, arr, np.diff(np.append(np.flatnonzero(self.begins[arr]), len(arr))))
-
-    def _learn(self, keys: list[str]) -> None:
-        """Keys of memory that it doesn't have; no two are equal."""
-        known = self.memory.rows
+        ids: list[np.ndarray] = []
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            flat: list[int] = []
+            for e in self.tok.encode_batch_fast([" " + " ".join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)], add_special_tokens=False):
+                flat += e.ids
+            ids.append(np.array(flat, np.uint32))
+        arr = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        return self.memory.add(words, arr, np.diff(np.append(np.flatnonzero(self.begins[arr]), len(arr)))) if words else {}
+
+    def _learn(self, keys: list[str]) -> dict[str, int]:
+        """Rows of keys that memory doesn't have; no two are equal."""
         alone = [k for k in keys if k[:1] in (" ", "\n")]
-        self._each(alone, [k[1:] if k[0] == " " else k for k in alone])
         new = [k for k in keys if k[:1] not in (" ", "\n")]
-        odd = self.odd.search("\n".join(new)) is not None
-        tailed = {w: m for w in new if w[-1:] in _TAIL and (m := _TAILED.fullmatch(w)) and not (odd and self.odd.search(w))}
-        new = [w for w in new if w not in tailed]
-        if tailed:
-            new += {m[1] for m in tailed.values()}.difference(known, new)
-            tails = list({" " + m[2] for m in tailed.values()}.difference(known))
-            self._each(tails, [t[1:] for t in tails])
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            if "" not in part and not (odd and self.odd.search("\n".join(part))):
-                self._together(part)
-            else:
-                self._each(part, [" " + w for w in part])
+        odd = {w for w in new if not w or self.odd.search(w)} if "" in new or self.odd.search("\n".join(new)) else set()
+        tailed = {w: m for w in new if w[-1:] in _TAIL and (m := _TAILED.fullmatch(w)) and w not in odd}
+        rows = {}
+        if tailed:  # parts that memory may have, though their wholes are new
+            parts = list({m[1] for m in tailed.values()}.difference(new).union(" " + m[2] for m in tailed.values()).difference(alone))
+            at = self.memory.find(pa.array(parts, pa.string()))
+            rows = {p: r for p, r in zip(parts, at.tolist(), strict=True) if r >= 0}
+            more = [p for p in parts if p not in rows]
+            alone += [p for p in more if p[0] == " "]
+            new = [w for w in new if w not in tailed] + [p for p in more if p[0] != " "]
+        rows |= self._each(alone, [k[1:] if k[0] == " " else k for k in alone])
+        rows |= self._together([w for w in new if w not in odd] if odd else new)
+        rows |= self._each(list(odd), [" " + w for w in odd])
         if tailed:
-            rows = np.array([r for m in tailed.values() for r in (known[m[1]], known[" " + m[2]])])
-            ids, ends = self.memory.gather(rows)
-            self.memory.add(list(tailed), ids, np.diff(ends[1::2], prepend=0))
-
-    def _rows(self, keys: list[str]) -> np.ndarray:
-        known = self.memory.rows
-        missing = [k for k in keys if k not in known]
-        if missing:
-            self._learn(list(dict.fromkeys(missing)))
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+            at = np.array([r for m in tailed.values() for r in (rows[m[1]], rows[" " + m[2]])])
+            ids, ends = self.memory.gather(at)
+            rows |= self.memory.add(list(tailed), ids, np.diff(ends[1::2], prepend=0))
+        return rows
+
+    def _rows(self, keys: pa.Array) -> np.ndarray:
+        """Rows of keys, of which no two are equal."""
+        rows = self.memory.find(keys)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            words = keys.take(pa.array(missing)).to_pylist()
+            rows[missing] = list(map(self._learn(words).__getitem__, words))
+        return rows
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose blanks and line feeds stand alone, one after another, and where each text's end."""
@@ -162,9 +170,15 @@ class WordEncoder:
         parts = pa.compute.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         words = parts.flatten().dictionary_encode()
-        rows = self._rows(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        rows[offsets[:-1]] = self._rows([" " + t.split(" ", 1)[0].replace("\n", " \n").split(" ", 1)[0] for t in texts])
+        # A text's first word stands alone, all others after a blank.
+        heads = pa.array([" " + t.split(" ", 1)[0].split("\n", 1)[0] for t in texts], pa.string()).dictionary_encode()
+        keys = words.dictionary.cast(pa.string())
+        found = self._rows(pa.concat_arrays([keys, heads.dictionary]))
+        rows = found[words.indices.to_numpy()]
+        rows[offsets[:-1]] = found[len(keys) :][heads.indices.to_numpy()]
         ids, ends = self.memory.gather(rows)
+        del parts, words, rows
+        pa.default_memory_pool().release_unused()
         return ids, ends[offsets[1:] - 1]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
