@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import more as Y
 from vellum.functions import names
 from vellum.functions import text as X
 from vellum.operators import graph, library, meaning, quality, ranges, retrieval
+from vellum.operators import measures as M
 from vellum.plans.guard import Refused, run_select
 from vellum.plans.session import checkpoints
 from vellum.sources import library as sources
@@ -41,6 +43,57 @@ def test_quantities(spark):
     assert [(r["value"], r["unit"]) for r in got] == [("10", "mM"), ("5", "mM"), ("4", "°C"), ("24", "h"), ("12", "%"), ("0.5", "mm/min"), ("2", "mg/mL"), ("50–120", "µm"), ("1.2 ± 0.3", "N")]
 
 
+def test_quantities_with_kinds(spark):
+    got = one(spark, X.quantities(F.col("t")), t="Cells at pH 5.5 were kept at 37 °C. Then 5 kPa for 3 days.")
+    assert [tuple(r) for r in got] == [("37", "°C", "temperature", "Cells at pH 5.5 were kept at 37 °C."), ("5.5", "pH", "pH", "Cells at pH 5.5 were kept at 37 °C."), ("5", "kPa", "stress", "Then 5 kPa for 3 days."), ("3", "day", "time", "Then 5 kPa for 3 days.")]
+
+
+@pytest.mark.parametrize(
+    ("rule", "given", "expected"),
+    [
+        (Y.plain_text, "&amp;lt;b&gt; a &lt;i>x</i>  b", "a x b"), (Y.heading_norm, " 2.1 Materials & Methods", "materials methods"), (Y.heading_norm, "IV. Results", "results"),
+        (Y.numeric, "about −3,5 mm", None), (Y.numeric, "1,5 to 2", 1.5), (Y.first_page, "e123-130", "e123"), (Y.openalex_short, "https://openalex.org/W27", "W27"),
+        (Y.figure_key, "Figure S2a. Cells", "S2A"), (Y.figure_key, "Scheme 1: route", "Scheme 1"), (Y.figure_key, "Table 2", None), (Y.spaced_out, "R E S U L T S", "RESULTS"),
+        (Y.spaced_out, "a b", "a b"), (Y.number_depth, "2.1.3 Cells", 3), (Y.number_depth, "Cells", 0), (Y.without_soft_hyphens, "fi\u00adbre", "fibre"), (Y.axis_number, "−1,200.5", -1200.5),
+        (Y.axis_unit, "Stress (kPa)", "kPa"), (Y.axis_unit, "Stress", None), (Y.doi_in, "see 10.1000/AB.1).", "10.1000/ab.1"), (Y.sql_literal, "o'k", "'o''k'"), (Y.file_key, "a/b c", "a_b_c"),
+    ],
+)
+def test_more_rules(spark, rule, given, expected):
+    assert one(spark, rule(F.col("t")), t=given) == expected
+
+
+def test_hash_vector(spark):
+    def fnv(w):
+        h = 2166136261
+        for b in w.encode():
+            h = (h ^ b) * 16777619 & 0xFFFFFFFF
+        return h % 64
+
+    got = one(spark, Y.hash_vector(F.col("t")), t="Cells and cells grow")
+    want = [0.0] * 64
+    for w in ("cells", "and", "cells", "grow"):
+        want[fnv(w)] += 1
+    norm = sum(x * x for x in want) ** 0.5
+    assert [round(x, 9) for x in got] == [round(x / norm, 9) for x in want]
+    assert one(spark, M.token_f1(F.lit("a b b"), F.col("t")), t="b b c") == pytest.approx(2 * 2 / 6)
+    assert one(spark, Y.recipe(F.array(F.lit("A"), F.lit("B")), F.col("t")), t="x") == "A > B\nx"
+
+
+def test_edges_of_the_library(spark, tmp_path):
+    none = spark.createDataFrame([], "rank int, s double, y int")
+    assert quality.rates(none, "rank").first()["at1"] is None
+    assert quality.auc(spark.createDataFrame([(0.5, 1), (0.6, 1)], "s double, y int"), "s", "y").first()["auc"] is None
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = spark.createDataFrame([("a", "b", 1.0)], "a string, b string, weight double")
+    assert graph.pagerank(edges, spark.createDataFrame([], "node string, weight double"), rounds=2).count() == 0
+    deep = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(150)], "node long, parent long, amount int")
+    assert {r["node"]: r["total"] for r in graph.subtree_totals(spark, deep).collect()} == {i: 150 - i for i in range(150)}
+    a, b = spark.createDataFrame([(None, 1), (None, 2), ("k", 3)], "id string, v int"), spark.createDataFrame([(None, 4), (None, 5)], "id string, v int")
+    assert library.merge_first(a, b, key="id").count() == 5 and library.upsert(a, b, "id").count() == 5
+    ids = spark.createDataFrame([("a#1",), ("ab#1",)], "n string")
+    assert sorted(r["n"] for r in sinks.rekey(ids, "n", "a", "z").collect()) == ["ab#1", "z#1"]
+
+
 def test_markers_dois_identities(spark):
     assert one(spark, X.marker_numbers(F.col("m")), m="[3-5, 7]") == [3, 4, 5, 7]
     assert one(spark, X.doi(F.col("d")), d=" https://doi.org/10.1000/ABC ") == "10.1000/abc"
@@ -108,8 +161,8 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     ("name", "family", "initials"),
     [("van Dillen T", "van Dillen", "T"), ("Jan van der Berg", "van der Berg", "J"), ("J.R. Smith", "Smith", "JR"), ("WHO", "WHO", None), ("Smith, Anna B.", "Smith", "AB")],
 )
-def test_names(name, family, initials):
-    assert names.split_name(name) == (family, initials)
+def test_names(spark, name, family, initials):
+    assert tuple(one(spark, names.name_parts(F.col("n")), n=name)) == (family, initials)
 
 
 def test_person_keys(spark):

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a question's search leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "what", "which", "with")
+STOP_WORDS = (
+    "the", "a", "an", "of", "in", "on", "for", "to", "and", "or", "is", "are", "was", "were", "be", "by", "with", "as", "at", "from", "that", "this", "it", "its", "has", "have", "had", "do", "does", "did",
+    "what", "which", "who", "how", "why", "when", "where", "any", "anyone", "used", "use", "using", "been", "than", "into", "their", "there",
+)
 
 
 def search_tokens(text: Column) -> Column:
@@ -104,19 +107,82 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-# Units that quantities are given in, and what they measure. Longer spellings come before their prefixes.
-UNITS = {
-    "mg/mL": "concentration", "µg/mL": "concentration", "mM": "concentration", "µM": "concentration", "nM": "concentration",
-    "mm/min": "rate", "°C": "temperature", "min": "time", "MPa": "pressure", "kPa": "pressure", "µm": "length", "mm": "length",
-    "nm": "length", "mL": "volume", "mg": "mass", "h": "time", "%": "share", "N": "force",
-}
-QUANTITY = r"(\d+(?:[.,]\d+)?(?:\s*(?:±|–|-)\s*\d+(?:[.,]\d+)?)?)\s*(" + "|".join(UNITS) + r")(?![A-Za-z0-9/])"
+# How units are written, their name, and what they measure. The first that fits counts.
+UNITS = (
+    (r"mg\s*/\s*m[lL]", "mg/mL", "concentration"),
+    (r"[µu]g\s*/\s*m[lL]", "µg/mL", "concentration"),
+    (r"ng\s*/\s*m[lL]", "ng/mL", "concentration"),
+    (r"g\s*/\s*[lL]", "g/L", "concentration"),
+    (r"mg\s*/\s*g", "mg/g", "ratio"),
+    (r"U\s*/\s*m[lL]", "U/mL", "concentration"),
+    (r"cells\s*/\s*(?:m[lL]|cm2|cm²|well|scaffold)", "cells/unit", "density"),
+    (r"mM", "mM", "concentration"),
+    (r"[µu]M", "µM", "concentration"),
+    (r"nM", "nM", "concentration"),
+    (r"M(?![a-zA-Z])", "M", "concentration"),
+    (r"%\s*\(?\s*w\s*/\s*v\s*\)?", "% w/v", "concentration"),
+    (r"%\s*\(?\s*v\s*/\s*v\s*\)?", "% v/v", "concentration"),
+    (r"%\s*\(?\s*w\s*/\s*w\s*\)?", "% w/w", "concentration"),
+    (r"wt\s*%|%\s*wt", "wt%", "concentration"),
+    (r"%", "%", "fraction"),
+    (r"°\s*C|º\s*C|˚\s*C|degrees?\s+(?:C|Celsius)", "°C", "temperature"),
+    (r"kV\s*/\s*cm|V\s*/\s*cm|V\s*/\s*mm", "V/cm", "field"),
+    (r"kV", "kV", "voltage"),
+    (r"mV", "mV", "voltage"),
+    (r"V(?![a-zA-Z/])", "V", "voltage"),
+    (r"mA\s*/\s*cm2|mA\s*/\s*cm²|A\s*/\s*m2|A\s*/\s*m²", "mA/cm²", "current density"),
+    (r"[µu]A", "µA", "current"),
+    (r"mA", "mA", "current"),
+    (r"GPa", "GPa", "stress"),
+    (r"MPa", "MPa", "stress"),
+    (r"kPa", "kPa", "stress"),
+    (r"Pa(?![a-zA-Z])", "Pa", "stress"),
+    (r"mN", "mN", "force"),
+    (r"N(?![a-zA-Z])", "N", "force"),
+    (r"nm", "nm", "length"),
+    (r"[µu]m", "µm", "length"),
+    (r"mm\s*/\s*min", "mm/min", "rate"),
+    (r"mm", "mm", "length"),
+    (r"cm(?![a-zA-Z²2])", "cm", "length"),
+    (r"k?Hz", "Hz", "frequency"),
+    (r"rpm", "rpm", "rate"),
+    (r"m[lL](?![a-zA-Z])", "mL", "volume"),
+    (r"[µu][lL](?![a-zA-Z])", "µL", "volume"),
+    (r"mg(?![a-zA-Z/])", "mg", "mass"),
+    (r"[µu]g(?![a-zA-Z/])", "µg", "mass"),
+    (r"kDa", "kDa", "mass"),
+    (r"g(?![a-zA-Z/])", "g", "mass"),
+    (r"weeks?|wk", "week", "time"),
+    (r"days?(?![a-zA-Z])|d(?![a-zA-Z])", "day", "time"),
+    (r"h(?:ours?|rs?)?(?![a-zA-Z])", "h", "time"),
+    (r"min(?:utes?|s)?(?![a-zA-Z])", "min", "time"),
+    (r"s(?:ec(?:onds?)?)?(?![a-zA-Z])", "s", "time"),
+)
+_NUMBER = r"([-−]?\d+(?:[.,]\d+)?(?:\s*(?:[-–−]|to|±|\+/-)\s*\d+(?:[.,]\d+)?)?)"
+QUANTITY = r"(?<![\w.])" + _NUMBER + r"\s*(" + "|".join(f"(?:{p})" for p, _, _ in UNITS) + ")"
+PH = r"\bpH\s*(?:of\s*|=\s*|~\s*)?(\d+(?:[.,]\d+)?(?:\s*(?:[-–]|to)\s*\d+(?:[.,]\d+)?)?)"
 
 
 def quantities(text: Column) -> Column:
-    """array<struct<value, unit>> of the quantities in a text, in order."""
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(1)).alias("value"), F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(2)).alias("unit"))
-    return both
+    """array<struct<value, unit, kind, sentence>> of the quantities in a text: by sentence, numbers with units, then pH values.
+
+    Null without a text; a text without quantities gives an empty array.
+    """
+
+    def named(x: Column, at: int) -> Column:
+        out = None
+        for pattern, *names in UNITS:
+            test = x.rlike(f"^(?:{pattern})$")
+            out = F.when(test, F.lit(names[at])) if out is None else out.when(test, F.lit(names[at]))
+        return out
+
+    def of(s: Column) -> Column:
+        found = F.arrays_zip(F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(1)).alias("value"), F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(2)).alias("unit"))
+        plain = F.transform(found, lambda q: F.struct(F.trim(q["value"]).alias("value"), named(q["unit"], 0).alias("unit"), named(q["unit"], 1).alias("kind"), s.alias("sentence")))
+        acid = F.transform(F.regexp_extract_all(s, F.lit(PH), F.lit(1)), lambda v: F.struct(F.trim(v).alias("value"), F.lit("pH").alias("unit"), F.lit("pH").alias("kind"), s.alias("sentence")))
+        return F.concat(plain, acid)
+
+    return F.flatten(F.transform(sentences(text), of))
 
 
 def sentences(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Trees and graphs: subtrees by recursive SQL, citation counts, personalised PageRank."""
+"""Trees and graphs: subtrees by doubling, citation counts, personalised PageRank."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ DAMPING, ROUNDS = 0.5, 30
 
 
 def subtree_totals(spark: SparkSession, tree: DataFrame) -> DataFrame:
-    """tree (node, parent, amount) to node, total: its own amount and all below it."""
-    tree.createOrReplaceTempView("vellum_tree")
-    return spark.sql("""
-        WITH RECURSIVE up(node, ancestor) AS (
-          SELECT node, node FROM vellum_tree
-          UNION ALL
-          SELECT up.node, t.parent FROM up JOIN vellum_tree t ON t.node = up.ancestor WHERE t.parent IS NOT NULL
-        )
-        SELECT up.ancestor AS node, sum(t.amount) AS total, count(*) AS members FROM up JOIN vellum_tree t ON t.node = up.node GROUP BY up.ancestor
-    """)
+    """tree (node, parent, amount) to node, total, members: its own amount and all below it, trees of any depth.
+
+    Ancestors are reached by doubling: each round joins what a node reaches with what that reaches, so a tree of depth d takes
+    log2(d) rounds; each is checkpointed in the shared folder. A null amount counts nothing; a parent that isn't there is none.
+    """
+    nodes = tree.select("node", "parent", F.col("amount")).checkpoint()
+    jump = nodes.filter("parent is not null").join(nodes.select(F.col("node").alias("parent")), "parent").select("node", F.col("parent").alias("up"))
+    reach, done = nodes.select("node", F.col("node").alias("up")), False
+    while not done:  # reach holds ancestors up to 2^k - 1 steps above, jump leads 2^k steps up
+        reach = reach.unionByName(reach.select("node", F.col("up").alias("m")).join(jump.select(F.col("node").alias("m"), "up"), "m").select("node", "up")).checkpoint()
+        jump = jump.select("node", F.col("up").alias("m")).join(jump.select(F.col("node").alias("m"), "up"), "m").select("node", "up").checkpoint()
+        done = jump.isEmpty()
+    return reach.join(nodes.select("node", "amount"), "node").groupBy(F.col("up").alias("node")).agg(F.sum("amount").alias("total"), F.count("*").alias("members"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 5) -> DataFrame:
@@ -30,7 +33,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, round
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     out = both.groupBy("a").agg(F.sum("weight").alias("total"))
     shares = both.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")).checkpoint()
-    total = seeds.agg(F.sum("weight")).first()[0]
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0  # without seeds there is no mass to spread
     start = seeds.groupBy("node").agg((F.sum("weight") / F.lit(float(total))).alias("restart")).checkpoint()
     mass = start.select("node", F.col("restart").alias("mass"))
     for i in range(rounds):

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 
 def merge_first(*libraries: DataFrame, key: str) -> DataFrame:
-    """Rows of several libraries under one key: the first library that has a key gives the row, and gaps are filled by later ones."""
+    """Rows of several libraries under one key: the first library that has a key gives the row, and gaps are filled by later ones.
+
+    Rows without a key stay as they are, each by itself.
+    """
     ranked = None
     for i, x in enumerate(libraries):
         y = x.withColumn("__rank", F.lit(i))
         ranked = y if ranked is None else ranked.unionByName(y, allowMissingColumns=True)
+    keyless, ranked = ranked.filter(F.col(key).isNull()).drop("__rank"), ranked.filter(F.col(key).isNotNull())
     columns = [c for c in ranked.columns if c not in (key, "__rank")]
     # The first value that isn't null, by rank: aggregated before the shuffle.
-    return ranked.groupBy(key).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c) for c in columns])
+    merged = ranked.groupBy(key).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c) for c in columns])
+    return merged.unionByName(keyless.select(merged.columns))
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
-    """Stored rows with gaps filled (or values overwritten) by incoming ones, and the rows that are new."""
+    """Stored rows with gaps filled (or values overwritten) by incoming ones, and the rows that are new. A null key meets nothing."""
     a, b = stored.alias("a"), incoming.alias("b")
     pick = (lambda x, y: F.coalesce(y, x)) if overwrite else F.coalesce
-    return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[pick(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in stored.columns if c != key])
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[pick(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in stored.columns if c != key])
 
 
 def resolve(entries: DataFrame, works: DataFrame, identifiers: list[str], key: str = "work") -> DataFrame:

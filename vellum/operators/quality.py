@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def rates(rows: DataFrame, rank: str) -> DataFrame:
-    """Share of questions found at 1, 3 and 8, and the mean reciprocal rank; a null rank is not found."""
+    """Share of questions found at 1, 3 and 8, and the mean reciprocal rank; a null rank is not found. Nulls without questions."""
     r = F.col(rank)
-    share = lambda k: F.round(F.count_if(r <= k) / F.count("*"), 3)
-    return rows.agg(share(1).alias("at1"), share(3).alias("at3"), share(8).alias("at8"), F.round(F.sum(F.coalesce(1.0 / r, F.lit(0.0))) / F.count("*"), 3).alias("mrr"))
+    share = lambda k: F.round(F.try_divide(F.count_if(r <= k), F.count("*")), 3)
+    return rows.agg(share(1).alias("at1"), share(3).alias("at3"), share(8).alias("at8"), F.round(F.try_divide(F.sum(F.coalesce(1.0 / r, F.lit(0.0))), F.count("*")), 3).alias("mrr"))
 
 
 def confusion(rows: DataFrame, truth: str, said: str, most: int = 12) -> DataFrame:
@@ -43,11 +43,11 @@ def _average_ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Share of (positive, negative) pairs in which the positive one scores higher, ties counting half."""
+    """Share of (positive, negative) pairs in which the positive one scores higher, ties counting half; null without such pairs."""
     by = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
     ranked = by.join(_average_ranks(by.select(score, "n"), score, "n"), score)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
-    return ranked.agg(F.round((F.sum(F.col("pos") * F.col("rank")) - p * (p + 1) / 2) / (p * n), 6).alias("auc"))
+    return ranked.agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - p * (p + 1) / 2, p * n), 6).alias("auc"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -63,12 +63,6 @@ def recurring_lines(nodes: DataFrame, least: int = 3) -> DataFrame:
     return nodes.select(key.alias("line"), "doc_id").filter(F.length("line") > 0).groupBy("line").agg(F.countDistinct("doc_id").alias("docs")).filter(F.col("docs") >= least)
 
 
-def upper_median(column: str):
-    """The element in the middle, the upper one of two."""
-    xs = F.sort_array(F.collect_list(column))
-    return F.element_at(xs, (F.size(xs) / 2).cast("int") + 1)
-
-
 def runs(rows: DataFrame, key: str, place: str, label: str) -> DataFrame:
     """Runs of equal labels by key: first and last place, length (gaps and islands)."""
     w = Window.partitionBy(key).orderBy(place)
@@ -106,10 +100,16 @@ def bootstrap(rows: DataFrame, cluster: str, right: str, asked: str, draws: int
 
 
 def land(units: DataFrame, unit: str, places: DataFrame, place: str, text: str = "text", k: int = 4) -> DataFrame:
-    """unit, place, hits: where most of a unit's k-word shingles stand, ties to the smaller place. An inverted-index join."""
+    """unit, place, hits: where most of a unit's k-word shingles stand, ties to the smaller place. An inverted-index join.
+
+    A shingle is joined by its hash and a salt: units go to all salts, places to one each, so no shingle's places meet in one task.
+    """
     from ..functions.text import plain_words, shingles
 
     cut = lambda df, key: df.select(key, F.explode(shingles(plain_words(F.col(text)), k)).alias("s"))
-    shared = cut(units, unit).join(cut(places, place), "s").groupBy(unit, place).agg(F.count("*").alias("hits"))
+    salts = 8
+    left = cut(units, unit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = cut(places, place).withColumn("salt", F.pmod(F.xxhash64(place), F.lit(salts)).cast("int"))
+    shared = left.join(right, ["s", "salt"]).groupBy(unit, place).agg(F.count("*").alias("hits"))
     best = shared.groupBy(unit).agg(F.max(F.struct("hits", (-F.col(place)).alias("p"))).alias("b"))
     return best.select(unit, (-F.col("b.p")).alias(place), F.col("b.hits").alias("hits"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -12,24 +10,11 @@ from ..functions import text as X
 from ..operators import graph, library, meaning, quality, ranges, retrieval
 from ..sources import library as S
 from ..streaming import events as E
+from . import store_queries  # noqa: F401  registers its own
 from .guard import run_select
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .session import checkpoints
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # SQL of the derived tables and of the token rule.
 NODES = "nodes AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE length(trim(text)) > 0)"
 TOKENS = "list_filter(list_transform(regexp_split_to_array(lower({0}), '[^a-z0-9µ.%/-]+'), lambda t: regexp_replace(t, '^[./-]+|[./-]+$', '', 'g')), lambda t: length(t) > 1)"
@@ -156,6 +141,7 @@ def subtree_totals(spark, d):
     nations = S.load(spark, d, "nation").join(n, "n_nationkey", "left").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.coalesce("amount", F.lit(0)).alias("amount"))
     regions = S.load(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit("root").alias("parent"), F.lit(0).cast("long").alias("amount"))
     root = spark.createDataFrame([("root", None, 0)], "node string, parent string, amount long")
+    checkpoints(spark)
     return graph.subtree_totals(spark, nations.unionByName(regions).unionByName(root))
 
 

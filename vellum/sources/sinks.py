@@ -26,5 +26,6 @@ def plot_csv(values: DataFrame, path: str) -> None:
 
 
 def rekey(rows: DataFrame, column: str, old: str, new: str) -> DataFrame:
-    """Node ids moved from one paper's key to another's."""
-    return rows.withColumn(column, F.when(F.col(column).startswith(old), F.concat(F.lit(new), F.substring(column, len(old) + 1, 1 << 20))).otherwise(F.col(column)))
+    """Node ids (a paper's key, #, a place) moved from one paper's key to another's; those of longer keys stay."""
+    c = F.col(column)
+    return rows.withColumn(column, F.when((c == old) | c.startswith(old + "#"), F.concat(F.lit(new), F.substring(c, F.lit(len(old) + 1), F.length(c)))).otherwise(c))
