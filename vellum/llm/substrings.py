@@ -138,12 +138,11 @@ def runs_of(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, mark, runs: which runs of a document another document has first, or the document itself before."""
     runs = written(runs_of(docs), "runs")
-    each = runs.select("doc", F.explode(F.arrays_zip("hashes", "checks")).alias("x")).select(F.col("x.hashes").alias("h"), "doc", F.col("x.checks").alias("check"))
-    first = F.min(F.struct("doc", "check"))
-    shared = each.groupBy("h").agg(first.alias("first"), F.max("doc").alias("last")).filter("first.doc < last").select("h", F.col("first.doc").alias("first"), F.col("first.check").alias("check"))
+    each = runs.select("doc", F.explode(F.arrays_zip("hashes", "checks")).alias("x")).select(F.col("x.hashes").alias("h"), F.col("x.checks").alias("check"), "doc")
+    shared = each.groupBy("h", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "check", "first")
     placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
-    placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("own"))
-    later = placed.join(shared.hint("shuffle_merge"), "h").filter("doc > first and own = check")
+    placed = placed.select(F.col("x.hashes").alias("h"), F.col("x.checks").alias("check"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"))
+    later = placed.join(shared.hint("shuffle_merge"), ["h", "check"]).filter("doc > first")
     later = later.select("doc", F.shiftright("place", 31).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"))
     own = runs.filter(F.size("again") > 0).select("doc", "mark", F.explode("again").alias("place"))
     return later.unionByName(own).groupBy("doc", "mark").agg(F.collect_list("place").alias("runs"))
