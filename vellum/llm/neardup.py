@@ -265,17 +265,17 @@ def survivors(docs: DataFrame) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     wordless = ~text_or_empty().rlike(r"\S")
     # All columns travel in one struct, so that no name of theirs can clash.
-    each = docs.filter(~wordless).select(F.unhex(F.sha2(text_or_empty(), 256)).alias("mark"), F.coalesce(F.col("doc_id").cast("long"), last).alias("key"), F.struct(*docs.columns).alias("row"))
-    each = each.groupBy("mark").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row"))
-    base = written(each.select("key", "row", F.monotonically_increasing_id().alias("id")), "texts")
+    keyed = docs.filter(~wordless).select(F.unhex(F.sha2(text_or_empty(), 256)).alias("mark"), F.coalesce(F.col("doc_id").cast("long"), last).alias("key"), F.struct(*docs.columns).alias("row"))
+    each = keyed.groupBy("mark").agg(F.min("key").alias("key"), F.first("row.text").alias("text"))
     tables = Tables(docs.sparkSession)
-    found = components(links(base.select("id", text_or_empty("row.text").alias("text")), tables.written), tables.written)
-    found = written(found, "groups")
-    tables.drop()
+    base = tables.written(each.withColumn("id", F.monotonically_increasing_id()), "texts")
+    found = tables.written(components(links(base.select("id", "text"), tables.written), tables.written), "groups")
     # A group is named by one of its ids; its first is by doc_id.
     named = found.select(F.col("node").alias("id"), "root").unionByName(found.select(F.col("root").alias("id"), "root").distinct())
     members = base.select("id", "key").join(named, "id")
     heads = members.groupBy("root").agg(F.min(F.struct("key", "id"))["id"].alias("id"))
-    gone = written(members.select("id").join(heads.select("id"), "id", "left_anti"), "gone")
-    kept = base.join(gone, "id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    return kept.unionByName(docs.filter(wordless).select(*docs.columns))
+    gone = tables.written(members.select("id").join(heads.select("id"), "id", "left_anti"), "gone")
+    left = written(base.select("id", "key", "mark").join(gone, "id", "left_anti").select("key", "mark"), "kept")
+    tables.drop()
+    kept = keyed.join(left.hint("shuffle_merge"), ["key", "mark"]).dropDuplicates(["key", "mark"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter(wordless).select(*docs.columns))
