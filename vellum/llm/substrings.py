@@ -76,10 +76,10 @@ class Sentences:
         self.run_end = np.maximum(np.searchsorted(ends, self.starts + MIN_WORDS) + 1, np.arange(m) + MIN_SENTENCES)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sentence numbers, hashes, and 32 more bits to tell equal hashes apart) of all runs."""
+        """(sentence numbers, hashes, and 16 more bits to tell equal hashes apart) of all runs."""
         at = np.flatnonzero(self.run_end <= len(self.ends))
         if not len(at):
-            return at, np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return at, np.zeros(0, np.int64), np.zeros(0, np.int16)
         # One part a word: what parts words here is white space for the pattern too.
         plain = self.text.lower().split()
         text = " ".join(plain)
@@ -91,7 +91,7 @@ class Sentences:
         lo, hi = place[self.starts[at]].tolist(), (place[self.ends[self.run_end[at] - 1]] - 1).tolist()
         digest = xxhash.xxh3_128_digest
         raw = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(lo, hi, strict=True)]), np.uint8).reshape(-1, 16)
-        return at, np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:12]).view("<i4").ravel()
+        return at, np.ascontiguousarray(raw[:, :8]).view("<i8").ravel(), np.ascontiguousarray(raw[:, 8:10]).view("<i2").ravel()
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sentence numbers, hashes, more bits) of the first run of each hash, and sentence numbers of the later ones."""
@@ -120,7 +120,7 @@ def _mark(text: str | None) -> int:
 def runs_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc, mark, hashes, checks, places of the first run of each hash within a document, and again: places
     of later ones. A row per document with a run."""
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("again", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int16())), ("places", pa.list_(pa.int32())), ("again", pa.list_(pa.int32()))])
 
     def rows(cols: dict) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
@@ -132,17 +132,20 @@ def runs_of(docs: DataFrame) -> DataFrame:
                 out[k].append(v)
         return out
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<int>, places array<int>, again array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<smallint>, places array<int>, again array<int>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, mark, runs: which runs of a document another document has first, or the document itself before."""
     runs = written(runs_of(docs), "runs")
-    each = runs.select("doc", F.explode(F.arrays_zip("hashes", "checks")).alias("x")).select(F.col("x.hashes").alias("h"), F.col("x.checks").alias("check"), "doc")
-    shared = each.groupBy("h", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "check", "first")
+    each = runs.select(F.explode("hashes").alias("h"), "doc")
+    shared = each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
     placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
-    placed = placed.select(F.col("x.hashes").alias("h"), F.col("x.checks").alias("check"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"))
-    later = placed.join(shared.hint("shuffle_merge"), ["h", "check"]).filter("doc > first")
+    placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("check"))
+    met = placed.join(shared.hint("shuffle_merge"), "h").filter("doc >= first")
+    # The first holder's own row says what the others must agree with.
+    firsts = met.filter("doc = first").groupBy("h").agg(F.min("check").alias("own"))
+    later = met.filter("doc > first").join(firsts.hint("shuffle_merge"), "h").filter("check = own")
     later = later.select("doc", F.shiftright("place", 31).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"))
     own = runs.filter(F.size("again") > 0).select("doc", "mark", F.explode("again").alias("place"))
     return later.unionByName(own).groupBy("doc", "mark").agg(F.collect_list("place").alias("runs"))
