@@ -142,7 +142,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
     placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
     placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("check"))
-    met = placed.join(shared.hint("shuffle_merge"), "h").filter("doc >= first")
+    met = written(placed.join(shared.hint("shuffle_merge"), "h").filter("doc >= first"), "met")  # used twice: what is shuffled for it would be, too
     # The first holder's own row says what the others must agree with.
     firsts = met.filter("doc = first").groupBy("h").agg(F.min("check").alias("own"))
     later = met.filter("doc > first").join(firsts.hint("shuffle_merge"), "h").filter("check = own")
