@@ -277,6 +277,26 @@ def test_substrings(spark, docs, none):
     assert substrings.dedup(docs).columns == docs.columns and substrings.dedup(docs).count() == 12 and substrings.dedup(none).count() == 0
 
 
+def test_repeats_by_brute_force(spark):
+    """Every run of the operator, over documents in several slices and partitions, ties in doc_id and repeats within a text."""
+    rng = random.Random(21)
+    pool = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(6, 14))) + "." for _ in range(12)]
+    rows = [(rng.randrange(120), " ".join(rng.choice(pool) if rng.random() < 0.9 else f"new{i} " * rng.randint(5, 20) + "." for _ in range(rng.randint(3, 12)))) for i in range(150)]
+    first, want = {}, set()
+    cut = [(d, zlib.crc32(t.encode()), substrings.Sentences(t)) for d, t in rows]
+    for d, _, s in cut:
+        for h in s.hashes()[1].tolist():
+            first[h] = min(d, first.get(h, d))
+    for d, mark, s in cut:
+        seen = set()
+        for at, h in zip(*[x.tolist() for x in s.hashes()[:2]], strict=True):
+            if d > first[h] or h in seen:
+                want.add((d, mark, at))
+            seen.add(h)
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {(r["doc"], r["mark"], at) for r in got.collect() for at in r["runs"]} == want and len(want) > 200
+
+
 def test_language(spark, none):
     rows = [(i, "the cat and the dog were there with them" if i % 2 else "der hund und die katze waren nicht mit ihnen", "en" if i % 2 else "de") for i in range(60)] + [(100, None, None), (None, "12", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

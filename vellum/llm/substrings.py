@@ -10,8 +10,9 @@ wherever it stands, whatever it is embedded in: a sentence starts within its fir
 within MIN_WORDS + STRETCH - 1 more, and what stands around the passage moves ends only in its first STRETCH - 1 and last
 STRETCH words (the last word's white space may be the host's), so 3 * STRETCH + MIN_WORDS <= 52 is enough.
 
-What is shuffled is a hash and a place for each sentence, counted before the shuffle; copies of a frequent passage are joined
-to its one row of counts, so the join can be split where many gather. Texts are shuffled once, to meet their places.
+What is shuffled is a hash and a place for each sentence, once: sorted by hash and document, a run's first row is its first
+holder, and rows stream past it. Equal runs of one slice of documents are settled there and leave one row, so a passage that a
+third of all documents share is no more rows to a task than there are slices. Texts are shuffled once, to meet their places.
 
 Defined results: null and short texts have no run and stay as they are; rows with equal doc_id count as one document where
 the first holder is sought and are rewritten each by its own text; a null doc_id counts as the largest; a text may end up
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, row_op, slices, text_or_empty, written
+from .common import in_arrow, slices, text_or_empty
 
 MIN_WORDS, MIN_SENTENCES, STRETCH = 20, 2, 10
 _WORD = re.compile(r"\S+\s*")
@@ -117,38 +118,77 @@ def _mark(text: str | None) -> int:
     return zlib.crc32((text or "").encode("utf-8", "replace"))
 
 
-def runs_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc, mark, hashes, checks, places of the first run of each hash within a document, and again: places
-    of later ones. A row per document with a run."""
-    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int16())), ("places", pa.list_(pa.int32())), ("again", pa.list_(pa.int32()))])
+_RUNS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("check", pa.int16()), ("later", pa.bool_())])
+
+
+def _slice_runs(docs: list[int], texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Columns of _RUNS for the runs of a slice of documents.
+
+    Of equal runs in the slice those of its least document stand for all; the others are later ones already, whatever other
+    slices hold, and go under a hash of their own place, so that a passage that every document has gives a row a slice.
+    """
+    parts: list[tuple] = []
+    for doc, text in zip(docs, texts, strict=True):
+        at, h, check, again = Sentences(text).repeated()
+        if len(h):
+            mark = _mark(text) << 31
+            parts.append((h, np.full(len(h), doc), mark | at, check, np.zeros(len(h), bool)))
+            parts.append((mark | again, np.full(len(again), doc), mark | again, np.zeros(len(again), np.int16), np.ones(len(again), bool)))
+    if not parts:
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int16, bool))
+    h, doc, place, check, later = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((doc, h, later))
+    h, doc, place, check, later = h[order], doc[order], place[order], check[order], later[order]
+    first = _first_of_run(h)
+    later = later | (doc > doc[first]) & (check == check[first])
+    spread = (place ^ doc) * np.int64(-7046029254386353131)
+    return np.where(later, spread, h), doc, place, check, later
+
 
-    def rows(cols: dict) -> dict:
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for key, text in zip(cols["doc_id"], cols["text"], strict=True):
-            at, h, check, again = Sentences(text).repeated()
-            if not len(h):
-                continue
-            for k, v in zip(out, (_LAST if key is None else key, _mark(text), h, check, at.astype(np.int32), again.astype(np.int32)), strict=True):
-                out[k].append(v)
-        return out
+def _first_of_run(h: np.ndarray) -> np.ndarray:
+    """For each row the number of the first one of its run of equal values."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), row_op(rows, schema), "doc long, mark long, hashes array<long>, checks array<smallint>, places array<int>, again array<int>")
+
+def runs_of(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) to a row per run: its hash, document, place (with the text's mark), more bits, whether it is a later one."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            keys = [_LAST if k is None else k for k in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(_slice_runs(keys, batch.column("text").to_pylist()), _RUNS, strict=True)], schema=_RUNS)
+
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "h long, doc long, place long, check smallint, later boolean")
+
+
+def _later(batches):
+    """Rows of _RUNS sorted by h and doc to doc, mark, place of the later ones: the first row of a hash is its first holder."""
+    before = None  # hash, document and bits of the first row of the run that the last batch ended in
+    for batch in batches:
+        h, doc, place, check = (batch.column(c).to_numpy() for c in ("h", "doc", "place", "check"))
+        known = batch.column("later").to_numpy(zero_copy_only=False).astype(bool)
+        out = [(doc[known], place[known])]
+        h, doc, place, check = h[~known], doc[~known], place[~known], check[~known]
+        if len(h):
+            first = _first_of_run(h)
+            first_doc, first_check = doc[first], check[first]
+            if before is not None and before[0] == h[0]:
+                own = first == 0
+                first_doc, first_check = np.where(own, before[1], first_doc), np.where(own, before[2], first_check)
+            later = (doc > first_doc) & (check == first_check)
+            out.append((doc[later], place[later]))
+            before = (h[-1], first_doc[-1], first_check[-1])
+        docs, places = (np.concatenate(c) for c in zip(*out, strict=True))
+        if len(docs):
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places >> 31), pa.array((places & ((1 << 31) - 1)).astype(np.int32))], names=["doc", "mark", "place"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, mark, runs: which runs of a document another document has first, or the document itself before."""
-    runs = written(runs_of(docs), "runs")
-    each = runs.select(F.explode("hashes").alias("h"), "doc")
-    shared = each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "first")
-    placed = runs.select("doc", "mark", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("x"))
-    placed = placed.select(F.col("x.hashes").alias("h"), "doc", F.shiftleft(F.col("mark"), 31).bitwiseOR(F.col("x.places").cast("long")).alias("place"), F.col("x.checks").alias("check"))
-    met = written(placed.join(shared.hint("shuffle_merge"), "h").filter("doc >= first"), "met")  # used twice: what is shuffled for it would be, too
-    # The first holder's own row says what the others must agree with.
-    firsts = met.filter("doc = first").groupBy("h").agg(F.min("check").alias("own"))
-    later = met.filter("doc > first").join(firsts.hint("shuffle_merge"), "h").filter("check = own")
-    later = later.select("doc", F.shiftright("place", 31).alias("mark"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"))
-    own = runs.filter(F.size("again") > 0).select("doc", "mark", F.explode("again").alias("place"))
-    return later.unionByName(own).groupBy("doc", "mark").agg(F.collect_list("place").alias("runs"))
+    """doc, mark, runs: which runs of a document another document has first, or the document itself before. One shuffle of runs."""
+    found = in_arrow(runs_of(docs).repartition("h").sortWithinPartitions("h", "doc"), _later, "doc long, mark long, place int")
+    return found.groupBy("doc", "mark").agg(F.collect_list("place").alias("runs"))
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
