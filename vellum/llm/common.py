@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -80,12 +82,40 @@ def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
 BATCH_BYTES = "8m"
 
 
+#: Caches of this folder's modules, which a worker empties when its task ends: the next one may be another operator's.
+CACHES: list[Callable[[], None]] = []
+
+
+@lru_cache(1)
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Empty the caches and give memory back to the system: workers live on from stage to stage beside the executor's heap."""
+    for empty in CACHES:
+        empty()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def in_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """df.mapInArrow with batches bounded by bytes: ten thousand texts at once may be more than a worker can hold."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) in (None, "9223372036854775807b", "9223372036854775807"):
         conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(name: str = "text"):

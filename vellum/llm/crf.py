@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, row_op, slices
+from .common import CACHES, in_arrow, row_op, slices
 
 UNKNOWN = "und"
 PER_LABEL, LONGEST, TABLE, PIECE = 120, 20_000, 1 << 16, 40
@@ -38,7 +38,7 @@ PER_LABEL, LONGEST, TABLE, PIECE = 120, 20_000, 1 << 16, 40
 STRETCH = 128
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-4
 #: Words whose weights a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _WORD = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 
 
@@ -334,6 +334,7 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
 
 
 _LOADED: dict[int, Model] = {}
+CACHES.append(_LOADED.clear)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,16 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices, text_or_empty
+from .common import CACHES, in_arrow, slices, text_or_empty
 
 MIN_WORDS, MIN_SENTENCES, STRETCH = 20, 2, 10
 _WORD = re.compile(r"\S+\s*")
 _LAST = (1 << 63) - 1
 class _Ranks(dict):
-    """By word: -1 where a sentence ends with it and its white space, else its hash. Half a million are remembered."""
+    """By word: -1 where a sentence ends with it and its white space, else its hash. Two hundred thousand are remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         bare = word.rstrip()
         got = self[word] = -1 if "\n" in word or bare[-1:] in ".!?" else zlib.crc32(bare.lower().encode("utf-8", "replace"))
@@ -47,6 +47,7 @@ class _Ranks(dict):
 
 
 _RANKS = _Ranks()
+CACHES.append(_RANKS.clear)
 
 
 def _ends(words: list[str]) -> np.ndarray:
