@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import groupby
 
@@ -288,7 +288,7 @@ def _parse(raw: bytes) -> tuple[int, int, list[_Image]]:
 
 
 def decode(raw: bytes) -> list[Frame]:
-    return list(decode_many([raw])[0])
+    return [replace(f, picture=f.picture.copy()) for f in decode_many([raw])[0]]
 
 
 def decode_many(files: list[bytes]) -> list[Iterator[Frame]]:
