@@ -12,7 +12,7 @@ from vellum.operators import measures as M
 from vellum.plans.guard import Refused, run_select
 from vellum.plans.session import checkpoints
 from vellum.sources import library as sources
-from vellum.sources import service, sinks
+from vellum.sources import jats, service, sinks
 from vellum.streaming import events as E
 
 
@@ -274,3 +274,25 @@ def test_decision_by_threshold_and_margins(spark):
     assert [got(0.5, 0.1, {"methods": 0.5, "results": 0.05})[k]["label"] for k in (1, 2, 3)] == ["methods", "other", "results"]
     one = meaning.decide(df, "k", "v", known.filter("label = 'results'"), "label", 0.5, 0.9).filter("k = 3").first()
     assert (one["label"], one["margin"]) == ("results", 1.0)
+
+
+ARTICLE = """<?xml version="1.0"?><!DOCTYPE article PUBLIC "-//X//DTD//EN" "x.dtd">
+<article><front><journal-meta><journal-title-group><journal-title>J. of Threads</journal-title></journal-title-group></journal-meta>
+<article-meta><article-id pub-id-type="doi">10.1000/ABC</article-id><article-id pub-id-type="pmc">123</article-id><title-group><article-title>On <italic>threads</italic><xref>1</xref></article-title></title-group>
+<contrib-group><contrib contrib-type="author"><contrib-id contrib-id-type="orcid">https://orcid.org/0000-1</contrib-id><name><surname>Berg</surname><given-names>Jan</given-names></name></contrib></contrib-group>
+<pub-date><year>2020</year></pub-date><abstract><p>Short.</p></abstract></article-meta></front>
+<body><sec><title>Methods</title><p>We spun <fig><caption><p>no</p></caption></fig>threads [<xref>1</xref>].</p><sec><title>Cells</title><p>Grown.</p></sec></sec></body>
+<back><ref-list><ref id="r1"><label>1</label><mixed-citation>Smith. A title. <pub-id pub-id-type="doi">10.1/X</pub-id></mixed-citation></ref></ref-list></back></article>"""
+
+
+def test_jats_articles(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(ARTICLE)
+    (tmp_path / "b.xml").write_text("<article><p></article>")
+    got = {r["file"]: r for r in jats.articles(spark, str(tmp_path)).collect()}
+    a = got["a.xml"]
+    assert (a["doi"], a["pmcid"], a["pmid"], a["title"], a["journal"], a["year"]) == ("10.1000/abc", "PMC123", None, "On threads", "J. of Threads", "2020")
+    assert [tuple(x) for x in a["authors"]] == [("Jan Berg", "Berg", "Jan", "0000-1")]
+    assert [(x["path"], x["kind"], x["text"]) for x in a["sections"]] == [(["Abstract"], "abstract", "Short."), (["Methods"], "body", "We spun threads []."), (["Methods", "Cells"], "body", "Grown.")]
+    assert [(x["no"], x["id"], x["doi"]) for x in a["refs"]] == [(1, "r1", "10.1/x")]
+    assert got["b.xml"]["error"] and got["b.xml"]["sections"] == []
+    assert tuple(one(spark, jats.head_ids(F.col("t")), t=ARTICLE)) == ("10.1000/abc", "123")
