@@ -254,6 +254,34 @@ def test_links_by_brute_force(spark):
     assert same(mine) == same(want)
 
 
+@pytest.mark.parametrize(("task", "dealt"), [(300, 11), (1 << 15, 4)])
+def test_variants_are_shuffled_once(spark, monkeypatch, task, dealt):
+    """Where fingerprints that share variants are too many to broadcast, too; and made by as many tasks as their number asks for."""
+    rng = random.Random(31)
+    fps = [rng.getrandbits(64) for _ in range(3000)]
+    fps += [f ^ bit for f in fps[:40] for bit in (1, 2, 4)]
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long").distinct()
+    doubles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, doubles, spark._jvm.java.util.ArrayList())
+        return {(s := found.apply(i)).stageId(): s for i in range(found.size())}
+
+    monkeypatch.setattr(simhash, "TASK", task, raising=False)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, threshold = set(stages()), spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        got = {(r["a"], r["b"]) for r in simhash.links(df).collect()}
+    finally:
+        spark.conf.set(name, threshold)
+    assert len(got) == 40 * 6
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    own = [s for k, s in stages().items() if k not in before]
+    assert sum(s.shuffleWriteRecords() for s in own) < 1.3 * 64 * len(fps)
+    assert [s.numTasks() for s in own if s.shuffleWriteRecords() == 64 * len(fps)] == [dealt]
+
+
 def test_near_duplicates(docs, none):
     got = collected(simhash.near_duplicates(docs))
     assert len(got) == 12 and simhash.near_duplicates(none).count() == 0

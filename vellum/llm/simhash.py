@@ -4,12 +4,12 @@ A 64-bit fingerprint is cut into two segments of 32 bits: of two fingerprints th
 segment differs in at most one. So each segment is indexed under its 32 one-wildcard variants (the bit left out, and which),
 fingerprints with an equal variant meet by equality, and the whole fingerprints are verified.
 
-Rows with the same fingerprint are collapsed first, so a group of copies is one row from there on. A variant shared by two
-fingerprints gives its pair from the aggregate itself. One shared by up to CROWD meets by an equality join. Beyond that no
-pairs are formed: each fingerprint there is written under its 2,016 two-wildcard variants, once however many crowded variants
-it has; those who share one differ in at most two bits, all of them, so each is linked to the least. This is exact, and costs
-a fingerprint no more rows than CROWD-sized groups do. Links are contracted to components by alternating large and small
-stars, whose hubs are aggregated before they are shuffled.
+Rows with the same fingerprint are collapsed first, so a group of copies is one row from there on. Variants are shuffled once
+and counted in place, and only those that fingerprints share are kept. A variant shared by two fingerprints gives its pair at
+once. One shared by up to CROWD meets by an equality join. Beyond that no pairs are formed: each fingerprint there is written
+under its 2,016 two-wildcard variants, once however many crowded variants it has; those who share one differ in at most two
+bits, all of them, so each is linked to the least. This is exact, and costs a fingerprint no more rows than CROWD-sized groups
+do. Links are contracted to components by alternating large and small stars, whose hubs are aggregated before they are shuffled.
 
 Defined results: texts without words (null and empty ones too) have the fingerprint zero and link like any other; repeated
 rows each give a row; a null doc_id counts as the largest; an empty table gives no rows; extra columns are not read.
@@ -21,12 +21,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, in_arrow, row_op, text_or_empty, written
 
 DISTANCE, CROWD = 2, 64
+#: Fingerprints of a task, of 64 variants each.
+TASK = 1 << 15
 SHINGLE, SEED = 3, 42
 
 
@@ -78,15 +80,20 @@ def variants(fp: Column) -> Column:
 
 def links(fps: DataFrame, store: Callable = written) -> DataFrame:
     """All links among distinct fingerprints fps (fp): rows (a, b), a < b, that connect exactly those within DISTANCE."""
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    # A fingerprint takes 64 rows from here on: few small files would be few tasks, and many rows in a task would spill. Dealt by
+    # a hash, as fps may lie by fp already, in partitions that adaptive execution would then merge.
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // TASK))
+    keyed = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(variants(F.col("fp"))).alias("key")).repartition(n, "key")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    # Counted and kept where they are: variants are shuffled once, however many are shared.
+    same = Window.partitionBy("key")
+    shared = keyed.select("key", "fp", F.count("*").over(same).alias("n"), F.max("fp").over(same).alias("most"))
+    shared = shared.filter((F.col("n") > 2) | (F.col("n") == 2) & (F.col("fp") < F.col("most")) & near(F.col("fp"), F.col("most")))
     shared = store(shared, "variants")
-    pairs = shared.filter("n = 2").filter(near(F.col("a"), F.col("b"))).select("a", "b")
-    many = shared.filter("n > 2").select("key", "n")
-    if many.isEmpty():
+    pairs = shared.filter("n = 2").select(F.col("fp").alias("a"), F.col("most").alias("b"))
+    members = shared.filter("n > 2").select("key", "fp", "n")
+    if members.isEmpty():
         return pairs.distinct()
-    members = store(keyed.join(many, "key"), "members")
     few = members.filter(F.col("n") <= CROWD)
     met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fp < y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).filter(near(F.col("a"), F.col("b")))
     crowded = members.filter(F.col("n") > CROWD).select("fp").distinct()
