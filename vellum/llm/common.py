@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import io
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
@@ -52,6 +54,18 @@ def put_file(folder: str, name: str, raw: bytes) -> None:
     fs.move(own, f"{path}/{name}")
 
 
+def save_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    put_file(folder, name, out.getvalue())
+
+
+def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
+
+
 class Tables:
     """Tables that a computation writes and reads on its way, and drops once what it leads to is written itself."""
 

@@ -19,6 +19,9 @@ _OPS = {
     "op8_template_chat": "q_chat:template_chat",
     "op9_sentence_spans": "q_dedup:sentence_spans",
     "op10_crf_language": "q_language:crf_language",
+    "op11_maxscore_search": "q_lexical:maxscore_search",
+    "op12_monoid_bpe": "q_tokens:monoid_bpe",
+    "op13_word_runs": "q_runs:word_runs",
 }
 
 

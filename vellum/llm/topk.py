@@ -20,18 +20,16 @@ a score beyond a long is given as the nearest long, and such scores rank by thei
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, put_file, scratch, written
+from .common import in_arrow, load_arrays, save_arrays, scratch, written
 
 BITS, ROWS = 6, 16384
 #: Integers below this are summed as 64-bit ones: with 2^14 components no sum reaches 2^63.
@@ -186,18 +184,6 @@ def _integers(v: np.ndarray) -> np.ndarray:
     return v.astype(np.int64) if np.abs(v).max(initial=0) < NARROW and v.shape[-1] <= MOST_NARROW_DIM else _whole(v)
 
 
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    put_file(folder, name, out.getvalue())
-
-
-def _load(folder: str, name: str) -> dict[str, np.ndarray]:
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    with fs.open_input_stream(f"{path}/{name}") as f:
-        return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
-
-
 def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple[DataFrame, str]:
     """vectors (vec_id, embedding) to (a row per index block, the shared folder that holds the blocks).
 
@@ -218,7 +204,7 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple
             exact = v.astype(np.int16 if most < 1 << 15 else np.int32) if most < NARROW and dim <= MOST_NARROW_DIM else v
             count += 1
             name = f"block-{part + count:020d}.npz"
-            _save(folder, name, shift=np.array(shift), ids=ids, exact=exact, slices=slices)
+            save_arrays(folder, name, shift=np.array(shift), ids=ids, exact=exact, slices=slices)
             return pa.RecordBatch.from_pydict({"block": [part + count], "dim": [dim], "n": [len(ids)], "file": [name]}, schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("file", pa.string())]))
 
         for batch in batches:
@@ -244,7 +230,7 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple
 
 
 def load_block(folder: str, file: str) -> Block:
-    x = _load(folder, file)
+    x = load_arrays(folder, file)
     n, dim = x["exact"].shape
     return Block(dim, n, int(x["shift"]), x["ids"], x["exact"], x["slices"])
 
@@ -257,12 +243,12 @@ def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024
         """Query vectors of each block, at_once to a file."""
         for batch in batches:
             for r in batch.to_pylist():
-                x = _load(folder, r["file"])
+                x = load_arrays(folder, r["file"])
                 own = np.flatnonzero((x["ids"] % every == 0) & (x["ids"] != _NO_ID))
                 for lo in range(0, len(own), at_once):
                     part = own[lo : lo + at_once]
                     name = f"queries-{r['block']:020d}-{lo:08d}.npz"
-                    _save(folder, name, rows=part, ids=x["ids"][part], q=x["exact"][part].astype(np.float64))
+                    save_arrays(folder, name, rows=part, ids=x["ids"][part], q=x["exact"][part].astype(np.float64))
                     yield pa.RecordBatch.from_pydict({"dim": [r["dim"]], "origin": [r["block"]], "queries": [name]}, schema=pa.schema([("dim", pa.int32()), ("origin", pa.int64()), ("queries", pa.string())]))
 
     found = pa.schema([*[(c, pa.int64()) for c in ("origin", "row", "query_id", "vec_id", "at", "score")], ("beyond", pa.float64())])
@@ -273,7 +259,7 @@ def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024
             for r in batch.to_pylist():
                 if r["file"] != last:
                     last, block = r["file"], load_block(folder, r["file"])
-                x = _load(folder, r["queries"])
+                x = load_arrays(folder, r["queries"])
                 out: list[list] = [[] for _ in found]
                 for row, vec, q in zip(x["rows"].tolist(), x["ids"].tolist(), x["q"], strict=True):
                     at, scores = block.top(_integers(q), k, row if r["origin"] == r["block"] else None)
