@@ -17,6 +17,9 @@ LINES = "lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id OR
 
 ROLES = ("front", "introduction", "methods", "results", "discussion", "references")
 
+#: The first seven words, as a pattern that holds in both.
+SEVEN = "(" + "[ \n]+".join(["[^ \n]+"] * 7) + ")"
+
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "papers": (("documents",), """
         SELECT concat('doc:', doc_id) AS key, CASE WHEN doc_id % 3 <> 1 THEN concat('10.10', doc_id % 7, '0/p', doc_id) END AS doi,
@@ -51,6 +54,22 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN c_custkey % 4 = 1 THEN concat('https://open.example/', c_custkey) END AS oa_url, c_mktsegment AS query, CAST(1990 + c_custkey % 35 AS STRING) AS year FROM customer"""),
     "cites": (("orders",), """
         SELECT concat('doc:', o_orderkey % 500) AS citing, concat('cand:', o_custkey) AS cited, CASE o_orderkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'record' ELSE 'openalex' END AS origin, CAST(o_orderkey % 40 + 1 AS INT) AS ref_no FROM orders"""),
+    # A work for each document that has seven words and a capitalised one: its first words are the title. Texts that are copies give works
+    # of one title. Entries cite them in print: whole, in capitals, hyphenated a year late, by place alone, with a wrong year, with identifiers.
+    "listed_works": (("documents",), f"""
+        SELECT doc_id, concat('work:', doc_id) AS work, title, CAST(1990 + length(title) % 30 AS STRING) AS year, family, CAST(1 + doc_id % 90 AS STRING) AS volume, concat('e', doc_id * 13 % 2000) AS first_page,
+          CASE WHEN doc_id % 4 = 0 THEN concat('10.1', doc_id % 7, '0/W', doc_id) END AS doi, CASE WHEN doc_id % 6 = 1 THEN CAST(7000 + doc_id AS STRING) END AS pmid
+        FROM (SELECT doc_id, regexp_extract(text, '{SEVEN}', 1) AS title, regexp_extract(text, '[A-Z][a-z][a-z][a-z]+', 0) AS family FROM documents) AS t WHERE length(family) > 0 AND length(title) > 0"""),
+    "entries": (("orders", "listed_works"), """
+        SELECT o_orderkey AS entry, concat('work:', o_custkey % 400) AS paper, CAST(o_orderkey % 40 + 1 AS INT) AS ref_no, CAST(NULL AS STRING) AS title, CAST(NULL AS STRING) AS year, w.doc_id,
+          CASE WHEN o_orderkey % 11 = 0 THEN lower(w.doi) END AS doi, CASE WHEN o_orderkey % 13 = 0 THEN w.pmid END AS pmid,
+          CASE o_orderkey % 6 WHEN 0 THEN concat(family, ' AB, Other C-D. ', w.title, '. J Tests ', w.year, ';', volume, ':', first_page, '-99.')
+            WHEN 1 THEN concat('[', o_orderkey % 40, '] ', translate(w.title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' / ', family) WHEN 2 THEN concat(family, ' A (', CAST(w.year AS INT) + 1, ') ', replace(w.title, ' ', '-'))
+            WHEN 3 THEN concat(family, ' J, Else M, Tests ', w.year, ', ', volume, ', ', first_page, '.') WHEN 4 THEN concat(family, ': ', w.title, ', 18', 10 + o_orderkey % 80, '.')
+            ELSE concat('Nobody X. ', w.title, '. ', w.year) END AS text
+        FROM orders o JOIN listed_works w ON w.doc_id = o.o_orderkey * 7 % 997"""),
+    "record_lists": (("entries", "listed_works"), """
+        SELECT e.paper, e.ref_no, e.entry AS place, w.work, w.family, w.year FROM entries e JOIN listed_works w ON w.doc_id = e.doc_id + CASE WHEN e.entry % 21 = 0 THEN 1 ELSE 0 END WHERE e.entry % 7 = 0"""),
     "vectors": (("nodes",), "SELECT node_id, CASE WHEN pos % 4 = 0 THEN 'b@doc1' ELSE 'a@doc1' END AS model FROM nodes WHERE type = 'paragraph' AND pos % 3 <> 0"),
     "mentions": (("lineitem",), "SELECT l_partkey AS entity, concat('doc:', l_orderkey % 300) AS paper, l_suppkey AS chunk, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3"),
 }
