@@ -70,6 +70,13 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders o JOIN listed_works w ON w.doc_id = o.o_orderkey * 7 % 997"""),
     "record_lists": (("entries", "listed_works"), """
         SELECT e.paper, e.ref_no, e.entry AS place, w.work, w.family, w.year FROM entries e JOIN listed_works w ON w.doc_id = e.doc_id + CASE WHEN e.entry % 21 = 0 THEN 1 ELSE 0 END WHERE e.entry % 7 = 0"""),
+    # Candidates of two libraries, ten customers each: chains over DOI, PMID and PMCID, one with a second DOI, two without identifiers.
+    "found_records": (("customer",), """
+        SELECT c_custkey AS cand_id, CAST(c_custkey * 7 % 3 AS INT) AS library, CASE WHEN k IN (0, 1) THEN concat('10.5/d', b) WHEN k = 8 THEN concat('10.5/D', b) WHEN k = 4 THEN concat('10.5/e', b) END AS doi,
+          CASE WHEN k IN (1, 2, 4) THEN CAST(b + 100000 AS STRING) END AS pmid, CASE WHEN k IN (2, 3) THEN concat('PMC', b) END AS pmcid, CASE WHEN k = 7 THEN concat('W', b) END AS openalex,
+          CASE WHEN k IN (5, 6) THEN concat('Title ', b) WHEN k <> 3 THEN concat(c_mktsegment, ' ', c_custkey) END AS title, CAST(1990 + b % 30 AS STRING) AS year,
+          CASE c_custkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'fetched' WHEN 2 THEN 'dismissed' ELSE 'ingested' END AS status, c_mktsegment AS query, CASE WHEN c_custkey % 5 <> 0 THEN CAST(1 + c_custkey % 3 AS INT) END AS round, CAST(c_nationkey AS STRING) AS journal
+        FROM (SELECT *, c_custkey % 10 AS k, (c_custkey - c_custkey % 10) / 10 AS b FROM customer) AS t"""),
     "vectors": (("nodes",), "SELECT node_id, CASE WHEN pos % 4 = 0 THEN 'b@doc1' ELSE 'a@doc1' END AS model FROM nodes WHERE type = 'paragraph' AND pos % 3 <> 0"),
     "mentions": (("lineitem",), "SELECT l_partkey AS entity, concat('doc:', l_orderkey % 300) AS paper, l_suppkey AS chunk, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3"),
 }
@@ -92,7 +99,7 @@ def ctes(*names: str) -> str:
     needed = _needed(names)
     parts = [LINES] if any("lines" in TABLES[t][0] for t in needed) else []
     # Integer division is // there.
-    return "WITH " + ", ".join([*parts, *(f"{t} AS ({TABLES[t][1].replace(' / 7', ' // 7').replace(' / 40', ' // 40')})" for t in needed)]) + " "
+    return "WITH " + ", ".join([*parts, *(f"{t} AS ({TABLES[t][1].replace(' / 7', ' // 7').replace(' / 40', ' // 40').replace(' / 10 AS', ' // 10 AS')})" for t in needed)]) + " "
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +112,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table of the store."""
     needs, sql = TABLES[name]
     frames = {n: lines(spark, d) if n == "lines" else table(spark, d, n) if n in TABLES else load(spark, d, n) for n in needs}
-    body = sql.replace("% 49 / 7", "% 49 div 7").replace("% 40) / 40", "% 40) div 40")
+    body = sql.replace("% 49 / 7", "% 49 div 7").replace("% 40) / 40", "% 40) div 40").replace("% 10) / 10 AS", "% 10) div 10 AS")
     for n in needs:  # names of frames are arguments of the statement
         body = body.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
     return spark.sql(body, **frames)
