@@ -15,7 +15,7 @@ Defined results: vectors that are null or hold a null or a non-finite component
 compared with those of their own length; repeated rows are separate rows, and only the query's own row is left out; ties go
 to the smaller vec_id; an empty table gives no rows; a null vec_id is no query and comes after all others in ties. Components
 may be as large as a double: blocks and queries with integers of 2^24 or more are summed in integers without bound, and only
-a score beyond a long is given as the nearest long, and such scores rank by their value as a double.
+a score beyond a long is given as the nearest long, and such scores rank by their value as a double (beyond doubles: infinite).
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ class Block:
 
     def __init__(self, dim: int, n: int, shift: int, ids: np.ndarray, exact: np.ndarray, slices: np.ndarray):
         self.n, self.shift, self.ids, self.exact, self.slices = n, shift, ids, exact, slices
-        self.wide = exact.dtype.kind == "f"
+        self.wide = exact.dtype.kind in "fU"
         bits = np.zeros(slices.shape[2] * 64, np.uint8)
         bits[:n] = 1
         self.rows = np.packbits(bits, bitorder="little").view(np.uint64)
@@ -161,7 +161,7 @@ class Block:
         rows = np.flatnonzero(np.unpackbits(among.view(np.uint8), bitorder="little"))
         if q.dtype == object or self.wide:
             scores = _whole(self.exact[rows]) @ q.astype(object)
-            best = sorted(range(len(rows)), key=lambda i: (-_long(scores[i]), -float(scores[i]), self.ids[rows[i]]))[:k]
+            best = sorted(range(len(rows)), key=lambda i: (-_long(scores[i]), -_double(scores[i]), self.ids[rows[i]]))[:k]
             return rows[best], scores[best]
         scores = self.exact[rows].astype(np.int64) @ q
         best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -169,7 +169,7 @@ class Block:
 
 
 def _whole(v: np.ndarray) -> np.ndarray:
-    """Doubles that are whole numbers, or integers, as Python's integers."""
+    """Doubles that are whole numbers, integers, or integers in print, as Python's integers."""
     flat = np.empty(v.size, object)
     flat[:] = [int(x) for x in v.ravel().tolist()]
     return flat.reshape(v.shape)
@@ -179,8 +179,27 @@ def _long(x: int) -> int:
     return min(max(x, -_NO_ID - 1), _NO_ID)
 
 
+def _double(x: int) -> float:
+    """The nearest double; infinite beyond them."""
+    try:
+        return float(x)
+    except OverflowError:
+        return float("inf") if x > 0 else float("-inf")
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """floor(256 * x) in doubles, or in print where one of them is beyond a double; such an x is whole, so 256 * x is exact."""
+    with np.errstate(over="ignore"):
+        out = np.floor(v * 256)
+    if np.isfinite(out).all():
+        return out
+    return np.array([str(int(x) * 256 if not np.isfinite(y) else int(y)) for x, y in zip(v.ravel().tolist(), out.ravel().tolist(), strict=True)]).reshape(v.shape)
+
+
 def _integers(v: np.ndarray) -> np.ndarray:
-    """floor(256 * x), held in doubles, as 64-bit integers where their sums of products fit, else as Python's."""
+    """floor(256 * x), held in doubles or in print, as 64-bit integers where their sums of products fit, else as Python's."""
+    if v.dtype.kind == "U":
+        return _whole(v)
     return v.astype(np.int64) if np.abs(v).max(initial=0) < NARROW and v.shape[-1] <= MOST_NARROW_DIM else _whole(v)
 
 
@@ -199,9 +218,12 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple
             nonlocal count
             own = held.pop(dim)
             ids, v = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-            shift, low, slices = slice_bits(_integers(v), bits)
-            most = np.abs(v).max(initial=0)
-            exact = v.astype(np.int16 if most < 1 << 15 else np.int32) if most < NARROW and dim <= MOST_NARROW_DIM else v
+            v = _scaled(v)
+            whole = _integers(v)
+            shift, low, slices = slice_bits(whole, bits)
+            exact = v
+            if whole.dtype != object:
+                exact = whole.astype(np.int16 if np.abs(whole).max(initial=0) < 1 << 15 else np.int32)
             count += 1
             name = f"block-{part + count:020d}.npz"
             save_arrays(folder, name, shift=np.array(shift), ids=ids, exact=exact, slices=slices)
@@ -217,7 +239,7 @@ def build_index(vectors: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == dim)
-                    held.setdefault(dim, []).append((ids[own], np.floor(flat[(ends[own] - dim)[:, None] + np.arange(dim)] * 256)))
+                    held.setdefault(dim, []).append((ids[own], flat[(ends[own] - dim)[:, None] + np.arange(dim)]))
                     if sum(len(x[0]) for x in held[dim]) >= rows:
                         yield close(dim)
         for dim in list(held):
@@ -248,7 +270,7 @@ def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024
                 for lo in range(0, len(own), at_once):
                     part = own[lo : lo + at_once]
                     name = f"queries-{r['block']:020d}-{lo:08d}.npz"
-                    save_arrays(folder, name, rows=part, ids=x["ids"][part], q=x["exact"][part].astype(np.float64))
+                    save_arrays(folder, name, rows=part, ids=x["ids"][part], q=x["exact"][part] if x["exact"].dtype.kind == "U" else x["exact"][part].astype(np.float64))
                     yield pa.RecordBatch.from_pydict({"dim": [r["dim"]], "origin": [r["block"]], "queries": [name]}, schema=pa.schema([("dim", pa.int32()), ("origin", pa.int64()), ("queries", pa.string())]))
 
     found = pa.schema([*[(c, pa.int64()) for c in ("origin", "row", "query_id", "vec_id", "at", "score")], ("beyond", pa.float64())])
@@ -263,7 +285,7 @@ def search(index: tuple[DataFrame, str], k: int, every: int, at_once: int = 1024
                 out: list[list] = [[] for _ in found]
                 for row, vec, q in zip(x["rows"].tolist(), x["ids"].tolist(), x["q"], strict=True):
                     at, scores = block.top(_integers(q), k, row if r["origin"] == r["block"] else None)
-                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), list(map(_long, scores.tolist())), scores.tolist()), strict=True):
+                    for c, v in zip(out, ([r["origin"]] * len(at), [row] * len(at), [vec] * len(at), block.ids[at].tolist(), at.tolist(), list(map(_long, scores.tolist())), list(map(_double, scores.tolist()))), strict=True):
                         c.extend(v)
                 yield pa.RecordBatch.from_arrays([pa.array(map(f.type.to_pandas_dtype(), c), f.type) for c, f in zip(out, found, strict=True)], schema=found)
 
