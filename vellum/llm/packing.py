@@ -4,8 +4,8 @@ An example weighs in on three limits at once: tokens, segments (pieces in a sequ
 filled by the dot-product heuristic: of the waiting examples that fit, the one whose share of the limits, weighted by what
 is left of each limit, is largest. An example longer than a sequence is first cut into whole sequences. Where cutting is
 allowed and nothing fits, the largest waiting example is cut to fill the gap, so that a sequence closes full unless its
-segments or loss tokens are used up; what is left at a task's end goes into sequences whose lengths are powers of two, which
-need no padding.
+segments or loss tokens are used up; such a one, and what is left at a task's end, is cut to a length that is a power of two,
+which needs no padding.
 
 Each task packs its own rows in windows of bounded size: no shuffle, and no key that gathers rows. Sequence ids are the
 task's number times 2^33 plus a count.
@@ -122,9 +122,24 @@ class Packer:
                 head, rest = self._split(self._take(k), at)
                 seq.append(head)
             break
+        total = sum(p.length for p in seq)
+        back = self._trim(seq, total) if self.cut and total < self.limits.tokens else []
         self.closed.append(seq)
-        if rest is not None and rest.length:
-            self._wait(rest)
+        for p in [*back, *([rest] if rest is not None and rest.length else [])]:
+            self._wait(p)
+
+    def _trim(self, seq: list[Piece], total: int) -> list[Piece]:
+        """Cut a sequence that its segments or loss tokens have closed to a power of two, which needs no padding: what goes back."""
+        over, back = total - (1 << (total.bit_length() - 1)), []
+        while over > 0:
+            p = seq.pop()
+            if p.length > over:
+                p, tail = self._split(p, p.length - over)
+                seq.append(p)
+                p = tail
+            over -= p.length
+            back.append(p)
+        return back
 
     def finish(self) -> None:
         while waiting := [k for k, p in enumerate(self.pieces) if p is not None]:
@@ -147,6 +162,8 @@ class Packer:
                 seq.append(head)
                 room, loss, total = room - at, loss - head.loss, total - at
                 rest[:1] = [tail] if tail.length else []
+            back = self._trim(seq, sum(p.length for p in seq))
+            rest[:0], total = back, total + sum(p.length for p in back)
             self.closed.append(seq)
 
     def take(self) -> list[list[Piece]]:
