@@ -9,7 +9,8 @@ largest share of its words' marginal probabilities, and that share is the score,
 (and the words' own labels say where).
 
 The model is fitted on a bounded sample: at most PER_LABEL labelled documents of each language, those with the least hash of
-their doc_id among those of at most LONGEST characters; each takes part whole. Chains for fitting are put together from pieces
+their doc_id, those of at most LONGEST characters first; each of these takes part whole, and of a longer one, where a language
+has too few others, a stretch of LONGEST characters from its middle. Labels are MOST_LABELS at most; more are refused. Chains for fitting are put together from pieces
 of documents of several languages, so that switches are learned. Prediction goes over every whole text, and reads nothing but
 text.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, in_arrow, row_op, slices
 
 UNKNOWN = "und"
-PER_LABEL, LONGEST, TABLE, PIECE = 120, 20_000, 1 << 16, 40
+PER_LABEL, LONGEST, MOST_LABELS, TABLE, PIECE = 120, 20_000, 256, 1 << 16, 40
 #: Words of a stretch.
 STRETCH = 128
 EPOCHS, RATE, DECAY = 3, 0.5, 1e-4
@@ -320,15 +321,20 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fit on docs (doc_id, text, lang): a sample bounded by per_label rows a language comes to the driver."""
+    """Fit on docs (doc_id, text, lang): a sample bounded by per_label rows of LONGEST characters a language comes to the driver."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    fit_for = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)
-    rows = docs.filter(fit_for).select("doc_id", "lang")
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    fit_for = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    rows = docs.filter(fit_for).select("doc_id", "lang", (F.length("text") > LONGEST).alias("long"))
     picked = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label).select("doc_id", "lang")
     # Rows that share their doc_id, null or not, are few by hash; of repeated ones, so many as picked.
-    texts = docs.filter(fit_for).select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
+    picked = picked.distinct()
+    if picked.select("lang").distinct().count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages: their sample and weights would grow with them")
+    size = F.length("text")
+    part = F.when(size > LONGEST, F.substring(F.col("text"), ((size - LONGEST) / 2).cast("int") + 1, F.lit(LONGEST))).otherwise(F.col("text"))
+    texts = docs.filter(fit_for).select("doc_id", "lang", part.alias("text")).join(F.broadcast(picked), ["doc_id", "lang"])
     sample = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return fit(sorted((r["text"], r["lang"]) for r in sample))
 
