@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from vellum.llm import maxscore, monoid, queries, runs
+from vellum.llm import crf, maxscore, monoid, packing, queries, runs, secrets, topk
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -259,3 +259,69 @@ def test_non_essential_postings_are_probed_only(spark):
 def test_lengths_beyond_64_bits():
     sizes = np.array([5, 2**40])
     assert maxscore.lengths(sizes, 2**40, 2**45).tolist() == [25 + 75 * n * 2**40 // 2**45 for n in (5, 2**40)]
+
+
+def test_keys_without_digits(spark):
+    """Random letters are found, some seven in ten of 32; long words, names of programs and paths are not."""
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(60)]
+    words = ["Donaudampfschifffahrtsgesellschaftskapitaen", "getElementsByTagNameFromDocumentRoot", "/usr/share/documentation/packages/readme", "pneumonoultramicroscopicsilicovolcanoconiosis", "ththhandthwhaninthslywhoureerstble", "AbstractSingletonProxyFactoryBean", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    got = {r["doc_id"]: r for r in secrets.digest(spark.createDataFrame(list(enumerate(f"a {w} b" for w in keys + words)), "doc_id long, text string")).collect()}
+    assert sum(got[i]["n_entropy"] for i in range(60)) >= 40
+    assert all(got[60 + i]["spans"] == "" for i in range(len(words)))
+    assert list(got[0].asDict()) == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
+
+
+def test_components_up_to_the_largest_double(spark):
+    rnd = random.Random(13)
+    rows = [(i, [rnd.choice([1.5, -2.0, 1e306, -1.7e308, 1e-300]) for _ in range(3)]) for i in range(40)]
+    got = topk.search(topk.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)), k=4, every=20).collect()
+    whole = {i: [math.floor(256 * x) if abs(x) < 1e300 else int(x) * 256 for x in v] for i, v in rows}
+    edge = lambda s: (min(max(s, -(1 << 63)), (1 << 63) - 1), min(max(s, -(1 << 1024) + 1), (1 << 1024) - 1))
+    for q in (0, 20):
+        scored = sorted(((*(-x for x in edge(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), i) for i in whole if i != q))
+        own = [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert [s for _, s in own] == [-x[0] for x in scored[:4]]
+        assert own[0][0] == scored[0][2]
+
+
+def test_sequences_of_many_short_examples_need_no_padding():
+    rnd = random.Random(14)
+    packer = packing.Packer(packing.Limits())
+    for i in range(20_000):
+        packer.add(i, rnd.randrange(1, 4))
+    packer.finish()
+    sizes = [sum(p.length for p in seq) for seq in packer.take()]
+    assert all(n == 1024 or n & (n - 1) == 0 for n in sizes) and all(sizes)
+
+
+@pytest.mark.parametrize("loss", [1024, 100])
+def test_trimmed_sequences_keep_every_id(loss):
+    rnd = random.Random(15)
+    packer, want = packing.Packer(packing.Limits(1024, 8, loss, 32)), {}
+    for i in range(3000):
+        want[i] = rnd.choice([1, 2, 3, 40, 900, 3000])
+        packer.add(i, want[i], rnd.randrange(want[i] + 1))
+    packer.finish()
+    pieces = {}
+    for seq in packer.take():
+        assert seq and len(seq) <= 8 and sum(p.loss for p in seq) <= loss and sum(p.length for p in seq) <= 1024
+        for p in seq:
+            pieces.setdefault(p.key, []).append((p.start, p.length))
+    for i, n in want.items():
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    german = "der hund und die katze waren nicht mit ihnen im haus "
+    rows = [(i, german * 500, "de") for i in range(40)] + [(100 + i, "the cat and the dog were there with them", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.train(df)
+    assert {r["lang_pred"] for r in crf.identify(df.filter("lang = 'de'").drop("lang"), model).collect()} == {"de"}
+    many = spark.createDataFrame([(i, "ab cd", f"l{i}") for i in range(2000)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        crf.train(many)

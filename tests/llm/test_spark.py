@@ -130,7 +130,7 @@ def test_entropy(spark):
 
     rng = random.Random(10)
     words = ["".join(rng.choice("aab1bcd2xyz") for _ in range(rng.randint(20, 60))) for _ in range(40)]
-    hull = secrets.entropy_hull(F.col("w"), F.lit(2.8)).alias("h")
+    hull = secrets.entropy_hull(F.col("w"), 2.8).alias("h")
     for w, h in spark.createDataFrame([(w,) for w in words], "w string").select("w", hull).collect():
         hits = [i for i in range(len(w) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(w[i : i + 20]).values()) >= 2.8 - 1e-6]
         assert (h["first"], h["last"]) == ((hits[0], hits[-1] + 20) if hits else (None, None))

@@ -5,8 +5,9 @@ sum of their lengths gives each match's place in code points. To them come spans
 run of characters that secrets are made of) a window slides; counts by character, packed twelve to a number, change by the
 one that enters and the one that leaves, and with them the sum of c*log2(c), from which the window's Shannon entropy follows.
 Hexadecimal, alphanumeric and base64 windows have thresholds of their own, so a key joined to its name or path is judged as it
-would be alone. A window that overlaps an allow-listed word is passed over, as are candidates that are allow-listed whole or
-hold no digit, and spans inside a base span. Sums are of integers (millionths), so results don't depend on the order of
+would be alone. A candidate that looks like words (no digit, or letters with a number of up to four digits behind them) has a threshold
+of its own, which words of natural languages and names in programs don't reach. A window that overlaps an allow-listed word is
+passed over, as are candidates that are allow-listed whole, and spans inside a base span. Sums are of integers (millionths), so results don't depend on the order of
 additions.
 
 Defined results: a null text counts as empty; a text without secrets gives a row with zeros and the digest of the empty
@@ -35,14 +36,16 @@ WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Least entropy of a window, in bits, by the class of its characters.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+#: The same for candidates that look like words.
+WORDY_BITS = 4.1
+WORDY = r"^[-_=]*[A-Za-z][A-Za-z_/=-]*[0-9]{0,4}$"
 #: Words that mark placeholders and ordered alphabets: a window with one of them is no secret. Their lengths are fixed.
 WORDS = ("example", "sample", "placeholder", "your[_-]", "xxxx", "dummy", "changeme", "abcdefgh", "01234567", "12345678")
-#: Candidates that are no secrets as a whole: identifiers, integrity hashes, paths of plain words. No pattern repeats a group,
+#: Candidates that are no secrets as a whole: identifiers, integrity hashes. No pattern repeats a group,
 #: which would take a stack frame for each repeat.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^sha(1|256|384|512)-",
-    r"^[-_=]*[A-Za-z][A-Za-z_/=-]*[0-9]{0,4}$",
 )
 #: Places of a candidate that are judged in one go.
 STRETCH = 4096
@@ -59,7 +62,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _stretch(codes: Column, bits: Column | None, window: int) -> Column:
+def _stretch(codes: Column, bits: float | None, window: int) -> Column:
     """struct(first, last) over an array of places in ALPHABET, 0 for what no window may hold."""
     table = F.array(*[F.lit(_scaled(c)) for c in range(window + 2)])
     limit = lambda b: window * (math.log2(window) - b) * 1_000_000  # noqa: E731  # the sum of c*log2(c) is at most this
@@ -88,7 +91,7 @@ def _stretch(codes: Column, bits: Column | None, window: int) -> Column:
             bad = state["bad"] + (into == 0).cast("int") - (out == 0).cast("int")
             signs, wides = state["signs"] + sign(into) - sign(out), state["wide"] + wide(into) - wide(out)
             own = F.when(wides == 0, limit(BITS["hex"])).when(signs == 0, limit(BITS["alnum"])).otherwise(limit(BITS["base64"]))
-            hit = (p >= window - 1) & (bad == 0) & (s <= (own if bits is None else limit(bits)))
+            hit = (p >= window - 1) & (bad == 0) & (s <= (own if bits is None else F.lit(limit(bits))))
             counts = F.transform(
                 state["counts"],
                 lambda c, i: c + F.when((into > 0) & (i == (into / _EACH).cast("int")), one(into)).otherwise(0) - F.when((out > 0) & (i == (out / _EACH).cast("int")), one(out)).otherwise(0),
@@ -103,7 +106,7 @@ def _stretch(codes: Column, bits: Column | None, window: int) -> Column:
     return F.aggregate(codes, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def entropy_hull(candidate: Column, bits: Column | None = None, window: int = WINDOW) -> Column:
+def entropy_hull(candidate: Column, bits: float | None = None, window: int = WINDOW) -> Column:
     """struct(first, last): from the start of the first window of at least so many bits to the end of the last, else nulls.
 
     Without bits, those of each window's own class. The candidate holds ASCII only.
@@ -123,12 +126,21 @@ def entropy_hull(candidate: Column, bits: Column | None = None, window: int = WI
 
 
 def _allowed(candidate: Column) -> Column:
-    out = ~candidate.rlike("[0-9]")
+    out = F.lit(False)
     for p in ALLOWED:
         out = out | candidate.rlike(p)
     return out
 
 
+def _judged(candidate: Column) -> Column:
+    """The hull of a candidate's windows of enough entropy, by its own threshold."""
+    wordy = ~candidate.rlike("[0-9]") | candidate.rlike(WORDY)
+    # A text of so few different characters has no window of that entropy; most long words go here.
+    several = F.size(F.array_distinct(F.split(candidate, ""))) >= math.ceil(2**WORDY_BITS)
+    clean = _blanked(candidate)
+    return F.when(~wordy, entropy_hull(clean)).when(several, entropy_hull(clean, WORDY_BITS))
+
+
 def _blanked(candidate: Column) -> Column:
     """The candidate with each letter of the allow-listed words replaced by one that no window may hold."""
     out = candidate
@@ -155,7 +167,7 @@ def _hits(text: Column, kind: int, pattern: str) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         if KINDS[kind] == "entropy":
-            return _let(F.when(~_allowed(x["m"]), entropy_hull(_blanked(x["m"]))), lambda h: hit(x, i, h["first"], h["last"]))
+            return _let(F.when(~_allowed(x["m"]), _judged(x["m"])), lambda h: hit(x, i, h["first"], h["last"]))
         ok = F.length(x["v"]) >= 8
         return hit(x, i, F.when(ok, F.lit(0)), F.when(ok, F.length(x["m"])))
 
@@ -193,9 +205,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return (
         found.groupBy("row", "doc_id")
         .agg(
-            *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(4)],
+            *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(3)],
             F.sha2(joined(F.when(F.col("kind") < 3, span)), 256).alias("base_sha256"),
             joined(F.when(F.col("kind").isNotNull(), span)).alias("spans"),
+            F.count_if(F.col("kind") == 3).alias("n_entropy"),
         )
         .drop("row")
     )
