@@ -234,7 +234,8 @@ def links(texts: DataFrame, store: Callable = written) -> DataFrame:
 
     sets = store(in_arrow(texts.select("id", "text").join(some, "id"), row_op(shingled, schema), "id long, raw binary, n long, bins binary, fp long"), "sets")
     keys = store(_keys(sets), "keys")
-    firsts = keys.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
+    # Tables, not parts of the plan: so the join may deal a key with many texts out to several tasks.
+    firsts = store(keys.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1"), "firsts")
     met = store(keys.join(firsts.hint("shuffle_merge"), "h"), "met")  # h, id, a, m
     pairs = met.filter("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
     alike = store(_alike(_close(sets, store).unionByName(pairs).distinct(), sets), "alike")
@@ -245,7 +246,7 @@ def links(texts: DataFrame, store: Callable = written) -> DataFrame:
             heads = found.select(F.col("node").alias("a"), F.col("root").alias("other"))
             across = rooted.join(heads, "a", "left").filter(F.col("root") != F.coalesce("other", "a"))
             alike = store(alike.unionByName(_alike(across.select("a", F.col("id").alias("b")).distinct(), sets)), "alike")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
+    mixed = store(rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h"), "keys-of-several")
     left = store(rooted.join(mixed.hint("shuffle_merge"), "h"), "mixed")
     # A key's first text has been compared with all others by now.
     few = left.filter((F.col("m") <= CROWD) & (F.col("id") != F.col("a")))
