@@ -1,6 +1,6 @@
 """Operator 11: ranked lexical search by MaxScore over shards of an inverted index.
 
-`build_index` makes a shard of some 32 MB of texts at a time: postings of each term (documents of the shard in ascending order,
+`build_index` makes a shard of some 16 MB of texts at a time: postings of each term (documents of the shard in ascending order,
 occurrences) in a file of the shared folder, and a row with its name and its counts. No text is shuffled. `search` weighs the
 terms of the questions by counts over all shards and writes the questions in files of bounded size. What is dealt out to tasks
 are pairs of names, a shard's and a file's of questions; each gives k rows a question at most, and the best k of a question are
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, load_arrays, save_arrays, scratch, slices, written
 
 #: Bytes of text of a shard, documents gone through between two looks at the k-th best score, and questions' terms of a file.
-SHARD, STRIDE, TERMS = 32 << 20, 4096, 1 << 16
+SHARD, STRIDE, TERMS = 16 << 20, 4096, 1 << 16
 #: Stands for a null doc_id inside shards.
 _NO_ID = int(np.iinfo(np.int64).max)
 #: What parts terms becomes a blank, A-Z become small letters; bytes of characters beyond ASCII stay.
