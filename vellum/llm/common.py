@@ -66,6 +66,11 @@ def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
         return dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Tables:
     """Tables that a computation writes and reads on its way, and drops once what it leads to is written itself."""
 
@@ -76,8 +81,7 @@ class Tables:
         return written(df, tag, self.folder)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
 
 
 def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
