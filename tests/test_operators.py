@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import more as Y
 from vellum.functions import names
 from vellum.functions import text as X
-from vellum.operators import graph, library, meaning, quality, ranges, retrieval
+from vellum.operators import catalog, graph, library, meaning, quality, ranges, retrieval
 from vellum.operators import measures as M
 from vellum.plans.guard import Refused, run_select
 from vellum.plans.session import checkpoints
@@ -45,16 +45,19 @@ def test_quantities(spark):
 
 def test_quantities_with_kinds(spark):
     got = one(spark, X.quantities(F.col("t")), t="Cells at pH 5.5 were kept at 37 °C. Then 5 kPa for 3 days.")
-    assert [tuple(r) for r in got] == [("37", "°C", "temperature", "Cells at pH 5.5 were kept at 37 °C."), ("5.5", "pH", "pH", "Cells at pH 5.5 were kept at 37 °C."), ("5", "kPa", "stress", "Then 5 kPa for 3 days."), ("3", "day", "time", "Then 5 kPa for 3 days.")]
+    assert [tuple(r) for r in got] == [("37", 37.0, "°C", "temperature", "Cells at pH 5.5 were kept at 37 °C."), ("5.5", 5.5, "pH", "ph", "Cells at pH 5.5 were kept at 37 °C."), ("5", 5.0, "kPa", "stress", "Then 5 kPa for 3 days."), ("3", 3.0, "day", "time", "Then 5 kPa for 3 days.")]
+    assert [tuple(r)[:3] for r in one(spark, X.quantities(F.col("t")), t="In 2019 s 15 s, −2,5 \t±  1 V")] == [("15", 15.0, "s"), ("−2,5 ± 1", -2.5, "V")]
 
 
 @pytest.mark.parametrize(
     ("rule", "given", "expected"),
     [
-        (Y.plain_text, "&amp;lt;b&gt; a &lt;i>x</i>  b", "a x b"), (Y.heading_norm, " 2.1 Materials & Methods", "materials methods"), (Y.heading_norm, "IV. Results", "results"),
-        (Y.numeric, "about −3,5 mm", None), (Y.numeric, "1,5 to 2", 1.5), (Y.first_page, "e123-130", "e123"), (Y.openalex_short, "https://openalex.org/W27", "W27"),
-        (Y.figure_key, "Figure S2a. Cells", "S2A"), (Y.figure_key, "Scheme 1: route", "Scheme 1"), (Y.figure_key, "Table 2", None), (Y.spaced_out, "R E S U L T S", "RESULTS"),
-        (Y.spaced_out, "a b", "a b"), (Y.number_depth, "2.1.3 Cells", 3), (Y.number_depth, "Cells", 0), (Y.without_soft_hyphens, "fi\u00adbre", "fibre"), (Y.axis_number, "−1,200.5", -1200.5),
+        (Y.plain_text, "&amp;lt;b&gt; a &lt;i>x</i>  b", "a x b"), (Y.heading_norm, " 2.1 Materials & Methods: ", "materials & methods"), (Y.heading_norm, "3 | Results", "results"), (Y.heading_norm, "a) Cells  and\tmice.", "cells and mice"), (Y.heading_norm, "A B S T R A C T", "abstract"), (Y.heading_norm, "IV. Results", "results"),
+        (Y.numeric, "about −3,5 mm", -3.5), (Y.numeric, "none", None), (Y.numeric, "1,5 to 2", 1.5), (Y.first_page, "e123-130", "e123"), (Y.openalex_short, "https://openalex.org/W27", "W27"),
+        (Y.figure_key, "Figure S2a. Cells", "S2"), (Y.figure_key, "Scheme 1: route", "Scheme 1"), (Y.figure_key, "Table 2", None), (Y.figure_key, "chart .3", "Chart 3"), (Y.figure_key, "Figs. 12 and 13", "12"),
+        (Y.figure_key, "Fig. 2.1 is none", None), (Y.figure_key, None, None), (Y.spaced_out, "R E S U L T S", "RESULTS"), (Y.spaced_out, "a b", "a b"), (Y.spaced_out, "A B C", "A B C"),
+        (Y.spaced_out, "A R T I C L E  I N F O", "article info"), (Y.spaced_out, "a b s t r a c t", "abstract"), (Y.number_depth, "2.1.3 Cells", 3), (Y.number_depth, "Cells", 0), (Y.without_soft_hyphens, "fi\u00adbre", "fibre"), (Y.axis_number, "−1,200.5", None), (Y.axis_number, "−1,200", -1200.0), (Y.axis_number, "0,5", 0.5), (Y.axis_number, "0,500", 0.5),
+        (Y.axis_number, "50%", 50.0), (Y.axis_number, "(40)", 40.0), (Y.axis_number, "0.4-", 0.4), (Y.axis_number, "1,25", 1.25), (Y.axis_number, "n.d.", None), (Y.axis_number, "", None), (Y.axis_number, None, None),
         (Y.axis_unit, "Stress (kPa)", "kPa"), (Y.axis_unit, "Stress", None), (Y.doi_in, "see 10.1000/AB.1).", "10.1000/ab.1"), (Y.sql_literal, "o'k", "'o''k'"), (Y.file_key, "a/b c", "a_b_c"),
     ],
 )
@@ -62,6 +65,11 @@ def test_more_rules(spark, rule, given, expected):
     assert one(spark, rule(F.col("t")), t=given) == expected
 
 
+@pytest.mark.parametrize(("title", "ok"), [("The Halogen Bond", True), ("Review article", False), (" Full Length Article. ", False), ("Collagen threads", False), ("doi_10.1 of a paper", False), ("the:key is this", False), ("THE END NOW", False), ("THE END IS NEAR", True), ("", False), (None, False)])
+def test_title_ok(spark, title, ok):
+    assert one(spark, catalog.title_ok(F.col("t"), F.lit("the:key is this")), t=title) is ok
+
+
 def test_hash_vector(spark):
     def fnv(w):
         h = 2166136261

@@ -41,15 +41,21 @@ def recipe(ancestry: Column, text: Column, head: int = 400, most: int = 6000) ->
     return F.concat(F.substring(F.array_join(ancestry, " > "), 1, head), F.lit("\n"), F.substring(text, 1, most))
 
 
+# Fixed value: the numbering that a heading may begin with.
+HEADING_NUMBER = r"(?i)^\s*(?:(?:\d+(?:\.\d+)*\.?)|(?:[ivxlcdm]+\.)|(?:[a-z]\.)|(?:\(?[a-z0-9]\)))\s*[.)\-–—:]?\s+"
+
+
 def heading_norm(text: Column) -> Column:
-    """A heading without numbering, marks and case."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"^(?:[ivx]+\.|[0-9]+(?:\.[0-9]+)*\.?)\s+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z ]+", " "), " +", " "))
+    """A heading without letter-spacing, numbering, bars and final stops, in lower case with single blanks."""
+    bare = F.regexp_replace(spaced_out(F.trim(text)), r"\s*\|\s*", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, HEADING_NUMBER, ""), r"[:.\s]+$", "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def numeric(text: Column) -> Column:
-    """The first number of a text, with a decimal comma or point; null without one."""
-    return F.replace(F.nullif(F.regexp_extract(text, r"([-−]?\d+(?:[.,]\d+)?)", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    """The first number of a text, with a decimal comma or point and either minus; null without one."""
+    first = F.regexp_extract(F.replace(text, F.lit("−"), F.lit("-")), r"(-?\d+(?:[.,]\d+)?)", 1)
+    return F.replace(F.nullif(first, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def quote_around(text: Column, mark: Column, wide: int = 220) -> Column:
@@ -76,17 +82,29 @@ def openalex_short(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(text), r"\b([WAS]\d+)$", 1), F.lit(""))
 
 
+# Fixed value: how a caption names its figure. A number with decimals is none.
+FIGURE_LABEL = r"(?i)^\s*(fig(?:ure)?s?|scheme|chart)\s*\.?\s*(s?\d+)(?![\d.]*\d)"
+
+
 def figure_key(caption: Column) -> Column:
-    """2 of Figure 2, S2 of Figure S2, Scheme 1 of Scheme 1; null for other captions."""
-    pattern = r"(?i)^\s*(fig(?:ure)?\.?|scheme)\s*(s?\d+[a-z]?)"
-    number = F.upper(F.regexp_extract(caption, pattern, 2))
-    return F.when(F.regexp_extract(caption, pattern, 2) != "", F.when(F.lower(F.regexp_extract(caption, pattern, 1)) == "scheme", F.concat(F.lit("Scheme "), number)).otherwise(number))
+    """2 of Figure 2, S2 of Figure S2a, Scheme 1 of Scheme 1, Chart 1 of Chart 1; null for other captions."""
+    kind, number = F.lower(F.regexp_extract(caption, FIGURE_LABEL, 1)), F.upper(F.regexp_extract(caption, FIGURE_LABEL, 2))
+    before = F.when(kind == "scheme", "Scheme ").when(kind == "chart", "Chart ").otherwise("")
+    return F.when(number != "", F.concat(before, number))
+
+
+# Headings that are known when their letters stand apart.
+KNOWN_HEADINGS = {"abstract": "abstract", "articleinfo": "article info", "keywords": "keywords", "introduction": "introduction", "highlights": "highlights", "references": "references"}
 
 
 def spaced_out(text: Column) -> Column:
-    """A H E A D I N G whose letters stand apart, put together; others as they are."""
-    parts = F.split(F.trim(text), " +")
-    return F.when((F.size(parts) > 2) & F.forall(parts, lambda p: F.length(p) == 1), F.array_join(parts, "")).otherwise(text)
+    """A heading of four letters or more that all stand apart, put together, known ones in lower case; others as they are."""
+    parts = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
+    joined = F.array_join(parts, "")
+    known = F.lit(None).cast("string")
+    for word, heading in KNOWN_HEADINGS.items():
+        known = F.when(F.lower(joined) == word, F.lit(heading)).otherwise(known)
+    return F.when((F.size(parts) > 3) & F.forall(parts, lambda p: F.length(p) == 1), F.coalesce(known, joined)).otherwise(text)
 
 
 def number_depth(heading: Column) -> Column:
@@ -99,9 +117,21 @@ def without_soft_hyphens(text: Column) -> Column:
     return F.replace(text, F.lit("­"), F.lit(""))
 
 
+# Fixed value: a number on an axis, in brackets or with a percent sign.
+AXIS_NUMBER = r"^[(\[]?([−–\-+]?\d+(?:[.,]\d+)?)\s*%?[)\]]?$"
+
+
 def axis_number(text: Column) -> Column:
-    """A tick label as a number: thousands' commas and the long minus undone."""
-    return F.regexp_replace(F.replace(F.trim(text), F.lit("−"), F.lit("-")), r"(?<=\d),(?=\d{3})", "").try_cast("double")
+    """A tick label as a number: 40, −1, 0,5, 50%, 1,000; a tick mark read as a dash behind it is dropped. Null for others.
+
+    A comma before three digits parts thousands, unless a zero stands alone before it; any other is a decimal comma.
+    """
+    label = F.regexp_replace(F.replace(F.trim(text), F.lit(" "), F.lit("")), r"[-–—]+$", "")
+    n = F.translate(F.regexp_extract(label, AXIS_NUMBER, 1), "−–", "--")
+    head, tail = F.substring_index(n, ",", 1), F.substring_index(n, ",", -1)
+    thousands = (F.length(tail) == 3) & ~head.isin("0", "-0")
+    whole = F.when(~n.contains(","), n).when(thousands, F.concat(head, tail)).otherwise(F.concat(head, F.lit("."), tail))
+    return F.nullif(whole, F.lit("")).try_cast("double")
 
 
 def axis_unit(title: Column) -> Column:

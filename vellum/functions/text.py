@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .more import numeric
+
 # Words that a question's search leaves out.
 STOP_WORDS = (
     "the", "a", "an", "of", "in", "on", "for", "to", "and", "or", "is", "are", "was", "were", "be", "by", "with", "as", "at", "from", "that", "this", "it", "its", "has", "have", "had", "do", "does", "did",
@@ -158,15 +160,17 @@ UNITS = (
     (r"min(?:utes?|s)?(?![a-zA-Z])", "min", "time"),
     (r"s(?:ec(?:onds?)?)?(?![a-zA-Z])", "s", "time"),
 )
+# Numbers with a range or an error, and values of pH.
 _NUMBER = r"([-−]?\d+(?:[.,]\d+)?(?:\s*(?:[-–−]|to|±|\+/-)\s*\d+(?:[.,]\d+)?)?)"
 QUANTITY = r"(?<![\w.])" + _NUMBER + r"\s*(" + "|".join(f"(?:{p})" for p, _, _ in UNITS) + ")"
 PH = r"\bpH\s*(?:of\s*|=\s*|~\s*)?(\d+(?:[.,]\d+)?(?:\s*(?:[-–]|to)\s*\d+(?:[.,]\d+)?)?)"
 
 
 def quantities(text: Column) -> Column:
-    """array<struct<value, unit, kind, sentence>> of the quantities in a text: by sentence, numbers with units, then pH values.
+    """array<struct<value, number, unit, kind, sentence>> of the quantities in a text: by sentence, numbers with units, then pH.
 
-    Null without a text; a text without quantities gives an empty array.
+    number is the first number of the value. Four digits before s are a year, no seconds. Null without a text; a text without
+    quantities gives an empty array.
     """
 
     def named(x: Column, at: int) -> Column:
@@ -178,9 +182,10 @@ def quantities(text: Column) -> Column:
 
     def of(s: Column) -> Column:
         found = F.arrays_zip(F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(1)).alias("value"), F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(2)).alias("unit"))
-        plain = F.transform(found, lambda q: F.struct(F.trim(q["value"]).alias("value"), named(q["unit"], 0).alias("unit"), named(q["unit"], 1).alias("kind"), s.alias("sentence")))
-        acid = F.transform(F.regexp_extract_all(s, F.lit(PH), F.lit(1)), lambda v: F.struct(F.trim(v).alias("value"), F.lit("pH").alias("unit"), F.lit("pH").alias("kind"), s.alias("sentence")))
-        return F.concat(plain, acid)
+        one = lambda v, unit, kind: F.struct(F.trim(F.regexp_replace(v, r"\s+", " ")).alias("value"), numeric(v).alias("number"), unit.alias("unit"), kind.alias("kind"), s.alias("sentence"))
+        plain = F.transform(found, lambda q: one(q["value"], named(q["unit"], 0), named(q["unit"], 1)))
+        plain = F.filter(plain, lambda q: ~((q["unit"] == "s") & q["value"].rlike(r"^\d{4}$")))
+        return F.concat(plain, F.transform(F.regexp_extract_all(s, F.lit(PH), F.lit(1)), lambda v: one(v, F.lit("pH"), F.lit("ph"))))
 
     return F.flatten(F.transform(sentences(text), of))
 

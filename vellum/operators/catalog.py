@@ -49,9 +49,23 @@ def readable(has_xml: Column, is_open: Column) -> Column:
     return F.when(has_xml & is_open, 2).when(has_xml, 1).otherwise(0)
 
 
-def title_ok(title: Column, key: Column, generic: tuple[str, ...] = ("untitled", "article", "research article", "editorial"), least: int = 8) -> Column:
-    """Whether a title says something: not generic, not the key, long enough."""
-    return F.coalesce(~F.lower(F.trim(title)).isin(*generic) & (title != key) & (F.length(title) >= least), F.lit(False))
+# Titles that say nothing.
+GENERIC_TITLES = (
+    "original research", "original article", "research article", "article", "review", "review article", "abstract", "abstracts", "introduction", "letter", "communication", "full paper",
+    "full length article", "short communication", "editorial", "case report", "brief report", "untitled", "research", "research paper", "report", "paper", "original paper", "major review",
+    "topical review", "hhs public access", "author manuscript", "supporting information", "supporting information for", "regular article", "open access", "perspective", "commentary",
+    "mini review", "minireview", "technical note",
+)
+
+
+def title_ok(title: Column, key: Column) -> Column:
+    """Whether a title says something: three words or more, not generic, no key, not three words in capitals. False without one."""
+    t = F.trim(title)
+    words = F.size(F.split(t, r"\s+"))
+    bare = F.regexp_replace(F.lower(t), "^[ .:]+|[ .:]+$", "")
+    is_key = t.rlike("^(doi|sha)[_:]") | (t == key)
+    capitals = (t == F.upper(t)) & (t != F.lower(t)) & (words <= 3)
+    return F.coalesce((words >= 3) & ~bare.isin(*GENERIC_TITLES) & ~F.coalesce(is_key, F.lit(False)) & ~capitals, F.lit(False))
 
 
 def identified(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFrame:

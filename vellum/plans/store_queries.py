@@ -122,9 +122,13 @@ def readability(spark, d):
     return T.table(spark, d, "candidates").select("cand_id", C.readable(F.col("has_xml"), F.col("is_open_access")).cast("int").alias("readable"))
 
 
-@query("titles_ok", sql("SELECT key, lower(trim(title)) NOT IN ('untitled', 'article', 'research article', 'editorial') AND title <> key AND length(title) >= 14 AS ok FROM papers", "papers"))  # F27
+_TITLES = "CASE doc_id % 9 WHEN 0 THEN 'Review Article.' WHEN 1 THEN key WHEN 2 THEN 'THE END NOW' WHEN 3 THEN concat('doi_', doc_id, ' of a paper') WHEN 4 THEN ' : Full Length Article ' WHEN 5 THEN CAST(NULL AS STRING) WHEN 6 THEN concat(title, ' IN FULL') WHEN 7 THEN 'Two words' ELSE title END"
+
+
+@query("titles_ok", sql(f"""SELECT key, coalesce(len(string_split(trim(t), ' ')) >= 3 AND trim(lower(t), ' .:') NOT IN ('{"', '".join(C.GENERIC_TITLES)}') AND NOT starts_with(trim(t), 'doi_') AND t <> key
+  AND NOT (trim(t) = upper(trim(t)) AND len(string_split(trim(t), ' ')) <= 3), false) AS ok FROM (SELECT key, {_TITLES} AS t FROM papers)""", "papers"))  # F27
 def titles_ok(spark, d):
-    return T.table(spark, d, "papers").select("key", C.title_ok(F.col("title"), F.col("key"), least=14).alias("ok"))
+    return T.table(spark, d, "papers").select("key", F.expr(_TITLES).alias("t")).select("key", C.title_ok(F.col("t"), F.col("key")).alias("ok"))
 
 
 @query("wanted_candidates", sql("SELECT cand_id FROM candidates WHERE status = 'new' ORDER BY coalesce(cited_by, 0) DESC, cand_id LIMIT 20", "candidates"))  # L06
