@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import graph, library, meaning, quality, ranges, retrieval
 from ..sources import library as S
 from ..streaming import events as E
-from . import identity_queries, link_queries, store_queries, stream_queries, upkeep_queries  # noqa: F401  register their own
+from . import citation_queries, identity_queries, link_queries, store_queries, stream_queries, upkeep_queries  # noqa: F401  register their own
 from .guard import run_select
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .session import checkpoints
