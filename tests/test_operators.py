@@ -304,3 +304,30 @@ def test_jats_articles(spark, tmp_path):
     assert [(x["no"], x["id"], x["doi"]) for x in a["refs"]] == [(1, "r1", "10.1/x")]
     assert got["b.xml"]["error"] and got["b.xml"]["sections"] == []
     assert tuple(one(spark, jats.head_ids(F.col("t")), t=ARTICLE)) == ("10.1000/abc", "123")
+
+
+def test_rounds_by_a_walk(spark):
+    """Against a search level by level: a hub with half of all edges, seeds of several rounds, parts that nothing leads to."""
+    import random
+
+    checkpoints(spark)
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)] + [(7, 100 + i) for i in range(90)] + [(300 + i, 301 + i) for i in range(9)] + [(None, 3), (4, None), (900, 901)]
+    seeds = [(0, 1), (0, 4), (7, 3), (300, None), (308, 2), (500, 9), (None, 1)]
+    near, start = {}, {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for n, r in seeds:
+        if n is not None:
+            start[n] = min(start.get(n, 99), r or 1)
+    want, parent = {}, {}
+    for level in range(1, 100):
+        new = {n for n, r in start.items() if r == level} | {b for n, r in want.items() if r == level - 1 for b in near.get(n, ())}
+        for n in new - want.keys():
+            parent[n] = min((a for a in near.get(n, ()) if want.get(a) == level - 1), default=None)
+            want[n] = level
+    got = graph.rounds(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(seeds, "node long, round int")).collect()
+    assert {r["node"]: (r["round"], r["parent"]) for r in got} == {n: (r, parent[n]) for n, r in want.items()} and len(got) == len(want)
+    assert graph.rounds(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([], "node long, round int")).isEmpty()

@@ -49,3 +49,37 @@ def citation_counts(cites: DataFrame) -> DataFrame:
     out = cites.groupBy(F.col("citing").alias("work")).agg(F.countDistinct("cited").alias("cites"))
     into = cites.groupBy(F.col("cited").alias("work")).agg(F.countDistinct("citing").alias("cited_by"))
     return out.join(into, "work", "full").select("work", F.coalesce("cites", F.lit(0)).alias("cites"), F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
+
+
+def rounds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The round in which each work is first reached: node, round, parent.
+
+    edges (a, b) are walked both ways; seeds (node, round) are there from their round on (none: 1), without a parent, unless they are
+    reached earlier. A work's round is one more than the least of its neighbours', and its parent the least neighbour of that
+    round. Each step joins the last round's works alone with the edges, leaves out what has been reached, and is written to the
+    shared folder; a hub's edges are counted together before they are shuffled. Works that nothing leads to are not given; null
+    ends and seeds count for nothing, repeated edges once.
+    """
+    spark = edges.sparkSession
+    both = edges.filter("a is not null and b is not null and a != b").select("a", "b")
+    both = both.union(both.select("b", "a")).distinct().checkpoint()
+    start = seeds.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("round", F.lit(1))).cast("int").alias("round")).checkpoint()
+    starts = sorted(r[0] for r in start.select("round").distinct().collect())  # as many as there are different rounds of seeds
+    at, done, frontier = (starts or [0])[0], None, None
+    while starts or frontier is not None:
+        new = start.filter(F.col("round") == at).select("node", "round", F.lit(None).cast(both.schema["b"].dataType).alias("parent"))
+        if frontier is not None:
+            met = both.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+            # Reached from the last round: a seed of this round is one of those, and keeps its parent.
+            new = met.select("node", F.lit(at).alias("round"), "parent").unionByName(new.join(met, "node", "left_anti"))
+        if done is not None:
+            new = new.join(done.select("node"), "node", "left_anti")
+        new = new.checkpoint()
+        starts = [s for s in starts if s > at]
+        if new.isEmpty():
+            frontier = None
+            at = starts[0] if starts else at
+            continue
+        done = new if done is None else done.unionByName(new).checkpoint()
+        frontier, at = new, at + 1
+    return done if done is not None else spark.createDataFrame([], f"node {both.schema['a'].dataType.simpleString()}, round int, parent {both.schema['a'].dataType.simpleString()}")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import more as Y
 from ..functions import text as X
 from ..operators import catalog as C
+from ..operators import graph as G
 from ..operators import measures as M
 from ..operators import quality
 from ..operators import reader as R
 from ..sources import library as S
 from ..sources import store as T
 from .registry import query
+from .session import checkpoints
 
 W2 = "len(regexp_extract_all({0}, '\\p{{L}}{{2,}}'))"
 RULE = "type IN ('paragraph', 'list', 'caption') AND parent IS NOT NULL AND role <> 'references' AND role <> 'front' AND " + W2.format("text") + " >= 5"
@@ -528,3 +530,16 @@ def year_agreement(spark, d):
 @query("priors", "SELECT l_orderkey, l_linenumber, round(greatest(-0.2, least(0.2, 0.05 * ln(greatest(l_discount * 10, 1e-9)))), 6) AS prior FROM lineitem")  # M10
 def priors(spark, d):
     return S.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(Y.prior(F.col("l_discount"), F.lit(10), 0.05, 0.2), 6).alias("prior"))
+
+
+_EDGES = "e AS (SELECT citing AS a, cited AS b FROM cites UNION SELECT cited, citing FROM cites), s AS (SELECT DISTINCT citing AS node, CASE WHEN citing = 'doc:1' THEN 1 ELSE 3 END AS round FROM cites WHERE citing IN ('doc:1', 'doc:40', 'doc:41'))"
+
+
+@query("rounds_of_works", (T.ctes("cites").rstrip() + ", " + _EDGES + """, r AS (SELECT node, round FROM s UNION SELECT e.b, r.round + 1 FROM r JOIN e ON e.a = r.node WHERE r.round < 14),
+d AS (SELECT node, min(round) AS round FROM r GROUP BY node), p AS (SELECT d.node, min(e.a) AS parent FROM d JOIN e ON e.b = d.node JOIN d f ON f.node = e.a AND f.round = d.round - 1 GROUP BY d.node)
+SELECT node, CAST(round AS INTEGER) AS round, coalesce(parent, '') AS parent FROM d LEFT JOIN p USING (node)""").replace("WITH ", "WITH RECURSIVE ", 1))  # G13
+def rounds_of_works(spark, d):
+    checkpoints(spark)
+    cites = T.table(spark, d, "cites").select(F.col("citing").alias("a"), F.col("cited").alias("b"))
+    seeds = cites.filter(F.col("a").isin("doc:1", "doc:40", "doc:41")).select(F.col("a").alias("node"), F.when(F.col("a") == "doc:1", 1).otherwise(3).alias("round"))
+    return G.rounds(cites, seeds).fillna("", ["parent"])
