@@ -331,3 +331,23 @@ def test_rounds_by_a_walk(spark):
     got = graph.rounds(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(seeds, "node long, round int")).collect()
     assert {r["node"]: (r["round"], r["parent"]) for r in got} == {n: (r, parent[n]) for n, r in want.items()} and len(got) == len(want)
     assert graph.rounds(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([], "node long, round int")).isEmpty()
+
+
+def test_nearest_labels_keep_repeated_rows_and_shuffle_none_of_them(spark):
+    known = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 1.0])], "label string, centroid array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.1]), (1, [1.0, 0.1]), (1, [0.0, 2.0])], "k long, v array<double>")
+    got = meaning.nearest_label(rows, "k", "v", known, "label")
+    assert sorted((r["label"], r["margin"] > 0) for r in got.collect()) == [("a", True), ("a", True), ("b", False)]
+    assert len(meaning.decide(rows, "k", "v", known, "label", 0.5, 0.1).collect()) == 3
+    assert meaning.nearest_label(rows, "k", "v", known.limit(0), "label").isEmpty()
+
+
+def test_places_of_sorted_values(spark):
+    import random
+
+    rnd = random.Random(9)
+    groups = {g: [rnd.randrange(9) if rnd.random() < 0.9 else None for _ in range(n)] for g, n in (("x", 1), ("y", 2), ("z", 401), (None, 7))}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v long")
+    got = {r["g"]: tuple(r)[1:] for r in M.placed(df, "g", "v", {"low": M.quantile(0.1), "mid": M.middle, "top": M.quantile(1.0)}).collect()}
+    want = {g: (s[int(0.1 * (len(s) - 1))], s[len(s) // 2], s[-1]) for g, vs in groups.items() if (s := sorted(v for v in vs if v is not None))}
+    assert got == want

@@ -39,14 +39,26 @@ def centroids(vectors: DataFrame, label: str, vector: str, spelling: str | None
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_label(vectors: DataFrame, key: str, vector: str, known: DataFrame, label: str) -> DataFrame:
-    """key, label, score, margin to the next label; ties go to the name first in order."""
+def _packed(known: DataFrame, name: Column) -> DataFrame:
+    """One row: array<struct<l, centroids>> of the labels by name, for a vocabulary of at most MOST_LABELS, which is counted first."""
     if known.limit(MOST_LABELS + 1).count() > MOST_LABELS:
         raise ValueError("labels are a fixed vocabulary")
-    pairs = vectors.select(key, vector).join(F.broadcast(known.select(label, "centroid")))
-    best = F.array_sort(F.collect_list(F.struct((-F.round(cosine(F.col(vector), F.col("centroid")), 6)).alias("s"), F.col(label).alias("l"))))
-    top = pairs.groupBy(key).agg(F.slice(best, 1, 2).alias("b"))
-    return top.select(key, F.col("b")[0]["l"].alias("label"), (-F.col("b")[0]["s"]).alias("score"), F.round(F.get("b", F.lit(1))["s"] - F.col("b")[0]["s"], 6).alias("margin"))
+    by = known.groupBy(name.alias("l")).agg(F.collect_list("centroid").alias("centroids"))
+    return by.agg(F.array_sort(F.collect_list(F.struct("l", "centroids"))).alias("__known"))
+
+
+def _ranked(vectors: DataFrame, vector: str, packed: DataFrame, score) -> DataFrame:
+    """vectors with b, array<struct<s, l>> of the labels, best first (s is the score's negative). No shuffle: the vocabulary goes to the
+    rows, not the rows to the vocabulary, and repeated rows stay apart. Without labels there are no rows."""
+    best = lambda k: F.struct((-score(F.array_max(F.transform(k["centroids"], lambda c: cosine(F.col(vector), c))))).alias("s"), k["l"].alias("l"))
+    return vectors.crossJoin(F.broadcast(packed)).withColumn("b", F.array_sort(F.transform("__known", best))).drop("__known").filter(F.size("b") > 0)
+
+
+def nearest_label(vectors: DataFrame, key: str, vector: str, known: DataFrame, label: str) -> DataFrame:
+    """key, label, score, margin to the next label; ties go to the name first in order. A row for each row of vectors."""
+    top = _ranked(vectors.select(key, vector), vector, _packed(known, F.col(label)), lambda c: F.round(c, 6))
+    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
+    return top.select(key, first["l"].alias("label"), (-first["s"]).alias("score"), F.round(second["s"] - first["s"], 6).alias("margin"))
 
 
 def decide(vectors: DataFrame, key: str, vector: str, known: DataFrame, label: str, threshold: float, margin: float, lane_margin: dict[str, float] | None = None) -> DataFrame:
@@ -55,13 +67,8 @@ def decide(vectors: DataFrame, key: str, vector: str, known: DataFrame, label: s
     A lane is a label up to its first slash, and the best of its centroids counts; lane_margin asks more of some lanes. ranked
     holds the KEEP_RANKED nearest lanes with their scores. A single lane leads by 1; ties go to the name first in order.
     """
-    if known.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError("labels are a fixed vocabulary")
-    pairs = vectors.select(key, vector).join(F.broadcast(known.select(F.substring_index(label, "/", 1).alias("__lane"), "centroid")))
-    # Rows of the same key and vector give one row.
-    lanes = pairs.groupBy(key, vector, "__lane").agg(F.max(cosine(F.col(vector), F.col("centroid"))).alias("c"))
-    b = lanes.groupBy(key, vector).agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("s"), F.col("__lane").alias("l")))).alias("b"))
-    first, second = F.col("b")[0], F.get("b", F.lit(1))
+    b = _ranked(vectors.select(key, vector), vector, _packed(known, F.substring_index(label, "/", 1)), lambda c: c)
+    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
     gap = F.when(second.isNotNull(), second["s"] - first["s"]).otherwise(1.0)
     need = F.lit(float(margin))
     for lane, m in (lane_margin or {}).items():

@@ -6,6 +6,8 @@ zeros where the measure is of a whole table. Quantiles are elements of the sorte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,27 @@ def counts_map(rows: DataFrame, by: str, name: str) -> DataFrame:
     return each.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", by, F.col("n").cast("string")))), ",").alias(name))
 
 
-def upper_median(column: str) -> Column:
-    """The element in the middle, the upper one of two."""
-    xs = F.sort_array(F.collect_list(column))
-    return F.element_at(xs, (F.size(xs) / 2).cast("int") + 1)
+def placed(rows: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by and, for each name, the value at a place (from 0) of a group's sorted values; a place is made from how many there are.
+
+    Counts by value are combined before the shuffle and run up in order, so a group of any size is never gathered. Nulls don't count.
+    """
+    each = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    all_ = each.groupBy(F.col(by).alias("__by")).agg(F.sum("__n").alias("__all"))
+    run = each.withColumn("__upto", upto).join(all_, F.col(by).eqNullSafe(F.col("__by")))
+    at = lambda place: (place(F.col("__all")) < F.col("__upto")) & (place(F.col("__all")) >= F.col("__upto") - F.col("__n"))
+    return run.groupBy(by).agg(*[F.max(F.when(at(place), F.col(value))).alias(name) for name, place in places.items()])
+
+
+def middle(n: Column) -> Column:
+    """The place in the middle, the upper one of two."""
+    return F.floor(n / 2)
 
 
-def at_quantile(column: str, q: float) -> Column:
-    """The element at place int(q * (n - 1)) of the sorted values."""
-    xs = F.sort_array(F.collect_list(column))
-    return F.get(xs, (F.lit(q) * (F.size(xs) - 1)).cast("int"))
+def quantile(q: float) -> Callable[[Column], Column]:
+    """The place int(q * (n - 1))."""
+    return lambda n: F.floor(F.lit(q) * (n - 1))
 
 
 def micro_macro(rows: DataFrame, cluster: str, right: str) -> DataFrame:

@@ -373,10 +373,11 @@ def method_choice(spark, d):
     return C.method_choice(T.table(spark, d, "edges").groupBy("paper", "dst").agg(F.count("*").alias("marks")), "paper", "dst", "marks")
 
 
-@query("pair_quantiles", sql("SELECT role, list_sort(list(c))[1 + CAST(floor(0.1 * (count(*) - 1)) AS INTEGER)] AS low, list_sort(list(c))[1 + count(*) // 2] AS middle, round(avg(c), 6) AS mean FROM (SELECT role, length(text) AS c FROM nodes) GROUP BY role", "nodes"))  # A34 A64
+@query("pair_quantiles", sql("SELECT role, list_sort(list(c))[1 + CAST(floor(0.1 * (count(*) - 1)) AS INTEGER)] AS low, list_sort(list(c))[1 + count(*) // 2] AS middle, list_sort(list(c))[1 + CAST(floor(0.95 * (count(*) - 1)) AS INTEGER)] AS p95, round(avg(c), 6) AS mean, max(c) AS most, count(*) AS n FROM (SELECT role, length(text) AS c FROM nodes) GROUP BY role", "nodes"))  # A34 A64
 def pair_quantiles(spark, d):
     x = T.table(spark, d, "nodes").select("role", F.length("text").cast("long").alias("c"))
-    return x.groupBy("role").agg(M.at_quantile("c", 0.1).alias("low"), M.upper_median("c").alias("middle"), F.round(F.avg("c"), 6).alias("mean"))
+    places = M.placed(x, "role", "c", {"low": M.quantile(0.1), "middle": M.middle, "p95": M.quantile(0.95)})
+    return places.join(x.groupBy("role").agg(F.round(F.avg("c"), 6).alias("mean"), F.max("c").alias("most"), F.count("*").alias("n")), "role")
 
 
 @query("micro_macro", sql("SELECT round(sum(r) / sum(n), 6) AS micro, round(avg(r / n), 6) AS macro, count(*) AS clusters FROM (SELECT source, sum(quality) AS r, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)", "papers"))  # A36
@@ -407,10 +408,10 @@ def corpus_formats(spark, d):
     return T.table(spark, d, "papers").groupBy(C.paper_format().alias("format")).agg(F.count("*").alias("papers"), F.round(F.avg("confidence"), 6).alias("confidence"), F.countDistinct("type").alias("types"))
 
 
-@query("unread_buckets", sql("SELECT CASE WHEN status = 'failed' THEN 'failed' WHEN doi IS NULL AND pmid IS NULL THEN 'unnamed' WHEN status = 'queued' THEN 'waiting' END AS bucket, string_agg(key, ',' ORDER BY key) AS keys FROM papers WHERE status <> 'parsed' AND (status = 'failed' OR status = 'queued') GROUP BY 1", "papers"))  # A57
+@query("unread_buckets", sql("SELECT CASE WHEN status = 'failed' THEN 'failed' WHEN doi IS NULL AND pmid IS NULL THEN 'unnamed' WHEN status = 'queued' THEN 'waiting' END AS bucket, key FROM papers WHERE status <> 'parsed' AND (status = 'failed' OR status = 'queued')", "papers"))  # A57
 def unread_buckets(spark, d):
     b = F.when(F.col("status") == "failed", "failed").when(F.col("doi").isNull() & F.col("pmid").isNull(), "unnamed").when(F.col("status") == "queued", "waiting")
-    return T.table(spark, d, "papers").filter("status <> 'parsed'").groupBy(b.alias("bucket")).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
+    return T.table(spark, d, "papers").filter("status <> 'parsed'").select(b.alias("bucket"), "key")
 
 
 @query("top_entities", sql("SELECT entity, count(DISTINCT paper) AS papers FROM mentions GROUP BY entity ORDER BY papers DESC, entity LIMIT 15", "mentions"))  # A65
