@@ -351,3 +351,12 @@ def test_places_of_sorted_values(spark):
     got = {r["g"]: tuple(r)[1:] for r in M.placed(df, "g", "v", {"low": M.quantile(0.1), "mid": M.middle, "top": M.quantile(1.0)}).collect()}
     want = {g: (s[int(0.1 * (len(s) - 1))], s[len(s) // 2], s[-1]) for g, vs in groups.items() if (s := sorted(v for v in vs if v is not None))}
     assert got == want
+
+
+def test_paragraphs_read_before(spark):
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [("p", 0, a), ("p", 1, b), ("p", 2, a.upper() + "!"), ("p", 3, "one two three four five six seven"), ("p", 4, a + " " + b + " " + b), ("p", 5, None), ("p", 6, ""), ("q", 0, a), ("q", 1, "x" + a + " and " + b)]
+    got = {(r["paper"], r["pos"]): (r["shingles"], r["share"], r["severity"]) for r in quality.read_before(spark.createDataFrame(rows, "paper string, pos int, text string"), "paper", "pos", "text").collect()}
+    # Place 4: of 25 shingles five each of a, b and b again; those across a seam are new.
+    assert got == {("p", 2): (5, 1.0, "error"), ("p", 4): (25, 0.6, "warn")}
+    assert quality.read_before(spark.createDataFrame([], "paper string, pos int, text string"), "paper", "pos", "text").isEmpty()

@@ -151,6 +151,15 @@ def repeated_text(spark, d):
     return S.nodes(spark, d).select("doc_id", "pos", first.alias("first")).filter("first < pos").select("doc_id", "pos")
 
 
+@query("read_before", f"""WITH {NODES}, w AS (SELECT doc_id, pos, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS ws FROM nodes),
+g AS (SELECT doc_id, pos, unnest(list_transform(range(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 5], ' '))) AS gram FROM w WHERE len(ws) >= 6),
+f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, gram) AS first FROM g),
+r AS (SELECT doc_id, pos, count(*) AS shingles, count(*) FILTER (first < pos) / count(*) AS s FROM f GROUP BY 1, 2)
+SELECT doc_id, pos, shingles, round(s, 3) AS share, CASE WHEN s >= 0.9 THEN 'error' ELSE 'warn' END AS severity FROM r WHERE shingles >= 4 AND s >= 0.5""")  # W05
+def read_before(spark, d):
+    return quality.read_before(S.nodes(spark, d), "doc_id", "pos", "text")
+
+
 @query("recurring_lines", f"WITH {NODES}, l AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS line FROM nodes) SELECT line, count(DISTINCT doc_id) AS docs FROM l WHERE length(line) > 0 GROUP BY 1 HAVING docs >= 3")
 def recurring_lines(spark, d):
     return quality.recurring_lines(S.nodes(spark, d))
