@@ -9,6 +9,7 @@ from vellum.functions import names
 from vellum.functions import text as X
 from vellum.operators import catalog, graph, library, meaning, quality, ranges, retrieval
 from vellum.operators import measures as M
+from vellum.operators import reader as R
 from vellum.plans.guard import Refused, run_select
 from vellum.plans.session import checkpoints
 from vellum.sources import library as sources
@@ -360,3 +361,10 @@ def test_paragraphs_read_before(spark):
     # Place 4: of 25 shingles five each of a, b and b again; those across a seam are new.
     assert got == {("p", 2): (5, 1.0, "error"), ("p", 4): (25, 0.6, "warn")}
     assert quality.read_before(spark.createDataFrame([], "paper string, pos int, text string"), "paper", "pos", "text").isEmpty()
+
+
+def test_exceptions_of_a_style(spark):
+    rows = [("p", f"n{i}", "section" if i < 9 else "paragraph", "bold") for i in range(10)] + [("p", f"x{i}", "paragraph" if i else "section", "small") for i in range(3)]
+    rows += [("q", f"y{i}", "paragraph" if i % 2 else "section", "bold") for i in range(8)] + [("p", "z", None, "bold"), ("p", "w", "paragraph", None)]
+    got = R.style_exceptions(spark.createDataFrame(rows, "paper string, node_id string, type string, style string"), "type", "style").collect()
+    assert [tuple(r) for r in got] == [("n9", "paragraph", "bold", "section")]

@@ -62,13 +62,18 @@ def inversions(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("before", before).filter("top < before").select("node_id", "top", "before")
 
 
+#: Members that a style has at least: one of three is a coincidence.
+LEAST_CLASS = 4
+
+
 def style_exceptions(nodes: DataFrame, kind: str, style: str, share: float = 0.8) -> DataFrame:
-    """Nodes whose style differs from the one that at least this share of their kind in the paper has."""
-    w = Window.partitionBy("paper", kind)
-    counted = nodes.withColumns({"of_style": F.count("*").over(Window.partitionBy("paper", kind, style)), "of_kind": F.count("*").over(w)})
-    most = F.max(F.struct("of_style", style)).over(w)
-    x = counted.withColumn("m", most)
-    return x.filter((F.col("m.of_style") >= share * F.col("of_kind")) & (F.col(style) != F.col(f"m.{style}"))).select("node_id", kind, style, F.col(f"m.{style}").alias("usual"))
+    """Nodes set as another kind of thing is set: of a style that four nodes of a paper have at least and of which at least this
+    share is of one kind, the nodes of other kinds: node_id, kind, style, usual. Nulls of style or kind don't count; of equal
+    counts the kind last in order is the usual one. Counts are combined before they are shuffled."""
+    counts = nodes.filter(F.col(kind).isNotNull() & F.col(style).isNotNull()).groupBy("paper", style, kind).agg(F.count("*").alias("n"))
+    usual = counts.groupBy("paper", style).agg(F.max(F.struct("n", kind)).alias("m"), F.sum("n").alias("all"))
+    usual = usual.filter((F.col("all") >= LEAST_CLASS) & (F.col("m.n") >= share * F.col("all"))).select("paper", style, F.col(f"m.{kind}").alias("usual"))
+    return nodes.join(usual, ["paper", style]).filter(F.col(kind) != F.col("usual")).select("node_id", kind, style, "usual")
 
 
 def first_per_key(rows: DataFrame, *key: str, order: str = "pos") -> DataFrame:

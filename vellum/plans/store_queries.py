@@ -282,13 +282,13 @@ def column_inversions(spark, d):
     return R.inversions(T.table(spark, d, "nodes").withColumn("top", F.expr("CASE WHEN doc_id % 5 = 0 THEN 700 - top ELSE top END")))
 
 
-_STYLED = "styled AS (SELECT *, CASE WHEN pos % 23 = 0 THEN 'bold' ELSE 'plain' END AS style FROM nodes)"
+_STYLE = "CASE WHEN pos % 91 = 5 THEN 'bold' WHEN type = 'section' THEN 'bold' WHEN type = 'caption' THEN 'small' WHEN type = 'picture' THEN CAST(NULL AS STRING) WHEN type = 'list' AND pos % 3 > 0 THEN 'small' ELSE 'plain' END"
 
 
-@query("style_exceptions", sql("SELECT s.node_id, s.type, s.style, m.style AS usual FROM styled s JOIN (SELECT paper, type, style, n, sum(n) OVER (PARTITION BY paper, type) AS of_type, row_number() OVER (PARTITION BY paper, type ORDER BY n DESC, style DESC) AS r FROM (SELECT paper, type, style, count(*) AS n FROM styled GROUP BY 1, 2, 3)) m ON m.paper = s.paper AND m.type = s.type WHERE m.r = 1 AND m.n >= 0.8 * m.of_type AND s.style <> m.style", "nodes", also=_STYLED))  # W13
+@query("style_exceptions", sql(f"""SELECT s.node_id, s.type, s.style, m.type AS usual FROM (SELECT *, {_STYLE} AS style FROM nodes) s JOIN (SELECT paper, style, type, n, sum(n) OVER (PARTITION BY paper, style) AS of_style, row_number() OVER (PARTITION BY paper, style ORDER BY n DESC, type DESC) AS r
+  FROM (SELECT paper, style, type, count(*) AS n FROM (SELECT *, {_STYLE} AS style FROM nodes) WHERE style IS NOT NULL GROUP BY 1, 2, 3)) m ON m.paper = s.paper AND m.style = s.style WHERE m.r = 1 AND m.of_style >= 4 AND m.n >= 0.8 * m.of_style AND s.type <> m.type""", "nodes"))  # W13
 def style_exceptions(spark, d):
-    x = T.table(spark, d, "nodes").withColumn("style", F.expr("CASE WHEN pos % 23 = 0 THEN 'bold' ELSE 'plain' END"))
-    return R.style_exceptions(x, "type", "style")
+    return R.style_exceptions(T.table(spark, d, "nodes").withColumn("style", F.expr(_STYLE)), "type", "style")
 
 
 @query("first_per_key", sql("SELECT node_id FROM (SELECT node_id, row_number() OVER (PARTITION BY paper, left(text, 3) ORDER BY pos) AS r FROM nodes) WHERE r = 1", "nodes"))  # W14 W20
