@@ -132,3 +132,38 @@ def test_same_works(spark):
     works = [("a", title, "2001", "Muller"), ("b", "twice " + title, "2001", "A"), ("c", "Twice " + title, "2001", "A"), ("d", "Six words are not enough", "2001", "Müller"), ("e", title, "2001", None), ("f", None, None, None)]
     r, w = spark.createDataFrame(records, "record long, title string, year string, family string"), spark.createDataFrame(works, "work string, title string, year string, family string")
     assert [tuple(x) for x in L.same_works(r, w).collect()] == [(1, "a")]
+
+
+def rows_made(spark, df):
+    """df's rows and the most rows that any join of its plan gave."""
+    rows = df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+    return rows, most
+
+
+def test_copies_make_no_pairs(spark):
+    """300 entries at one place that print the same, 300 works of one title, 300 rows of a list: no join gives their product."""
+    n = 300
+    entries = [(i, "q", 1, f"Smith J. {LONG}. 2020", None, None, None, None) for i in range(n)]
+    works = [(f"w{i}", "p", LONG, "2020", "Smith", "7", "e1", None, None) for i in range(n)]
+    lists = spark.createDataFrame([("q", 1, "w1", "Smith", "2020")] * n, "paper string, ref_no int, work string, family string, year string")
+    e, w = frames(spark, entries, works)
+    rows, most = rows_made(spark, L.link(e, w, lists))
+    assert len(rows) == n and {(r["work"], r["how"]) for r in rows} == {("w1", "place")} and most <= 4 * n
+    rows, most = rows_made(spark, L.titles(e, w))
+    assert not rows and most <= 4 * n
+    assert len(L.titles(e, w.limit(1)).collect()) == n
+
+
+def test_first_words_of_a_text_without_blanks(spark):
+    """The title's pattern takes time in proportion to the text, and finds what the one of the SQL finds."""
+    from vellum.sources import store
+
+    texts = [(1, " \n a bb c  d\ne f g h"), (2, "a b c d e f"), (3, "x" * 400_000), (4, "y" * 100_000 + " a b c d e f g")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(texts, "i int, t string").select("i", L.F.regexp_extract("t", store.SEVEN_ONCE, 1)).collect()}
+    assert got == {1: "a bb c  d\ne f g", 2: "", 3: "", 4: "y" * 100_000 + " a b c d e f"}

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import folded
+from ..plans.session import checkpoints
 
 #: Words and letters of a title that can stand for a work; words where an author, a year and a title have to do without an identifier.
 TITLE_WORDS, TITLE_LETTERS, SAME_TITLE_WORDS = 4, 24, 6
@@ -80,25 +81,40 @@ def has(words: Column, phrase: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
-def _the_one(pairs: DataFrame) -> DataFrame:
-    """entry, work of the entries that have one work only."""
-    return pairs.groupBy("entry").agg(F.min("work").alias("work"), F.max("work").alias("last")).filter("work = last").drop("last")
+def _the_one(pairs: DataFrame, *by: str) -> DataFrame:
+    """pairs (entry, least, most: the first and last work) to entry, work of the entries that have one work only."""
+    by = by or ("entry",)
+    return pairs.groupBy(*by).agg(F.min("least").alias("work"), F.max("most").alias("last")).filter("work = last").drop("last")
+
+
+def _told_apart(works: DataFrame, *by: str) -> DataFrame:
+    """Works that the rules can't tell apart as one row, with the first and the last of them: no pairs per copy."""
+    return works.groupBy(*by).agg(F.min("work").alias("least"), F.max("work").alias("most"))
 
 
 def by_title(entries: DataFrame, works: DataFrame, scope: list[str]) -> DataFrame:
     """entry, work of prepared rows: the one work whose title, year and family name an entry carries."""
+    return _the_one(_titled(entries, works, scope))
+
+
+def _titled(entries: DataFrame, works: DataFrame, scope: list[str]) -> DataFrame:
     titles = works.filter("letters is not null").select(*scope, "letters").distinct()
     keys = entries.select(*scope, "entry", F.explode(anchors(F.col("letters"))).alias("key"))
     under = rarest(titles.withColumn("keys", anchors(F.col("letters"))), keys, "letters", scope)
     met = keys.join(under, [*scope, "key"]).select(*scope, "entry", "letters")
-    held = met.join(entries.select("entry", F.col("letters").alias("all"), "words", "years"), "entry").filter(F.col("all").contains(F.col("letters")))
-    named = held.join(works.select(*scope, "letters", "work", "year", "family"), [*scope, "letters"])
-    return _the_one(named.filter(year_agrees(F.col("years"), F.col("year")) & (F.col("family").isNull() | has(F.col("words"), F.col("family")))))
+    held = met.join(entries.select("entry", F.col("letters").alias("all"), "words", "years"), "entry").filter(F.col("all").contains(F.col("letters"))).drop("all")
+    named = held.join(_told_apart(works.filter("letters is not null"), *scope, "letters", "year", "family"), [*scope, "letters"])
+    fits = year_agrees(F.col("years"), F.col("year")) & (F.col("family").isNull() | has(F.col("words"), F.col("family")))
+    return named.filter(fits).select("entry", "least", "most")
 
 
 def by_print(entries: DataFrame, works: DataFrame, scope: list[str]) -> DataFrame:
     """entry, work of prepared rows: the one work whose family name, year, volume and first page an entry prints."""
-    whole = works.filter("family is not null and volume is not null and first_page is not null").select(*scope, "work", "year", "family", "volume", "first_page").distinct()
+    return _the_one(_printed(entries, works, scope))
+
+
+def _printed(entries: DataFrame, works: DataFrame, scope: list[str]) -> DataFrame:
+    whole = _told_apart(works.filter("family is not null and volume is not null and first_page is not null"), *scope, "year", "family", "volume", "first_page")
     places = whole.select(*scope, F.struct("family", "volume", "first_page").alias("place")).distinct()
     keys = entries.select(*scope, "entry", F.explode(F.array_distinct(F.split("words", " "))).alias("key"))
     last = F.element_at(F.split("place.family", " "), -1)
@@ -107,36 +123,70 @@ def by_print(entries: DataFrame, works: DataFrame, scope: list[str]) -> DataFram
     fits = has(F.col("words"), F.col("place.family")) & F.array_contains(F.split("words", " "), F.col("place.volume")) & F.array_contains(F.split("words", " "), F.col("place.first_page"))
     held = met.join(entries.select("entry", "words", "years"), "entry").filter(fits).select(*scope, "entry", "years", "place.*")
     named = held.join(whole, [*scope, "family", "volume", "first_page"])
-    return _the_one(named.filter(year_agrees(F.col("years"), F.col("year"))))
+    return named.filter(year_agrees(F.col("years"), F.col("year"))).select("entry", "least", "most")
+
 
+def _placed(entries: DataFrame, texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """entry, least, most: the works that a list (paper, ref_no, work, family, year) has at the entry's place, if the entry has the
+    first author's family name and agrees with the year. A list out of step with the printed one is not taken on trust.
 
-def at_place(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """entry, work: the work that a list (paper, ref_no, work, family, year) has at the entry's place, if the entry has its first
-    author's family name and agrees with its year. A list out of step with the printed one is not taken on trust."""
-    placed = lists.select("paper", "ref_no", "work", F.nullif(plain(F.col("family")), F.lit("")).alias("own_family"), F.regexp_extract(F.col("year").cast("string"), r"^\s*(\d{4})", 1).try_cast("int").alias("own_year"))
-    met = entries.join(placed, ["paper", "ref_no"])
-    return _the_one(met.filter(has(F.col("words"), F.col("own_family")) & year_agrees(F.col("years"), F.col("own_year"))).select("entry", "work"))
+    Which families and years a text agrees with is settled once per text, by the last word of the name; a place may have many
+    entries and many works."""
+    year = F.coalesce(F.regexp_extract(F.col("year").cast("string"), r"^\s*(\d{4})", 1).try_cast("int"), F.lit(-1))
+    own = lists.select("paper", "ref_no", "work", F.nullif(plain(F.col("family")), F.lit("")).alias("own_family"), year.alias("own_year")).filter("own_family is not null")
+    own = _told_apart(own, "paper", "ref_no", "own_family", "own_year")
+    names = own.select("own_family", "own_year").distinct().withColumn("key", F.element_at(F.split("own_family", " "), -1))
+    met = texts.select(F.col("entry").alias("print"), "words", "years", F.explode(F.array_distinct(F.split("words", " "))).alias("key")).join(names, "key")
+    agree = met.filter(has(F.col("words"), F.col("own_family")) & year_agrees(F.col("years"), F.nullif("own_year", F.lit(-1)))).select("print", "own_family", "own_year")
+    at = entries.select("entry", "paper", "ref_no", "print").join(agree, "print")
+    return at.join(own, ["paper", "ref_no", "own_family", "own_year"]).select("entry", "least", "most")
+
+
+def _collapsed(entries: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Entries with a digest of what is printed in them, and the different prints as prepared entries under that digest."""
+    own = entries.withColumn("print", F.md5(F.to_json(F.struct(*scope, "text", "title", F.col("year").cast("string").alias("__year"))).cast("binary")))
+    texts = own.select(F.col("print").alias("entry"), *scope, "text", "title", F.col("year").cast("string").alias("year")).distinct()
+    return own, prepared_entries(texts).select("entry", *scope, "words", "letters", "years")
+
+
+def titles(entries: DataFrame, works: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """entry, work of plain rows as in link(): by title alone. Entries that print the same are compared once."""
+    scope = scope or []
+    checkpoints(entries.sparkSession)
+    own, texts = _collapsed(entries, scope)
+    found = _titled(texts.checkpoint(), prepared_works(works).checkpoint(), scope)
+    return _the_one(own.select("entry", "print").join(found.withColumnRenamed("entry", "print"), "print"))
 
 
 def link(entries: DataFrame, works: DataFrame, lists: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """entries (entry, paper, ref_no, text, title, year, pmid, doi) to entry, work, how: pmid, doi, place, title or print, the
     first of these that names one work. works: work, title, year, family, volume, first_page, pmid, doi, and the scope's columns;
-    with a scope, an entry is compared with works that agree with it in these columns only."""
+    with a scope, an entry is compared with works that agree with it in these columns only.
+
+    Entries that print the same are compared once; what several ways need is written to the shared folder once."""
     scope = scope or []
-    ready, known = prepared_entries(entries), prepared_works(works)
+    checkpoints(entries.sparkSession)
+    own, texts = _collapsed(entries, scope)
+    own, texts = own.select("entry", "paper", "ref_no", "pmid", "doi", "print").checkpoint(), texts.checkpoint()
+    known = prepared_works(works).checkpoint()
     ways: list[tuple[str, DataFrame]] = []
     for kind in ("pmid", "doi"):
         ident = F.nullif(F.lower(F.trim(F.col(kind).cast("string"))), F.lit(""))
-        ways.append((kind, _the_one(entries.select("entry", ident.alias("i")).join(works.select(F.col("work"), ident.alias("i")), "i").select("entry", "work"))))
+        named = _told_apart(known.select("work", ident.alias("i")).filter("i is not null"), "i")
+        ways.append((kind, own.select("entry", ident.alias("i")).join(named, "i").select("entry", "least", "most")))
     if lists is not None:
-        ways.append(("place", at_place(ready, lists)))
-    ways += [("title", by_title(ready, known, scope)), ("print", by_print(ready, known, scope))]
+        ways.append(("place", _placed(own, texts, lists)))
+    by_text = [_titled(texts, known, scope), _printed(texts, known, scope)]
+    by_text = by_text[0].withColumn("way", F.lit(len(ways))).unionByName(by_text[1].withColumn("way", F.lit(len(ways) + 1)))
+    kinds = [k for k, _ in ways] + ["title", "print"]
     # One shuffle of the few links instead of a join per way.
-    found = reduce(DataFrame.unionByName, [x.select("entry", "work", F.lit(i).alias("way")) for i, (_, x) in enumerate(ways)])
-    own = entries.select("entry", "paper")
-    found = found.join(own, "entry").filter(~F.col("work").eqNullSafe(F.col("paper")))
-    best = found.groupBy("entry").agg(F.min(F.struct("way", "work")).alias("b"))
-    how = F.element_at(F.array(*[F.lit(k) for k, _ in ways]), F.col("b.way") + 1)
+    found = [x.select("entry", "least", "most", F.lit(i).alias("way")) for i, (_, x) in enumerate(ways)]
+    by_text = by_text.groupBy("entry", "way").agg(F.min("least").alias("least"), F.max("most").alias("most")).withColumnRenamed("entry", "print")
+    found.append(own.select("entry", "print").join(by_text, "print").select("entry", "least", "most", "way"))
+    one = _the_one(reduce(DataFrame.unionByName, found), "entry", "way")
+    one = one.join(own.select("entry", "paper"), "entry").filter(~F.col("work").eqNullSafe(F.col("paper")))
+    best = one.groupBy("entry").agg(F.min(F.struct("way", "work")).alias("b"))
+    how = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("b.way") + 1)
     return best.select("entry", F.col("b.work").alias("work"), how.alias("how"))
 
 

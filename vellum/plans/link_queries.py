@@ -31,7 +31,7 @@ def entry_links(spark, d):
 
 @query("entry_titles", T.ctes("entries", "listed_works").rstrip() + "," + _PREPARED + f" SELECT entry, min(work) AS work FROM e, w WHERE {_TITLED} GROUP BY entry HAVING count(DISTINCT work) = 1")  # J27
 def entry_titles(spark, d):
-    return L.by_title(L.prepared_entries(T.table(spark, d, "entries")), L.prepared_works(T.table(spark, d, "listed_works")), [])
+    return L.titles(T.table(spark, d, "entries"), T.table(spark, d, "listed_works"))
 
 
 @query("same_works", T.ctes("listed_works").rstrip() + f""", x AS (SELECT doc_id, work, {_PLAIN.format('title')} AS t, {_PLAIN.format('family')} AS f, year FROM listed_works)
