@@ -368,3 +368,15 @@ def test_exceptions_of_a_style(spark):
     rows += [("q", f"y{i}", "paragraph" if i % 2 else "section", "bold") for i in range(8)] + [("p", "z", None, "bold"), ("p", "w", "paragraph", None)]
     got = R.style_exceptions(spark.createDataFrame(rows, "paper string, node_id string, type string, style string"), "type", "style").collect()
     assert [tuple(r) for r in got] == [("n9", "paragraph", "bold", "section")]
+
+
+def test_unread_buckets_hold_every_key_in_order(spark):
+    from vellum.plans.queries import QUERIES
+    from vellum.sources.library import load
+
+    own = {"failed": [], "unnamed": [], "waiting": []}
+    for (i,) in load(spark, "/root/testdata/sf0.001", "documents").select("doc_id").collect():
+        if i % 9 < 2:
+            own["failed" if i % 9 == 0 else "unnamed" if i % 3 == 1 and i % 2 else "waiting"].append(f"doc:{i}")
+    got = {r["bucket"]: r["keys"] for r in QUERIES["unread_buckets"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in own.items() if v}
