@@ -118,3 +118,33 @@ def test_empty_source_and_last_row_gone(spark, tmp_path):
     assert upkeep.sync().made == 1
     source.apply(none, spark.createDataFrame([(1, None, None)], SCHEMA))
     assert upkeep.sync().gone == 1 and upkeep.rows().isEmpty()
+
+
+def test_derived_rows_are_not_dealt_out_again(spark, tmp_path):
+    """Words of a text: shuffled are the texts and what is kept, not the many rows that are made of them."""
+    words = lambda rows: rows.select("key", F.explode(F.split("text", " ")).alias("w")).groupBy("key", "w").agg(F.count("*").alias("n"))
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(300)), None) for k in range(60)] + [(None, "a b", None)], SCHEMA)
+    source = Source(spark, f"file://{tmp_path}/source", "key", df.schema, 8)
+    source.replace(df)
+    plans = []
+
+    def derive(rows):
+        made_ = words(rows)
+        plans.append(made_._jdf.queryExecution().executedPlan().toString())
+        return made_
+
+    upkeep = Upkeep(source, f"file://{tmp_path}/kept", derive, words(df).schema)
+    assert upkeep.sync().made == 61
+    source.apply(spark.createDataFrame([(3, "a a b", None), (None, "c", None)], SCHEMA), df.filter("key = 5").limit(1))
+    assert upkeep.sync() == Report(2, len({b for b in upkeep_buckets(spark, [3, None, 5])}), 2, 1)
+    assert rows_of(upkeep.rows()) == rows_of(words(source.rows()))
+    plan = plans[0]
+    assert "hashpartitioning(key" in plan and "hashpartitioning(key" in plan.split("Generate")[-1] and "Exchange" not in plan.split("Generate")[0]
+    files = [f for f in upkeep.rows().inputFiles()]
+    assert len(files) <= 2 * 8
+
+
+def upkeep_buckets(spark, keys):
+    from vellum.operators.upkeep import bucket
+
+    return [r[0] for r in spark.createDataFrame([(k,) for k in keys], "key long").select(bucket("key", 8)).collect()]

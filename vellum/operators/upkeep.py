@@ -14,6 +14,9 @@ The new files of a bucket are written beside the old ones, and a manifest of a r
 place last: a reader sees one version or the next, and a run that is broken off leaves the last version as it was. A derivation has a version of
 its own; raising it makes all rows again.
 
+Rows are dealt out by key before the derivation, in parts that each lie in one bucket: one that groups by the key moves source rows
+only, never what it makes of them, and its rows are written from where they are made.
+
 Nulls: a null key is a key like any other, and all rows of one key are derived together. Repeated rows count as often as they
 are there. An empty source has no derived rows. The derivation is given whole keys and returns rows that carry the key.
 """
@@ -32,11 +35,14 @@ from pyspark.sql.types import StructType
 from ..plans.session import checkpoints
 
 BUCKETS = 64
+#: Bytes of source or stored files that go to a part of a bucket.
+PART = 32 << 20
 _BUCKET = "__bucket"
 
 
 def bucket(key: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    """The number of a key's bucket: the hash that repartition deals by, so that each of k * buckets parts lies in one bucket."""
+    return F.pmod(F.hash(F.col(key)), F.lit(buckets)).cast("int")
 
 
 def _by_key(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
@@ -44,6 +50,12 @@ def _by_key(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(keys.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), how)
 
 
+def _without(rows: DataFrame, keys: DataFrame, key: str, null: bool) -> DataFrame:
+    """Rows whose key isn't among keys; null: null is. Joined by the bare key, so that rows stay in the parts they were dealt to."""
+    left = rows.join(keys.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+    return left.filter(F.col(key).isNotNull()) if null else left
+
+
 class Folder:
     """Hadoop's view of a folder, for names and sizes, not for data."""
 
@@ -66,6 +78,17 @@ class Folder:
         finally:
             f.close()
 
+    def size(self, sub: str) -> int:
+        """Bytes of the files in a folder."""
+        p = self._new(f"{self.path}/{sub}")
+        return self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
+
+    def move(self, sub: str, to: str) -> None:
+        """A folder put in the place of another."""
+        self.drop(to)
+        if not self._fs.rename(self._new(f"{self.path}/{sub}"), self._new(f"{self.path}/{to}")):
+            raise RuntimeError(f"{sub} could not be put in the place of {to} in {self.path}")
+
     def put(self, name: str, text: str) -> bool:
         """Written beside and renamed; False if there is one of that name."""
         own = self._new(f"{self.path}/.{uuid.uuid4().hex}")
@@ -104,13 +127,17 @@ class Source:
         changed = upserts.select(self.key).union(gone.select(self.key)).distinct()
         touched = [r[0] for r in changed.select(bucket(self.key, self.buckets)).distinct().collect()]  # no more than there are buckets
         if touched:
-            checkpoints(self.spark)
             kept = _by_key(self.rows(touched), changed, self.key, "left_anti")
-            new = kept.unionByName(upserts.select(*kept.columns)).checkpoint()
-            self.replace(new)
-            left = {r[0] for r in new.select(bucket(self.key, self.buckets)).distinct().collect()}
-            for b in set(touched) - left:
-                self.folder.drop(f"{_BUCKET}={b}")
+            new = kept.unionByName(upserts.select(*kept.columns)).withColumn(_BUCKET, bucket(self.key, self.buckets))
+            beside = f".new-{uuid.uuid4().hex}"  # read from the folders that it will replace
+            new.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{beside}")
+            left = {int(n.split("=")[1]) for n in self.folder.names(beside) if n.startswith(f"{_BUCKET}=")}
+            for b in touched:
+                if b in left:
+                    self.folder.move(f"{beside}/{_BUCKET}={b}", f"{_BUCKET}={b}")
+                else:
+                    self.folder.drop(f"{_BUCKET}={b}")
+            self.folder.drop(beside)
 
     def stamps(self) -> dict[int, str]:
         """A stamp per bucket, from names, sizes and times of its files. No file is opened."""
@@ -171,12 +198,17 @@ class Upkeep:
         differ = met.filter(~F.col("a.stamp").eqNullSafe(F.col("b.stamp")))
         differ = differ.select(F.when(F.col("a.stamp").isNotNull(), F.col(f"a.{key}")).otherwise(F.col(f"b.{key}")).alias(key), F.col("a.stamp").isNull().alias("gone")).checkpoint()
         made, gone = differ.agg(F.count_if(~F.col("gone")), F.count_if("gone")).first()
-        fresh = self.derive(_by_key(rows, differ, key, "left_semi"))
-        stored = self._read("rows", self.schema, [b for b in of if b["rows"]])
-        whole = _by_key(stored, differ, key, "left_anti").unionByName(fresh.select(*stored.columns))
+        parts = self._parts(changed, of)
+        # Dealt out before they are derived: all that follows stays in the part of its key.
+        fresh = self.derive(_by_key(rows, differ, key, "left_semi").repartition(parts, key))
+        whole, kept_buckets = fresh.select(*self.schema.names), [b for b in of if b["rows"]]
+        if kept_buckets:
+            stored = self._read("rows", self.schema, kept_buckets).repartition(parts, key)
+            whole = _without(stored, differ, key, not differ.filter(F.col(key).isNull()).isEmpty()).unionByName(whole)
         at = f"v-{uuid.uuid4().hex}"
-        for part, df in (("rows", whole), ("stamps", now.select(*self.stamp_schema.names))):
-            df.withColumn(_BUCKET, bucket(key, self.source.buckets)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{at}/{part}")
+        dealt = now.select(*self.stamp_schema.names).withColumn(_BUCKET, bucket(key, self.source.buckets)).repartition(_BUCKET)
+        for part, df in (("rows", whole.withColumn(_BUCKET, bucket(key, self.source.buckets))), ("stamps", dealt)):
+            df.write.partitionBy(_BUCKET).parquet(f"{self.path}/{at}/{part}")
         there = {part: {int(n.split("=")[1]) for n in self.folder.names(f"{at}/{part}") if n.startswith(_BUCKET)} for part in ("rows", "stamps")}
         entries = {b: x for b, x in old.items() if int(b) not in changed}
         entries |= {str(b): {"bucket": b, "stamp": stamps[b], "at": at, "rows": b in there["rows"], "stamps": b in there["stamps"]} for b in changed if b in stamps}
@@ -185,6 +217,12 @@ class Upkeep:
             raise RuntimeError(f"another sync has written version {version} of {self.path}")
         return Report(version, len(changed), made, gone)
 
+    def _parts(self, changed: list[int], of: list[dict]) -> int:
+        """A multiple of the buckets: PART bytes a part in the fullest case, and no fewer than a shuffle has."""
+        size = sum(self.source.folder.size(f"{_BUCKET}={b}") for b in changed) + sum(self.folder.size(f"{b['at']}/rows/{_BUCKET}={b['bucket']}") for b in of)
+        buckets = self.source.buckets
+        return buckets * max(1, -(-max(size // PART, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) // buckets))
+
     def tidy(self) -> None:
         """Remove what only earlier versions name. Not while these are still read."""
         current = self.manifest()
