@@ -380,3 +380,12 @@ def test_unread_buckets_hold_every_key_in_order(spark):
             own["failed" if i % 9 == 0 else "unnamed" if i % 3 == 1 and i % 2 else "waiting"].append(f"doc:{i}")
     got = {r["bucket"]: r["keys"] for r in QUERIES["unread_buckets"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in own.items() if v}
+
+
+def exchanges(df, spark):
+    return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).count("Exchange hashpartitioning")
+
+
+def test_shingles_read_before_are_shuffled_once(spark):
+    nodes = spark.createDataFrame([("p", i, "a text that is here") for i in range(3)], "paper string, pos int, text string")
+    assert exchanges(quality.read_before(nodes, "paper", "pos", "text"), spark) <= 2

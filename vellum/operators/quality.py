@@ -125,16 +125,18 @@ def read_before(nodes: DataFrame, paper: str, pos: str, text: str) -> DataFrame:
     """Paragraphs of which half or more has been read earlier in their paper: paper, pos, shingles, share, severity.
 
     The share is that of a paragraph's shingles of six words, repeats included, which an earlier paragraph of the paper holds;
-    paragraphs of fewer than four shingles are not judged, but count as earlier ones. What is shuffled is a hash and a count per
-    different shingle of a paragraph: once to meet its first place in the paper, once to be summed. Null texts have no shingles; nodes
+    paragraphs of fewer than four shingles are not judged, but count as earlier ones. What is shuffled is a hash and a place per
+    shingle, once, to where the same shingle of the paper goes; only shingles read before, and a row per paragraph, go on to be summed. Null texts have no shingles; nodes
     at the same place of a paper count as one.
     """
     words = plain_words(F.col(text))
     grams = lambda ws: F.when(F.size(ws) >= K_READ, F.transform(F.sequence(F.lit(0), F.size(ws) - K_READ), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, K_READ), " "))))
     each = nodes.select(F.col(paper).alias("paper"), F.col(pos).alias("pos"), F.explode(F.element_at(F.transform(F.array(words), grams), 1)).alias("gram"))
-    counted = each.groupBy("paper", "gram", "pos").agg(F.count("*").alias("n"))
+    counted = each.repartition("paper", "gram").groupBy("paper", "gram", "pos").agg(F.count("*").alias("n"))
     first = F.min("pos").over(Window.partitionBy("paper", "gram"))
-    summed = counted.withColumn("before", F.when(first < F.col("pos"), F.col("n")).otherwise(0)).groupBy("paper", "pos").agg(F.sum("n").alias("shingles"), F.sum("before").alias("before"))
+    again = counted.withColumn("first", first).filter("first < pos").select("paper", "pos", F.lit(0).cast("long").alias("shingles"), F.col("n").alias("before"))
+    whole = nodes.select(F.col(paper).alias("paper"), F.col(pos).alias("pos"), F.greatest(F.size(words) - (K_READ - 1), F.lit(0)).cast("long").alias("shingles"), F.lit(0).cast("long").alias("before"))
+    summed = whole.unionByName(again).groupBy("paper", "pos").agg(F.sum("shingles").alias("shingles"), F.sum("before").alias("before"))
     share = F.col("before") / F.col("shingles")
     found = summed.filter((F.col("shingles") >= LEAST_SHINGLES) & (share >= WARNS))
     return found.select(F.col("paper").alias(paper), F.col("pos").alias(pos), "shingles", F.round(share, 3).alias("share"), F.when(share >= ERRS, "error").otherwise("warn").alias("severity"))
