@@ -16,9 +16,8 @@ STOP_WORDS = (
 
 def search_tokens(text: Column) -> Column:
     """Lower-case tokens of letters, digits, micro sign and inner . % / -, trimmed of . - / at their ends, longer than one."""
-    raw = F.split(F.lower(text), r"[^a-z0-9µ.%/-]+")
-    trimmed = F.transform(raw, lambda t: F.regexp_replace(t, r"^[./-]+|[./-]+$", ""))
-    return F.filter(trimmed, lambda t: F.length(t) > 1)
+    # From the first to the last that is no . - or / of a run: nothing has to be trimmed or left out, token by token.
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9µ%][a-z0-9µ.%/-]*[a-z0-9µ%]"), F.lit(0))
 
 
 def query_terms(question: Column) -> Column:
