@@ -402,3 +402,14 @@ def test_tokens_take_no_function_per_token(spark):
     x = spark.createDataFrame([("..a.b-- c /d 5µ %% -.- e.f/g. H-I -- jk",), ("",), (None,)], "t string").select(X.search_tokens(F.col("t")).alias("x"))
     assert [r[0] for r in x.collect()] == [["a.b", "5µ", "%%", "e.f/g", "h-i", "jk"], [], None]
     assert "transform" not in x._jdf.queryExecution().toString()
+
+
+def test_term_pairs_count_an_id_of_several_rows_once(spark, tmp_path):
+    from vellum.plans.queries import QUERIES
+
+    go = lambda rows: (spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet"), {r["term"]: r["df"] for r in QUERIES["term_pairs"](spark, str(tmp_path)).collect()})[1]
+    assert go([(1, "bone bone"), (1, "bone mass"), (2, "bone"), (None, "mass"), (None, "none")]) == {"bone": 2, "bone bone": 1, "mass": 1, "bone mass": 1, "none": 0}
+    assert go([(1, "bone mass"), (2, "mass")]) == {"bone": 1, "mass": 2, "bone mass": 1}
+    spark.createDataFrame([(1, "bone mass")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["term_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
