@@ -413,3 +413,10 @@ def test_term_pairs_count_an_id_of_several_rows_once(spark, tmp_path):
     spark.createDataFrame([(1, "bone mass")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES["term_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_mention_weights_hold_one_table_of_groups(spark):
+    from vellum.plans.queries import QUERIES
+
+    plan = QUERIES["mention_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2
