@@ -420,3 +420,9 @@ def test_mention_weights_hold_one_table_of_groups(spark):
 
     plan = QUERIES["mention_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
+
+
+def test_containment_moves_texts_not_words(spark):
+    from vellum.plans.queries import QUERIES
+
+    assert exchanges(QUERIES["containment"](spark, "/root/testdata/sf0.001"), spark) == 1
