@@ -1,10 +1,13 @@
 """Work that grows with the input and no faster: what is shuffled, and by which patterns texts are read."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from vellum.functions import text as X
 from vellum.operators import graph
 from vellum.plans.session import checkpoints
 
@@ -52,3 +55,26 @@ def test_pagerank_shuffles_its_edges_once(spark):
     before = shuffled(spark)
     assert graph.pagerank(edges.union(near), spark.createDataFrame([("s", 1.0)], "node string, weight double")).count() == 3
     assert shuffled(spark) - before < 2.5 * 2 * n
+
+
+def test_quantities_are_searched_once_and_units_looked_up(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(X.quantities(F.col("t")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall("rlike", plan, re.I)) <= 1 and plan.count("regexp_extract_all") <= 2
+
+
+def test_units_as_printed(spark):
+    rows = [(s, b) for s in X._NAMES for b in ("", " ", " \t") for s in {s, s.replace("/", " / "), s.replace("degrees", "degrees ").replace("degree", "degree ").replace("degree s", "degrees"), s.replace("(", " ( ")}]
+    got = spark.createDataFrame([(f"Took 5{b}{s} of it", s) for s, b in rows], "t string, s string").select("s", X.quantities(F.col("t")).alias("q")).collect()
+
+    def expected(printed):
+        # Leftmost, the first pattern that fits there; then the first that fits what it took.
+        took = next((m.group() for p, *_ in X.UNITS if (m := re.match(p, printed + " of it"))), None)
+        return [tuple(n) for p, *n in X.UNITS if took is not None and re.search(f"^(?:{p})$", took)][:1]
+
+    assert len(got) > 300
+    for r in got:
+        assert [(q["unit"], q["kind"]) for q in r["q"]] == expected(r["s"]), r
+    edges = "x5 mM a.5 mM -5 mM −5 mM 1.5.3 mM 5 to 10 mM 5 - 10 mMx; apH 5 pH5 pH of 6–7 pH = 4,5"
+    assert [(q["value"], q["unit"]) for q in spark.createDataFrame([(edges,)], "t string").select(X.quantities(F.col("t"))).first()[0]] == [
+        ("-5", "mM"), ("−5", "mM"), ("5 to 10", "mM"), ("5 - 10", "mM"), ("5", "pH"), ("6–7", "pH"), ("4,5", "pH"),
+    ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,8 +163,42 @@ UNITS = (
 )
 # Numbers with a range or an error, and values of pH.
 _NUMBER = r"([-−]?\d+(?:[.,]\d+)?(?:\s*(?:[-–−]|to|±|\+/-)\s*\d+(?:[.,]\d+)?)?)"
-QUANTITY = r"(?<![\w.])" + _NUMBER + r"\s*(" + "|".join(f"(?:{p})" for p, _, _ in UNITS) + ")"
-PH = r"\bpH\s*(?:of\s*|=\s*|~\s*)?(\d+(?:[.,]\d+)?(?:\s*(?:[-–]|to)\s*\d+(?:[.,]\d+)?)?)"
+# What a match begins with is looked at before the letters around it.
+QUANTITY = r"(?=[-−\d])(?<![\w.])" + _NUMBER + r"\s*(" + "|".join(f"(?:{p})" for p, _, _ in UNITS) + ")"
+PH = r"pH(?<=\bpH)\s*(?:of\s*|=\s*|~\s*)?(\d+(?:[.,]\d+)?(?:\s*(?:[-–]|to)\s*\d+(?:[.,]\d+)?)?)"
+# What a unit may be printed as, without white space, to its name and what it measures.
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _printed(pattern: str) -> list[str]:
+    """All that a unit's pattern fits, without white space and whatever must not follow."""
+    pattern = re.sub(r"\(\?![^)]*\)|\\s[*+]", "", pattern)
+    parts = re.findall(r"\(\?:|\\.|\[[^]]*\]|.", pattern)
+
+    def choice(i: int) -> tuple[list[str], int]:
+        out, texts = [], [""]
+        while i < len(parts) and parts[i] != ")":
+            p, i = parts[i], i + 1
+            if p == "|":
+                out, texts = out + texts, [""]
+                continue
+            if p == "(?:":
+                some, i = choice(i)
+                i += 1
+            else:
+                some = list(p[1:-1]) if p[0] == "[" else [p[-1]]
+            if i < len(parts) and parts[i] == "?":
+                some, i = [*some, ""], i + 1
+            texts = [a + b for a in texts for b in some]
+        return out + texts, i
+
+    return choice(0)[0]
+
+
+_NAMES: dict[str, tuple[str, str]] = {}
+for _pattern, *_names in UNITS:
+    for _text in _printed(_pattern):
+        _NAMES.setdefault(_text, tuple(_names))
 
 
 def quantities(text: Column) -> Column:
@@ -172,17 +208,14 @@ def quantities(text: Column) -> Column:
     quantities gives an empty array.
     """
 
-    def named(x: Column, at: int) -> Column:
-        out = None
-        for pattern, *names in UNITS:
-            test = x.rlike(f"^(?:{pattern})$")
-            out = F.when(test, F.lit(names[at])) if out is None else out.when(test, F.lit(names[at]))
-        return out
+    names = F.create_map(*(c for spelled, (unit, kind) in _NAMES.items() for c in (F.lit(spelled), F.struct(F.lit(unit).alias("unit"), F.lit(kind).alias("kind")))))
 
     def of(s: Column) -> Column:
-        found = F.arrays_zip(F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(1)).alias("value"), F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(2)).alias("unit"))
+        # One search a sentence. No unit begins with what a number can go on with: the number in a match is the one that was matched.
+        found = F.transform(F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(0)), lambda m: F.struct(m.alias("m"), F.regexp_extract(m, "^" + _NUMBER, 1).alias("value")))
+        found = F.transform(found, lambda q: F.struct(q["value"].alias("value"), names[F.translate(F.substring(q["m"], F.length(q["value"]) + 1, F.length(q["m"])), _WHITE, "")].alias("names")))
         one = lambda v, unit, kind: F.struct(F.trim(F.regexp_replace(v, r"\s+", " ")).alias("value"), numeric(v).alias("number"), unit.alias("unit"), kind.alias("kind"), s.alias("sentence"))
-        plain = F.transform(found, lambda q: one(q["value"], named(q["unit"], 0), named(q["unit"], 1)))
+        plain = F.transform(found, lambda q: one(q["value"], q["names"]["unit"], q["names"]["kind"]))
         plain = F.filter(plain, lambda q: ~((q["unit"] == "s") & q["value"].rlike(r"^\d{4}$")))
         return F.concat(plain, F.transform(F.regexp_extract_all(s, F.lit(PH), F.lit(1)), lambda v: one(v, F.lit("pH"), F.lit("ph"))))
 
