@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
+from vellum.operators import citations as C
 from vellum.operators import graph
 from vellum.plans.session import checkpoints
 
@@ -78,3 +79,23 @@ def test_units_as_printed(spark):
     assert [(q["value"], q["unit"]) for q in spark.createDataFrame([(edges,)], "t string").select(X.quantities(F.col("t"))).first()[0]] == [
         ("-5", "mM"), ("−5", "mM"), ("5 to 10", "mM"), ("5 - 10", "mM"), ("5", "pH"), ("6–7", "pH"), ("4,5", "pH"),
     ]
+
+
+def test_markers_are_searched_once_and_short_lists_go_to_them(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i % 3, i, f"As [1], [{i % 4}]–[5] and del Smith et al. (200{i % 5}a,b), then in Wu 2001.") for i in range(60)] + [(0, 99, None)], "paper long, node long, text string")
+    refs = spark.createDataFrame([(p, r, ("Smith", "Del Smith", "Wu")[r % 3], f"200{r % 4}" + "ab"[r % 2] * (r % 3 == 0)) for p in range(3) for r in range(1, 7)], "paper long, ref_no int, first_author string, year string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = C.cited(nodes, refs)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("regexp_extract_all"), plan.count("split(text")) == (2, 2)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+        few = sorted(map(repr, df.collect()))
+        monkeypatch.setattr(C, "LISTED", 5, raising=False)  # a list that is too long for that
+        df = C.cited(nodes, refs)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, df.collect())) == few and len(few) > 300 and sum("how='author'" in r for r in few) > 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

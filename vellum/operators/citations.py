@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import PARTICLES, folded
 
+#: So many entries go to the markers as a broadcast table.
+LISTED = 100_000
 # Dashes of a range, the longest range, and what years look like.
 DASH, LONGEST_RANGE = r"\s*[-–—]\s*", 50
 _YEAR = r"(?:1[89]\d{2}|20\d{2})"
@@ -26,21 +28,24 @@ _NUMBERS = r"\[\s*\d{1,3}(?:\s*[-–—,;]\s*\d{1,3})*\s*\]"
 #: A bracket, and those that a dash or commas and bare numbers join to it.
 NUMBERED = rf"{_NUMBERS}(?:(?:{DASH}|\s*,\s*(?:\d{{1,3}}\s*,\s*)*){_NUMBERS})*"
 _NAME = rf"(?:(?i:{'|'.join(PARTICLES)})\s+)*\p{{Lu}}[\p{{L}}'’-]+"
-#: A name, what may stand for the other authors, and years.
-NAMED = rf"({_NAME})(?:\s+et\s+al\.?|(?:,\s+{_NAME})*,?\s+(?:and|&)\s+{_NAME})?,?\s+\(?({_YEAR}[a-z]?\b(?:\s*,\s*(?:{_YEAR}[a-z]?|[a-z])\b)*)"
+_BEGINS = "".join(sorted({c for p in PARTICLES for c in (p[0], p[0].upper())}))
+#: What a match begins with, looked at before particles are tried; a name, what may stand for the other authors, and years.
+NAMED = rf"(?=[\p{{Lu}}{_BEGINS}])({_NAME})(?:\s+et\s+al\.?|(?:,\s+{_NAME})*,?\s+(?:and|&)\s+{_NAME})?,?\s+\(?({_YEAR}[a-z]?\b(?:\s*,\s*(?:{_YEAR}[a-z]?|[a-z])\b)*)"
 
 
 def found(text: Column, pattern: str) -> Column:
     """array<struct<start, marker>> of the matches of a pattern, start from 0."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps")
 
-    def placed(ms: Column) -> Column:
+    def placed(x: Column) -> Column:
         # What stands before a match: the gaps up to it and the matches before it.
         size = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-        return F.transform(ms, lambda m, i: F.struct((size(gaps, i + 1) + size(F.transform(ms, lambda x: F.length(x)), i)).alias("start"), m.alias("marker")))
+        return F.transform(x["whole"], lambda m, i: F.struct((size(x["gaps"], i + 1) + size(x["sizes"], i)).alias("start"), m.alias("marker")))
 
-    return F.element_at(F.transform(F.array(whole), placed), 1)
+    # Bound to variables, one after the other: inside the inner function the text would be searched again for each match.
+    sized = F.transform(F.array(F.struct(whole, gaps)), lambda x: F.struct(x["whole"].alias("whole"), x["gaps"].alias("gaps"), F.transform(x["whole"], lambda m: F.length(m)).alias("sizes")))
+    return F.when(text.isNotNull(), F.element_at(F.transform(sized, placed), 1))
 
 
 def numbers(marker: Column) -> Column:
@@ -49,14 +54,15 @@ def numbers(marker: Column) -> Column:
     # 5-7~11 is 5-7 and what lies between 7 and 11, in which the ends count.
     parts = F.split(F.regexp_replace(F.regexp_replace(joined, r"[\[\]\s]", ""), r"(\d{1,3})~", "$1,$1~"), "[,;]")
 
-    def one(p: Column) -> Column:
-        a, b = F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.regexp_extract(p, r"(\d+)$", 1).cast("int")
+    def one(q: Column) -> Column:
+        p, a, b = q["p"], q["a"], q["b"]
         fits = (a > 0) & (a <= b) & (b <= a + LONGEST_RANGE)
         plain = F.filter(F.array(a, b), lambda n: n > 0)
         none = F.array().cast("array<int>")
         return F.when(p.rlike(r"^\d+[-–—]\d+$"), F.when(fits, F.sequence(a, b)).otherwise(none)).when(p.contains("~"), F.when(fits, F.sequence(a, b)).otherwise(plain)).when(p.rlike(r"^[1-9]\d*$"), F.array(a)).otherwise(none)
 
-    return F.array_distinct(F.flatten(F.transform(parts, one)))
+    ends = F.transform(parts, lambda p: F.struct(p.alias("p"), F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("a"), F.regexp_extract(p, r"(\d+)$", 1).cast("int").alias("b")))
+    return F.array_distinct(F.flatten(F.transform(ends, one)))
 
 
 def years(printed: Column) -> Column:
@@ -76,28 +82,38 @@ def family_key(name: Column) -> Column:
     return F.nullif(F.regexp_replace(F.substring_index(bare, " ", 1), r"[^\p{L}]", ""), F.lit(""))
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """A row per entry that a numbered marker of nodes (paper, node, text) names: paper, node, start, marker, ref_no."""
+    return nodes.select("paper", "node", F.inline(found(F.col("text"), NUMBERED))).select("*", F.explode(numbers(F.col("marker"))).alias("ref_no"))
+
+
+def named(nodes: DataFrame) -> DataFrame:
+    """A row per year of a marker by author and year: paper, node, start, marker, family, year."""
+    out = nodes.select("paper", "node", F.inline(found(F.col("text"), NAMED))).withColumn("family", family_key(F.regexp_extract("marker", NAMED, 1)))
+    return out.select("*", F.explode(years(F.regexp_extract("marker", NAMED, 2))).alias("year"))
+
+
 def markers(nodes: DataFrame) -> DataFrame:
     """nodes (paper, node, text) to a row per marker and what it may name: paper, node, start, marker, ref_no or family and year."""
-    numbered = nodes.select("paper", "node", F.inline(found(F.col("text"), NUMBERED))).select("*", F.explode(numbers(F.col("marker"))).alias("ref_no"))
-    named = nodes.select("paper", "node", F.inline(found(F.col("text"), NAMED))).withColumn("family", family_key(F.regexp_extract("marker", NAMED, 1)))
-    named = named.select("*", F.explode(years(F.regexp_extract("marker", NAMED, 2))).alias("year"))
-    return numbered.unionByName(named, allowMissingColumns=True)
+    return numbered(nodes).unionByName(named(nodes), allowMissingColumns=True)
 
 
 def cited(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """Markers with the entry of their paper that they name: paper, node, start, marker, family, year, ref_no, how (number,
-    author or open). refs: paper, ref_no, first_author, year. An entry that names no number of the list is open too."""
-    found_ = markers(nodes)
+    author or open). refs: paper, ref_no, first_author, year. An entry that names no number of the list is open too.
+
+    Entries are counted first: up to LISTED go to the markers, which are then not shuffled; more are joined by key."""
+    ready = F.broadcast if refs.limit(LISTED + 1).count() <= LISTED else lambda entries: entries
     own = refs.select("paper", F.col("ref_no").alias("entry"), family_key(F.col("first_author")).alias("family"), F.trim(F.col("year").cast("string")).alias("printed"))
-    numbered = found_.filter("ref_no is not null").drop("year", "family").join(own.select("paper", F.col("entry").alias("ref_no"), F.lit(True).alias("there")).distinct(), ["paper", "ref_no"], "left")
-    out = numbered.select("paper", "node", "start", "marker", F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("year"), F.when(F.col("there"), F.col("ref_no")).alias("ref_no"), F.when(F.col("there"), "number").otherwise("open").alias("how"))
+    by_number = numbered(nodes).join(ready(own.select("paper", F.col("entry").alias("ref_no"), F.lit(True).alias("there")).distinct()), ["paper", "ref_no"], "left")
+    out = by_number.select("paper", "node", "start", "marker", F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("year"), F.when(F.col("there"), F.col("ref_no")).alias("ref_no"), F.when(F.col("there"), "number").otherwise("open").alias("how"))
     # An entry answers to its year as printed and without its letter; who holds how many is counted before markers meet it.
     bare = F.regexp_replace("printed", "[a-z]$", "")
     answers = own.filter("family is not null and printed is not null").select("paper", "family", "entry", F.explode(F.array_distinct(F.array("printed", bare))).alias("year"))
     answers = answers.groupBy("paper", "family", "year").agg(F.min("entry").alias("least"), F.max("entry").alias("most"))
-    named = found_.filter("ref_no is null").drop("ref_no").withColumn("bare", F.regexp_replace("year", "[a-z]$", ""))
+    by_name = named(nodes).withColumn("bare", F.regexp_replace("year", "[a-z]$", ""))
     first = answers.select("paper", "family", "year", F.struct("least", "most").alias("a"))
     then = answers.select("paper", "family", F.col("year").alias("bare"), F.struct("least", "most").alias("b"))
-    named = named.join(first, ["paper", "family", "year"], "left").join(then, ["paper", "family", "bare"], "left").withColumn("hit", F.coalesce("a", "b"))
+    by_name = by_name.join(ready(first), ["paper", "family", "year"], "left").join(ready(then), ["paper", "family", "bare"], "left").withColumn("hit", F.coalesce("a", "b"))
     one = F.when(F.col("hit.least") == F.col("hit.most"), F.col("hit.least"))
-    return out.unionByName(named.select("paper", "node", "start", "marker", "family", "year", one.alias("ref_no"), F.when(one.isNotNull(), "author").otherwise("open").alias("how")))
+    return out.unionByName(by_name.select("paper", "node", "start", "marker", "family", "year", one.alias("ref_no"), F.when(one.isNotNull(), "author").otherwise("open").alias("how")))
