@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from vellum.llm import chat, crf, gif, neardup, packing, pfor, simhash, substrings, topk
 from vellum.llm.bpe import TreeEncoder
-from vellum.llm.tokens import encoder, tokenizer
+from vellum.llm.tokens import WordEncoder, encoder, tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["a", "b", "the", "é", "ß", "'s", "'re", "'", " ", "  ", "\n", "\t", "\x1c", "　", "1", "23", "!", "*", "<|endoftext|>", "日", "́", "😀", ".\n", "word", "\x85", "==="]
@@ -29,6 +30,49 @@ def test_words_encode_as_the_library():
     assert enc.encode([None, ""])[0].tolist() == []
 
 
+class Handed:
+    """A tokenizer that notes the strings it is handed."""
+
+    def __init__(self, tok):
+        self.tok, self.strings = tok, []
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode_batch_fast(self, strings, **options):
+        self.strings += strings
+        return self.tok.encode_batch_fast(strings, **options)
+
+
+def test_pieces_go_to_the_library_once_and_in_company():
+    tok, rng = tokenizer(PATH), random.Random(9)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(6)) + rng.choice("xyzà") for _ in range(400)]
+    # All words begin a text, a line or stand behind a blank; punctuation within and behind them makes new words of them.
+    plain = [f"{w}\n{w} {w}" for w in words]
+    joined = [f"{a}{m}{b}{m}" for a, b, m in zip(words, words[1:] + words[:1], [".", "-", "@", "/"] * 100, strict=True)]
+    own = Handed(tok)
+    enc = WordEncoder(own)
+    for t, ids in zip(plain, enc.encode(plain), strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert len(own.strings) < 40
+    before = sum(map(len, own.strings))
+    for t, ids in zip(joined, enc.encode(pa.array(joined)), strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert sum(map(len, own.strings)) - before < 0.6 * sum(map(len, joined))
+
+
+def test_runs_of_white_space_and_added_tokens_are_remembered_too():
+    own = Handed(tokenizer(PATH))
+    enc = WordEncoder(own)
+    parts = [f"one{b}two  three \u3000 four\n\nfive.<|endoftext|>six\x1c \n" for b in ("\n\n", " \t", "\xa0 ", "\u2009\n")]
+    for t in parts:
+        assert enc.encode([t])[0].tolist() == own.tok.encode(t, add_special_tokens=False).ids, t
+    own.strings.clear()
+    for t, ids in zip(parts, enc.encode(parts), strict=True):
+        assert ids.tolist() == own.tok.encode(t, add_special_tokens=False).ids, t
+    assert not own.strings
+
+
 def test_trees_encode_and_decode_as_the_library():
     tok = tokenizer(PATH)
     tree = TreeEncoder(tok, leaf=8)

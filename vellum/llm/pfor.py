@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | N
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in slices(batches, "text", 8 << 20):
-            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 keys.append(key)
                 held.append(np.concatenate([ids, end]))
                 size += len(ids) + 1

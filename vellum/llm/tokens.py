@@ -1,9 +1,10 @@
 """Byte-level BPE ids by the tokenizers library, with each distinct word encoded once while it is remembered.
 
-A change from a non-space character to a blank or line feed always ends a pre-token of the byte-level pattern, and neither
-side's split depends on the other. So a text whose blanks and line feeds stand alone falls into words, the ids of the text are
-those of its words in order, and only words not seen before go to the library. Other texts go to it whole. Words are cut,
-told apart and put together again by columns; Python sees the distinct ones of a slice only.
+A change from a non-space character to a blank or line feed always ends a pre-token of the byte-level pattern, and so does one
+from a letter or digit to ASCII punctuation; neither side's split depends on the other. So a text falls into pieces there, the ids of the text are those of
+its pieces in order, and only pieces not seen before go to the library. Texts with added tokens, which may hold punctuation,
+fall apart before blanks and line feeds only; with other pre-tokenizers texts go whole. Pieces are cut, told apart, handed
+over and put together again by columns; Python sees strings of a hundred pieces only.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ import pyarrow.compute
 
 #: Bytes of words and ids that a worker remembers, some half a million words; beyond them it forgets all and begins anew.
 REMEMBERED = 24 << 20
-#: Words handed to the library in one call, and words that share a string there.
+#: Pieces handed to the library in one call, and pieces that share a string there.
 AT_ONCE, TOGETHER = 4096, 100
-#: White space before a blank or line feed, where that place is no end of a pre-token.
-_UNEVEN = re.compile(r"[^\S \n][ \n]")
-#: A letter before ASCII punctuation ends a pre-token too; the ranges hold letters only, in any version of Unicode.
-_TAIL = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-_TAILED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)", re.S)
+#: White space but blanks and line feeds, by Python or older versions of Unicode.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\u180e"
+_SPACE, _MARK, _WORD, _WHITE = 1, 2, 4, 8
+#: By byte: blank or line feed, ASCII punctuation, ASCII letter or digit, other white space of one byte.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10]] = _SPACE
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = _WORD
+_KIND[[ord(c) for c in _SPACES if ord(c) < 128]] = _WHITE
+#: White space of two and three bytes, as numbers.
+_TWO, _THREE = ([int.from_bytes(c.encode(), "big") for c in _SPACES if len(c.encode()) == n] for n in (2, 3))
 
 
 @lru_cache(4)
@@ -44,8 +51,33 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(tokenizer(path))
 
 
-def _even(t: str) -> bool:
-    return not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in (" ", "\n") or _UNEVEN.search(t))
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of large strings without nulls, one after another, and where each begins, with the end of the last."""
+    _, offsets, raw = strings.buffers()
+    at = np.frombuffer(offsets, np.int64, len(strings) + 1, 8 * strings.offset) if len(strings) else np.zeros(1, np.int64)
+    return (np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.zeros(0, np.uint8)), at - at[0]
+
+
+def _cuts(raw: np.ndarray, offsets: np.ndarray, added: np.ndarray) -> np.ndarray:
+    """Where pieces begin: with each text, blank or line feed behind no white space, and ASCII punctuation behind a letter or digit.
+
+    added: which texts may hold added tokens.
+    """
+    at = np.flatnonzero((_KIND & (_SPACE | _MARK))[raw])
+    space, before = _KIND[raw[at]] == _SPACE, raw.take(at - 1, mode="clip")
+    cut = np.where(space, _KIND[before] & (_SPACE | _WHITE) == 0, _KIND[before] == _WORD)
+    far = np.flatnonzero(before >= 0x80)
+    two = raw.take(at[far] - 2, mode="clip").astype(np.int64) << 8 | before[far]
+    three = raw.take(at[far] - 3, mode="clip").astype(np.int64) << 16 | two
+    # From C3 80 to C3 BF: the letters of Latin-1, and the signs of multiplication (97) and division (B7).
+    latin = (two >> 8 == 0xC3) & (two & 0xDF != 0x97)
+    cut[far] = np.where(space[far], ~(np.isin(two, _TWO) | np.isin(three, _THREE)), latin)
+    if added.any():
+        cut &= space | ~added[np.searchsorted(offsets, at, "right") - 1]
+    begins = np.zeros(len(raw), bool)
+    begins[at[cut]] = True
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begins)
 
 
 class Memory:
@@ -56,7 +88,7 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.string())
+        self.words = pa.array([], pa.large_string())
         self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.size = 0
 
@@ -69,8 +101,10 @@ class Memory:
         """Rows of words, -1 for those that are not there."""
         return pa.compute.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> dict[str, int]:
-        """New words, of which no two are equal, to their rows."""
+    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Rows of new words, of which no two are equal."""
+        if len(words) != len(lengths):
+            raise ValueError("ids of other words than these")
         n, before = self.size, int(self.ends[self.size])
         if n + len(words) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
@@ -78,9 +112,9 @@ class Memory:
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
         self.ids[before : before + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(words)] = before + np.cumsum(lengths)
-        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+        self.words = pa.concat_arrays([self.words, words])
         self.size += len(words)
-        return dict(zip(words, range(n, self.size), strict=True))
+        return np.arange(n, self.size)
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these rows in order, where each row's ids end among them)."""
@@ -97,94 +131,92 @@ class WordEncoder:
 
     def __init__(self, tok):
         self.tok = tok
-        #: Words as they stand after a blank, and, under a key that begins with a blank, strings as they stand alone.
         self.memory = Memory()
-        # Words hold for the byte-level pattern without a blank put before the text.
+        # Pieces hold for the byte-level pattern without a blank put before the text.
         self.by_word = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" in repr(tok.pre_tokenizer) and tok.normalizer is None
-        self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
-        if any(re.search(r"\s", t) for t in self.added):
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", t) for t in added):
             self.by_word = False
-        self.odd = re.compile("|".join([r"[^\S\n]", *map(re.escape, self.added)]))
-        #: By id, whether its token begins with a blank; in byte-level vocabularies that character stands for it.
+        self.added = "|".join(map(re.escape, added))
+        #: Pieces that share no string with others: those with white space but one blank or line feed before something else.
+        self.odd = "|".join([f"[{_SPACES}]|(?s:.)[ \n]|^[ \n]$", *map(re.escape, added)])
+        #: By id, whether its token begins with a blank or line feed; in byte-level vocabularies those characters stand for them.
         vocabulary = tok.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for t, i in vocabulary.items() if t[:1] == "Ġ"]] = True
+        self.begins[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "Ċ")]] = True
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, straight from the library."""
         return [np.array(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in self.tok.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
 
-    def _each(self, keys: list[str], strings: list[str]) -> dict[str, int]:
-        got = self.whole(strings)
-        return self.memory.add(keys, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))) if got else {}
-
-    def _together(self, words: list[str]) -> dict[str, int]:
-        """Words without white space or added tokens, each after a blank: several go to a string, as the blanks part them."""
-        ids: list[np.ndarray] = []
-        for i in range(0, len(words), AT_ONCE):
-            part = words[i : i + AT_ONCE]
+    def _joined(self, keys: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces with before put before each, where each's begin): several go to a string, as blanks and line feeds part them."""
+        bounds = pa.array(np.append(np.arange(0, len(keys), TOGETHER), len(keys)), pa.int32())
+        strings = pa.compute.binary_join(pa.ListArray.from_arrays(bounds, keys), pa.scalar(before, keys.type)).to_pylist()
+        step, ids = AT_ONCE // TOGETHER, []
+        for i in range(0, len(strings), step):
             flat: list[int] = []
-            for e in self.tok.encode_batch_fast([" " + " ".join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)], add_special_tokens=False):
+            for e in self.tok.encode_batch_fast([before + s for s in strings[i : i + step]], add_special_tokens=False):
                 flat += e.ids
             ids.append(np.array(flat, np.uint32))
-        arr = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        return self.memory.add(words, arr, np.diff(np.append(np.flatnonzero(self.begins[arr]), len(arr)))) if words else {}
-
-    def _learn(self, keys: list[str]) -> dict[str, int]:
-        """Rows of keys that memory doesn't have; no two are equal."""
-        alone = [k for k in keys if k[:1] in (" ", "\n")]
-        new = [k for k in keys if k[:1] not in (" ", "\n")]
-        odd = {w for w in new if not w or self.odd.search(w)} if "" in new or self.odd.search("\n".join(new)) else set()
-        tailed = {w: m for w in new if w[-1:] in _TAIL and (m := _TAILED.fullmatch(w)) and w not in odd}
-        rows = {}
-        if tailed:  # parts that memory may have, though their wholes are new
-            parts = list({m[1] for m in tailed.values()}.difference(new).union(" " + m[2] for m in tailed.values()).difference(alone))
-            at = self.memory.find(pa.array(parts, pa.string()))
-            rows = {p: r for p, r in zip(parts, at.tolist(), strict=True) if r >= 0}
-            more = [p for p in parts if p not in rows]
-            alone += [p for p in more if p[0] == " "]
-            new = [w for w in new if w not in tailed] + [p for p in more if p[0] != " "]
-        rows |= self._each(alone, [k[1:] if k[0] == " " else k for k in alone])
-        rows |= self._together([w for w in new if w not in odd] if odd else new)
-        rows |= self._each(list(odd), [" " + w for w in odd])
-        if tailed:
-            at = np.array([r for m in tailed.values() for r in (rows[m[1]], rows[" " + m[2]])])
-            ids, ends = self.memory.gather(at)
-            rows |= self.memory.add(list(tailed), ids, np.diff(ends[1::2], prepend=0))
+        arr = np.concatenate(ids)
+        return arr, np.flatnonzero(self.begins[arr])
+
+    def _spaced(self, keys: pa.Array) -> np.ndarray:
+        """Rows of new pieces that begin with a blank or line feed and hold no other white space."""
+        ids, first = self._joined(keys, "")
+        return self.memory.add(keys, ids, np.diff(np.append(first, len(ids))))
+
+    def _bare(self, keys: pa.Array) -> np.ndarray:
+        """Rows of new pieces without white space: they go behind line feeds, whose ids are left out."""
+        ids, first = self._joined(keys, "\n")
+        return self.memory.add(keys, np.delete(ids, first), np.diff(np.append(first, len(ids))) - 1)
+
+    def _each(self, keys: pa.Array) -> np.ndarray:
+        """Rows of other new pieces."""
+        got = self.whole(keys.to_pylist())
+        return self.memory.add(keys, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _learn(self, keys: pa.Array) -> np.ndarray:
+        """Rows of pieces that memory doesn't have; no two are equal."""
+        raw, offsets = _bytes(keys)
+        spaced = _KIND[raw[offsets[:-1]]] == _SPACE
+        odd = pa.compute.match_substring_regex(keys, self.odd).to_numpy(zero_copy_only=False)
+        rows = np.empty(len(keys), np.int64)
+        for own, learn in ((spaced & ~odd, self._spaced), (~spaced & ~odd, self._bare), (odd, self._each)):
+            if own.any():
+                rows[own] = learn(keys.filter(pa.array(own)))
         return rows
 
     def _rows(self, keys: pa.Array) -> np.ndarray:
-        """Rows of keys, of which no two are equal."""
+        """Rows of pieces, of which no two are equal."""
         rows = self.memory.find(keys)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            words = keys.take(pa.array(missing)).to_pylist()
-            rows[missing] = list(map(self._learn(words).__getitem__, words))
+            rows[missing] = self._learn(keys.take(pa.array(missing)))
         return rows
 
-    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts whose blanks and line feeds stand alone, one after another, and where each text's end."""
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (large strings, no nulls) one after another, and where each text's end."""
+        raw, offsets = _bytes(texts)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         self.memory.make_room()
-        parts = pa.compute.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        words = parts.flatten().dictionary_encode()
-        # A text's first word stands alone, all others after a blank.
-        heads = pa.array([" " + t.split(" ", 1)[0].split("\n", 1)[0] for t in texts], pa.string()).dictionary_encode()
-        keys = words.dictionary.cast(pa.string())
-        found = self._rows(pa.concat_arrays([keys, heads.dictionary]))
-        rows = found[words.indices.to_numpy()]
-        rows[offsets[:-1]] = found[len(keys) :][heads.indices.to_numpy()]
+        added = pa.compute.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        begins = _cuts(raw, offsets, added)
+        pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        rows = self._rows(pieces.dictionary)[pieces.indices.to_numpy()]
         ids, ends = self.memory.gather(rows)
-        del parts, words, rows
+        ends = np.append(0, ends)[np.searchsorted(begins, offsets[1:])]
+        del pieces, rows, begins
         pa.default_memory_pool().release_unused()
-        return ids, ends[offsets[1:] - 1]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        even = [self.by_word and _even(t) for t in texts]
-        flat, ends = self.encode_flat([t for t, e in zip(texts, even, strict=True) if e])
-        cut = iter(np.split(flat, ends[:-1]))
-        rest = iter(self.whole([t for t, e in zip(texts, even, strict=True) if not e]))
-        return [next(cut) if e else next(rest) for e in even]
+        return ids, ends
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        column = pa.compute.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "").cast(pa.large_string())
+        if not len(column):
+            return []
+        if not self.by_word:
+            return self.whole(column.to_pylist())
+        flat, ends = self.encode_flat(column)
+        return np.split(flat, ends[:-1])
