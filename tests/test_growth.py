@@ -58,6 +58,34 @@ def test_pagerank_shuffles_its_edges_once(spark):
     assert shuffled(spark) - before < 2.5 * 2 * n
 
 
+def test_pagerank_of_a_connected_graph_shuffles_a_row_for_a_block_and_a_home(spark):
+    checkpoints(spark)
+    n = 20_000
+    edges = spark.range(n).selectExpr("concat('a', id % 50) AS a", "concat('b', id % 3001) AS b", "1.0D AS weight")
+    before = shuffled(spark)
+    got = {r[0]: r[1] for r in graph.pagerank(edges, spark.createDataFrame([("a7", 1.0)], "node string, weight double"), most=6_000).collect()}
+    assert shuffled(spark) - before < 2 * n
+    want = walked([tuple(r) for r in edges.collect()], "a7")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_pagerank_with_null_ends_loops_repeats_and_seeds_outside(spark):
+    checkpoints(spark)
+    edges = [("a", "b", 1.0), ("a", "b", 2.0), ("b", "b", 1.0), ("c", None, 3.0), (None, "b", 2.0), (None, "far", 1.0), ("far", "off", 1.0), (None, None, 5.0)]
+    seeds = spark.createDataFrame([("a", 1.0), ("alone", 1.0), ("b", 0.0)], "node string, weight double")
+    for most in (2, 1_000):
+        got = {r[0]: r[1] for r in graph.pagerank(spark.createDataFrame(edges, "a string, b string, weight double"), seeds, most=most).collect()}
+        links, x = [(a, b, w) for e in edges for a, b, w in (e, (e[1], e[0], e[2])) if a is not None], {"a": 0.5, "alone": 0.5, "b": 0.0}
+        start, total = dict(x), {a: sum(w for c, _, w in links if c == a) for a, _, _ in links}
+        for _ in range(30):
+            new = {k: v / 2 for k, v in start.items()}
+            for a, b, w in links:
+                if a in x:
+                    new[b] = new.get(b, 0.0) + x[a] * w / total[a] / 2
+            x = new
+        assert got.keys() == x.keys() == {"a", "b", "alone", None} and all(abs(got[k] - x[k]) < 1e-12 for k in x)
+
+
 def test_quantities_are_searched_once_and_units_looked_up(spark):
     plan = spark.createDataFrame([("x",)], "t string").select(X.quantities(F.col("t")).alias("q"))._jdf.queryExecution().analyzed().toString()
     assert len(re.findall("rlike", plan, re.I)) <= 1 and plan.count("regexp_extract_all") <= 2
